@@ -5,8 +5,8 @@ whose Hilbert index is the sort key, so neighbours on the curve have similar wor
 in that order (exact distributed prefix sums after a range sort) and cut every `length` ids, so a sequence is full but
 for the end; the last, short stretch is cut into powers of two, which need no padding.
 
-Tokenizing: no token crosses white space, so each space-separated chunk's ids are looked up in a bounded cache and only
-unseen chunks go to the tokenizer.
+Tokenizing: no token crosses a piece of the pre-tokenizer, so the ids of pieces are kept in a bounded cache, and only unseen
+ones go to the tokenizer.
 
 Cases: null texts count as empty, and an empty text is its end id alone; very long texts are cut over many sequences;
 rows that repeat a doc_id are separate documents (in order of their length and CRC); an empty table gives no rows; extra columns are not read."""
@@ -19,30 +19,82 @@ from pyspark.sql import functions as F
 from .common import Tables, narrow, running_totals
 
 END, LENGTH, HASHED, BITS = 1, 2048, 1024, 10
-CACHE = 400_000
+WORDS = 600_000
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    The letter runs, digits and punctuation runs that the vocabulary's pre-tokenizer cuts a text into are looked up in a bounded
+    cache.  Texts of Latin characters alone, for which lower-casing and cutting are known, are cut here at once; of others the Latin
+    chunks between spaces are, and the rest goes to the tokenizer."""
 
     def __init__(self, spec: str) -> None:
+        import re
+        import unicodedata
+
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(spec), {}
+        self.tokenizer, self.words = Tokenizer.from_str(spec), {}
+        kinds = {k: "".join(re.escape(chr(c)) for c in range(33, 0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+        letters, digits = kinds["L"], kinds["N"]
+        self.cut = re.compile(f"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[^ \\t-\\r{letters}{digits}]+|[{digits}]").findall
+        self.plain = re.compile("[\t-\r\x20-\x7e\xa1-\u024f]*").fullmatch
+        probe, pre = "It's 42 ÄÖ-ß.,x don't", self.tokenizer.pre_tokenizer
+        pieces = pre.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(probe)) if pre and self.tokenizer.normalizer else []
+        self.known_cut = len(pieces) == len(self.cut(probe.lower()))
+
+    @staticmethod
+    def shared(spec: str) -> Encoder:
+        """One encoder for all tasks that a Python worker runs, so its caches outlive a task."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_stockloom_encoders", {})
+        if (key := hash(spec)) not in kept:
+            kept.clear()
+            kept[key] = Encoder(spec)
+        return kept[key]
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of words that are each one piece, 64 at once."""
+        import numpy as np
+
+        lines = [words[at : at + 64] for at in range(0, len(words), 64)]
+        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids, of = np.array(e.ids, "<u4"), e.word_ids
+            if of and of[-1] == len(line) - 1:
+                ends = np.flatnonzero(np.append(np.diff(of) != 0, True)) + 1
+                raw, begin = ids.tobytes(), 0
+                for w, end in zip(line, ends.tolist(), strict=True):
+                    self.words[w] = raw[4 * begin : 4 * end]
+                    begin = end
+            else:  # not a piece each: one at a time
+                for w, one in zip(line, self.tokenizer.encode_batch(line, add_special_tokens=False), strict=True):
+                    self.words[w] = np.array(one.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        split = [t.encode("utf-8", "replace").split() for t in texts]  # at ASCII white space
-        if len(self.known) > CACHE:
-            self.known = {}
-        missing = list({c for s in split for c in s if c not in self.known})
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for k, e in zip(some, self.tokenizer.encode_batch([c.decode() for c in some], add_special_tokens=False), strict=True):
-                self.known[k] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        split = []
+        for t in texts:
+            if self.known_cut and "<|" not in t and self.plain(t):
+                split.append(self.cut(t.lower()))
+            else:  # a key that holds a space is a whole chunk for the tokenizer
+                pieces = []
+                for c in t.encode("utf-8", "replace").split():  # at ASCII white space
+                    c = c.decode()
+                    pieces += self.cut(c.lower()) if self.known_cut and "<|" not in c and self.plain(c) else [" " + c]
+                split.append(pieces)
+        if len(self.words) > WORDS:
+            self.words = {}
+        new = set().union(*split).difference(self.words)
+        whole = [w for w in new if w[0] == " "]
+        for at in range(0, len(whole), 1024):
+            some = whole[at : at + 1024]
+            for w, e in zip(some, self.tokenizer.encode_batch([w[1:] for w in some], add_special_tokens=False), strict=True):
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn([w for w in new if w[0] != " "])
+        return [b"".join(map(self.words.__getitem__, s)) for s in split]
 
 
 def hilbert(grid, bits: int):
@@ -87,7 +139,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END, seed: int = 3) ->
 
         import pyarrow as pa
 
-        encoder = Encoder(spec)
+        encoder = Encoder.shared(spec)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
