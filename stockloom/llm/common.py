@@ -17,9 +17,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows of whole texts can be large: batches of 512 instead of Spark's default of 10,000 bound what a Python worker and its
+    executor hold.  A setting that was changed already stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
 def narrow(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns.  They are taken by position, so extra columns whose names differ by case only,
     or repeat, do no harm; the first exact match counts."""
+    bounded_batches(df.sparkSession)
     at = [df.columns.index(n) for n in names]
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).select(*(F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)))
 
