@@ -17,7 +17,7 @@ DROPPED = "đłøı"
 #: Legal-form suffixes, longest first where one ends another.
 LEGAL_SUFFIXES = ("sociedadlimitada", "sociedadanonima", "slu", "sll", "slp", "sau", "sal", "scp", "coop", "sl", "sa", "sc", "cb")
 #: Resize suffixes at the end of a photo address.
-PHOTO_SUFFIX = r"[-_/](?:\d{2,4}x\d{2,4}|w\d{2,4}|h\d{2,4}|thumb|small|medium|large)(?=$|\.[a-z]{3,4}$)"
+PHOTO_SUFFIX = r"[-_/](?:\d{2,4}x\d{2,4}|w\d{2,4}|h\d{2,4}|thumb|small|medium|large)(\.[a-z]{3,4})?$"
 BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 FUELS = {"gasolina": "petrol", "diesel": "diesel", "diésel": "diesel", "electrico": "electric", "eléctrico": "electric", "hibrido": "hybrid", "híbrido": "hybrid", "glp": "lpg"}
 
@@ -73,7 +73,7 @@ def bare_host(c: Column) -> Column:
 def photo_key(c: Column) -> Column:
     """trim, lower, cut the query, the trailing slash and one resize suffix."""
     cut = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"\?.*$", ""), "/+$", "")
-    return F.nullif(F.regexp_replace(cut, PHOTO_SUFFIX, ""), F.lit(""))
+    return F.nullif(F.regexp_replace(cut, PHOTO_SUFFIX, "$1"), F.lit(""))
 
 
 def geo_key(c: Column) -> Column:
@@ -149,14 +149,14 @@ def price_near(a: Column, b: Column, tolerance: float = 0.02) -> Column:
 
 def to_int(c: Column) -> Column:
     """all digits of a text as a number; null if there is none or too many."""
-    return F.expr("try_cast(null as bigint)") if c is None else F.nullif(digits(c), F.lit("")).try_cast("long")
+    return F.nullif(digits(c), F.lit("")).try_cast("long")
 
 
 def to_price(c: Column) -> Column:
     """a price with a decimal comma or point and separators of thousands."""
     plain = F.regexp_replace(c, r"[^0-9.,]", "")
-    plain = F.regexp_replace(plain, r"[.,](?=\d{3}(?:\D|$))", "")
-    return F.nullif(F.replace(plain, F.lit(","), F.lit(".")), F.lit("")).try_cast("decimal(12,2)")
+    whole, cents = (F.regexp_extract(plain, r"^(.*?)(?:[.,](\d{1,2}))?$", i) for i in (1, 2))
+    return F.concat(digits(whole), F.lit("."), F.rpad(cents, 2, "0")).try_cast("decimal(12,2)")
 
 
 def year_of(c: Column) -> Column:
