@@ -6,14 +6,16 @@ variant for compatibility characters.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with diacritics and the letters they fold to.
-ACCENTED = "áàâäãåāăąçćčďđéèêëēėęěğíìîïīįıłñńňóòôöõøōőřśšşťúùûüūůűųýÿžźżÁÀÂÄÃÅĀĂĄÇĆČĎÉÈÊËĒĖĘĚĞÍÌÎÏĪĮİÑŃŇÓÒÔÖÕŌŐŘŚŠŞŤÚÙÛÜŪŮŰŲÝŸŽŹŻ"
-PLAIN = "aaaaaaaaacccddeeeeeeeegiiiiiiilnnnooooooooorssstuuuuuuuuyyzzzAAAAAAAAACCCDEEEEEEEEGIIIIIIINNNOOOOOOORSSSTUUUUUUUUYYZZZ"
-#: Letters that have no decomposition; an ASCII fold drops them.
-DROPPED = "đłøı"
+#: Latin letters whose compatibility decomposition leaves one ASCII letter, those letters, and the ones it leaves nothing of.
+_FOLDS = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(0xC0, 0x250)}
+ACCENTED = "".join(c for c, f in _FOLDS.items() if len(f) == 1)
+PLAIN = "".join(f for f in _FOLDS.values() if len(f) == 1)
+DROPPED = "".join(c for c, f in _FOLDS.items() if not f)
 #: Legal-form suffixes, longest first where one ends another.
 LEGAL_SUFFIXES = ("sociedadlimitada", "sociedadanonima", "slu", "sll", "slp", "sau", "sal", "scp", "coop", "sl", "sa", "sc", "cb")
 #: Resize suffixes at the end of a photo address.
@@ -24,7 +26,7 @@ FUELS = {"gasolina": "petrol", "diesel": "diesel", "diésel": "diesel", "electri
 
 def fold(c: Column) -> Column:
     """Lower-case ASCII: accents dropped, letters without a plain form removed."""
-    return F.lower(F.translate(F.translate(c, DROPPED, ""), "".join(a for a in ACCENTED if a not in DROPPED), "".join(p for a, p in zip(ACCENTED, PLAIN, strict=True) if a not in DROPPED)))
+    return F.lower(F.translate(F.translate(c, DROPPED, ""), ACCENTED, PLAIN))
 
 
 def alnum_key(c: Column) -> Column:

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd_fold(texts: pd.Series) -> pd.Series:
     """F1, F3, F11, F12 exactly: compatibility decomposition, ASCII only, lower case."""
     import unicodedata
@@ -17,7 +18,7 @@ def nfkd_fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_text(texts: pd.Series) -> pd.Series:
     """UTF-8 that was read as Latin-1, read again; unchanged where that fails."""
 
@@ -32,7 +33,7 @@ def repair_text(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """0 to 100, the best of the plain ratio and 0.95 times the ratios of sorted and of shared tokens;
     where one text is over 1.5 times as long, 0.9 times the best aligned part's ratio also counts."""
@@ -62,7 +63,7 @@ def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def find_key(payloads: pd.Series, keys: pd.Series) -> pd.Series:
     """Every value of a key anywhere in a JSON text, as JSON; empty for a text that isn't JSON."""
     import json
@@ -87,7 +88,7 @@ def find_key(payloads: pd.Series, keys: pd.Series) -> pd.Series:
     return pd.Series([one(t, k) for t, k in zip(payloads, keys, strict=True)])
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def microdata(pages: pd.Series) -> pd.Series:
     """Itemprop names and values (content, href or src attribute, else the text), the first of a name counts."""
     import re

@@ -123,7 +123,7 @@ def common_sql(names: list[str]) -> str:
         table, columns, tail = RELATIONS[n]
         head = "SELECT DISTINCT" if tail == "DISTINCT" else "SELECT"
         out.append(f"{n} AS ({head} {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {table} {'' if tail == 'DISTINCT' else tail})")
-    return "WITH " + ",\n".join(out)
+    return "WITH RECURSIVE " + ",\n".join(out)
 
 
 class Inputs:

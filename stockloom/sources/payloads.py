@@ -91,4 +91,5 @@ def probe_label(base: Column, answered: Column, urls: Column, fields: Column) ->
 
 def route_owner(seller: Column, province: Column, platform: Column) -> Column:
     """A car's owner: a placed seller, a national one, or the platform's bucket; a car is never dropped."""
-    return F.when(seller.isNull(), F.struct(platform.alias("owner"), F.lit("platform").alias("owner_kind"))).when(province.isNull(), F.struct(seller, F.lit("national"))).otherwise(F.struct(seller, F.lit("placed")))
+    to = lambda owner, kind: F.struct(owner.alias("owner"), F.lit(kind).alias("owner_kind"))
+    return F.when(seller.isNull(), to(platform, "platform")).when(province.isNull(), to(seller, "national")).otherwise(to(seller, "placed"))
