@@ -127,7 +127,7 @@ def hilbert(grid, bits: int):
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end: int = END, seed: int = 3) -> DataFrame:
-    """doc_id, ids (16-bit where the vocabulary allows, else 32-bit), doc_tokens (with the end id), key, crc."""
+    """doc_id, ids (16-bit where the vocabulary allows, else 32-bit; compressed, for they are written and shuffled), doc_tokens (with the end id), key, crc."""
     import numpy as np
 
     with open(tokenizer, encoding="utf-8") as f:  # a vocabulary file, some MB at most, sent to the executors
@@ -138,8 +138,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END, seed: int = 3) ->
         import zlib
 
         import pyarrow as pa
+        import zstandard
 
-        encoder = Encoder.shared(spec)
+        encoder, squeeze = Encoder.shared(spec), zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
@@ -150,7 +151,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END, seed: int = 3) ->
                     points.append((counts @ planes) / max(1.0, float(np.sqrt(counts @ counts))))
                     out.append(np.append(own, np.uint32(end)))
                 grid = ((np.tanh(np.array(points)) + 1) / 2 * (1 << BITS)).clip(0, (1 << BITS) - 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([o.astype("<u2").tobytes() if o.max() < 65536 else b"\x00" + o.tobytes() for o in out], pa.binary()), pa.array([len(o) for o in out], pa.int64()), pa.array(hilbert(grid, BITS), pa.int64()), pa.array([zlib.crc32(o.tobytes()) for o in out], pa.int64())], ["doc_id", "ids", "doc_tokens", "key", "crc"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([squeeze(o.astype("<u2" if o.max() < 65536 else "<u4").tobytes()) for o in out], pa.binary()), pa.array([len(o) for o in out], pa.int64()), pa.array(hilbert(grid, BITS), pa.int64()), pa.array([zlib.crc32(o.tobytes()) for o in out], pa.int64())], ["doc_id", "ids", "doc_tokens", "key", "crc"])
 
     return narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ids binary, doc_tokens long, key long, crc long")
 
@@ -175,8 +176,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
 
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
-        full = total // length
+        full, restore = total // length, zstandard.ZstdDecompressor().decompress
         begins = np.concatenate([[0], np.cumsum(tail)]).astype(np.int64) + full * length
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -184,7 +186,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
                 out = []
                 for r in rows:
                     raw, n, p = r["ids"], r["doc_tokens"], r["start"]
-                    ids = (np.frombuffer(raw, "<u2").astype("<u4") if len(raw) == 2 * n else np.frombuffer(raw[1:], "<u4")).tobytes()
+                    raw = restore(raw)
+                    ids = raw if len(raw) == 4 * n else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
                     done = 0
                     while done < n:
                         if (here := p + done) < full * length:
