@@ -9,7 +9,7 @@ The windows are aggregated before any join (map-side), only repeated ones are jo
 
 Cases: null texts stay null, and texts with under three lines that aren't blank are untouched; a text all of whose lines go
 becomes empty; rows that repeat both doc_id and text count as one document; of rows that repeat the doc_id alone, a hash of the text decides which is first; rows with a null doc_id
-come last; an empty table gives no rows; extra columns of `dedup_documents` are passed through."""
+come last; an empty table gives no rows; only the named columns are read, so others may have clashing names."""
 
 from __future__ import annotations
 
@@ -39,9 +39,9 @@ def marked(docs: DataFrame, width: int, tables: Tables) -> DataFrame:
     return later.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
 
 
-def dedup_documents(docs: DataFrame, width: int = 3) -> DataFrame:
-    """docs with the lines gone from text, and columns lines (all, blank ones too) and removed_lines."""
-    tables = Tables(docs.sparkSession)
+def dedup_documents(docs: DataFrame, width: int = 3, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The named columns of docs with the lines gone from text, and lines (all, blank ones too) and removed_lines."""
+    tables, docs = Tables(docs.sparkSession), narrow(docs, *columns)
     row = F.xxhash64("doc_id", "text")
     gone = tables.keep(marked(narrow(docs, "doc_id", "text").select("doc_id", row.alias("row"), "text"), width, tables), "gone")
     both = docs.withColumn("_row", row).join(gone.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_at"), "gone"), (F.col("_row") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
@@ -54,6 +54,6 @@ def dedup_documents(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     """docs without the repeated lines, n_chars counted anew; documents with nothing left but white space through it go."""
-    out = dedup_documents(docs, width)
+    out = dedup_documents(docs, width, tuple(docs.columns))
     left = out.where("removed_lines = 0 or text rlike '[^ \\\\t\\\\r\\\\n]'")
     return left.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)

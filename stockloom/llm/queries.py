@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, exact_topk, hilbert_packing, language_id, license_digests, line_windows, paragraph_minhash, sharding, simhash_bktree, source_mixing
-from .common import narrow, read_table
+from .common import read_table
 
 
 def tokenizer_path() -> str:
@@ -36,7 +36,7 @@ def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_windows.dedup_documents(narrow(read_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return line_windows.dedup_documents(read_table(spark, sf_dir, "documents"))
 
 
 def op7_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
