@@ -5,7 +5,7 @@ their concatenated random hyperplane hashes; range-sorted partitions are streame
 vectors before it, and the rows at a partition's borders are compared across it.  Verified pairs are united over all passes
 (connected components).  Then every two classes of one component are compared, in cells of bounded size, so the
 link counts of what was found are exact.  Cosines are in double precision.  A pair is missed only if no pass and
-no chain of found links connects it; with 24 passes and windows of 64 that was no pair at all on the test tables.
+no chain of found links connects it; with 24 passes and windows of 64 it was no pair at all of check_s and check_h.
 
 Cases: null labels, null, empty and zero vectors and those with null or non-finite components link with nothing, as do
 vectors of different lengths; rows with a null vec_id take no part (no component, not kept); rows that repeat a
