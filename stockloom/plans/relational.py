@@ -656,10 +656,10 @@ def _(x):
 
 @Q("w1_first_two", "WITH r AS (SELECT entity_ulid, vehicle_ulid, row_number() OVER (PARTITION BY entity_ulid ORDER BY first_seen, vehicle_ulid) AS rn FROM vehicle) SELECT a.entity_ulid, a.vehicle_ulid AS one, b.vehicle_ulid AS two FROM r a JOIN r b ON a.entity_ulid = b.entity_ulid AND a.rn = 1 AND b.rn = 2")
 def _(x):
-    """One aggregate of the two smallest instead of a window and a self join."""
-    two = F.slice(F.array_sort(F.collect_list(F.struct("first_seen", "vehicle_ulid"))), 1, 2)
-    g = x.vehicle.groupBy("entity_ulid").agg(two.alias("t")).where("size(t) = 2")
-    return g.select("entity_ulid", F.col("t")[0]["vehicle_ulid"].alias("one"), F.col("t")[1]["vehicle_ulid"].alias("two"))
+    """The window's rows are limited to two a seller before the shuffle; an aggregate pairs them instead of a self join."""
+    r = x.vehicle.withColumn("rn", F.row_number().over(Window.partitionBy("entity_ulid").orderBy("first_seen", "vehicle_ulid"))).where("rn <= 2")
+    pair = r.groupBy("entity_ulid").agg(*(F.max(F.when(F.col("rn") == i, F.col("vehicle_ulid"))).alias(n) for i, n in ((1, "one"), (2, "two"))))
+    return pair.where("two is not null")
 
 
 @Q("w2_cross_source_pairs", "WITH g AS (SELECT a.entity_ulid, e.province_code, list_sort(list(a.source_key)) AS src FROM attest a JOIN entity e USING (entity_ulid) WHERE e.province_code IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY province_code ORDER BY entity_ulid) AS rn FROM g) SELECT a.province_code, a.entity_ulid AS a, b.entity_ulid AS b, a.src <> b.src AS differs FROM r a JOIN r b ON a.province_code = b.province_code AND a.rn = 1 AND b.rn = 2")
