@@ -6,6 +6,7 @@ all but the first occurrence (by doc_id, then position) mark their three lines;
 merged and those lines go, with everything else left as it was.
 
 The windows are aggregated before any join (map-side), only repeated ones are joined back, and AQE can split a hot one.
+The texts are shuffled once, to meet their marked lines.
 
 Cases: null texts stay null, and texts with under three lines that aren't blank are untouched; a text all of whose lines go
 becomes empty; rows that repeat both doc_id and text count as one document; of rows that repeat the doc_id alone, a hash of the text decides which is first; rows with a null doc_id
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import Tables, narrow
 
+
 def windows(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, row, at (the window's place), lines (line numbers covered), h1, h2."""
     numbered = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(" \t\r")).alias("t"))), lambda p: p["t"] != "")
@@ -44,7 +46,8 @@ def dedup_documents(docs: DataFrame, width: int = 3, columns: tuple[str, ...] =
     tables, docs = Tables(docs.sparkSession), narrow(docs, *columns)
     row = F.xxhash64("doc_id", "text")
     gone = tables.keep(marked(narrow(docs, "doc_id", "text").select("doc_id", row.alias("row"), "text"), width, tables), "gone")
-    both = docs.withColumn("_row", row).join(gone.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_at"), "gone"), (F.col("_row") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    # merged at every size: the marked documents grow with the input
+    both = docs.withColumn("_row", row).join(gone.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_at"), "gone").hint("merge"), (F.col("_row") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     lines = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
