@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions.normalize import digits, fold, province_of_zip, year_of
+from stockloom.sources import payloads
 from stockloom.sources.readers import DISCOVERED, LISTING
 from stockloom.sources.records import Form, absolute, between, entry, first_url, items, joined, labelled, mapped, number, records, text, unbroken
 
@@ -20,6 +21,7 @@ MILANUNCIOS_FUEL = {"gasoline": GASOLINA, "petrol": GASOLINA, "diesel": DIESEL,
 SPOTICAR_FUEL = {"DIES": DIESEL, "ESS": GASOLINA, "ELEC": ELECTRICO, "HBD": HIBRIDO, "HBDR": ENCHUFABLE, "GPL": "GLP", "GNV": "GNC"}
 AUDI_FUEL = {"D": DIESEL, "B": GASOLINA, "H": HIBRIDO, "E": ELECTRICO, "G": "GLP", "C": "GNC", "W": "Hidrógeno"}
 NISSAN_FUEL = {"gasolina": GASOLINA, "diesel": DIESEL, "disel": DIESEL, "electrico": ELECTRICO, "hibrido": HIBRIDO, "hibridoenchufable": ENCHUFABLE, "glp": "GLP", "gnc": "GNC"}
+CLASSIC_FUEL = {"petrol": GASOLINA, "gasoline": GASOLINA, "diesel": DIESEL, "electric": ELECTRICO, "hybrid": HIBRIDO, "lpg": "GLP", "gas": "GLP"}
 GEARBOX = {"manual": "Manual", "automatico": "Automático", "automtico": "Automático"}
 
 
@@ -28,6 +30,8 @@ class Connector:
     paths: tuple[str, ...]
     cars: dict[str, Form]
     sellers: dict[str, Form]
+    #: which records count
+    keep: str = "true"
 
 
 def letters(c: Column) -> Column:
@@ -50,6 +54,11 @@ def title(*paths: str, whole: str | None = None) -> Form:
     return parts if whole is None else lambda r: F.coalesce(unbroken(text(r, whole)), parts(r))
 
 
+def without_make(name: Column, make: Column) -> Column:
+    """A name without the make before it."""
+    return F.when(F.lower(name).startswith(F.concat(F.lower(make), F.lit(" "))), F.substring(name, F.length(make) + 1, F.length(name))).otherwise(name)
+
+
 def positive(c: Column) -> Column:
     return F.when(c > 0, c)
 
@@ -177,17 +186,59 @@ CONNECTORS: dict[str, Connector] = {
         ["$.hypermediadealer.dealer.key"], trade_name=lambda r: unbroken(of_key(r, "$.hypermediadealer.dealer.items", "name")), municipality=lambda r: unbroken(of_key(r, "$.hypermediadealer.dealer.items", "city")),
         postal_code=lambda r: of_key(r, "$.hypermediadealer.dealer.items", "zip"), province=lambda r: province_of_zip(of_key(r, "$.hypermediadealer.dealer.items", "zip")),
     )),
-    "as24_wholesale": Connector(("$.listings", "$.props.pageProps.listings"), car(
-        ["$.id"], year=lambda r: year_of(text(r, "$.vehicle.firstRegistration", "$.tracking.firstRegistration")), km=lambda r: digits(text(r, "$.tracking.mileage", "$.vehicle.mileageInKm")).try_cast("int"), price=lambda r: digits(text(r, "$.tracking.price", "$.price.priceFormatted")).try_cast("double"),
-        make="$.vehicle.make", model="$.vehicle.model", title=title("$.vehicle.make", "$.vehicle.model", "$.vehicle.modelVersionInput"), deep_link=lambda r: absolute("https://www.autoscout24.es", text(r, "$.url")), fuel="$.vehicle.fuel",
-        transmission="$.vehicle.transmission", photo_url=lambda r: first_url(r, "$.images"), seller="$.seller.id",
+    "as24_wholesale": Connector(("$.props.pageProps.listings", "$.pageProps.listings", "$.listings"), car(
+        ["$.id", "$.identifier"], year=lambda r: F.coalesce(year_of(text(r, "$.vehicle.firstRegistrationDate.raw", "$.vehicle.firstRegistrationDate")), year_of(text(r, "$.tracking.firstRegistration"))),
+        km=lambda r: positive(digits(text(r, "$.vehicle.mileageInKm.raw", "$.vehicle.mileageInKm.formatted", "$.vehicle.mileageInKm", "$.tracking.mileage")).try_cast("int")), price=["$.prices.public.priceRaw", "$.prices.dealer.priceRaw", "$.tracking.price", "$.price.priceRaw"],
+        make="$.vehicle.make", model="$.vehicle.model", title=lambda r: joined(text(r, "$.vehicle.make"), text(r, "$.vehicle.model"), text(r, "$.vehicle.variant.raw", "$.vehicle.variant.formatted", "$.vehicle.variant", "$.vehicle.modelVersionInput")),
+        deep_link=lambda r: absolute("https://www.autoscout24.es", text(r, "$.url")), fuel=["$.vehicle.fuelCategory.raw", "$.vehicle.fuelCategory.formatted", "$.vehicle.fuel"], transmission=["$.vehicle.transmissionType.raw", "$.vehicle.transmissionType.formatted", "$.vehicle.transmission"],
+        photo_url=lambda r: text(F.coalesce(F.get(items(r, "$.images"), 0), F.get(items(r, "$.ocsImagesA"), 0)), "$.src", "$.href", "$.url", "$.small.href", "$"), seller="$.seller.id",
     ), seller(
         lambda r: F.when(text(r, "$.seller.type") == "Dealer", text(r, "$.seller.id")), trade_name="$.seller.companyName", municipality="$.location.city", address="$.location.street", **by_zip("$.location.zip"),
     )),
+    "coches_com_wholesale": Connector(("$.props.pageProps.classifieds.classifiedList", "$.classifieds.classifiedList", "$.classifiedList"), car(
+        ["$.visibleId", "$.id"], year="$.registration.year", km="$.mileage.amount", price="$.price.amount", make="$.make.name", model="$.model.name", title=title("$.make.name", "$.model.name", "$.version.name"),
+        deep_link=at("https://www.coches.com/coches-segunda-mano/coches-ocasion.htm?id=", "$.visibleId", "$.id"), fuel="$.fuel.name", transmission="$.transmission.name",
+        photo_url=lambda r: F.coalesce(text(r, "$.image"), F.concat(F.lit("https://images.coches.com/_ccom_/"), text(r, "$.imageList[0].name"))), seller="$.dealer.crmId",
+    ), seller(["$.dealer.crmId"], trade_name="$.dealer.name", cif="$.dealer.taxIdNumber", province=lambda r: F.lpad(text(r, "$.currentProvince.id"), 2, "0"))),
+    "carandclassic_wholesale": Connector(("$.props.searchResults.data", "$.searchResults.data"), car(
+        ["$.id"], year="$.year", km="$.attributes.mileage.value", price=lambda r: number(r, "$.price.value") / 100, make="$.make", title="$.title", deep_link=lambda r: absolute("https://www.carandclassic.com", text(r, "$.url")),
+        model=lambda r: F.nullif(F.trim(without_make(F.regexp_replace(text(r, "$.title"), r"^\s*\d{4}\s+", ""), text(r, "$.make"))), F.lit("")), fuel=lambda r: labelled(F.lower(text(r, "$.attributes.fuelType")), CLASSIC_FUEL, F.lit(None)),
+        transmission=lambda r: labelled(F.lower(text(r, "$.attributes.transmissionType")), {"manual": "Manual", "automatic": "Automático", "auto": "Automático"}, F.lit(None)),
+        photo_url=lambda r: absolute("https://assets.carandclassic.com", text(F.get(items(r, "$.images"), 0), "$.url")),
+    ), seller(["$.seller.id"], municipality="$.location.town"), "coalesce(try_variant_get(r, '$.isSold', 'boolean'), false) = false"),
+    "autocasion_wholesale": Connector(("$.data.ads", "$.ads", "$"), car(
+        ["$.id"], year="$.year", km="$.kilometers", price="$.price", make="$.brand.name", model="$.family.name", title=title("$.brand.name", "$.family.name", whole="$.title"), deep_link=lambda r: absolute("https://www.autocasion.com", text(r, "$.url")),
+        fuel="$.fuel.name", transmission="$.transmission.name", seller=lambda r: F.nullif(F.regexp_extract(text(r, "$.offeredBy['@id']"), "/profesional/([^/?#]+)", 1), F.lit("")),
+    ), seller(lambda r: F.nullif(F.regexp_extract(text(r, "$.offeredBy['@id']"), "/profesional/([^/?#]+)", 1), F.lit("")), trade_name="$.offeredBy.name")),
+    "group_vo_chains_flexicar": Connector(("$.results",), car(
+        ["$.id"], year="$.year", km="$.km", price="$.price", make="$.brand", model="$.model", title=title("$.brand", "$.model", "$.version"), deep_link=at("https://www.flexicar.es/coches-segunda-mano/", "$.slug"), fuel="$.fuel", transmission="$.transmission",
+        photo_url=["$.image", "$.images[0]"], seller="$.carDealershipSlug",
+    ), seller(["$.value"], trade_name="$.name", municipality="$.location", **by_zip("$.zipCode")), "try_variant_get(r, '$.slug', 'string') is not null or try_variant_get(r, '$.value', 'string') is not null"),
+    "group_subastas_wholesale": Connector(("$.data.lots.items",), car(
+        ["$.id"], year=lambda r: year_of(text(r, "$.firstRegistrationDate")), km="$.mileage", price="$.fixedPrice", make=lambda r: F.initcap(text(r, "$.make")), model=lambda r: F.initcap(text(r, "$.model")),
+        title=lambda r: joined(F.initcap(text(r, "$.make")), F.initcap(text(r, "$.model")), text(r, "$.version")), deep_link=at("https://carmarket.ayvens.com/es-es/lot/", "$.id"), fuel="$.fuelType", transmission="$.transmissionType", seller="$.saleEventId",
+    ), seller(["$.saleEventId"], kind=lambda r: F.lit("subasta"), trade_name="$.saleEvent.name")),
+    "oem_jaguar_land_rover": Connector(("$.data.getAll", "$.getAll"), car(
+        ["$.id", "$.identifiers.stockId"], year=["$.productionYear", "$.registration.year"], km="$.odometer.value", price=lambda r: positive(number(r, "$.price.current", "$.price.base")), make=fixed("$.manufacturer"), model=fixed("$.model"),
+        title=title("$.manufacturer", "$.model", "$.variant"), fuel=fixed("$.fuel.type"), transmission=fixed("$.transmission.type"), photo_url=lambda r: F.regexp_replace(text(r, "$.mainImage"), "^//", "https://"), seller=["$.location.hash", "$.location.details.address.hash"],
+    ), seller(["$.location.hash", "$.location.details.address.hash"], trade_name=fixed("$.location.name", "$.location.details.address.name"), municipality=fixed("$.location.details.address.city"), **by_zip("$.location.details.address.postcode"))),
 }
 
+#: New stock of the same makes: no kilometres, the year of production or offer.
+CONNECTORS["oem_seat_cupra_new_stock"] = Connector(("$.results.result.cars",), CONNECTORS["oem_seat_cupra_wholesale"].cars | {
+    "listing_ref": ["$.carid", "$.key"], "km": lambda r: F.lit(0), "year": lambda r: between(F.coalesce(*(F.left(of_key(r, "$.items", k), F.lit(4)).try_cast("int") for k in ("dateproduction", "dateoffer"))), 1990, 2100),
+}, CONNECTORS["oem_seat_cupra_wholesale"].sellers | {"source_ref": lambda r: F.coalesce(of_key(r, "$.hypermediadealer.dealer.items", "dealer_id_snw"), text(r, "$.hypermediadealer.dealer.key"))})
+
+#: Schema.org vehicles of JSON-LD scripts, whatever the site: the mapping of the sites that publish no other answer.
+JSON_LD_TYPES = ("Car", "Vehicle", "MotorVehicle", "Motorcycle")
+JSON_LD = car(
+    ["$.sku", "$.productID", "$.vehicleIdentificationNumber", "$.url", "$['@id']"], year=lambda r: year_of(text(r, "$.modelDate", "$.vehicleModelDate", "$.datePublished")), km=lambda r: spanish_number(text(r, "$.mileageFromOdometer.value", "$.mileageFromOdometer", "$.mileage")),
+    price=["$.offers.price", "$.offers[0].price", "$.offers.lowPrice", "$.price"], make=["$.brand.name", "$.brand", "$.manufacturer.name", "$.manufacturer"], model=["$.model.name", "$.model", "$.name"], title=["$.name"], deep_link=["$.url", "$.offers.url", "$['@id']"],
+    fuel=["$.fuelType", "$.vehicleEngine.fuelType"], transmission="$.vehicleTransmission", photo_url=["$.image.url", "$.image[0].url", "$.image[0]", "$.image"], seller=["$.offers.seller.name", "$.offers.offeredBy.name"],
+)
+
 #: Partitioned and segmented drains of a platform read the same answers.
-SIBLINGS = {"coches_net_facet": "coches_net_wholesale", "coches_net_segments": "coches_net_wholesale", "wallapop_facet": "wallapop_wholesale"}
+SIBLINGS = {"coches_net_facet": "coches_net_wholesale", "coches_net_segments": "coches_net_wholesale", "autocasion_facet": "autocasion_wholesale", "wallapop_facet": "wallapop_wholesale"}
 
 
 def connector(source: str) -> Connector:
@@ -195,9 +246,22 @@ def connector(source: str) -> Connector:
 
 
 def cars(source: str, pages: DataFrame) -> DataFrame:
-    """A row for each car that has a reference, one for each reference (the richest, then smallest, of its rows stays)."""
+    """A row for each car that has a reference, one for each reference (its richest row stays)."""
     spec = connector(source)
-    out = mapped(records(pages, *spec.paths), LISTING, source, spec.cars).where("listing_ref is not null")
+    return richest(mapped(records(pages, *spec.paths).where(spec.keep), LISTING, source, spec.cars))
+
+
+def json_ld_cars(source: str, pages: DataFrame) -> DataFrame:
+    """The same of a site's pages (column payload: HTML) by their JSON-LD vehicles; vehicles inside a list's items count too."""
+    nodes = payloads.json_ld(pages, "payload")
+    listed = F.concat(F.array("node"), F.transform(items(F.col("node"), "$.itemListElement"), lambda x: F.coalesce(F.try_variant_get(x, "$.item", "variant"), x)))
+    rows = nodes.withColumn("r", F.explode(listed)).drop("node", "payload")
+    return richest(mapped(rows.where(F.coalesce(text(F.col("r"), "$['@type'][0]"), text(F.col("r"), "$['@type']")).isin(*JSON_LD_TYPES)), LISTING, source, JSON_LD))
+
+
+def richest(cars: DataFrame) -> DataFrame:
+    """One row for each reference: the one with most columns filled, the greatest of equals."""
+    out = cars.where("listing_ref is not null")
     row = F.struct(*out.columns)
     filled = sum((F.col(c).isNotNull().cast("int") for c in out.columns), F.lit(0))
     return out.groupBy("listing_ref").agg(F.max_by(row, F.struct(filled, row)).alias("row")).select("row.*")
@@ -206,6 +270,6 @@ def cars(source: str, pages: DataFrame) -> DataFrame:
 def sellers(source: str, pages: DataFrame, *paths: str) -> DataFrame:
     """A row for each seller that has a reference; paths: where sellers lie if not in the cars."""
     spec = connector(source)
-    out = mapped(records(pages, *(paths or spec.paths)), DISCOVERED, source, spec.sellers).where("source_ref is not null and source_ref <> ''")
+    out = mapped(records(pages, *(paths or spec.paths)).where(spec.keep), DISCOVERED, source, spec.sellers).where("source_ref is not null and source_ref <> ''")
     row = F.struct(*out.columns)
     return out.groupBy("source_ref").agg(F.min(row).alias("row")).select("row.*")

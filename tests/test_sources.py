@@ -75,3 +75,16 @@ def test_cars(spark):
     assert (t["photo_url"], t["year"]) == ("https://a", 2020)
     n = connectors.sellers("milanuncios_wholesale", pages(spark, {"ads": [{"authorId": 4, "type": "private", "location": {"province": {"id": 8}}}, {"type": "professional"}]})).collect()
     assert [(r["source_ref"], r["kind"], r["province"]) for r in n] == [("4", "particular", "08")]
+
+
+def test_more_cars(spark):
+    one = lambda source, payload: connectors.cars(source, pages(spark, payload)).first()
+    a = one("as24_wholesale", {"listings": [{"id": "i", "url": "/x", "vehicle": {"make": "Kia", "mileageInKm": {"raw": 120}, "firstRegistrationDate": {"raw": "2019-05-01"}}, "tracking": {"price": "9000"}, "images": ["https://p"], "seller": {"id": 3}}]})
+    assert (a["km"], a["year"], float(a["price"]), a["photo_url"], a["deep_link"]) == (120, 2019, 9000.0, "https://p", "https://www.autoscout24.es/x")
+    c = connectors.cars("carandclassic_wholesale", pages(spark, {"props": {"searchResults": {"data": [{"id": 1, "url": "/c", "title": "1970 Jaguar E Type", "make": "jaguar", "price": {"value": 1900000}}, {"id": 2, "url": "/d", "isSold": True}]}}})).collect()
+    assert [(r["model"], float(r["price"])) for r in c] == [("E Type", 19000.0)]
+    n = one("oem_seat_cupra_new_stock", {"results": {"result": {"cars": [{"carid": "k", "items": [{"key": "dateproduction", "value": "2026-01-02"}]}]}}})
+    assert (n["km"], n["year"]) == (0, 2026)
+    html = '<script type="application/ld+json">{"@type":"ItemList","itemListElement":[{"item":{"@type":"Car","sku":"s1","name":"Golf","brand":{"name":"VW"},"offers":{"price":"12000"},"mileageFromOdometer":{"value":"1.000"}}}]}</script>'
+    j = connectors.json_ld_cars("motorflash_wholesale", pages(spark, html, "<html>")).collect()
+    assert [(r["listing_ref"], r["make"], float(r["price"]), r["km"]) for r in j] == [("s1", "VW", 12000.0, 1000)]
