@@ -19,6 +19,13 @@ def pairs(rows: DataFrame, block: Sequence[str], id: str, keep: Sequence[str] =
     return (out.where(residual) if residual else out).withColumnsRenamed({f"a_{id}": "a", f"b_{id}": "b"})
 
 
+def stars(rows: DataFrame, block: Sequence[str], id: str) -> DataFrame:
+    """(a, b): each row of a block linked to the block's smallest id.  The components are those of all pairs (J6), the
+    edges grow with the rows instead of their square."""
+    own = rows.dropna(subset=list(block)).select(*block, id)
+    return own.join(own.groupBy(*block).agg(F.min(id).alias("a")), list(block)).where(f"a <> {id}").select("a", F.col(id).alias("b"))
+
+
 def shared_items(sets: DataFrame, id: str, item: str) -> DataFrame:
     """For pairs of ids that share an item: n_both and the Jaccard similarity of their item sets."""
     own = sets.select(id, item).dropna().distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,12 +48,14 @@ def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     smallest node; nodes without an edge are not listed.  Alternates large-star and small-star steps until nothing
     changes; each keeps at most one edge for each edge it reads, and AQE can split a hub's rows."""
     tables = tables or Tables(edges.sparkSession)
-    now = tables.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def keep(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """e written, with its count and checksum taken on the way."""
+        seen = Observation()
+        out = tables.keep(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        return out, (seen.get["n"], seen.get["sum"])
 
-    old = mark(now)
+    now, old = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while old[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
@@ -61,9 +63,9 @@ def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         pair = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = large.join(least, F.col("a") == F.col("u")).select(F.explode(pair).alias("e")).select("e.*").where("a <> b").distinct()
-        new = tables.keep(small, "edges")
+        new, mark = keep(small)
         tables.drop(now)
-        now, was, old = new, old, mark(new)
+        now, was, old = new, old, mark
         if was == old:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from .blocking import canonical_pick, pairs, richness, shared_items
+from .blocking import canonical_pick, pairs, richness, shared_items, stars
 from .graph import components
 
 SIGNAL_RANK = {"both": 3, "photo_url": 2, "firma": 1, "none": 0}
@@ -31,8 +31,7 @@ def vehicle_edges(cars: DataFrame, id: str = "vehicle_ulid") -> DataFrame:
     their smallest id (a star spans the group; the component is the same as with all pairs)."""
     own = cars.withColumns({"_photo": N.photo_key(F.col("photo_url")), "_title": N.alnum_key(F.col("title")), "_make": F.nullif(F.lower(F.trim("make")), F.lit("")), "_model": F.nullif(F.lower(F.trim("model")), F.lit(""))})
     firma = pairs(own, ["_make", "_model", "year", "km", "province_code"], id, ["price", "entity_ulid", "_title"], "a_price > 0 and b_price > 0 and abs(a_price - b_price) <= 0.02 * least(a_price, b_price) and (a_entity_ulid = b_entity_ulid or (a__title = b__title and a__title <> ''))")
-    first = own.dropna(subset=["_photo"]).groupBy("_photo").agg(F.min(id).alias("a"))
-    star = own.dropna(subset=["_photo"]).join(first, "_photo").where(f"a <> {id}").select("a", F.col(id).alias("b"))
+    star = stars(own, ["_photo"], id)
     photo_of = own.select(F.col(id).alias("_id"), "_photo")
     marked = firma.select("a", "b").join(photo_of.withColumnsRenamed({"_id": "a", "_photo": "_pa"}), "a").join(photo_of.withColumnsRenamed({"_id": "b", "_photo": "_pb"}), "b")
     firma = marked.select("a", "b", F.when(F.col("_pa") == F.col("_pb"), "both").otherwise("firma").alias("signal"))
@@ -58,16 +57,35 @@ def keyed_edges(rows: DataFrame, block: list[str], id: str, keys: dict[str, str]
     return out.distinct()
 
 
+#: Two different names within two edits, both of at least eight characters.
+SIMILAR = "a_name_key <> b_name_key and length(a_name_key) >= 8 and length(b_name_key) >= 8 and levenshtein(a_name_key, b_name_key, 2) >= 0"
+
+
+def with_keys(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"name_key": F.nullif(N.name_key(F.col("trade_name")), F.lit("")), "phone_key": N.phone_all(F.col("phone")), "host_key": N.host(F.col("website"))})
+
+
 def dealer_edges(rows: DataFrame, id: str = "entity_ulid", most: int = 500) -> DataFrame:
     """Equal name, phone or host in one municipality, or names of at least eight characters within two edits, in blocks of
     at most `most` named rows."""
-    own = rows.withColumns({"name_key": F.nullif(N.name_key(F.col("trade_name")), F.lit("")), "phone_key": N.phone_all(F.col("phone")), "host_key": N.host(F.col("website"))})
+    own = with_keys(rows)
     exact = keyed_edges(own, ["municipality_code"], id, {"name": "name_key", "phone": "phone_key", "website": "host_key"})
-    named = own.dropna(subset=["name_key"])
-    fuzzy = pairs(named, ["municipality_code"], id, ["name_key"], "a_name_key <> b_name_key and length(a_name_key) >= 8 and length(b_name_key) >= 8 and levenshtein(a_name_key, b_name_key, 2) >= 0", most)
+    fuzzy = pairs(own.dropna(subset=["name_key"]), ["municipality_code"], id, ["name_key"], SIMILAR, most)
     return exact.unionByName(fuzzy.select("a", "b", F.lit("fuzzy").alias("signal")))
 
 
+def dealer_links(rows: DataFrame, id: str = "entity_ulid", most: int = 500) -> DataFrame:
+    """(a, b) with the components of dealer_edges: equal keys are linked as stars, and similar names are compared once a
+    name and municipality, so a key that many rows share costs a link a row."""
+    block, own = "municipality_code", with_keys(rows)
+    named = own.dropna(subset=[block, "name_key"]).groupBy(block, "name_key").agg(F.min(id).alias(id), F.count("*").alias("rows"))
+    small = named.groupBy(block).agg(F.sum("rows").alias("rows")).where(F.col("rows") <= most).select(block)
+    links = pairs(named.join(small, block, "left_semi"), [block], id, ["name_key"], SIMILAR).select("a", "b")
+    for k in ("name_key", "phone_key", "host_key"):
+        links = links.union(stars(own, [block, k], id))
+    return links.distinct()
+
+
 def dealer_clusters(rows: DataFrame, edges: DataFrame, id: str = "entity_ulid") -> DataFrame:
     """Canonical by source rank, richness, age and code."""
     rank = F.coalesce(*(F.when(F.col("source_group") == s, r) for s, r in SOURCE_RANK.items()), F.lit(1))

@@ -363,7 +363,7 @@ def _(x):
 
 @Q("g6_dealer_clusters", f"WITH {_DEALER}, {_DEDGE}, sym AS (SELECT a AS s, b AS t FROM de UNION SELECT b, a FROM de), {_REACH.format(id='entity_ulid', rel='entity')}, head AS (SELECT cluster, arg_min(entity_ulid, (-CASE source_group WHEN 'official' THEN 10 WHEN 'registry' THEN 9 WHEN 'marketplace' THEN 6 ELSE 1 END, -((CASE WHEN website IS NULL THEN 0 ELSE 1 END) + (CASE WHEN phone IS NULL THEN 0 ELSE 1 END) + (CASE WHEN address IS NULL THEN 0 ELSE 1 END) + (CASE WHEN municipality_code IS NULL THEN 0 ELSE 1 END)), created_at, cdp_code)) AS canonical_ulid FROM comp JOIN entity ON entity_ulid = id GROUP BY 1) SELECT id AS entity_ulid, size AS cluster_size, canonical_ulid FROM comp JOIN head USING (cluster)")
 def _(x):
-    return resolve.dealer_clusters(x.entity, resolve.dealer_edges(x.entity)).select("entity_ulid", "cluster_size", "canonical_ulid")
+    return resolve.dealer_clusters(x.entity, resolve.dealer_links(x.entity)).select("entity_ulid", "cluster_size", "canonical_ulid")
 
 
 @Q("g7_fingerprints", "WITH i AS (SELECT DISTINCT entity_ulid, canonical_vehicle_ulid FROM inventory) SELECT entity_ulid, canonical_vehicle_ulid FROM i WHERE canonical_vehicle_ulid NOT IN (SELECT canonical_vehicle_ulid FROM i GROUP BY 1 HAVING count(*) >= 60)")

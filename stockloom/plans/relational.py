@@ -355,9 +355,9 @@ def _(x):
     return x.entity.join(x.attest.where("source_key = 'purchase'"), "entity_ulid", "left_semi").select("entity_ulid")
 
 
-@Q("j10_anti", "SELECT entity_ulid FROM entity e WHERE NOT EXISTS (SELECT 1 FROM vehicle v WHERE v.entity_ulid = e.entity_ulid)")
+@Q("j10_anti", "SELECT entity_ulid FROM entity e WHERE NOT EXISTS (SELECT 1 FROM attest t WHERE t.entity_ulid = e.entity_ulid AND t.source_key = 'purchase')")
 def _(x):
-    return x.entity.join(x.vehicle, "entity_ulid", "left_anti").select("entity_ulid")
+    return x.entity.join(x.attest.where("source_key = 'purchase'"), "entity_ulid", "left_anti").select("entity_ulid")
 
 
 @Q("j11_array_parameter", "SELECT e.cdp_code, h.w FROM entity e JOIN (VALUES ('01', 5), ('07', 9)) AS h(p, w) ON e.province_code = h.p")
@@ -403,9 +403,11 @@ def _(x):
     return blocking.token_subset(q, c, "province_code", "id", "t", "code")
 
 
-@Q("j17_unambiguous", "SELECT phone, min(entity_ulid) AS entity_ulid FROM entity WHERE phone IS NOT NULL GROUP BY phone HAVING count(DISTINCT entity_ulid) = 1 UNION ALL SELECT name, min(code) FROM municipality GROUP BY name HAVING count(DISTINCT code) = 1")
+@Q("j17_unambiguous", "SELECT key, min(entity_ulid) AS entity_ulid FROM (SELECT phone AS key, entity_ulid FROM entity UNION ALL SELECT cif, entity_ulid FROM entity) WHERE key IS NOT NULL GROUP BY key HAVING count(DISTINCT entity_ulid) = 1")
 def _(x):
-    return blocking.unambiguous(x.entity, "phone", "entity_ulid").unionByName(blocking.unambiguous(x.municipality.withColumnsRenamed({"name": "phone", "code": "entity_ulid"}), "phone", "entity_ulid"))
+    # phones are shared, tax numbers are not: both outcomes occur
+    keys = x.entity.select(F.explode(F.array("phone", "cif")).alias("key"), "entity_ulid")
+    return blocking.unambiguous(keys, "key", "entity_ulid")
 
 
 @Q("j18_three_tiers", f"WITH d AS (SELECT *, {_HOST.format(c='website')} AS host FROM entity WHERE n % 2 = 0), h AS (SELECT host, min(entity_ulid) AS u FROM d WHERE host IS NOT NULL GROUP BY 1), m AS (SELECT trade_name, municipality_code, min(entity_ulid) AS u FROM d GROUP BY 1, 2), p AS (SELECT trade_name, province_code, min(entity_ulid) AS u FROM d GROUP BY 1, 2), q AS (SELECT *, {_HOST.format(c='website')} AS host FROM entity WHERE n % 2 = 1) SELECT q.entity_ulid, coalesce(h.u, m.u, p.u) AS found, CASE WHEN h.u IS NOT NULL THEN 'host' WHEN m.u IS NOT NULL THEN 'name_muni' WHEN p.u IS NOT NULL THEN 'name_prov' END AS reason FROM q LEFT JOIN h USING (host) LEFT JOIN m ON q.trade_name = m.trade_name AND q.municipality_code = m.municipality_code LEFT JOIN p ON q.trade_name = p.trade_name AND q.province_code = p.province_code")

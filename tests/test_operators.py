@@ -92,3 +92,14 @@ def test_pages_and_ledger(spark):
     assert readers.migrate({}, [("a", "x")]) == ["a"]
     with pytest.raises(ValueError):
         readers.migrate({"a": "other"}, [("a", "x")])
+
+
+def test_star_links_have_the_components_of_all_pairs(spark):
+    rows = [("E1", "Talleres Norte", "28079", "600111222", None), ("E2", "TALLERES NORTE SL", "28079", None, "http://a.es"), ("E3", "Autos Lejanos", "28079", "600 111 222", None),
+            ("E4", "Talleres Norta", "28079", None, None), ("E5", "Talleres Norte", "08019", "600111222", None), ("E6", "Otra Casa", "28079", None, "www.a.es/stock"), ("E7", None, None, None, None)]
+    df = spark.createDataFrame(rows, "entity_ulid string, trade_name string, municipality_code string, phone string, website string")
+    of = lambda edges: {(r["node"], r["component"]) for r in components(edges.select("a", "b")).collect()}
+    found = of(resolve.dealer_links(df))
+    assert found == of(resolve.dealer_edges(df)) == {(f"E{i}", "E1") for i in (1, 2, 3, 4, 6)}
+    # the block cap counts rows, not distinct names
+    assert ("E4", "E1") not in of(resolve.dealer_links(df, most=3)) and of(resolve.dealer_links(df, most=3)) == of(resolve.dealer_edges(df, most=3))
