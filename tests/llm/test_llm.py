@@ -94,6 +94,17 @@ def test_repeated_paragraphs(docs):
     assert got == {(8, 0, 8, False), (9, 1, 8, True), (10, 1, 8, True)}
 
 
+def test_paragraphs_of_short_lines(spark):
+    short = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(3))
+    near = short.replace("w1x3", "other")
+    data = [(1, f"{PASSAGE}\n{short}", ""), (2, f"head\n\n{short}\n\ntail", ""), (3, near, ""), (4, "\n".join(f"same line {i % 2}" for i in range(40)), ""), (5, "a\n" * 30, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    found = paragraph_minhash.repeated_paragraphs(df)
+    assert {tuple(r)[:5] for r in found.collect()} == {(1, 1, 3, 1, 1), (2, 2, 4, 1, 1), (3, 0, 2, 1, 1)}
+    left = {r["doc_id"]: r["text"] for r in paragraph_minhash.without_repeats(df, found).collect()}
+    assert left[1] == data[0][1] and left[2] == "head\n\n\ntail" and left[3] == "" and left[4] == data[3][1]
+
+
 def test_line_windows(docs):
     got = {r["doc_id"]: r for r in line_windows.dedup_documents(docs).collect()}
     assert got[11]["text"] == "\nmore" and got[11]["removed_lines"] == 3 and got[8]["removed_lines"] == 0 and got[4]["text"] is None
