@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, Union, components, groups_of, in_chunks, narrow
+from .paragraph_minhash import similar
 
 SLICE = 256
 BLOCK = 1 << 15
@@ -145,3 +146,114 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> Da
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
     return kept if found.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty() else kept.distinct()
+
+
+def halves(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, fp and gp (two independent 64-bit SimHashes over the distinct shingles), h (hash of the shingle set), size (of the set) and
+    shingles (sorted distinct unsigned 32-bit hashes) for every document."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+
+        def one(text):
+            words = (text or "").encode("utf-8", "replace").lower().split()
+            if not words:
+                return 0, 0, 0, 0, b""
+            line, n = b" ".join(words), max(1, len(words) - width + 1)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            begins, stops = [0, *(ends[: n - 1] + 1).tolist()], ends[-n:].tolist()
+            h = np.unique(np.fromiter((digest(line[b:e], 42) for b, e in zip(begins, stops, strict=True)), np.uint64, n))
+            g = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+            g ^= g >> np.uint64(32)
+            both = []
+            for x in (h, g):
+                votes = sum(np.unpackbits(x[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(x), BLOCK))
+                both.append(int(np.packbits(2 * votes > len(x), bitorder="little").view(np.int64)[0]))
+            known = digest(h.tobytes(), 3)
+            return *both, known - (1 << 64) if known >> 63 else known, len(h), np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                cols = zip(*map(one, part.column(1).to_pylist()), strict=True)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "fp", "gp", "h", "size", "shingles"])
+
+    own = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return own.mapInArrow(run, "doc_id long, fp long, gp long, h long, size int, shingles binary")
+
+
+def wide_links(shards: DataFrame, threshold: float, radius: int, total: int) -> DataFrame:
+    """A spanning forest (a, b) over fp of the pairs inside each cell that differ in at most radius bits of the cell's half and total bits of
+    both, and whose set sizes allow the threshold.  At such a radius a BK-tree excludes next to nothing (unrelated
+    fingerprints differ in 32 +- 4 bits), so a cell is searched whole, in the order of the sizes."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for _, cell in groups_of(batches, ["c", "k", "i", "j"]):
+            if cell.num_rows < 2:
+                continue
+            fp, gp, size, role = (np.asarray(cell[c].combine_chunks()) for c in ("fp", "gp", "size", "role"))
+            order = np.argsort(size, kind="stable")
+            fp, gp, size, role = fp[order].view(np.uint64), gp[order].view(np.uint64), size[order], role[order]
+            half = fp if cell["c"][0].as_py() == 0 else gp
+            low, label, alone = np.searchsorted(size, np.ceil(threshold * size - 1e-9)), np.arange(len(fp)), cell["i"][0] == cell["j"][0]
+            step = max(1, min(256, (1 << 20) // len(fp)))
+            for at in range(0, len(fp), step):
+                lo, hi = int(low[at]), min(at + step, len(fp))
+                x, y = np.nonzero(np.bitwise_count(half[at:hi, None] ^ half[None, lo:hi]) <= radius)
+                x, y = x + at, y + lo
+                ok = (y < x) & (y >= low[x]) & (fp[x] != fp[y])
+                if not alone:
+                    ok &= role[x] != role[y]
+                x, y = x[ok], y[ok]
+                ok = np.bitwise_count(fp[x] ^ fp[y]) + np.bitwise_count(gp[x] ^ gp[y]) <= total
+                x, y = x[ok], y[ok]
+                while len(x := x[new := label[x] != label[y]]):  # hook larger labels to smaller ones until no pair is split
+                    y, up = y[new], np.arange(len(fp))
+                    np.minimum.at(up, np.maximum(label[x], label[y]), np.minimum(label[x], label[y]))
+                    while (up != up[up]).any():
+                        up = up[up]
+                    label = up[label]
+            own = np.flatnonzero(label != np.arange(len(fp)))
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(fp[n].view(np.int64)) for n in (own, label[own])], ["a", "b"])
+
+    keys = ["c", "k", "i", "j"]
+    return shards.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def drop_similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 12, total: int = 30, most: int = 1 << 16) -> DataFrame:
+    """One document of each group linked by Jaccard similarity of `threshold` or more between sets of `width`-word shingles: the
+    one with the smallest doc_id.  Candidates are found exactly within the radius of either of two fingerprints, and
+    every pair inside a candidate component is verified by its shingle sets.  Rows without a doc_id stay; rows
+    that repeat in every column count as one."""
+    tables = Tables(docs.sparkSession)
+    prints = tables.keep(halves(docs, width), "prints")
+    classes = prints.where("doc_id is not null and size > 0")
+    # smaller sets (below 4 shingles at 0.8) reach the threshold only when they are equal
+    points = tables.keep(classes.where(F.col("size") >= F.lit(threshold / (1 - threshold) - 1e-9)).select("fp", "gp", "size").distinct(), "points")
+    chosen = masks(radius + 2, radius)
+    at = F.explode(F.array(*(F.struct(F.lit(half).alias("c"), F.lit(m).alias("m"), F.lit(n).alias("n")) for half in (0, 1) for n, m in enumerate(chosen))))
+    shards = points.withColumn("e", at).select(F.col("e.c").alias("c"), F.expr("struct(e.n, case when e.c = 0 then fp else gp end & e.m)").alias("k"), "fp", "gp", "size")
+    # 24 bits of the key are shuffled: keys that meet in one cell cost time only
+    shards = shards.select("c", F.xxhash64("k").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("k"), "fp", "gp", "size")
+    near = components(wide_links(in_chunks(shards, ["c", "k"], "fp", most, tables), threshold, radius, total), tables)
+    # equal fingerprints are candidates too
+    of = classes.join(near, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("component"), "h", "shingles")
+    sets = of.groupBy("component", "h").agg(F.min("shingles").alias("shingles"))
+    several = of.groupBy("component").agg(F.min("h").alias("_x"), F.max("h").alias("_y")).where("_x <> _y").select(F.col("component").alias("_component"))
+    sets = tables.keep(sets.join(several, F.col("component") == F.col("_component"), "left_semi"), "sets")
+    linked = components(similar(sets, threshold, 1024, tables), tables)
+    found = prints.where("doc_id is not null").select("doc_id", "h").join(linked, F.col("h") == F.col("node"), "left").select("doc_id", F.coalesce("component", "h").alias("g"))
+    found = tables.keep(found, "found")
+    least = found.groupBy("g").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).where("_least <> _most").select(F.col("g").alias("_g"), "_least")
+    gone = found.join(least, F.col("g") == F.col("_g")).where("doc_id <> _least").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return kept if found.groupBy("doc_id").count().where("count > 1").isEmpty() else kept.distinct()

@@ -195,3 +195,20 @@ def test_pipeline_on_odd_rows(spark, docs):
         out = stage(spark, out, "")
         assert out.columns == list(corpus_pipeline.COLUMNS), name
     assert out.where("doc_id = 3").count() >= 1
+
+
+def test_near_copies_at_jaccard_08_go(spark):
+    rng = np.random.default_rng(3)
+    data, want = [], set()
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 100)]
+        other, far = list(words), list(words)
+        for at in (30, 70)[: 1 + i % 2]:  # Jaccard 91 / 101 and 86 / 106
+            other[at] = f"new{i}"
+        for at in (10, 30, 50, 70, 90):  # Jaccard below 0.8
+            far[at] = f"far{i}x{at}"
+        data += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(other)), (3 * i + 2, " ".join(far))]
+        want |= {3 * i, 3 * i + 2}
+    data += [(None, data[0][1]), (900, ""), (901, None)]
+    kept = {r["doc_id"] for r in simhash_bktree.drop_similar(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert kept >= want | {None, 900} and len(kept - want - {None, 900}) <= 2  # two fingerprints find about 97 % at 0.8
