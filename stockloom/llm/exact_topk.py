@@ -60,8 +60,11 @@ def best_of(q, q_pivots, q_id: int, x, x_ids, x_norms, bound_gap, k: int, step:
     order = np.argpartition(-upper, min(8 * step, n - 1))[: 8 * step] if n > 8 * step else np.arange(n)
     order = order[np.argsort(-upper[order], kind="stable")]
     while at < n:
-        if at == len(order):  # bounds beyond the first block are needed: order them all
-            order = np.argsort(-upper, kind="stable")
+        if at == len(order):  # bounds beyond the first block are needed: order those not yet evaluated
+            rest = np.ones(n, bool)
+            rest[order] = False
+            rest = np.flatnonzero(rest)
+            order = np.concatenate([order, rest[np.argsort(-upper[rest], kind="stable")]])
         if len(top) == k and upper[order[at]] < top[-1][0]:
             break
         some = order[at : at + size]

@@ -212,3 +212,14 @@ def test_near_copies_at_jaccard_08_go(spark):
     data += [(None, data[0][1]), (900, ""), (901, None)]
     kept = {r["doc_id"] for r in simhash_bktree.drop_similar(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert kept >= want | {None, 900} and len(kept - want - {None, 900}) <= 2  # two fingerprints find about 97 % at 0.8
+
+
+def test_tied_bounds_are_each_evaluated_once():
+    rng = np.random.default_rng(4)
+    x = np.vstack([np.full((1400, 8), 50.0), np.floor(20 * rng.standard_normal((2700, 8)))])
+    ids = rng.permutation(len(x))
+    q = np.full(8, 50.0)
+    upper_gap = np.zeros(len(x))
+    got = exact_topk.best_of(q, None, -1, x, ids, (x**2).sum(1), upper_gap, 5)
+    want = sorted(((int(a @ q), int(i)) for a, i in zip(x, ids, strict=True)), key=lambda t: (-t[0], t[1]))[:5]
+    assert got == want
