@@ -390,7 +390,7 @@ def _(x):
 def _(x):
     from ..functions.python_udfs import weighted_ratio
 
-    q = x.entity.where("n % 20 = 3").select("entity_ulid", "province_code", F.concat(F.lit("vila "), (F.col("n") % 8).cast("string")).alias("q"))
+    q = x.entity.select("entity_ulid", "province_code", F.concat(F.lit("vila "), (F.col("n") % 8).cast("string")).alias("q"))
     c = x.municipality.select("province_code", "code", N.geo_key(F.col("name")).alias("c"))
     scored = q.join(c, "province_code").withColumn("score", weighted_ratio("q", "c")).where("score >= 88")
     return scored.groupBy("entity_ulid").agg(F.max_by("code", F.struct("score", "code")).alias("code"), F.max("score").alias("score"))
@@ -460,8 +460,8 @@ def _(x):
 
 @Q("j25_attribution")
 def _(x):
-    listings = x.entity.where("n % 10 = 2").select("entity_ulid", "phone", F.col("trade_name").alias("seller"))
-    directory = x.entity.where("n % 10 = 1").select(F.col("n").alias("seq"), F.col("cdp_code").alias("dealer"), "phone", F.col("trade_name").alias("name"))
+    listings = x.entity.where("n % 2 = 0").select("entity_ulid", "phone", F.col("trade_name").alias("seller"))
+    directory = x.entity.where("n % 2 = 1").select(F.col("n").alias("seq"), F.col("cdp_code").alias("dealer"), "phone", F.col("trade_name").alias("name"))
     return geo.attribute_sellers(listings, directory, "entity_ulid")
 
 

@@ -103,3 +103,13 @@ def test_star_links_have_the_components_of_all_pairs(spark):
     assert found == of(resolve.dealer_edges(df)) == {(f"E{i}", "E1") for i in (1, 2, 3, 4, 6)}
     # the block cap counts rows, not distinct names
     assert ("E4", "E1") not in of(resolve.dealer_links(df, most=3)) and of(resolve.dealer_links(df, most=3)) == of(resolve.dealer_edges(df, most=3))
+
+
+def test_j15_and_j25_read_every_entity(spark):
+    from stockloom.plans import catalog
+    from stockloom.plans.fixtures import Inputs
+
+    entity = Inputs(spark, "/root/testdata/sf0.001").entity
+    assert catalog.QUERIES["j25_attribution"](spark, "/root/testdata/sf0.001").count() == entity.where("n % 2 = 0").count()
+    found = {r[0] for r in catalog.QUERIES["j15_fuzzy_names"](spark, "/root/testdata/sf0.001").select("entity_ulid").collect()}
+    assert found - {r[0] for r in entity.where("n % 20 = 3").select("entity_ulid").collect()}
