@@ -2,7 +2,7 @@
 
 Documents with equal texts are linked.  They start spread evenly over the shards; then every group asks, round by round, to move
 its documents to the open shard where most of their neighbours already are, and each shard grants moves, largest
-gain first, up to its quota.  Documents of one group in one shard are interchangeable, so a round joins and
+gain first, up to its quota.  Groups that are still cut then are laid whole in the room that is left; one stays cut only where no shard can hold it.  Documents of one group in one shard are interchangeable, so a round joins and
 aggregates cells (group, shard, documents), at most `shards` rows a group.  Documents without links fill the room
 that is left, so the row counts of any two shards differ by one at most (law `rows`).
 
@@ -46,6 +46,39 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int, tables: Tables)
     return cells
 
 
+def settle(cells: DataFrame, quotas: list[int], tables: Tables) -> DataFrame:
+    """Cells in which the groups that propagation left cut are laid side by side, in the order of the shards they wish for, in the
+    room that whole groups leave.  Only the groups across a shard's end (fewer than the shards) are dealt one
+    by one: to the shard with the least room that holds them, and in pieces only where none does."""
+    k = len(quotas)
+    per = cells.groupBy("g1", "g2").agg(F.sum("n").alias("n"), F.count("*").alias("pieces"), F.max_by("s", F.struct("n", "s")).alias("s"))
+    per = tables.keep(per, "per")
+    whole = per.where("pieces = 1").select("g1", "g2", "s", "n")
+    load = {r["s"]: r["n"] for r in whole.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    room = [q - load.get(s, 0) for s, q in enumerate(quotas)]
+    ends = [sum(room[: s + 1]) for s in range(k)]
+    cut = running_totals(per.where("pieces > 1"), [], ["s", "g1", "g2"], "n", tables)
+    shard_at = lambda c: F.coalesce(*(F.when(c < e, s) for s, e in enumerate(ends)), F.lit(k)).cast("int")
+    laid = tables.keep(cut.select("g1", "g2", "n", shard_at(F.col("start")).alias("s"), shard_at(F.col("start") + F.col("n") - 1).alias("e")), "laid")
+    inside = laid.where("s = e").select("g1", "g2", "s", "n")
+    for r in inside.groupBy("s").agg(F.sum("n").alias("n")).collect():
+        room[r["s"]] -= r["n"]
+    dealt = []
+    for r in sorted(laid.where("s <> e").collect(), key=lambda r: (-r["n"], r["g1"], r["g2"])):
+        left = r["n"]
+        while left:
+            s = min((s for s in range(k) if room[s] >= left), key=lambda s: (room[s], s), default=None)
+            s = max(range(k), key=lambda s: (room[s], -s)) if s is None else s
+            m = min(left, room[s])
+            dealt.append((r["g1"], r["g2"], s, m))
+            room[s] -= m
+            left -= m
+    out = whole.union(inside)
+    if dealt:
+        out = out.union(cells.sparkSession.createDataFrame(dealt, "g1 long, g2 int, s int, n long"))
+    return tables.keep(out, "settled")
+
+
 def shard(docs: DataFrame, shards: int = 24, rounds: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document."""
     tables = Tables(docs.sparkSession)
@@ -58,7 +91,7 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 16) -> DataFrame:
     same = (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2"))
     linked = tables.keep(running_totals(base.join(groups, same).select(*base.columns), [], ["g1", "g2", "doc_id"], F.lit(1), tables), "linked")
     cells = tables.keep(linked.groupBy("g1", "g2", F.pmod("start", F.lit(shards)).cast("int").alias("s")).agg(F.count("*").alias("n")), "cells")
-    cells = propagate(cells, quotas, rounds, tables)
+    cells = settle(propagate(cells, quotas, rounds, tables), quotas, tables)
     load = {r["s"]: r["n"] for r in cells.groupBy("s").agg(F.sum("n").alias("n")).collect()}
     # of each group: where its documents begin, and how many of them each shard takes, in shard order
     begin = linked.groupBy("g1", "g2").agg(F.min("start").alias("b"))

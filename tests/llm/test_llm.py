@@ -223,3 +223,14 @@ def test_tied_bounds_are_each_evaluated_once():
     got = exact_topk.best_of(q, None, -1, x, ids, (x**2).sum(1), upper_gap, 5)
     want = sorted(((int(a @ q), int(i)) for a, i in zip(x, ids, strict=True)), key=lambda t: (-t[0], t[1]))[:5]
     assert got == want
+
+
+def test_groups_stay_whole_where_there_is_room(spark):
+    data = [(20 * g + i, f"text {g}") for g in range(100) for i in range(20)] + [(5000 + i, f"free {i}") for i in range(100)]
+    out = sharding.shard(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    shards = defaultdict(set)
+    for r in out:
+        shards[r["doc_id"] // 20 if r["doc_id"] < 5000 else None].add(r["shard"])
+    sizes = Counter(r["shard"] for r in out).values()
+    assert len(out) == 2100 and max(sizes) - min(sizes) <= 1
+    assert sum(len(v) > 1 for g, v in shards.items() if g is not None) <= 23
