@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Tables:
     """Intermediate tables written to the shared folder: they cut lineage and outlive lost executors.
-    drop() removes those that no later plan reads."""
+    drop() removes those that no later plan reads, drop_all() what is left once a result has been written."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.at, self.paths, self.made = spark, f"{shared_dir(spark)}/stockloom-{uuid.uuid4().hex}", {}, 0
@@ -42,6 +42,17 @@ class Tables:
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(found[1])
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_all(self) -> None:
+        self.drop(*(t for t, _ in list(self.paths.values())))
+
+
+def spread_join(rows: DataFrame, of: DataFrame, on: Column, spread: Column, how: str = "inner", ways: int = 16) -> DataFrame:
+    """rows joined to `of` (at most one match a row) with every key of `rows` dealt over `ways` tasks by a hash of `spread`: a key
+    that holds a third of all rows never meets in one task, at the price of `ways` copies of the rows of `of`."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(ways)).cast("int"))
+    many = of.withColumn("_ways", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return salted.join(many, on & (F.col("_salt") == F.col("_ways")), how).drop("_salt", "_ways")
+
 
 def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """Connected components of edges (a, b) of any orderable type: rows (node, component), the component being its
