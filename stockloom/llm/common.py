@@ -1,15 +1,17 @@
-"""What the operators of this subpackage share: narrow reads, written intermediate tables, exact distributed
-prefix sums, connected components, and streaming over sorted groups."""
+"""What the operators of this subpackage share: narrow reads, exact distributed prefix sums, and streaming over sorted
+groups; written tables and connected components are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import Tables, components, shared_dir, spread_join
+
+__all__ = ["Tables", "Union", "bounded_batches", "components", "groups_of", "in_chunks", "narrow", "read_table", "running_totals", "shared_dir", "spread_join"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,40 +34,6 @@ def narrow(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).select(*(F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir).  Where none is set, a local session gets a temporary one."""
-    if where := spark.conf.get("spark.checkpoint.dir", None):
-        return where.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stockloom-"))
-    return sc.getCheckpointDir()
-
-
-class Tables:
-    """Intermediate tables written to the shared folder: they cut lineage and outlive lost executors.
-    drop() removes one that no later plan reads."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.at, self.paths, self.made = spark, f"{shared_dir(spark)}/stockloom-{uuid.uuid4().hex}", {}, 0
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self.made += 1
-        path = f"{self.at}/{name}-{self.made}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (out, path)
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            if found := self.paths.pop(id(t), None):
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(found[1])
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def running_totals(df: DataFrame, by: list[str], order: list[str], value: Column | str, tables: Tables) -> DataFrame:
     """df plus `start`: the exact sum of `value` over the rows before this one in its group, in the given order
     (which should be total).  Two levels: rows are range-partitioned by group and order, summed inside each range,
@@ -84,27 +52,6 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], value: Column
     return out.withColumn("start", F.col("_l") + F.coalesce("_c", F.lit(0))).select(*df.columns, "start")
 
 
-def components(edges: DataFrame, tables: Tables) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, component), the component being its smallest node; nodes
-    without an edge are not listed.  Alternates large-star and small-star steps until nothing changes: each keeps
-    at most one edge for each edge it reads.  Every step is an aggregate and a join, whose skew AQE can split."""
-    now = tables.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    old = mark(now)
-    while old[0]:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        new = tables.keep(small, "edges")
-        tables.drop(now)
-        now, was, old = new, old, mark(new)
-        if was == old:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
 def in_chunks(members: DataFrame, keys: list[str], id: str, most: int, tables: Tables) -> DataFrame:
     """Members of groups, dealt into cells (keys, i, j) of at most about 2 * `most` rows, so that every two members
     of a group meet in some cell: a group of k chunks has a cell for every pair of chunks i <= j.  role 0: chunk i,
