@@ -26,7 +26,7 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The letter runs, digits and punctuation runs that the vocabulary's pre-tokenizer cuts a text into are looked up in a bounded
-    cache.  Texts of Latin characters alone, for which lower-casing and cutting are known, are cut here at once; of others the Latin
+    cache.  Texts that are Latin characters alone once lower-cased, for which lower-casing and cutting are known, are cut here at once; of others the Latin
     chunks between spaces are, and the rest goes to the tokenizer."""
 
     def __init__(self, spec: str) -> None:
@@ -41,15 +41,16 @@ class Encoder:
         self.cut = re.compile(f"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[^ \\t-\\r{letters}{digits}]+|[{digits}]").findall
         self.plain = re.compile("[\t-\r\x20-\x7e\xa1-\u024f]*").fullmatch
         probe, pre = "It's 42 ÄÖ-ß.,x don't", self.tokenizer.pre_tokenizer
-        pieces = pre.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(probe)) if pre and self.tokenizer.normalizer else []
-        self.known_cut = len(pieces) == len(self.cut(probe.lower()))
+        known = self.tokenizer.normalizer.normalize_str(probe) if pre and self.tokenizer.normalizer else ""
+        self.known_cut = known != "" and [known[a:b] for _, (a, b) in pre.pre_tokenize_str(known)] == self.cut(probe.lower())
 
     @staticmethod
     def shared(spec: str) -> Encoder:
         """One encoder for all tasks that a Python worker runs, so its caches outlive a task."""
-        import tokenizers
+        import sys
+        import types
 
-        kept = tokenizers.__dict__.setdefault("_stockloom_encoders", {})
+        kept = sys.modules.setdefault("_stockloom_worker", types.ModuleType("_stockloom_worker")).__dict__.setdefault("encoders", {})
         if (key := hash(spec)) not in kept:
             kept.clear()
             kept[key] = Encoder(spec)
@@ -77,13 +78,13 @@ class Encoder:
 
         split = []
         for t in texts:
-            if self.known_cut and "<|" not in t and self.plain(t):
-                split.append(self.cut(t.lower()))
+            if self.known_cut and "<|" not in t and self.plain(low := t.lower()):
+                split.append(self.cut(low))
             else:  # a key that holds a space is a whole chunk for the tokenizer
                 pieces = []
                 for c in t.encode("utf-8", "replace").split():  # at ASCII white space
                     c = c.decode()
-                    pieces += self.cut(c.lower()) if self.known_cut and "<|" not in c and self.plain(c) else [" " + c]
+                    pieces += self.cut(low) if self.known_cut and "<|" not in c and self.plain(low := c.lower()) else [" " + c]
                 split.append(pieces)
         if len(self.words) > WORDS:
             self.words = {}
