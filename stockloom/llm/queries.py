@@ -84,10 +84,13 @@ deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN comp ON comp.a = vec_id LEFT JOIN deg ON deg.a = vec_id"""
 
-_OP10 = """WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings WHERE embedding IS NOT NULL),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+#: Rows are told apart by number, so rows that repeat a vec_id are candidates of each other.
+_OP10 = """WITH n AS (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings),
+v AS (SELECT row, vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM n
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.row AS row, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(coalesce(list_dot_product(q.e, c.e), 0) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 _OP6 = """WITH l AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS line, unnest(p) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
