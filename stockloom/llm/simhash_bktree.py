@@ -2,10 +2,11 @@
 
 Fingerprints: texts are lower-cased in A-Z, cut into words, and every 3-word shingle votes with its XXH64.  Equal
 fingerprints are collapsed first.  Two fingerprints that differ in at most r of 64 bits agree on some choice of m - r out
-of m blocks, so each fingerprint joins one shard for every such choice; a shard is a BK-tree (children keyed by their
-integer Hamming distance to the parent) whose search follows only edges within the radius.  Shards above
-`most` fingerprints are cut into chunks and each chunk's tree is sent to every other chunk, so a tree has a fixed bound
-whatever the input; a task emits a spanning forest of the links it finds, never all pairs.
+of m blocks, so each fingerprint joins one shard for every such choice.  The index is a BK-tree for every shard (children keyed by
+their integer Hamming distance to the parent), built once and written; a search follows only edges within the radius.  Shards above
+`most` fingerprints are cut into chunks with a tree each, and each tree is sent to the trees whose fingerprints search it.  A tree has
+a fixed bound whatever the input, but all trees together grow with it, so they are sent to where their shard's queries
+are and not broadcast to every task.  A task emits a spanning forest of the links it finds, never all pairs.
 
 Cases: null, empty and all-space texts have fingerprint zero and link with each other; null doc_ids keep their
 fingerprint, are never a representative, and get the component of their fingerprint; repeated rows stay rows; an empty table gives no rows."""
@@ -65,13 +66,16 @@ class BKTree:
         self.ids: list[int] = []
         self.children: list[dict[int, int]] = []
 
-    def add(self, value: int, id: int) -> None:
-        new, at = len(self.values), 0
+    def add(self, value: int, id: int) -> tuple[int, int]:
+        """Adds a node; its parent and its distance to it."""
+        new, at, up, d = len(self.values), 0, 0, 0
         self.values.append(value)
         self.ids.append(id)
         self.children.append({})
         while at != new:
-            at = self.children[at].setdefault((value ^ self.values[at]).bit_count(), new)
+            up, d = at, (value ^ self.values[at]).bit_count()
+            at = self.children[at].setdefault(d, new)
+        return up, d
 
     def within(self, value: int, radius: int) -> list[int]:
         found, todo = [], [0] if self.values else []
@@ -83,6 +87,27 @@ class BKTree:
             todo += [child for k, child in self.children[at].items() if d - radius <= k <= d + radius]
         return found
 
+    @staticmethod
+    def packed(values: list[int], ids: list[int]) -> bytes:
+        """A tree of the values as bytes: value, id, parent and distance to it of each node."""
+        import numpy as np
+
+        tree = BKTree()
+        ends = [tree.add(v, i) for v, i in zip(values, ids, strict=True)]
+        return np.array(values, np.uint64).tobytes() + np.array(ids, np.int64).tobytes() + np.array(ends, np.int32).tobytes()
+
+    @staticmethod
+    def opened(raw: bytes) -> BKTree:
+        import numpy as np
+
+        tree, n = BKTree(), len(raw) // 24
+        tree.values, tree.ids = np.frombuffer(raw, np.uint64, n).tolist(), np.frombuffer(raw, np.int64, n, 8 * n).tolist()
+        tree.children = [{} for _ in range(n)]
+        for at, (up, d) in enumerate(np.frombuffer(raw, np.int32, 2 * n, 16 * n).reshape(n, 2).tolist()):
+            if at:
+                tree.children[up][d] = at
+        return tree
+
 
 def masks(blocks: int, radius: int) -> list[int]:
     """Bit masks, as signed longs, of every choice of blocks - radius blocks."""
@@ -102,29 +127,53 @@ def blocks_for(n: int, radius: int, aim: int = 256) -> int:
     return blocks
 
 
-def shard_links(shards: DataFrame, radius: int) -> DataFrame:
-    """A spanning forest (a, b) of the links inside each shard cell."""
+def shard_trees(shards: DataFrame) -> DataFrame:
+    """c, k, i, size and tree of every shard (c, k), or of every chunk i of one, that has more than one fingerprint."""
 
     def run(batches):
         import pyarrow as pa
 
-        for _, cell in groups_of(batches, ["c", "k", "i", "j"]):
-            if cell.num_rows < 2:
-                continue
-            tree, found = BKTree(), Union()
-            alone = cell["i"][0] == cell["j"][0]
-            for fp, id, role in zip(cell["fp"].to_pylist(), cell["id"].to_pylist(), cell["role"].to_pylist(), strict=True):
-                fp &= (1 << 64) - 1
-                if alone or role == 1:
-                    for other in tree.within(fp, radius):
+        for (c, k, i, many), shard in groups_of(batches, ["c", "k", "i", "many"]):
+            if many > 1 or shard.num_rows > 1:
+                tree = BKTree.packed([v & (1 << 64) - 1 for v in shard["fp"].to_pylist()], shard["id"].to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([k], pa.int64()), pa.array([i], pa.int32()), pa.array([many], pa.int32()), pa.array([tree], pa.binary())], ["c", "k", "i", "many", "tree"])
+
+    keys = ["c", "k", "i", "many"]
+    return shards.repartition("c", "k", "i").sortWithinPartitions(*keys, "id").mapInArrow(run, "c int, k long, i int, many int, tree binary")
+
+
+def tree_links(trees: DataFrame, radius: int) -> DataFrame:
+    """A spanning forest (a, b) of the links inside each shard.  The fingerprints of a tree search that tree; where a shard has several,
+    tree i is sent to every tree j > i, whose fingerprints search it."""
+
+    def own(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                tree, found = BKTree.opened(raw), Union()
+                for value, id in zip(tree.values, tree.ids, strict=True):
+                    for other in tree.within(value, radius):
                         found.join(id, other)
-                if role == 0:
-                    tree.add(fp, id)
-            if links := found.links():
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+                if links := found.links():
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
-    keys = ["c", "k", "i", "j"]
-    return shards.repartition(*keys).sortWithinPartitions(*keys, "role", "id").mapInArrow(run, "a long, b long")
+    def sent(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tree, asks, found = BKTree.opened(one), BKTree.opened(two), Union()
+                for value, id in zip(asks.values, asks.ids, strict=True):
+                    for other in tree.within(value, radius):
+                        found.join(id, other)
+                if links := found.links():
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+
+    several = trees.where("many > 1")
+    to = several.select("c", "k", F.col("i").alias("_i"), F.col("tree").alias("_tree"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("i")).where("i < _i")
+    cells = several.join(to, ["c", "k", "i"]).select("tree", F.col("_tree").alias("asks"))
+    return trees.select("tree").mapInArrow(own, "a long, b long").union(cells.mapInArrow(sent, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, most: int = 1024, width: int = 3) -> DataFrame:
@@ -134,22 +183,17 @@ def near_duplicates(docs: DataFrame, radius: int = 3, most: int = 1024, width: i
     classes = tables.keep(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
     chosen = masks(blocks_for(classes.count(), radius), radius)
     shards = classes.withColumn("e", F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(chosen))))).select("e.c", "e.k", "fp", "id")
-    found = components(shard_links(in_chunks(shards, ["c", "k"], "id", most, tables), radius), tables)
+    sizes = shards.groupBy("c", "k").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    big = tables.keep(sizes.select(F.col("c").alias("_c"), F.col("k").alias("_k"), F.ceil(F.col("_n") / most).cast("int").alias("_many")), "big")
+    shards = shards.join(big, (F.col("c") == F.col("_c")) & (F.col("k") == F.col("_k")), "left").withColumn("many", F.coalesce("_many", F.lit(1)))
+    trees = tables.keep(shard_trees(shards.withColumn("i", F.pmod(F.xxhash64("id"), F.col("many")).cast("int")).select("c", "k", "i", "many", "fp", "id")), "trees")
+    found = components(tree_links(trees, radius), tables)
     of = classes.join(found, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
     return prints.join(of, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """The documents of which one of each group stays: the one with the smallest doc_id.  Rows without a doc_id stay;
-    rows that repeat in every column count as one."""
-    found = Tables(docs.sparkSession).keep(near_duplicates(docs, radius, width=width), "found")
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    return kept if found.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty() else kept.distinct()
-
-
 def halves(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, fp and gp (two independent 64-bit SimHashes over the distinct shingles), h (hash of the shingle set), size (of the set) and
+    """doc_id, row (hash of the text), fp and gp (two independent 64-bit SimHashes over the distinct shingles), h (hash of the shingle set), size (of the set) and
     shingles (sorted distinct unsigned 32-bit hashes) for every document."""
 
     def run(batches):
@@ -179,12 +223,12 @@ def halves(docs: DataFrame, width: int = 5) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                cols = zip(*map(one, part.column(1).to_pylist()), strict=True)
+                cols = zip(*map(one, part.column(2).to_pylist()), strict=True)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "fp", "gp", "h", "size", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "row", "fp", "gp", "h", "size", "shingles"])
 
-    own = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return own.mapInArrow(run, "doc_id long, fp long, gp long, h long, size int, shingles binary")
+    own = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("row"), "text")
+    return own.mapInArrow(run, "doc_id long, row long, fp long, gp long, h long, size int, shingles binary")
 
 
 def wide_links(shards: DataFrame, threshold: float, radius: int, total: int) -> DataFrame:
@@ -231,7 +275,7 @@ def wide_links(shards: DataFrame, threshold: float, radius: int, total: int) ->
 
 def drop_similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 12, total: int = 30, most: int = 1 << 16) -> DataFrame:
     """One document of each group linked by Jaccard similarity of `threshold` or more between sets of `width`-word shingles: the
-    one with the smallest doc_id.  Candidates are found exactly within the radius of either of two fingerprints, and
+    one with the smallest doc_id (of rows that repeat it, a hash of the text decides).  Candidates are found exactly within the radius of either of two fingerprints, and
     every pair inside a candidate component is verified by its shingle sets.  Rows without a doc_id stay; rows
     that repeat in every column count as one."""
     tables = Tables(docs.sparkSession)
@@ -251,9 +295,10 @@ def drop_similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius
     several = of.groupBy("component").agg(F.min("h").alias("_x"), F.max("h").alias("_y")).where("_x <> _y").select(F.col("component").alias("_component"))
     sets = tables.keep(sets.join(several, F.col("component") == F.col("_component"), "left_semi"), "sets")
     linked = components(similar(sets, threshold, 1024, tables), tables)
-    found = prints.where("doc_id is not null").select("doc_id", "h").join(linked, F.col("h") == F.col("node"), "left").select("doc_id", F.coalesce("component", "h").alias("g"))
+    found = prints.where("doc_id is not null").select("doc_id", "row", "h").join(linked, F.col("h") == F.col("node"), "left").select("doc_id", "row", F.coalesce("component", "h").alias("g"))
     found = tables.keep(found, "found")
-    least = found.groupBy("g").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).where("_least <> _most").select(F.col("g").alias("_g"), "_least")
-    gone = found.join(least, F.col("g") == F.col("_g")).where("doc_id <> _least").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    return kept if found.groupBy("doc_id").count().where("count > 1").isEmpty() else kept.distinct()
+    place = F.struct("doc_id", "row")
+    least = found.groupBy("g").agg(F.min(place).alias("_least"), F.max(place).alias("_most")).where("_least <> _most").select(F.col("g").alias("_g"), "_least")
+    gone = found.join(least, F.col("g") == F.col("_g")).where(place != F.col("_least")).select(F.col("doc_id").alias("_gone"), F.col("row").alias("_row")).distinct()
+    kept = docs.join(gone, (docs["doc_id"] == F.col("_gone")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("_row")), "left_anti")
+    return kept if found.groupBy("doc_id", "row").count().where("count > 1").isEmpty() else kept.distinct()
