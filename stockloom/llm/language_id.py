@@ -12,6 +12,7 @@ an empty table gives no rows; extra columns are not read."""
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from .common import narrow
 
 DIM = 4096
 PER_LANG = 300
-#: Language family by ISO 639-1 code; another code is a family of its own.
+#: Language family by ISO 639-1 code, the first subtag of a language tag; another code is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nl nn no sv yi",
     "romance": "ca es fr gl it la oc pt ro",
@@ -102,7 +103,7 @@ class Model:
     def __init__(self, langs: list[str], x, y) -> None:
         import numpy as np
 
-        family = {lang: FAMILY.get(lang.lower()[:2], lang) for lang in langs}
+        family = {lang: FAMILY.get(re.split("[-_]", lang.lower())[0], lang) for lang in langs}
         self.families = sorted(set(family.values()))
         self.members = [[lang for lang in langs if family[lang] == f] for f in self.families]
         y = np.asarray(y)
@@ -147,13 +148,18 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
 
     def run(batches):
         import pyarrow as pa
+        import zstandard
 
+        squeeze = zstandard.ZstdCompressor(level=3).compress  # most features of a text are zero
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 xs = [features(t) for t in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([None if x is None else x.astype(np.float16).tobytes() for x in xs], pa.binary())], ["lang", "h", "doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([None if x is None else squeeze(x.astype(np.float16).tobytes()) for x in xs], pa.binary())], ["lang", "h", "doc_id", "x"])
 
+    import zstandard
+
+    restore = zstandard.ZstdDecompressor().decompress
     got = sorted((r["lang"], r["h"], r["doc_id"], bytes(r["x"])) for r in drawn.mapInArrow(run, "lang string, h long, doc_id long, x binary").where("x is not null").collect())
     taken, kept = {}, []
     for lang, _, _, x in got:
@@ -162,7 +168,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
             kept.append((lang, x))
     if not kept:
         return None
-    return Model(sorted(taken), np.array([np.frombuffer(x, np.float16) for _, x in kept]).astype(np.float32), [lang for lang, _ in kept])
+    return Model(sorted(taken), np.array([np.frombuffer(restore(x), np.float16) for _, x in kept]).astype(np.float32), [lang for lang, _ in kept])
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:

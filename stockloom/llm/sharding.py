@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, narrow, running_totals
+from .common import Tables, narrow, running_totals, spread_join
 
 
 def propagate(cells: DataFrame, quotas: list[int], rounds: int, tables: Tables) -> DataFrame:
@@ -89,7 +89,7 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 16) -> DataFrame:
     groups = base.where("g1 is not null").groupBy("g1", "g2").agg(F.count("*").alias("c")).where("c > 1")
     groups = tables.keep(groups.select(F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), "c"), "groups")
     same = (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2"))
-    linked = tables.keep(running_totals(base.join(groups, same).select(*base.columns), [], ["g1", "g2", "doc_id"], F.lit(1), tables), "linked")
+    linked = tables.keep(running_totals(spread_join(base, groups, same, F.col("doc_id")).select(*base.columns), [], ["g1", "g2", "doc_id"], F.lit(1), tables), "linked")
     cells = tables.keep(linked.groupBy("g1", "g2", F.pmod("start", F.lit(shards)).cast("int").alias("s")).agg(F.count("*").alias("n")), "cells")
     cells = settle(propagate(cells, quotas, rounds, tables), quotas, tables)
     load = {r["s"]: r["n"] for r in cells.groupBy("s").agg(F.sum("n").alias("n")).collect()}
@@ -98,8 +98,8 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 16) -> DataFrame:
     upto = F.sum("n").over(Window.partitionBy("g1", "g2").orderBy("s"))
     spans = cells.withColumn("e", upto).groupBy("g1", "g2").agg(F.array_sort(F.collect_list(F.struct("e", "s"))).alias("spans"))
     at = spans.join(begin, ["g1", "g2"]).select(F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), "b", "spans")
-    put = linked.join(at, same).select("doc_id", "size", "text_crc32", F.filter("spans", lambda x: x["e"] > F.col("start") - F.col("b"))[0]["s"].alias("shard"))
-    free = running_totals(base.join(groups, same, "left_anti"), [], ["text_crc32", "doc_id"], F.lit(1), tables)
+    put = spread_join(linked, at, same, F.col("start")).select("doc_id", "size", "text_crc32", F.filter("spans", lambda x: x["e"] > F.col("start") - F.col("b"))[0]["s"].alias("shard"))
+    free = running_totals(spread_join(base, groups, same, F.col("doc_id"), "left_anti"), [], ["text_crc32", "doc_id"], F.lit(1), tables)
     ends, total = [], 0
     for s in range(shards):
         total += quotas[s] - load.get(s, 0)

@@ -93,8 +93,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...], block: int, slots: int, se
     import numpy as np
 
     spark = docs.sparkSession
-    sized = narrow(docs, "doc_id", "text", "source").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    placed = tables.keep(running_totals(sized, ["source"], ["doc_id", "size"], "size", tables), "placed")
+    sized = narrow(docs, "doc_id", "text", "source").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("row"))
+    placed = tables.keep(running_totals(sized, ["source"], ["doc_id", "size", "row"], "size", tables), "placed")
     found = sorted(((r["source"], r["n"] or 0) for r in placed.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))
     weight = [weights[i % len(weights)] for i in range(len(found))]
     goal = targets([n for _, n in found], weight)
@@ -118,7 +118,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...], block: int, slots: int, se
     numbered = running_totals(drawn, ["s"], ["shard"], "n", tables).select("s", "shard", "start", "n")
     more = [(i, shards, got.get(i, 0), s.slots - got.get(i, 0)) for i, s in enumerate(sources) if s.slots > got.get(i, 0)]
     numbered = numbered.union(spark.createDataFrame(more, "s int, shard long, start long, n long"))
-    asked = numbered.select("s", "shard", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("k"))
+    # dealt anew before the slots are made, about 50,000 a task, for a small table of shards makes many of them
+    asked = numbered.repartition(max(1, -(-total // 50_000)), "shard", "s").select("s", "shard", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("k"))
 
     def fill(batches):
         import pyarrow as pa
@@ -165,15 +166,19 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), blo
     between them).  n_chars is counted anew."""
     tables = Tables(docs.sparkSession)
     placed, filled, _ = plan(docs, weights, block, slots, seed, tables)
-    took = pieces(placed, filled, block).groupBy("doc_id", "size", "epoch", "start", "s").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"))
-    own = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    if placed.groupBy("doc_id").count().where("count > 1").isEmpty():
+    took = pieces(placed, filled, block).groupBy("s", "start", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"))
+    of = placed.where("size > 0").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("source").alias("_source"), F.col("s").alias("_s"), F.col("start").alias("_start"), F.col("size").alias("_size"))
+    took = took.join(of, (F.col("s") == F.col("_s")) & (F.col("start") == F.col("_start")))
+    # a document's columns travel as one struct, so that none of its names can clash
+    own = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_text"), F.col("source").alias("_of"))
+    if placed.groupBy("doc_id", "row", "source").count().where("count > 1").isEmpty():
         own, nth = own.withColumn("_nth", F.lit(1)), F.lit(1)
-    else:  # rows that repeat a doc_id: the n-th row of a doc_id and size goes with the n-th place
-        own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy(F.xxhash64("text"))))
-        nth = F.row_number().over(Window.partitionBy("doc_id", "size", "epoch").orderBy("s", "start"))
-    took = took.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "parts", nth.alias("_at"))
-    out = own.join(took, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")) & (F.col("_nth") == F.col("_at")))
+    else:  # rows alike in doc_id, text and source: the n-th goes with the n-th place
+        own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_own", "_text", "_of").orderBy(F.xxhash64("_doc"))))
+        nth = F.row_number().over(Window.partitionBy("_id", "_row", "_source", "epoch").orderBy("_start"))
+    took = took.select("_id", "_row", "_source", "_size", "parts", nth.alias("_at"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_row")) & F.col("_of").eqNullSafe(F.col("_source")) & (F.col("_nth") == F.col("_at"))
+    out = own.join(took, same).select("_doc.*", "parts", "_size")
     columns = docs.columns
 
     def run(batches):
@@ -202,5 +207,5 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), blo
                 yield pa.RecordBatch.from_arrays(cols, columns)
 
     kinds = ", ".join(f"`{f.name}` {'long' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
-    return out.select(*columns, "parts", "_size").mapInArrow(run, kinds)
+    return out.mapInArrow(run, kinds)
 

@@ -90,19 +90,56 @@ def test_permutation(n):
 
 
 def test_repeated_paragraphs(docs):
-    got = {(r["doc_id"], r["line"], r["first_doc_id"], r["removed"]) for r in paragraph_minhash.repeated_paragraphs(docs).collect()}
-    assert got == {(8, 0, 8, False), (9, 1, 8, True), (10, 1, 8, True)}
+    """A near copy of a 60-word line, and the line again, each in a text of its own; a word repeated 30,000 times is one long line."""
+    got = defaultdict(list)
+    for r in paragraph_minhash.repeated_paragraphs(docs).collect():
+        got[r["doc_id"]].append((r["first_word"], r["last_word"], r["first_doc_id"], r["removed"]))
+    assert set(got) == {8, 9, 10}
+    assert got[8] == [(0, 59, 8, False)] and got[9] == [(1, 60, 8, True)] and got[10] == [(1, 60, 8, True)]
 
 
 def test_paragraphs_of_short_lines(spark):
     short = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(3))
     near = short.replace("w1x3", "other")
-    data = [(1, f"{PASSAGE}\n{short}", ""), (2, f"head\n\n{short}\n\ntail", ""), (3, near, ""), (4, "\n".join(f"same line {i % 2}" for i in range(40)), ""), (5, "a\n" * 30, "")]
+    data = [(1, f"{PASSAGE}\n{short}", ""), (2, f"head\n\n{short}\n\ntail", ""), (3, near, ""), (4, "\n".join(f"same line {i % 2}" for i in range(40)), ""), (5, "a\n" * 30, ""), (None, short, ""), (6, None, "")]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string")
     found = paragraph_minhash.repeated_paragraphs(df)
-    assert {tuple(r)[:5] for r in found.collect()} == {(1, 1, 3, 1, 1), (2, 2, 4, 1, 1), (3, 0, 2, 1, 1)}
+    assert {(r["doc_id"], r["first_word"], r["last_word"], r["removed"]) for r in found.collect()} == {(1, 60, 119, False), (2, 1, 60, True), (3, 0, 59, True)}
     left = {r["doc_id"]: r["text"] for r in paragraph_minhash.without_repeats(df, found).collect()}
-    assert left[1] == data[0][1] and left[2] == "head\n\n\ntail" and left[3] == "" and left[4] == data[3][1]
+    assert left[1] == data[0][1] and left[2] == "head\n\n\n\ntail" and left[3] == "" and left[4] == data[3][1] and left[6] is None
+
+
+@pytest.mark.parametrize("style", ["own line", "short lines", "inside a line"])
+def test_planted_passages_are_found(spark, style):
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 10**7, n)]
+    data, planted = [], set()
+    for p in range(40):
+        passage = words(int(rng.integers(51, 71)))
+        for c in range(2):
+            body = [words(int(rng.integers(8, 90))) for _ in range(5)]
+            at = int(rng.integers(0, 4))
+            if style == "own line":
+                body.insert(at, passage)
+            elif style == "short lines":
+                body[at:at] = [passage[k : k + 11] for k in range(0, len(passage), 11)]
+            else:
+                cut = int(rng.integers(0, len(body[at])))
+                body[at] = body[at][:cut] + passage + body[at][cut:]
+            planted.add(2 * p + c)
+            data.append((2 * p + c, "\n".join(map(" ".join, body))))
+    data += [(1000 + i, "\n".join(" ".join(words(30)) for _ in range(5)) + "\nThe same short line at the end of all of them.") for i in range(40)]
+    found = {r["doc_id"] for r in paragraph_minhash.repeated_paragraphs(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert found <= planted and len(found) >= 0.9 * len(planted)
+
+
+def test_hot_passage_and_rows_that_share_a_doc_id(spark):
+    """A third of the rows hold one passage; two different texts share a doc_id; a text repeats under its own doc_id."""
+    tail = lambda i: " ".join(f"t{i}x{j}" for j in range(30))
+    data = [(i, f"{PASSAGE} {tail(i)}") for i in range(100)] + [(i, tail(i)) for i in range(200, 400)] + [(7, f"other {PASSAGE}"), (5, f"{PASSAGE} {tail(5)}")]
+    found = paragraph_minhash.repeated_paragraphs(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == set(range(100)) and len(found) == 101
+    assert [r["doc_id"] for r in found if not r["removed"]] == [0]
 
 
 def test_line_windows(docs):
@@ -141,19 +178,28 @@ def test_shard_masks_cover_every_pair_within_the_radius():
 
 
 def test_packing(docs):
+    """The pieces of every document, in order, are the tokenizer's ids and the end id, and nothing else."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    seqs, total = defaultdict(list), 0
+    seqs, texts = defaultdict(list), defaultdict(list)
     for r in hilbert_packing.pack(docs, tokenizer_path()).collect():
         seqs[r["sequence_id"]].append((r["offset"], r["length"]))
-        total += r["length"]
-        assert zlib.crc32(r["ids"]) == r["ids_crc32"]
+        texts[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist(), r["doc_tokens"]))
+        assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
     for v in seqs.values():
         v.sort()
         n = sum(b for _, b in v)
         assert v[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(v, v[1:], strict=False)) and (n == 2048 or n & (n - 1) == 0)
-    assert total == sum(len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows())
+    want = defaultdict(list)
+    for r in rows():
+        want[r[0]].append([*t.encode(r[1] or "", add_special_tokens=False).ids, 1])
+    for i, ids in want.items():
+        got = sorted(texts[i], key=lambda p: p[0])
+        if len(ids) == 1:
+            assert sum((p[1] for p in got), []) == ids[0] and {p[2] for p in got} == {len(ids[0])}
+        else:  # rows that repeat the doc_id and the text
+            assert sum(len(p[1]) for p in got) == sum(map(len, ids))
 
 
 def test_encoder_equals_the_tokenizer():
@@ -166,6 +212,18 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_equals_the_tokenizer_for_every_character():
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = f.read()
+    t, e = Tokenizer.from_str(spec), hilbert_packing.Encoder(spec)
+    texts = [f"a{chr(c)}b {chr(c)} x{chr(c)}" for c in range(0x21, 0x3000)]
+    assert e.known_cut
+    for text, got, want in zip(texts, e.encode(texts), t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((30, 16))
@@ -214,15 +272,37 @@ def test_near_copies_at_jaccard_08_go(spark):
     assert kept >= want | {None, 900} and len(kept - want - {None, 900}) <= 2  # two fingerprints find about 97 % at 0.8
 
 
-def test_tied_bounds_are_each_evaluated_once():
-    rng = np.random.default_rng(4)
-    x = np.vstack([np.full((1400, 8), 50.0), np.floor(20 * rng.standard_normal((2700, 8)))])
-    ids = rng.permutation(len(x))
-    q = np.full(8, 50.0)
-    upper_gap = np.zeros(len(x))
-    got = exact_topk.best_of(q, None, -1, x, ids, (x**2).sum(1), upper_gap, 5)
-    want = sorted(((int(a @ q), int(i)) for a, i in zip(x, ids, strict=True)), key=lambda t: (-t[0], t[1]))[:5]
-    assert got == want
+@pytest.mark.parametrize("scale", [256.0, 1e9])
+def test_top_k_by_brute_force(spark, scale):
+    """Clusters, 300 equal vectors, repeated ids, empty and zero vectors, scores beyond a long; blocks of 64 rows."""
+    rng = np.random.default_rng(0)
+    x = np.concatenate([c + 0.05 * rng.standard_normal((40, 16)) for c in 3 * rng.standard_normal((20, 16))])
+    x = np.concatenate([x, np.repeat(x[:1], 300, 0)])
+    data = [(i % 1000, [float(v) for v in r]) for i, r in enumerate(x)] + [(50, []), (7, [0.0] * 16), (100, [float("nan")] * 16), (None, [1.0]), (150, None), (200, [1.0, None])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    own = [(i, [int(np.floor(scale * v)) for v in e] + [0] * (16 - len(e))) for i, e in data if i is not None and e is not None and None not in e and not np.isnan(e).any()]
+    m, want = np.array([e for _, e in own], dtype=object), []
+    for at, (i, e) in enumerate(own):
+        if i % 50 == 0:
+            scores = m @ np.array(e, dtype=object)
+            best = sorted((-min(2**63 - 1, max(-(2**63), int(s))), own[j][0]) for j, s in enumerate(scores) if j != at)[:5]
+            want += [(i, n + 1, v, -s) for n, (s, v) in enumerate(best)]
+    got = exact_topk.top_k(df, F.col("vec_id") % 50 == 0, scale=scale, block=64, queries=8, group=16, pivots=24).collect()
+    key = lambda r: (r[0], -r[3], r[2])
+    assert sorted(((r[0], r[2], r[3]) for r in map(tuple, got))) == sorted((r[0], r[2], r[3]) for r in want) and sorted(Counter(r["rank"] for r in got).items()) == sorted(Counter(r[1] for r in want).items()), key
+    if scale == 256.0:  # most blocks are never sent to a query
+        sent = exact_topk.search(df, F.col("vec_id") % 50 == 0, 5, scale, 24, 2048, 64, 8, 16, 5)[1]
+        assert sent.count() < 0.7 * sent.select("query").distinct().count() * (len(own) / 64)
+
+
+def test_packed_trees_are_the_same_trees():
+    rng = np.random.default_rng(2)
+    values = [int(v) for v in rng.integers(0, 1 << 63, 200, np.uint64)]
+    tree = simhash_bktree.BKTree()
+    for i, v in enumerate(values):
+        tree.add(v, i)
+    other = simhash_bktree.BKTree.opened(simhash_bktree.BKTree.packed(values, list(range(200))))
+    assert other.children == tree.children and other.values == values and all(sorted(other.within(v, 20)) == sorted(tree.within(v, 20)) for v in values)
 
 
 def test_groups_stay_whole_where_there_is_room(spark):
