@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that a task of the first step of components() reads, and nodes that it holds.
+EDGES, NODES = 100_000, 1_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir).  Where none is set, a local session gets a temporary one."""
@@ -54,10 +57,46 @@ def spread_join(rows: DataFrame, of: DataFrame, on: Column, spread: Column, how:
     return salted.join(many, on & (F.col("_salt") == F.col("_ways")), how).drop("_salt", "_ways")
 
 
+def forests(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components: of the edges that a task holds, a spanning forest whose roots are the smallest nodes.
+    At most `NODES` nodes are held at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        up, kinds = {}, None
+
+        def root(x):
+            r = x
+            while (p := up.get(r, r)) != r:
+                r = p
+            while (p := up.get(x, x)) != r:
+                up[x], x = r, p
+            return r
+
+        def links():
+            found = [(x, r) for x in up if (r := root(x)) != x]
+            up.clear()
+            return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["a", "b"])] if found else []
+
+        for batch in batches:
+            kinds = batch.schema.types
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) > NODES:
+                yield from links()
+        yield from links()
+
+    return edges.select("a", "b").mapInArrow(run, edges.select("a", "b").schema)
+
+
 def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """Connected components of edges (a, b) of any orderable type: rows (node, component), the component being its
-    smallest node; nodes without an edge are not listed.  Alternates large-star and small-star steps until nothing
-    changes; each keeps at most one edge for each edge it reads, and AQE can split a hub's rows."""
+    smallest node; nodes without an edge are not listed.  First every `EDGES` edges, dealt at random, become a spanning forest, so a dense
+    group costs few edges a task.  Then large-star and small-star steps alternate until nothing changes; each keeps at most
+    one edge for each edge it reads, and AQE can split a hub's rows."""
     tables = tables or Tables(edges.sparkSession)
 
     def keep(e: DataFrame) -> tuple[DataFrame, tuple]:
@@ -66,7 +105,10 @@ def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
         out = tables.keep(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
         return out, (seen.get["n"], seen.get["sum"])
 
-    now, old = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    raw, (n, _) = keep(edges.where("a <> b").select("a", "b"))
+    some = forests(raw.repartition(max(1, -(-n // EDGES))))
+    now, old = keep(some.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    tables.drop(raw)
     while old[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
