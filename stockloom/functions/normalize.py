@@ -17,9 +17,11 @@ ACCENTED = "".join(c for c, f in _FOLDS.items() if len(f) == 1)
 PLAIN = "".join(f for f in _FOLDS.values() if len(f) == 1)
 DROPPED = "".join(c for c, f in _FOLDS.items() if not f)
 #: Legal-form suffixes, longest first where one ends another.
-LEGAL_SUFFIXES = ("sociedadlimitada", "sociedadanonima", "slu", "sll", "slp", "sau", "sal", "scp", "coop", "sl", "sa", "sc", "cb")
-#: Resize suffixes at the end of a photo address.
-PHOTO_SUFFIX = r"[-_/](?:\d{2,4}x\d{2,4}|w\d{2,4}|h\d{2,4}|thumb|small|medium|large)(\.[a-z]{3,4})?$"
+LEGAL_SUFFIXES = ("sociedadlimitadaunipersonal", "sociedadanonima", "sociedadlimitada", "scoop", "scp", "slu", "sau", "sll", "sl", "sa")
+#: Legal tokens between words.
+LEGAL_TOKENS = r"\b(s\s?l\s?u?|s\s?a\s?u?|s\s?c\s?p?|sociedad limitada|sociedad anonima)\b"
+#: Resize suffixes at the very end of a photo address.
+PHOTO_SUFFIX = r"[/_-](?:thumb|thumbnail|small|medium|large|\d+x\d+|\d+w)$"
 BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 FUELS = {"gasolina": "petrol", "diesel": "diesel", "diésel": "diesel", "electrico": "electric", "eléctrico": "electric", "hibrido": "hybrid", "híbrido": "hybrid", "glp": "lpg"}
 
@@ -42,8 +44,8 @@ def name_key(c: Column) -> Column:
 
 def name_key_words(c: Column) -> Column:
     """legal tokens go anywhere on word boundaries, then spaces go."""
-    spaced = F.regexp_replace(fold(c), "[^a-z0-9 ]", " ")
-    return F.regexp_replace(F.regexp_replace(spaced, r"\b(?:s l u|s l|s a|slu|sl|sau|sa|sc|cb)\b", ""), " +", "")
+    spaced = F.regexp_replace(fold(c), "[^a-z0-9 ]+", " ")
+    return F.regexp_replace(F.regexp_replace(spaced, LEGAL_TOKENS, " "), " +", "")
 
 
 def digits(c: Column) -> Column:
@@ -67,15 +69,16 @@ def host(c: Column) -> Column:
 
 
 def bare_host(c: Column) -> Column:
-    """F8: the host, only where no path follows."""
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "^[a-z]+://", ""), r"^www\.", ""), "/$", "")
-    return F.when(rest.rlike("^[^/?#]+$"), rest)
+    """F8: the host, only where no path follows; a query or a fragment does not count."""
+    rest = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "^https?://", ""), r"^www\.", "")
+    rest = F.regexp_replace(F.regexp_replace(rest, "[?#].*$", ""), "/+$", "")
+    return F.when(rest.rlike("^[^/]+$"), rest)
 
 
 def photo_key(c: Column) -> Column:
-    """trim, lower, cut the query, the trailing slash and one resize suffix."""
+    """trim, lower, cut the query, trailing slashes and then one resize suffix; a suffix before a file extension stays."""
     cut = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"\?.*$", ""), "/+$", "")
-    return F.nullif(F.regexp_replace(cut, PHOTO_SUFFIX, "$1"), F.lit(""))
+    return F.nullif(F.regexp_replace(cut, PHOTO_SUFFIX, ""), F.lit(""))
 
 
 def geo_key(c: Column) -> Column:
@@ -96,9 +99,9 @@ def canonical_key(domain: Column, cif: Column, name: Column, muni: Column, prov:
     """particular > bare domain > tax id > name with municipality > name with province; null where none applies."""
     tail = F.when(filled(address), F.concat(F.lit("|"), alnum_key(address))).otherwise("")
     return F.coalesce(
-        F.when(filled(platform) & filled(seller), F.concat(F.lit("particular:"), F.lower(F.trim(platform)), F.lit(":"), F.trim(seller))),
+        F.when(filled(platform) & filled(seller), F.concat(F.lit("particular:"), F.regexp_replace(F.lower(platform), "[^a-z0-9]+", ""), F.lit(":"), F.trim(seller))),
         F.concat(F.lit("domain:"), bare_host(domain)),
-        F.when(filled(cif), F.concat(F.lit("cif:"), F.upper(alnum_key(cif)))),
+        F.when(filled(cif), F.concat(F.lit("cif:"), F.upper(F.trim(cif)))),
         F.when(filled(name) & filled(muni), F.concat(F.lit("name:"), alnum_key(name), F.lit("|"), muni, tail)),
         F.when(filled(name) & filled(prov), F.concat(F.lit("name:"), alnum_key(name), F.lit("|p"), prov, tail)),
     )
@@ -205,19 +208,54 @@ def origin_key(source: Column, phase: Column, code_: Column) -> Column:
     return F.concat_ws(":", source, phase, code_)
 
 
-#: Ordered substring rules, the first that holds decides.
-REPAIRS = (("blocked", ("403", "captcha", "blocked", "ban", "forbidden")), ("rate_limit", ("429", "rate", "too many")), ("drift", ("parse", "schema", "json", "selector")))
+#: What marks a wall, a wall that needs a higher tier, a throttle, and a drift of the source.
+WALLS = ("403", "blocked", "forbidden", "challenge", "captcha", "akamai", "datadome", "cloudflare", "perimeterx")
+HIGH_WALLS = ("akamai", "datadome", "perimeterx", "sensor", "residential")
+THROTTLES = ("429", "rate limit", "rate-limit", "throttl", "too many", "ban", "banned")
+DRIFTS = ("null", "drift", "schema", "field", "missing path", "parse", "selector", "json path", "jsonpath", "no listings")
 
 
-def repair_action(error: Column) -> Column:
-    """what to do about a failure; `owner` where no rule holds."""
-    text, out = F.lower(F.coalesce(error, F.lit(""))), None
-    for action, words in REPAIRS:
+def repair_action(error: Column, status: Column | None = None) -> Column:
+    """what to do about a failure, by its message and the last HTTP status where one is known."""
+    text, code_ = F.lower(F.coalesce(error, F.lit(""))), F.lit(None).cast("int") if status is None else status
+
+    def any_of(words: tuple[str, ...]) -> Column:
         hit = F.lit(False)
         for w in words:
             hit |= F.contains(text, F.lit(w))
-        out = F.when(hit, action) if out is None else out.when(hit, action)
-    return out.otherwise("owner")
+        return hit
+
+    wall = any_of(WALLS) | F.coalesce(code_.isin(401, 403), F.lit(False))
+    return (
+        F.when(wall & any_of(HIGH_WALLS), "escalate_tier")
+        .when(wall, "refingerprint")
+        .when(any_of(THROTTLES) | F.coalesce(code_ == 429, F.lit(False)), "quarantine")
+        .when(any_of(DRIFTS), "re_receta")
+        .otherwise("escalate_owner")
+    )
+
+
+#: Kinds of places by category, in the order in which they are tested.
+JUNKYARDS = ("junkyard",)
+AUCTIONS = ("car_auction",)
+SELLERS = (
+    "car_dealer", "used_car_dealer", "automotive_dealer", "truck_dealer", "truck_dealer_for_businesses", "commercial_vehicle_dealer",
+    "motorcycle_dealer", "motorsport_vehicle_dealer", "car_broker", "car_auction", "auto_manufacturers_and_distributors",
+)
+#: Shown names of fuels and transmissions.
+FUEL_NAMES = {"gasolina": "Gasolina", "petrol": "Gasolina", "diesel": "Diesel", "diésel": "Diesel", "diesél": "Diesel", "electrico": "Electrico", "eléctrico": "Electrico", "hibrido": "Hibrido", "híbrido": "Hibrido"}
+TRANSMISSION_NAMES = {"manual": "Manual", "automatic": "Automatico", "automatico": "Automatico", "automático": "Automatico", "auto": "Automatico", "secuencial": "Automatico"}
+
+
+def place_kind(category: Column) -> Column:
+    """The kind of a place by its category."""
+    return F.when(category.isin(*JUNKYARDS), "desguace").when(category.isin(*AUCTIONS), "subasta").when(category.isin(*SELLERS), "compraventa").otherwise("garaje")
+
+
+def shown_value(c: Column, names: dict[str, str]) -> Column:
+    """A value's shown name; an unknown one is trimmed, an empty one null."""
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.lower(F.trim(c))), F.nullif(F.trim(c), F.lit("")))
 
 
 def price_drop(listed: Column, offer: Column) -> Column:

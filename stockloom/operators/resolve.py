@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from .blocking import canonical_pick, pairs, richness, shared_items, stars
-from .graph import components
+from .graph import Tables, components
 
 SIGNAL_RANK = {"both": 3, "photo_url": 2, "firma": 1, "none": 0}
 #: Strength of a seller source by group; any other source counts 1.
-SOURCE_RANK = {"official": 10, "registry": 9, "oem": 8, "association": 7, "marketplace": 6}
+SOURCE_RANK = {"oem_dealer_network": 10, "association": 9, "official_registry": 8, "marketplace_motor": 7, "directory": 6}
+#: Fields that make a seller's row rich; a resolution also counts the municipality.
+RICH = ("website", "phone", "address", "cif", "lat")
+#: Strength of the signals of a resolution.
+RESOLUTION_RANK = {"phone": 1, "website": 1, "phone+website": 2, "fingerprint": 3, "fingerprint+phone": 4, "fingerprint+website": 4, "fingerprint+phone+website": 5}
 #: Probability of a cross-source signal.
 P_PHONE, P_PHONE_ALIEN, P_HOST, P_NAME, P_TWO = 0.97, 0.75, 0.98, 0.82, 0.99
 #: Names that mark a chain.
-CHAIN = r"(?i)(ocasionplus|flexicar|clicars|autohero|carplus|hr ?motor|crestanevada|spoticar|das ?welt ?auto)"
+CHAIN = r"(?i)(flexicar|ocasionplus|clicars|carplus|stellantis|mobility.?centro|grupo\s+\w+\s+motor|bmw\s+premium|mercedes.benz\s+\w+)"
 
 
 def clusters(nodes: DataFrame, id: str, edges: DataFrame) -> DataFrame:
@@ -30,16 +34,15 @@ def vehicle_edges(cars: DataFrame, id: str = "vehicle_ulid") -> DataFrame:
     prices are within 2 % of the lower and the seller or the title key agrees (firma).  Equal photos are linked to
     their smallest id (a star spans the group; the component is the same as with all pairs)."""
     own = cars.withColumns({"_photo": N.photo_key(F.col("photo_url")), "_title": N.alnum_key(F.col("title")), "_make": F.nullif(F.lower(F.trim("make")), F.lit("")), "_model": F.nullif(F.lower(F.trim("model")), F.lit(""))})
-    firma = pairs(own, ["_make", "_model", "year", "km", "province_code"], id, ["price", "entity_ulid", "_title"], "a_price > 0 and b_price > 0 and abs(a_price - b_price) <= 0.02 * least(a_price, b_price) and (a_entity_ulid = b_entity_ulid or (a__title = b__title and a__title <> ''))")
+    firma = pairs(own, ["_make", "_model", "year", "km", "province_code"], id, ["price", "entity_ulid", "_title", "_photo"], "a_price > 0 and b_price > 0 and abs(a_price - b_price) <= 0.02 * least(a_price, b_price) and (a_entity_ulid = b_entity_ulid or (a__title = b__title and a__title <> ''))")
+    firma = firma.select("a", "b", F.when(F.col("a__photo") == F.col("b__photo"), "both").otherwise("firma").alias("signal"))
     star = stars(own, ["_photo"], id)
-    photo_of = own.select(F.col(id).alias("_id"), "_photo")
-    marked = firma.select("a", "b").join(photo_of.withColumnsRenamed({"_id": "a", "_photo": "_pa"}), "a").join(photo_of.withColumnsRenamed({"_id": "b", "_photo": "_pb"}), "b")
-    firma = marked.select("a", "b", F.when(F.col("_pa") == F.col("_pb"), "both").otherwise("firma").alias("signal"))
     return firma.unionByName(star.withColumn("signal", F.lit("photo_url"))).groupBy("a", "b").agg(F.min("signal").alias("signal"))
 
 
 def vehicle_clusters(cars: DataFrame, edges: DataFrame, id: str = "vehicle_ulid") -> DataFrame:
     """Each car's cluster, size, strongest signal and canonical car (earliest first_seen, then id)."""
+    edges = Tables(cars.sparkSession).keep(edges, "edges")  # read for the clusters and again for their signals
     grouped = clusters(cars.select(id, "first_seen"), id, edges)
     rank = F.coalesce(*(F.when(F.col("signal") == s, r) for s, r in SIGNAL_RANK.items()))
     best = edges.select(F.col("a").alias(id), "signal").union(edges.select("b", "signal")).withColumn("_rank", rank)
@@ -86,25 +89,29 @@ def dealer_links(rows: DataFrame, id: str = "entity_ulid", most: int = 500) -> D
     return links.distinct()
 
 
-def dealer_clusters(rows: DataFrame, edges: DataFrame, id: str = "entity_ulid") -> DataFrame:
-    """Canonical by source rank, richness, age and code."""
+def seller_order(age: str) -> list[Column]:
+    """W5 for sellers: source rank, richness, age (unknown last), code."""
     rank = F.coalesce(*(F.when(F.col("source_group") == s, r) for s, r in SOURCE_RANK.items()), F.lit(1))
-    own = rows.withColumns({"_rank": rank, "_rich": richness("website", "phone", "address", "municipality_code")})
-    grouped = clusters(own, id, edges)
-    head = canonical_pick(grouped, "cluster", id, [-F.col("_rank"), -F.col("_rich"), F.col("created_at").isNull(), F.col("created_at"), F.col("cdp_code")])
+    return [-rank, -richness(*RICH), F.col(age).isNull(), F.col(age), F.coalesce(F.nullif("cdp_code", F.lit("")), F.lit("ZZZZ"))]
+
+
+def dealer_clusters(rows: DataFrame, edges: DataFrame, id: str = "entity_ulid") -> DataFrame:
+    """Canonical by source rank, richness, first sight and code."""
+    grouped = clusters(rows, id, edges)
+    head = canonical_pick(grouped, "cluster", id, seller_order("first_seen"))
     return grouped.join(head, "cluster").select(id, "cluster", "cluster_size", F.col("canonical").alias("canonical_ulid"))
 
 
 def fingerprints(inventory: DataFrame, crowded: int = 5, id: str = "entity_ulid", item: str = "canonical_vehicle_ulid") -> DataFrame:
-    """Distinct (seller, car) without cars that `crowded` or more sellers share."""
-    own = inventory.select(id, item).dropna().distinct()
+    """Distinct (seller, car) of cars that have driven (km > 0), without cars that `crowded` or more sellers share."""
+    own = inventory.where("km > 0").select(id, item).dropna().distinct()
     return own.join(own.groupBy(item).count().where(F.col("count") >= crowded), item, "left_anti").select(id, item)
 
 
 def adjudicate(sellers: DataFrame, prints: DataFrame, theta: float = 0.30, crowd: int = 3, id: str = "entity_ulid") -> DataFrame:
-    """Accepted candidate pairs (a, b, signal, probability), first rule that holds: Jaccard at least theta in any
-    province; a clean phone in one province; a crowded phone and a clean host in one province; a clean host in one province.
-    A null province is a different one."""
+    """Accepted candidate pairs (a, b, signal, probability), first rule that holds: Jaccard at least theta in any province (equal phones
+    and hosts are named too); a clean phone in one province; a crowded phone and a clean host in one province; a clean
+    host in one province.  A null province is a different one.  `prints` has crowded cars taken out (G7)."""
     own = sellers.withColumns({"phone_key": N.phone_last9(F.col("phone")), "host_key": N.host(F.col("website"))}).select(id, "province_code", "phone_key", "host_key")
     busy = {k: own.dropna(subset=[k]).groupBy(k).count().where(F.col("count") >= crowd).select(F.col(k).alias(f"_{k}"), F.lit(True).alias(f"{k}_busy")) for k in ("phone_key", "host_key")}
     for k, b in busy.items():
@@ -115,21 +122,23 @@ def adjudicate(sellers: DataFrame, prints: DataFrame, theta: float = 0.30, crowd
     both = overlap.select("a", "b").union(same).distinct().join(overlap, ["a", "b"], "left").join(sides[0], "a").join(sides[1], "b")
     near = F.coalesce(F.col("a_province_code") == F.col("b_province_code"), F.lit(False))
     phone = F.coalesce(F.col("a_phone_key") == F.col("b_phone_key"), F.lit(False))
-    host = F.coalesce((F.col("a_host_key") == F.col("b_host_key")) & ~F.col("a_host_key_busy"), F.lit(False))
+    web = F.coalesce(F.col("a_host_key") == F.col("b_host_key"), F.lit(False))
+    host = web & ~F.col("a_host_key_busy")
     crowded = F.col("a_phone_key_busy")
-    signal = F.when(F.col("jaccard") >= theta, "fingerprint").when(near & phone & ~crowded, "phone").when(near & phone & crowded & host, "phone+website").when(near & host, "website")
-    p = F.when(signal == "fingerprint", F.col("jaccard")).when(signal == "phone", 0.95).when(signal == "phone+website", 0.9).otherwise(0.85)
+    named = F.concat(F.lit("fingerprint"), F.when(phone, "+phone").otherwise(""), F.when(web, "+website").otherwise(""))
+    signal = F.when(F.col("jaccard") >= theta, named).when(near & phone & ~crowded, "phone").when(near & phone & crowded & host, "phone+website").when(near & host, "website")
+    p = F.when(F.col("jaccard") >= theta, F.round("jaccard", 4)).otherwise(1.0)
     return both.select("a", "b", signal.alias("signal"), p.cast("double").alias("probability")).where("signal is not null")
 
 
 def resolution_clusters(sellers: DataFrame, edges: DataFrame, id: str = "entity_ulid") -> DataFrame:
     """Resolved seller, size, strongest signal (then the alphabetically smaller) and highest probability; singletons none and null."""
-    own = sellers.withColumn("_rich", richness("website", "phone", "municipality_code"))
+    own = sellers.withColumn("_rich", richness(*RICH, "municipality_code"))
     grouped = clusters(own, id, edges)
-    rank = F.coalesce(*(F.when(F.col("signal") == s, r) for r, s in enumerate(("fingerprint", "phone", "phone+website", "website"))))
+    rank = F.coalesce(*(F.when(F.col("signal") == s, -r) for s, r in RESOLUTION_RANK.items()))
     ends = edges.select(F.col("a").alias(id), "signal", "probability")
     best = grouped.select(id, "cluster").join(ends, id).groupBy("cluster").agg(F.min_by("signal", F.struct(rank, "signal")).alias("signal"), F.max("probability").alias("probability"))
-    head = canonical_pick(grouped, "cluster", id, [-F.col("n_vehicles"), -F.col("_rich"), F.col("created_at").isNull(), F.col("created_at")])
+    head = canonical_pick(grouped, "cluster", id, [-F.col("_rich"), -F.coalesce("n_vehicles", F.lit(0)), F.col("created_at").isNull(), F.col("created_at")])
     return grouped.join(best, "cluster", "left").join(head, "cluster").select(id, F.col("canonical").alias("resolved_ulid"), "cluster_size", F.coalesce("signal", F.lit("none")).alias("signal"), "probability")
 
 
@@ -156,9 +165,8 @@ def cross_source_edges(rows: DataFrame, geo: list[str], digital: list[str], id:
 
 def cross_source_clusters(rows: DataFrame, edges: DataFrame, id: str = "entity_ulid") -> DataFrame:
     """Canonical row and the probability of the direct edge to it, else null."""
-    own = rows.withColumn("_rich", richness("website", "phone", "municipality_code"))
-    grouped = clusters(own, id, edges)
-    head = canonical_pick(grouped, "cluster", id, [-F.col("_rich"), F.col("created_at").isNull(), F.col("created_at")])
+    grouped = clusters(rows, id, edges)
+    head = canonical_pick(grouped, "cluster", id, seller_order("created_at"))
     at = grouped.join(head, "cluster")
     direct = edges.select(F.col("a").alias("_x"), F.col("b").alias("_y"), "probability").union(edges.select("b", "a", "probability"))
     return at.join(direct, (F.col(id) == F.col("_x")) & (F.col("canonical") == F.col("_y")), "left").select(id, F.col("canonical").alias("canonical_ulid"), "cluster_size", F.col("probability").alias("match_probability"))

@@ -23,7 +23,7 @@ def _key(c):
 
 
 def _name(c):
-    return f"regexp_replace({_key(c)}, '^(.{{3,}}?)(?:{'|'.join(N.LEGAL_SUFFIXES)})$', '\\1')"
+    return f"regexp_replace({_key(c)}, '^(.{{3,}}?)(?:sociedadlimitadaunipersonal|sociedadanonima|sociedadlimitada|scoop|scp|slu|sau|sll|sl|sa)$', '\\1')"
 
 
 def _digits(c):
@@ -34,6 +34,11 @@ def _host(c):
     return f"nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '^[a-z]+://', ''), '^www\\.', ''), '[/?#].*$', ''), '')"
 
 
+def _bare(c):
+    rest = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '^https?://', ''), '^www\\.', ''), '[?#].*$', ''), '/+$', '')"
+    return f"CASE WHEN regexp_matches({rest}, '^[^/]+$') THEN {rest} END"
+
+
 def _code(k):
     chars = " || ".join(f"substr('{N.BASE32}', CAST((n >> {5 * i}) & 31 AS INTEGER) + 1, 1)" for i in range(7, -1, -1))
     return f"(SELECT {chars} FROM (SELECT CAST('0x' || substr(sha256({k}), 55, 10) AS BIGINT) AS n))"
@@ -52,7 +57,7 @@ def _(x):
     return x.entity.select("entity_ulid", F.regexp_replace(P.nfkd_fold("trade_name"), "[^a-z0-9]", "").alias("f"))
 
 
-@Q("f2_name_key_words", f"SELECT entity_ulid, regexp_replace(regexp_replace(regexp_replace({_fold('trade_name')}, '[^a-z0-9 ]', ' ', 'g'), '\\b(?:s l u|s l|s a|slu|sl|sau|sa|sc|cb)\\b', '', 'g'), ' +', '', 'g') AS f2 FROM entity")
+@Q("f2_name_key_words", f"SELECT entity_ulid, regexp_replace(regexp_replace(regexp_replace({_fold('trade_name')}, '[^a-z0-9 ]+', ' ', 'g'), '\\b(s\\s?l\\s?u?|s\\s?a\\s?u?|s\\s?c\\s?p?|sociedad limitada|sociedad anonima)\\b', ' ', 'g'), ' +', '', 'g') AS f2 FROM entity")
 def _(x):
     return x.entity.select("entity_ulid", N.name_key_words(F.col("trade_name")).alias("f2"))
 
@@ -63,12 +68,12 @@ def _(x):
     return x.entity.select("entity_ulid", N.phone_all(p).alias("f4"), N.phone_last9(p).alias("f5"), N.phone_last9(p, 9).alias("f6"))
 
 
-@Q("f7_hosts", f"SELECT entity_ulid, {_host('website')} AS f7, CASE WHEN regexp_matches(regexp_replace(regexp_replace(regexp_replace(lower(trim(website)), '^[a-z]+://', ''), '^www\\.', ''), '/$', ''), '^[^/?#]+$') THEN regexp_replace(regexp_replace(regexp_replace(lower(trim(website)), '^[a-z]+://', ''), '^www\\.', ''), '/$', '') END AS f8 FROM entity")
+@Q("f7_hosts", f"SELECT entity_ulid, {_host('website')} AS f7, {_bare('website')} AS f8 FROM entity")
 def _(x):
     return x.entity.select("entity_ulid", N.host(F.col("website")).alias("f7"), N.bare_host(F.col("website")).alias("f8"))
 
 
-_PHOTO = "nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '\\?.*$', ''), '/+$', ''), '[-_/](?:\\d{{2,4}}x\\d{{2,4}}|w\\d{{2,4}}|h\\d{{2,4}}|thumb|small|medium|large)(\\.[a-z]{{3,4}})?$', '\\1'), '')"
+_PHOTO = "nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '\\?.*$', ''), '/+$', ''), '[/_-](?:thumb|thumbnail|small|medium|large|\\d+x\\d+|\\d+w)$', ''), '')"
 
 
 @Q("f10_photo_keys", f"SELECT vehicle_ulid, {_PHOTO.format(c='photo_url')} AS f10 FROM car")
@@ -82,8 +87,8 @@ def _(x):
 
 
 _CK = f"""k AS (SELECT entity_ulid, province_code, coalesce(
-CASE WHEN regexp_matches(regexp_replace(regexp_replace(regexp_replace(lower(trim(website)), '^[a-z]+://', ''), '^www\\.', ''), '/$', ''), '^[^/?#]+$') THEN 'domain:' || regexp_replace(regexp_replace(regexp_replace(lower(trim(website)), '^[a-z]+://', ''), '^www\\.', ''), '/$', '') END,
-CASE WHEN length(trim(coalesce(cif, ''))) > 0 THEN 'cif:' || upper({_key("cif")}) END,
+'domain:' || {_bare('website')},
+CASE WHEN length(trim(coalesce(cif, ''))) > 0 THEN 'cif:' || upper(trim(cif)) END,
 CASE WHEN municipality_code IS NOT NULL THEN 'name:' || {_key("trade_name")} || '|' || municipality_code || CASE WHEN address IS NULL THEN '' ELSE '|' || {_key("address")} END END,
 CASE WHEN province_code IS NOT NULL THEN 'name:' || {_key("trade_name")} || '|p' || province_code || CASE WHEN address IS NULL THEN '' ELSE '|' || {_key("address")} END END) AS key FROM entity)"""
 
@@ -194,9 +199,19 @@ def _(x):
     return x.run.select("run_id", N.origin_key(F.col("source_key"), F.lit("fetch"), F.when(~F.col("ok"), "500")).alias("origin"))
 
 
-@Q("f33_repair_action", "SELECT doc_id, CASE WHEN contains(t, '403') OR contains(t, 'captcha') OR contains(t, 'blocked') OR contains(t, 'ban') OR contains(t, 'forbidden') THEN 'blocked' WHEN contains(t, '429') OR contains(t, 'rate') OR contains(t, 'too many') THEN 'rate_limit' WHEN contains(t, 'parse') OR contains(t, 'schema') OR contains(t, 'json') OR contains(t, 'selector') THEN 'drift' ELSE 'owner' END AS action FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)")
+_F33 = """SELECT doc_id, CASE
+WHEN (st IN (401, 403) OR regexp_matches(t, '403|blocked|forbidden|challenge|captcha|akamai|datadome|cloudflare|perimeterx')) AND regexp_matches(t, 'akamai|datadome|perimeterx|sensor|residential') THEN 'escalate_tier'
+WHEN st IN (401, 403) OR regexp_matches(t, '403|blocked|forbidden|challenge|captcha|akamai|datadome|cloudflare|perimeterx') THEN 'refingerprint'
+WHEN st = 429 OR regexp_matches(t, '429|rate limit|rate-limit|throttl|too many|ban') THEN 'quarantine'
+WHEN regexp_matches(t, 'null|drift|schema|field|missing path|parse|selector|json path|jsonpath|no listings') THEN 're_receta'
+ELSE 'escalate_owner' END AS action
+FROM (SELECT doc_id, lower(coalesce(text, '')) AS t, CASE doc_id % 40 WHEN 0 THEN 403 WHEN 1 THEN 429 WHEN 2 THEN 500 END AS st FROM documents)"""
+
+
+@Q("f33_repair_action", _F33)
 def _(x):
-    return x.table("documents").select("doc_id", N.repair_action(F.col("text")).alias("action"))
+    status = F.when(F.col("doc_id") % 40 == 0, 403).when(F.col("doc_id") % 40 == 1, 429).when(F.col("doc_id") % 40 == 2, 500)
+    return x.table("documents").select("doc_id", N.repair_action(F.col("text"), status).alias("action"))
 
 
 @Q("f35_price_drop", "SELECT k, CAST(CASE WHEN offer < price THEN price - offer END AS DECIMAL(12,2)) AS amount FROM (SELECT k, price, CAST(price - CASE WHEN k % 3 = 0 THEN 100 ELSE 0 END AS DECIMAL(12,2)) AS offer FROM old_car)")
@@ -351,6 +366,8 @@ def _(x):
     return out.groupBy("province_code", "match_signal").agg(F.count("*").alias("listings"), F.count_distinct("canonical_ulid").alias("vehicles"))
 
 
+_RICH = "((CASE WHEN length(trim(website)) > 0 THEN 1 ELSE 0 END) + (CASE WHEN length(trim(phone)) > 0 THEN 1 ELSE 0 END) + (CASE WHEN length(trim(address)) > 0 THEN 1 ELSE 0 END) + (CASE WHEN length(trim(cif)) > 0 THEN 1 ELSE 0 END) + (CASE WHEN lat IS NOT NULL THEN 1 ELSE 0 END))"
+_RANKED = f"-(CASE source_group WHEN 'oem_dealer_network' THEN 10 WHEN 'association' THEN 9 WHEN 'official_registry' THEN 8 WHEN 'marketplace_motor' THEN 7 WHEN 'directory' THEN 6 ELSE 1 END), -{_RICH}"
 _DEALER = f"d AS (SELECT entity_ulid, cdp_code, municipality_code, nullif({_name('trade_name')}, '') AS nk, CASE WHEN length({_digits('phone')}) >= 7 THEN {_digits('phone')} END AS pk, {_host('website')} AS hk FROM entity)"
 _DEDGE = "de AS (SELECT a.entity_ulid AS a, b.entity_ulid AS b, 'name' AS signal FROM d a JOIN d b ON a.municipality_code = b.municipality_code AND a.nk = b.nk AND a.entity_ulid < b.entity_ulid UNION SELECT a.entity_ulid, b.entity_ulid, 'phone' FROM d a JOIN d b ON a.municipality_code = b.municipality_code AND a.pk = b.pk AND a.entity_ulid < b.entity_ulid UNION SELECT a.entity_ulid, b.entity_ulid, 'website' FROM d a JOIN d b ON a.municipality_code = b.municipality_code AND a.hk = b.hk AND a.entity_ulid < b.entity_ulid UNION SELECT a.entity_ulid, b.entity_ulid, 'fuzzy' FROM d a JOIN d b ON a.municipality_code = b.municipality_code AND a.nk <> b.nk AND a.entity_ulid < b.entity_ulid WHERE length(a.nk) >= 8 AND length(b.nk) >= 8 AND levenshtein(a.nk, b.nk) <= 2 AND a.municipality_code IN (SELECT municipality_code FROM d WHERE nk IS NOT NULL GROUP BY 1 HAVING count(*) <= 500))"
 
@@ -361,34 +378,44 @@ def _(x):
     return resolve.dealer_edges(x.entity)
 
 
-@Q("g6_dealer_clusters", f"WITH {_DEALER}, {_DEDGE}, sym AS (SELECT a AS s, b AS t FROM de UNION SELECT b, a FROM de), {_REACH.format(id='entity_ulid', rel='entity')}, head AS (SELECT cluster, arg_min(entity_ulid, (-CASE source_group WHEN 'official' THEN 10 WHEN 'registry' THEN 9 WHEN 'marketplace' THEN 6 ELSE 1 END, -((CASE WHEN website IS NULL THEN 0 ELSE 1 END) + (CASE WHEN phone IS NULL THEN 0 ELSE 1 END) + (CASE WHEN address IS NULL THEN 0 ELSE 1 END) + (CASE WHEN municipality_code IS NULL THEN 0 ELSE 1 END)), created_at, cdp_code)) AS canonical_ulid FROM comp JOIN entity ON entity_ulid = id GROUP BY 1) SELECT id AS entity_ulid, size AS cluster_size, canonical_ulid FROM comp JOIN head USING (cluster)")
+@Q("g6_dealer_clusters", f"WITH {_DEALER}, {_DEDGE}, sym AS (SELECT a AS s, b AS t FROM de UNION SELECT b, a FROM de), {_REACH.format(id='entity_ulid', rel='entity')}, head AS (SELECT cluster, arg_min(entity_ulid, ({_RANKED}, coalesce(first_seen, DATE '9999-12-31'), coalesce(cdp_code, 'ZZZZ'), entity_ulid)) AS canonical_ulid FROM comp JOIN entity ON entity_ulid = id GROUP BY 1) SELECT id AS entity_ulid, size AS cluster_size, canonical_ulid FROM comp JOIN head USING (cluster)")
 def _(x):
     return resolve.dealer_clusters(x.entity, resolve.dealer_links(x.entity)).select("entity_ulid", "cluster_size", "canonical_ulid")
 
 
-@Q("g7_fingerprints", "WITH i AS (SELECT DISTINCT entity_ulid, canonical_vehicle_ulid FROM inventory) SELECT entity_ulid, canonical_vehicle_ulid FROM i WHERE canonical_vehicle_ulid NOT IN (SELECT canonical_vehicle_ulid FROM i GROUP BY 1 HAVING count(*) >= 60)")
+_PRINTS = "i AS (SELECT DISTINCT entity_ulid AS id, canonical_vehicle_ulid AS item FROM inventory WHERE km > 0), k AS (SELECT item FROM i GROUP BY 1 HAVING count(*) >= 5), fp AS (SELECT id, item FROM i WHERE item NOT IN (SELECT item FROM k))"
+
+
+@Q("g7_fingerprints", f"WITH {_PRINTS} SELECT id AS entity_ulid, item AS canonical_vehicle_ulid FROM fp")
 def _(x):
-    return resolve.fingerprints(x.inventory, 60)
+    return resolve.fingerprints(x.inventory)
 
 
 _ADJ = f"""s AS (SELECT entity_ulid AS id, province_code, CASE WHEN length({_digits("phone")}) >= 7 THEN right({_digits("phone")}, 9) END AS pk, {_host("website")} AS hk FROM entity),
 pc AS (SELECT pk, count(*) AS n FROM s WHERE pk IS NOT NULL GROUP BY 1), hc AS (SELECT hk, count(*) AS n FROM s WHERE hk IS NOT NULL GROUP BY 1),
-i AS (SELECT DISTINCT entity_ulid AS id, canonical_vehicle_ulid AS item FROM inventory), z AS (SELECT id, count(*) AS n FROM i GROUP BY 1),
-ov AS (SELECT a, b, n / (p.c + q.c - n) AS jac FROM (SELECT x.id AS a, y.id AS b, count(*) AS n FROM i x JOIN i y ON x.item = y.item AND x.id < y.id GROUP BY 1, 2) JOIN (SELECT id, n AS c FROM z) p ON p.id = a JOIN (SELECT id, n AS c FROM z) q ON q.id = b WHERE n / (p.c + q.c - n) >= 0.30),
+{_PRINTS}, z AS (SELECT id, count(*) AS n FROM fp GROUP BY 1),
+ov AS (SELECT a, b, n / (p.c + q.c - n) AS jac FROM (SELECT x.id AS a, y.id AS b, count(*) AS n FROM fp x JOIN fp y ON x.item = y.item AND x.id < y.id GROUP BY 1, 2) JOIN (SELECT id, n AS c FROM z) p ON p.id = a JOIN (SELECT id, n AS c FROM z) q ON q.id = b WHERE n / (p.c + q.c - n) >= 0.30),
 cand AS (SELECT a, b FROM ov UNION SELECT a.id, b.id FROM s a JOIN s b ON a.province_code = b.province_code AND a.pk = b.pk AND a.id < b.id UNION SELECT a.id, b.id FROM s a JOIN s b ON a.province_code = b.province_code AND a.hk = b.hk AND a.id < b.id),
-fl AS (SELECT c.a, c.b, jac, coalesce(x.province_code = y.province_code, false) AS near, coalesce(x.pk = y.pk, false) AS ph, coalesce(pc.n, 0) >= 3 AS crowd, coalesce(x.hk = y.hk, false) AND coalesce(hc.n, 0) < 3 AS ho FROM cand c JOIN s x ON x.id = c.a JOIN s y ON y.id = c.b LEFT JOIN ov ON ov.a = c.a AND ov.b = c.b LEFT JOIN pc ON pc.pk = x.pk LEFT JOIN hc ON hc.hk = x.hk),
-sg AS (SELECT a, b, jac, CASE WHEN jac >= 0.30 THEN 'fingerprint' WHEN near AND ph AND NOT crowd THEN 'phone' WHEN near AND ph AND crowd AND ho THEN 'phone+website' WHEN near AND ho THEN 'website' END AS signal FROM fl),
-ad AS (SELECT a, b, signal, CASE signal WHEN 'fingerprint' THEN jac WHEN 'phone' THEN 0.95 WHEN 'phone+website' THEN 0.9 ELSE 0.85 END AS probability FROM sg WHERE signal IS NOT NULL)"""
+fl AS (SELECT c.a, c.b, jac, coalesce(x.province_code = y.province_code, false) AS near, coalesce(x.pk = y.pk, false) AS ph, coalesce(pc.n, 0) >= 3 AS crowd, coalesce(x.hk = y.hk, false) AS web, coalesce(hc.n, 0) < 3 AS clean FROM cand c JOIN s x ON x.id = c.a JOIN s y ON y.id = c.b LEFT JOIN ov ON ov.a = c.a AND ov.b = c.b LEFT JOIN pc ON pc.pk = x.pk LEFT JOIN hc ON hc.hk = x.hk),
+sg AS (SELECT a, b, jac, CASE WHEN jac >= 0.30 THEN 'fingerprint' || CASE WHEN ph THEN '+phone' ELSE '' END || CASE WHEN web THEN '+website' ELSE '' END WHEN near AND ph AND NOT crowd THEN 'phone' WHEN near AND ph AND crowd AND web AND clean THEN 'phone+website' WHEN near AND web AND clean THEN 'website' END AS signal FROM fl),
+ad AS (SELECT a, b, signal, CASE WHEN jac >= 0.30 THEN round(jac, 4) ELSE 1.0 END AS probability FROM sg WHERE signal IS NOT NULL)"""
 
 
 @Q("g8_adjudication", f"WITH {_ADJ} SELECT a, b, signal, CAST(probability AS DOUBLE) AS probability FROM ad")
 def _(x):
-    return resolve.adjudicate(x.entity, x.inventory)
+    return resolve.adjudicate(x.entity, resolve.fingerprints(x.inventory))
+
+
+_G9 = f"""WITH {_ADJ}, sym AS (SELECT a AS s, b AS t FROM ad UNION SELECT b, a FROM ad), {_REACH.format(id='entity_ulid', rel='entity')},
+rk AS (SELECT c.cluster, signal, CAST(probability AS DOUBLE) AS p, CASE signal WHEN 'phone' THEN 1 WHEN 'website' THEN 1 WHEN 'phone+website' THEN 2 WHEN 'fingerprint' THEN 3 WHEN 'fingerprint+phone+website' THEN 5 ELSE 4 END AS r FROM ad JOIN comp c ON c.id = ad.a),
+bs AS (SELECT cluster, arg_min(signal, (-r, signal)) AS signal, max(p) AS probability FROM rk GROUP BY 1),
+head AS (SELECT cluster, arg_min(entity_ulid, (-({_RICH} + CASE WHEN municipality_code IS NULL THEN 0 ELSE 1 END), -coalesce(n_vehicles, 0), created_at, entity_ulid)) AS resolved_ulid FROM comp JOIN entity ON entity_ulid = id GROUP BY 1)
+SELECT id AS entity_ulid, resolved_ulid, size AS cluster_size, coalesce(bs.signal, 'none') AS signal, bs.probability AS probability FROM comp LEFT JOIN bs USING (cluster) JOIN head USING (cluster)"""
 
 
-@Q("g9_resolution_clusters", f"WITH {_ADJ}, sym AS (SELECT a AS s, b AS t FROM ad UNION SELECT b, a FROM ad), {_REACH.format(id='entity_ulid', rel='entity')}, bs AS (SELECT c.cluster, min(CASE signal WHEN 'fingerprint' THEN 0 WHEN 'phone' THEN 1 WHEN 'phone+website' THEN 2 ELSE 3 END) AS r, max(CAST(probability AS DOUBLE)) AS probability FROM ad JOIN comp c ON c.id = ad.a GROUP BY 1) SELECT id AS entity_ulid, size AS cluster_size, CASE r WHEN 0 THEN 'fingerprint' WHEN 1 THEN 'phone' WHEN 2 THEN 'phone+website' WHEN 3 THEN 'website' ELSE 'none' END AS signal, probability FROM comp LEFT JOIN bs USING (cluster)")
+@Q("g9_resolution_clusters", _G9)
 def _(x):
-    return resolve.resolution_clusters(x.entity, resolve.adjudicate(x.entity, x.inventory)).select("entity_ulid", "cluster_size", "signal", "probability")
+    return resolve.resolution_clusters(x.entity, resolve.adjudicate(x.entity, resolve.fingerprints(x.inventory))).select("entity_ulid", "resolved_ulid", "cluster_size", "signal", "probability")
 
 
 def _sourced(x):
@@ -396,7 +423,7 @@ def _sourced(x):
     return x.entity.withColumn("source_keys", src)
 
 
-_CROSS = f"""s AS (SELECT entity_ulid AS id, municipality_code AS mu, (n // 8) % 2 AS g, nullif({_name("trade_name")}, '') AS nk, CASE WHEN length({_digits("phone")}) >= 9 THEN right({_digits("phone")}, 9) END AS pk, {_host("website")} AS hk, coalesce(regexp_matches(trade_name, '{resolve.CHAIN}'), false) AS chain FROM entity),
+_CROSS = f"""s AS (SELECT entity_ulid AS id, municipality_code AS mu, (n // 8) % 2 AS g, nullif({_name("trade_name")}, '') AS nk, CASE WHEN length({_digits("phone")}) >= 9 THEN right({_digits("phone")}, 9) END AS pk, {_host("website")} AS hk, coalesce(regexp_matches(trade_name, '(?i)(flexicar|ocasionplus|clicars|carplus|stellantis|mobility.?centro|grupo\\s+\\w+\\s+motor|bmw\\s+premium|mercedes.benz\\s+\\w+)'), false) AS chain FROM entity),
 h AS (SELECT a.id AS a, b.id AS b, coalesce(a.pk = b.pk, false) AS p, coalesce(a.hk = b.hk, false) AS w, coalesce(a.nk = b.nk AND length(a.nk) >= 6 AND NOT a.chain AND NOT b.chain, false) AS m, a.nk AS an, b.nk AS bn FROM s a JOIN s b ON a.mu = b.mu AND a.id < b.id AND a.g <> b.g),
 t AS (SELECT *, list_distinct([substr(an, i, 3) for i in range(1, length(an) - 1)]) AS ta, list_distinct([substr(bn, i, 3) for i in range(1, length(bn) - 1)]) AS tb FROM h WHERE p OR w OR m)
 SELECT a, b, CAST(CASE WHEN CAST(p AS INT) + CAST(w AS INT) + CAST(m AS INT) >= 2 THEN 0.99 WHEN w THEN 0.98 WHEN m THEN 0.82 WHEN length(an) >= 3 AND length(bn) >= 3 AND len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) < 0.15 THEN 0.75 ELSE 0.97 END AS DOUBLE) AS probability FROM t"""
@@ -407,7 +434,12 @@ def _(x):
     return resolve.cross_source_edges(_sourced(x), ["geo"], ["web"]).select("a", "b", F.col("probability").cast("double").alias("probability"))
 
 
-@Q("g11_cross_source_clusters")
+_G11 = f"""WITH {_CROSS.replace("\nSELECT a, b, CAST(", ",\nce AS (SELECT a, b, CAST(", 1)}), sym AS (SELECT a AS s, b AS t FROM ce UNION SELECT b, a FROM ce), {_REACH.format(id='entity_ulid', rel='entity')},
+head AS (SELECT cluster, arg_min(entity_ulid, ({_RANKED}, created_at, coalesce(cdp_code, 'ZZZZ'), entity_ulid)) AS canonical_ulid FROM comp JOIN entity ON entity_ulid = id GROUP BY 1)
+SELECT id AS entity_ulid, canonical_ulid, size AS cluster_size, probability AS match_probability FROM comp JOIN head USING (cluster) LEFT JOIN ce ON (ce.a = id AND ce.b = canonical_ulid) OR (ce.b = id AND ce.a = canonical_ulid)"""
+
+
+@Q("g11_cross_source_clusters", _G11)
 def _(x):
     rows = _sourced(x)
     return resolve.cross_source_clusters(rows, resolve.cross_source_edges(rows, ["geo"], ["web"]))

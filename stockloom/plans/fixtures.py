@@ -33,15 +33,16 @@ RELATIONS: dict[str, tuple[str, dict[str, str], str]] = {
             "kind": "CASE WHEN c_custkey % 9 = 0 THEN 'particular' ELSE lower(c_mktsegment) END",
             "province_code": "CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE lpad(CAST(c_nationkey AS STRING), 2, '0') END",
             "municipality_code": "CASE WHEN c_custkey % 13 = 0 OR c_custkey % 7 = 0 THEN NULL ELSE lpad(CAST(c_nationkey AS STRING), 2, '0') || lpad(CAST(c_custkey % 8 AS STRING), 3, '0') END",
-            "phone": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '+34 6' || lpad(CAST(c_custkey % 97 AS STRING), 2, '0') || ' 555 ' || lpad(CAST(c_custkey % 97 AS STRING), 3, '0') END",
-            "website": "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'https://www.Shop' || CAST(c_custkey % 211 AS STRING) || '.example' || CASE WHEN c_custkey % 2 = 0 THEN '/stock?page=1' ELSE '' END END",
+            "phone": "CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN '91 ' || lpad(CAST((c_custkey * 7) % 601 AS STRING), 3, '0') || ' 44 55' ELSE '+34 6' || lpad(CAST(c_custkey % 97 AS STRING), 2, '0') || ' 555 ' || lpad(CAST(c_custkey % 97 AS STRING), 3, '0') END",
+            "website": "CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 2 THEN 'http://dealer' || CAST(c_custkey % 401 AS STRING) || '.example/' ELSE 'https://www.Shop' || CAST(c_custkey % 211 AS STRING) || '.example' || CASE WHEN c_custkey % 2 = 0 THEN '/stock?page=1' ELSE '' END END",
             "address": "CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'Calle Mayor ' || CAST(c_custkey % 90 AS STRING) || ', ' || lpad(CAST(c_custkey % 52000 AS STRING), 5, '0') || ' Villa ' || CAST(c_custkey % 8 AS STRING) END",
             "cif": "CASE WHEN c_custkey % 8 = 0 THEN 'B-' || CAST(10000000 + c_custkey AS STRING) ELSE NULL END",
             "lat": "CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE CAST(36 + c_nationkey * 0.25 + (c_custkey % 64) * 0.0078125 AS DOUBLE) END",
             "lon": "CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE CAST(-9 + c_nationkey * 0.5 - (c_custkey % 32) * 0.03125 AS DOUBLE) END",
             "status": "CASE WHEN c_custkey % 17 = 0 THEN 'closed' ELSE 'active' END",
-            "source_group": "CASE c_custkey % 6 WHEN 0 THEN 'official' WHEN 1 THEN 'registry' WHEN 2 THEN 'marketplace' ELSE NULL END",
+            "source_group": "CASE c_custkey % 6 WHEN 0 THEN 'official_registry' WHEN 1 THEN 'marketplace_motor' WHEN 2 THEN 'oem_dealer_network' WHEN 3 THEN 'directory' ELSE NULL END",
             "created_at": "DATE '2025-01-01' + CAST(c_custkey % 400 AS INT)",
+            "first_seen": "CASE WHEN c_custkey % 12 = 0 THEN NULL ELSE DATE '2025-01-01' + CAST((c_custkey * 7) % 300 AS INT) END",
             "is_platform_like": "CASE WHEN c_custkey % 19 = 0 THEN TRUE WHEN c_custkey % 4 = 0 THEN NULL ELSE FALSE END",
             "n_vehicles": "CAST(c_custkey % 30 AS INT)",
         },
@@ -73,12 +74,12 @@ RELATIONS: dict[str, tuple[str, dict[str, str], str]] = {
             "model": "p_type",
             "title": "p_name",
             "price": "CAST(p_retailprice AS DECIMAL(12,2))",
-            "year": "2020",
-            "km": "50000",
-            "province_code": "'28'",
-            "photo_url": "CASE WHEN p_partkey % 3 = 0 THEN 'https://Img.example/p' || CAST(p_partkey % 701 AS STRING) || CASE WHEN p_partkey % 2 = 0 THEN '_320x240.jpg?v=1' ELSE '.jpg' END ELSE NULL END",
+            "year": "CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE 2019 + CAST(p_partkey % 2 AS INT) END",
+            "km": "CASE WHEN p_partkey % 89 = 0 THEN NULL WHEN p_partkey % 5 = 4 THEN 60000 ELSE 50000 END",
+            "province_code": "CASE WHEN p_partkey % 83 = 0 THEN NULL ELSE lpad(CAST(28 + p_partkey % 3 AS STRING), 2, '0') END",
+            "photo_url": "CASE WHEN p_partkey % 3 = 0 THEN 'https://Img.example/p' || CAST(p_partkey % 701 AS STRING) || CASE WHEN p_partkey % 4 = 0 THEN '/320x240?v=1' WHEN p_partkey % 4 = 2 THEN '_thumb' WHEN p_partkey % 4 = 3 THEN '_320x240.jpg' ELSE '' END ELSE NULL END",
             "first_seen": "DATE '2025-01-01' + CAST((p_partkey * 37) % 300 AS INT)",
-            "status": "'available'",
+            "status": "CASE WHEN p_partkey % 19 = 0 THEN 'gone' ELSE 'available' END",
         },
         "",
     ),
@@ -95,7 +96,7 @@ RELATIONS: dict[str, tuple[str, dict[str, str], str]] = {
         "WHERE p_partkey % 10 <> 1",
     ),
     "run": ("events", {"source_key": "'u' || CAST(user_id AS STRING)", "run_id": "event_id", "finished_at": "ts", "ok": "event_type <> 'error'"}, ""),
-    "inventory": ("events", {"entity_ulid": "'E' || lpad(CAST(user_id AS STRING), 9, '0')", "canonical_vehicle_ulid": "props"}, "WHERE event_type IN ('view', 'click', 'purchase')"),
+    "inventory": ("events", {"entity_ulid": "'E' || lpad(CAST(user_id AS STRING), 9, '0')", "canonical_vehicle_ulid": "CASE WHEN event_id % 40 = 0 THEN props ELSE 'K' || CAST(CAST(floor(user_id / 3) AS BIGINT) AS STRING) || '-' || props END", "km": "CASE WHEN CAST(floor(user_id / 3) AS BIGINT) % 9 = 0 THEN 0 ELSE 45000 END"}, "WHERE event_type IN ('view', 'click', 'purchase')"),
     "web": ("pages", {"page_id": "page_id", "url": "url", "html": "html"}, ""),
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..operators import audit, blocking, delta, geo
+from ..operators import audit, blocking, delta, geo, resolve
 from ..sources import payloads, readers
 from .registry import query
 
@@ -181,16 +181,21 @@ def _(x):
     return x.entity.select("entity_ulid", F.when(F.col("kind") != "particular", F.col("cif")).alias("cif"), F.when(F.col("kind") == "particular", F.concat(F.lit("Particular "), F.col("n").cast("string"))).otherwise(F.col("trade_name")).alias("shown"))
 
 
-@Q("p3_category_kind", "SELECT kind, CASE WHEN kind IN ('machinery','building') THEN 'subasta' WHEN kind IN ('building','automobile') THEN 'compraventa' ELSE 'garaje' END AS mapped, count(*) AS n FROM entity GROUP BY 1, 2")
+_CATEGORY = "CASE n % 7 WHEN 0 THEN 'junkyard' WHEN 1 THEN 'car_auction' WHEN 2 THEN 'used_car_dealer' WHEN 3 THEN 'automotive_repair' WHEN 4 THEN 'car_broker' WHEN 5 THEN NULL ELSE kind END"
+
+
+@Q("p3_category_kind", f"SELECT entity_ulid, CASE WHEN c = 'junkyard' THEN 'desguace' WHEN c = 'car_auction' THEN 'subasta' WHEN c IN ('car_dealer', 'used_car_dealer', 'automotive_dealer', 'truck_dealer', 'truck_dealer_for_businesses', 'commercial_vehicle_dealer', 'motorcycle_dealer', 'motorsport_vehicle_dealer', 'car_broker', 'auto_manufacturers_and_distributors') THEN 'compraventa' ELSE 'garaje' END AS mapped FROM (SELECT entity_ulid, {_CATEGORY} AS c FROM entity)")
 def _(x):
-    mapped = F.when(F.col("kind").isin("machinery", "building"), "subasta").when(F.col("kind").isin("building", "automobile"), "compraventa").otherwise("garaje")
-    return x.entity.groupBy("kind", mapped.alias("mapped")).agg(F.count("*").alias("n"))
+    return x.entity.select("entity_ulid", N.place_kind(F.expr(_CATEGORY)).alias("mapped"))
+
+
+_FUEL = "CASE n % 8 WHEN 0 THEN ' Gasolina' WHEN 1 THEN 'PETROL ' WHEN 2 THEN 'diésel' WHEN 3 THEN 'Eléctrico' WHEN 4 THEN 'hibrido' WHEN 5 THEN '  ' WHEN 6 THEN ' Hydrogen ' ELSE NULL END"
+_GEAR = "CASE n % 5 WHEN 0 THEN 'Manual' WHEN 1 THEN 'automático' WHEN 2 THEN ' AUTO' WHEN 3 THEN 'cvt ' ELSE 'Secuencial' END"
 
 
-@Q("p4_value_map", "SELECT p_partkey, CASE trim(p_type) WHEN 'ECONOMY' THEN 'eco' WHEN 'STANDARD' THEN 'std' ELSE trim(p_type) END AS t FROM part")
+@Q("p4_value_map", f"SELECT entity_ulid, CASE WHEN f IN ('gasolina', 'petrol') THEN 'Gasolina' WHEN f IN ('diesel', 'diésel', 'diesél') THEN 'Diesel' WHEN f IN ('electrico', 'eléctrico') THEN 'Electrico' WHEN f IN ('hibrido', 'híbrido') THEN 'Hibrido' ELSE nullif(trim(f0), '') END AS fuel, CASE WHEN g = 'manual' THEN 'Manual' WHEN g IN ('automatic', 'automatico', 'automático', 'auto', 'secuencial') THEN 'Automatico' ELSE trim(g0) END AS gear FROM (SELECT entity_ulid, {_FUEL} AS f0, lower(trim({_FUEL})) AS f, {_GEAR} AS g0, lower(trim({_GEAR})) AS g FROM entity)")
 def _(x):
-    known = F.create_map(F.lit("ECONOMY"), F.lit("eco"), F.lit("STANDARD"), F.lit("std"))
-    return x.table("part").select("p_partkey", F.coalesce(known[F.trim("p_type")], F.trim("p_type")).alias("t"))
+    return x.entity.select("entity_ulid", N.shown_value(F.expr(_FUEL), N.FUEL_NAMES).alias("fuel"), N.shown_value(F.expr(_GEAR), N.TRANSMISSION_NAMES).alias("gear"))
 
 
 @Q("p5_province_guard", "SELECT entity_ulid FROM entity WHERE regexp_matches(province_code, '^[0-9]+$') AND province_code BETWEEN '01' AND '52'")
@@ -224,12 +229,16 @@ def _(x):
     return o.join(n, "k").where(~F.col("a").eqNullSafe(F.col("b"))).select("k")
 
 
-@Q("p11_vehicle_path", "SELECT vehicle_ulid FROM vehicle WHERE regexp_matches(deep_link, '(?i)/(coche|coches|vehiculo|vehiculos|car|cars|ocasion|stock)/[^/?#]+') AND NOT regexp_matches(deep_link, '(?i)/(coche|coches|vehiculo|vehiculos|car|cars|ocasion|stock)/?(\\?.*)?$')")
+_LINK = "CASE o_orderkey % 6 WHEN 0 THEN 'https://m.example/coches-km0/' || CAST(o_orderkey AS STRING) WHEN 1 THEN 'https://m.example/coches/' WHEN 2 THEN 'https://m.example/STOCK' WHEN 3 THEN 'https://m.example/es/stock/' WHEN 4 THEN 'https://m.example/contacto/' ELSE 'http://m.example/desguace/pieza/7?x=1' END"
+_ONE = "/(coche|vehiculo|vehiculos|stock|ocasion|vn|vo|used|coches|coche-usado|seminuevo|seminuevos|segunda-mano|coches-segunda-mano|coches-km0|coches-nuevos|car|vehicle|listing|inventory|ficha|detalle|anuncio|oferta|auto|automovil|moto|desguace|pieza|recambio|ocasiones|ocasion-coches)/"
+
+
+@Q("p11_vehicle_path", f"SELECT o_orderkey, l AS link FROM (SELECT o_orderkey, {_LINK} AS l FROM orders) WHERE regexp_matches(lower(l), '{_ONE}') AND NOT regexp_matches(lower(l), '^https?://[^/]+/(coche|vehiculo|coches|coches-segunda-mano|ocasion|seminuevo|stock|used|inventory)[/]?$')")
 def _(x):
-    return x.vehicle.where(payloads.vehicle_path(F.col("deep_link"))).select("vehicle_ulid")
+    return x.table("orders").select("o_orderkey", F.expr(_LINK).alias("link")).where(payloads.vehicle_path(F.col("link")))
 
 
-@Q("p12_chain_names", "SELECT entity_ulid FROM entity WHERE regexp_matches(trade_name, '(?i)(ocasionplus|flexicar|clicars|autohero|carplus|hr ?motor|crestanevada|spoticar|das ?welt ?auto)')")
+@Q("p12_chain_names", "SELECT entity_ulid FROM entity WHERE regexp_matches(trade_name, '(?i)flexicar|ocasionplus|clicars|carplus|stellantis|mobility.?centro|grupo\\s+\\w+\\s+motor|bmw\\s+premium|mercedes.benz\\s+\\w+')")
 def _(x):
     from ..operators.resolve import CHAIN
 
@@ -244,10 +253,21 @@ def _(x):
     return blocking.pairs(s, ["tail"], "entity_ulid", ["src"]).where(orthogonal(F.col("a_src"), F.col("b_src"), ["error"], ["click"])).select("a", "b")
 
 
-@Q("p14_family", "SELECT page_id, CASE WHEN h1 THEN 'dms' WHEN h2 THEN 'builder' WHEN h3 THEN 'cms' WHEN h4 THEN 'shop' ELSE 'unknown' END AS family, CAST(h1 AS INT) + CAST(h2 AS INT) + CAST(h3 AS INT) + CAST(h4 AS INT) AS hits FROM (SELECT page_id, regexp_matches(h, '(?i)inventario\\.pro|motorflash|dealerk|walcu') AS h1, regexp_matches(h, '(?i)wix\\.com|squarespace|jimdo') AS h2, regexp_matches(h, '(?i)wp-content|wp-includes|joomla|drupal') AS h3, regexp_matches(h, '(?i)prestashop|shopify|woocommerce') AS h4 FROM (SELECT page_id, html || CASE page_id % 5 WHEN 0 THEN 'WP-content' WHEN 1 THEN 'wix.com shopify' WHEN 2 THEN 'dealerk' ELSE '' END AS h FROM web))")
+_P14 = """WITH p AS (SELECT page_id, lower(html || CASE page_id % 7 WHEN 0 THEN 'WP-content car-dealer' WHEN 1 THEN 'wix.com shopify' WHEN 2 THEN 'MotorFlash joomla' WHEN 3 THEN 'wp-json' WHEN 4 THEN '<meta name="generator" content="Hugo 0.1">' WHEN 5 THEN 'hexagoncuratedcars infomedia weebly' ELSE '' END) AS h FROM web),
+m AS (SELECT *, CASE WHEN regexp_matches(h, 'motorflash|mf-widget') THEN 'motorflash' WHEN regexp_matches(h, 'sumauto|hexagoncuratedcars') THEN 'sumauto' WHEN regexp_matches(h, 'wikicoches|tecnom|quintegia|dealerbest|ridecar|ridemovi|automanager|carsales-cdn|stockspark|infomedia|tot-net|totnet|gestionmax|cymed|audatex|cargest|wayboo') THEN 'other' END AS dms,
+CASE WHEN regexp_matches(h, 'wix\\.com|_wixcssistemplate|static\\.parastorage\\.com|x-wix-') THEN 'wix' WHEN regexp_matches(h, 'squarespace|webflow|assets\\.website-files\\.com|shopify|img1\\.wsimg\\.com|websitebuilder|jimdo|jimstatic|weebly|editmysite|\\.dudamobile\\.com|dudaone|irp\\.cdn-website\\.com') THEN 'other' END AS builder,
+CASE WHEN regexp_matches(h, 'wp-content|wp-includes|wp-json') THEN 'wordpress' WHEN regexp_matches(h, '/components/com_|joomla|/media/jui/') THEN 'joomla' WHEN regexp_matches(h, 'sites/default/files|drupal-settings-json|drupal\\.js|prestashop|/themes/[^/]+/assets') THEN 'other' END AS cms,
+regexp_matches(h, 'car-dealer|wpcardealer|vehicle-listings') AS plug, regexp_extract(h, 'generator" content="(\\w+)', 1) AS gen FROM p)
+SELECT page_id, CASE WHEN dms IS NOT NULL THEN 'dms' WHEN builder IS NOT NULL THEN 'builder' WHEN cms IS NOT NULL THEN 'cms' ELSE 'generic' END AS family,
+coalesce(dms, builder, CASE WHEN cms = 'wordpress' AND plug THEN 'wordpress+car_dealer_wp' ELSE cms END, nullif(gen, ''), 'custom') AS subfamily FROM m"""
+
+
+@Q("p14_family", _P14)
 def _(x):
-    h = F.concat("html", F.when(F.col("page_id") % 5 == 0, "WP-content").when(F.col("page_id") % 5 == 1, "wix.com shopify").when(F.col("page_id") % 5 == 2, "dealerk").otherwise(""))
-    return x.web.select("page_id", payloads.family(h).alias("f")).select("page_id", "f.family", F.size("f.hits").alias("hits"))
+    n = F.col("page_id") % 7
+    marks = ("WP-content car-dealer", "wix.com shopify", "MotorFlash joomla", "wp-json", '<meta name="generator" content="Hugo 0.1">', "hexagoncuratedcars infomedia weebly")
+    h = F.concat("html", F.coalesce(*(F.when(n == i, F.lit(m)) for i, m in enumerate(marks)), F.lit("")))
+    return x.web.select("page_id", payloads.family(h).alias("f")).select("page_id", "f.family", "f.subfamily")
 
 
 @Q("p15_status_filter", "SELECT count(*) AS n FROM entity WHERE status <> 'closed' AND kind <> 'particular'")
@@ -342,12 +362,13 @@ def _(x):
     return blocking.pairs(x.car, ["make", "model"], "vehicle_ulid", ["price"], "abs(a_price - b_price) <= 0.02 * least(a_price, b_price)").select("a", "b")
 
 
-_SHARED = "i AS (SELECT DISTINCT entity_ulid AS id, canonical_vehicle_ulid AS item FROM inventory), z AS (SELECT id, count(*) AS n FROM i GROUP BY id), b AS (SELECT x.id AS a, y.id AS b, count(*) AS n_both FROM i x JOIN i y ON x.item = y.item AND x.id < y.id GROUP BY 1, 2)"
+_SHARED = "c AS (SELECT DISTINCT entity_ulid AS id, canonical_vehicle_ulid AS item FROM inventory WHERE km > 0), i AS (SELECT * FROM c WHERE item NOT IN (SELECT item FROM c GROUP BY 1 HAVING count(*) >= 5)), z AS (SELECT id, count(*) AS n FROM i GROUP BY id), b AS (SELECT x.id AS a, y.id AS b, count(*) AS n_both FROM i x JOIN i y ON x.item = y.item AND x.id < y.id GROUP BY 1, 2)"
 
 
 @Q("j8_set_overlap", f"WITH {_SHARED} SELECT a, b, n_both, n_both / (p.n + q.n - n_both) AS jaccard FROM b JOIN z p ON p.id = a JOIN z q ON q.id = b")
 def _(x):
-    return blocking.shared_items(x.inventory, "entity_ulid", "canonical_vehicle_ulid").select("a", "b", "n_both", "jaccard")
+    """Cars that five or more sellers share are taken out first (G7), so an item makes at most six pairs."""
+    return blocking.shared_items(resolve.fingerprints(x.inventory), "entity_ulid", "canonical_vehicle_ulid").select("a", "b", "n_both", "jaccard")
 
 
 @Q("j9_semi", "SELECT entity_ulid FROM entity WHERE entity_ulid IN (SELECT entity_ulid FROM attest WHERE source_key = 'purchase')")

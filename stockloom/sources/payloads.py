@@ -5,12 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Marks of site families in page sources, in order of precedence.
-FAMILIES = (
-    ("dms", "inventario\\.pro|motorflash|dealerk|walcu"), ("builder", "wix\\.com|squarespace|jimdo"), ("cms", "wp-content|wp-includes|joomla|drupal"), ("shop", "prestashop|shopify|woocommerce"),
-)
-VEHICLE_PATH = r"(?i)/(coche|coches|vehiculo|vehiculos|car|cars|ocasion|stock)/[^/?#]+"
-CATEGORY_ONLY = r"(?i)/(coche|coches|vehiculo|vehiculos|car|cars|ocasion|stock)/?(\?.*)?$"
+#: Marks of site families in lower-cased page sources, by group, in order of precedence.
+FAMILIES = {
+    "dms": {
+        "motorflash": "motorflash|mf-widget|motorflash\\.com", "sumauto": "sumauto|hexagoncuratedcars", "wikicoches": "wikicoches", "tecnom": "tecnom|\\.tecnom\\.",
+        "quintegia": "quintegia|dealerbest", "ridecar": "ridecar|ridemovi", "automanager": "automanager|carsales-cdn", "stockspark": "stockspark|infomedia",
+        "totnet": "tot-net|totnet", "gestionmax": "gestionmax|cymed", "audatex": "audatex", "cargest": "cargest", "wayboo": "wayboo",
+    },
+    "builder": {
+        "wix": "wix\\.com|_wixcssistemplate|static\\.parastorage\\.com|x-wix-", "squarespace": "squarespace|static1\\.squarespace\\.com",
+        "webflow": "webflow|assets\\.website-files\\.com|\\.webflow\\.io", "shopify": "cdn\\.shopify\\.com|shopify", "godaddy_websites": "img1\\.wsimg\\.com|websitebuilder",
+        "jimdo": "jimdo|jimstatic", "weebly": "weebly|editmysite", "duda": "\\.dudamobile\\.com|dudaone|irp\\.cdn-website\\.com",
+    },
+    "cms": {
+        "wordpress": "wp-content|wp-includes|wp-json", "joomla": "/components/com_|joomla|/media/jui/",
+        "drupal": "sites/default/files|drupal-settings-json|drupal\\.js", "prestashop": "prestashop|/themes/[^/]+/assets",
+    },
+}
+#: Marks of automotive plugins, which count on WordPress pages alone.
+PLUGINS = {"motors_plugin": "stm_motors|motors-|plugins/motors", "car_dealer_wp": "car-dealer|wpcardealer|vehicle-listings", "wp_auto_listing": "automotive-|wp-cars|car-listing"}
+#: Paths of one vehicle, and addresses of a category alone.
+VEHICLE_PATH = (
+    r"(?i)/(coche|vehiculo|vehiculos|stock|ocasion|vn|vo|used|coches|coche-usado|seminuevo|seminuevos|segunda-mano|coches-segunda-mano|coches-km0"
+    r"|coches-nuevos|car|vehicle|listing|inventory|ficha|detalle|anuncio|oferta|auto|automovil|moto|desguace|pieza|recambio|ocasiones|ocasion-coches)/"
+)
+CATEGORY_ONLY = r"(?i)^https?://[^/]+/(coche|vehiculo|coches|coches-segunda-mano|ocasion|seminuevo|stock|used|inventory)[/]?$"
 
 
 def next_data(html: Column) -> Column:
@@ -79,9 +98,17 @@ def vehicle_path(url: Column) -> Column:
 
 
 def family(html: Column) -> Column:
-    """The first family whose mark is found, and all that are."""
-    hits = F.filter(F.array(*(F.when(html.rlike(f"(?i){p}"), F.lit(n)) for n, p in FAMILIES)), lambda x: x.isNotNull())
-    return F.struct(F.coalesce(F.get(hits, 0), F.lit("unknown")).alias("family"), hits.alias("hits"))
+    """The family of the group that comes first (generic where none does), the first name in it, and all names found.  A WordPress page's
+    plugins follow its name; a generic page is named by the first word of its generator, else custom."""
+    h = F.lower(html)
+    found = {g: F.filter(F.array(*(F.when(h.rlike(p), F.lit(n)) for n, p in names.items())), lambda x: x.isNotNull()) for g, names in FAMILIES.items()}
+    plugins = F.filter(F.array(*(F.when(h.rlike(p), F.lit(n)) for n, p in PLUGINS.items())), lambda x: x.isNotNull())
+    cms = F.get(found["cms"], 0)
+    cms = F.when((cms == "wordpress") & (F.size(plugins) > 0), F.concat(F.lit("wordpress+"), F.array_join(plugins, "+"))).otherwise(cms)
+    generator = F.regexp_extract(h, """<meta[^>]+name=["']generator["'][^>]*content=["']([^"']+)["']""", 1)
+    first = F.nullif(F.split(F.trim(generator), r"\s+")[0], F.lit(""))
+    group = F.coalesce(*(F.when(F.size(a) > 0, F.lit(g)) for g, a in found.items()), F.lit("generic"))
+    return F.struct(group.alias("family"), F.coalesce(F.get(found["dms"], 0), F.get(found["builder"], 0), cms, first, F.lit("custom")).alias("subfamily"), F.concat(*found.values()).alias("hits"))
 
 
 def probe_label(base: Column, answered: Column, urls: Column, fields: Column) -> Column:

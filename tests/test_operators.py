@@ -28,7 +28,7 @@ def grouped(spark, *cars):
 def test_vehicle_clusters(spark):
     g = grouped(
         spark,
-        car("a", photo_url="https://x/p_320x240.jpg?v=2", entity_ulid="E1"), car("b", photo_url="https://X/p.jpg", province_code="08", entity_ulid="E2"),
+        car("a", photo_url="https://x/p.jpg/320x240?v=2", entity_ulid="E1"), car("b", photo_url="https://X/p.jpg", province_code="08", entity_ulid="E2"), car("z", photo_url="https://x/p_320x240.jpg", make="fiat", entity_ulid="E9"),
         car("c", make="Kia", title="t1"), car("d", make="kia ", title="t2", first_seen=datetime(2025, 1, 1)),
         car("e", make="vw", title="Golf", entity_ulid="E3"), car("f", make="vw", title="golf!", entity_ulid="E4", price=Decimal("8160")),
         car("g", make="bmw"), car("h", make="bmw", price=Decimal("8500")), car("i", make="opel", km=None), car("j", make="opel", km=None),
@@ -36,7 +36,7 @@ def test_vehicle_clusters(spark):
     assert g["a"] == g["b"] == ("a", "photo_url", 2)
     assert g["c"] == g["d"] == ("d", "firma", 2)
     assert g["e"] == g["f"] == ("e", "firma", 2)
-    assert all(g[x] == (x, "none", 1) for x in "ghij")
+    assert all(g[x] == (x, "none", 1) for x in "ghijz")
 
 
 def test_components_chain_is_order_free(spark):
@@ -113,3 +113,51 @@ def test_j15_and_j25_read_every_entity(spark):
     assert catalog.QUERIES["j25_attribution"](spark, "/root/testdata/sf0.001").count() == entity.where("n % 2 = 0").count()
     found = {r[0] for r in catalog.QUERIES["j15_fuzzy_names"](spark, "/root/testdata/sf0.001").select("entity_ulid").collect()}
     assert found - {r[0] for r in entity.where("n % 20 = 3").select("entity_ulid").collect()}
+
+
+def test_rule_values(spark):
+    """Outcomes that the rules' own descriptions fix."""
+    from pyspark.sql import functions as F
+
+    from stockloom.functions import normalize as N
+    from stockloom.operators.resolve import CHAIN
+    from stockloom.sources import payloads
+
+    def of(f, *values):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+        return [r[0] for r in df.orderBy("i").select(f(F.col("v"))).collect()]
+
+    assert of(N.photo_key, "https://c/cars/img.jpg?w=640", "https://C/img/", "https://c/img_thumb", "https://c/img/640w", "https://c/img_320x240.jpg", "  ") == ["https://c/cars/img.jpg", "https://c/img", "https://c/img", "https://c/img", "https://c/img_320x240.jpg", None]
+    assert of(N.name_key, "AUTOMOCION DEL OESTE, S.A.", "Talleres Pérez S.L.U.", "Coop Motor S.Coop", "Sala", "ASA", "Garaje C.B.") == ["automociondeloeste", "talleresperez", "coopmotor", "sala", "asa", "garajecb"]
+    assert of(N.name_key_words, "Autos S L Norte", "S.C.P. Motor Sociedad Limitada", "Casa S.A.U.") == ["autosnorte", "motor", "casa"]
+    assert of(N.bare_host, "https://www.Dealer.es/?utm=1", "dealer.es/stock", "http://dealer.es#top", "dealer.es///") == ["dealer.es", None, "dealer.es", "dealer.es"]
+    none = F.lit(None).cast("string")
+    assert of(lambda c: N.canonical_key(none, c, none, none, none, none, none, none), " b-123 ") == ["cif:B-123"]
+    assert of(lambda c: N.canonical_key(none, none, none, none, none, none, c, F.lit(" 7 ")), " Mil-Anuncios.com ") == ["particular:milanuncioscom:7"]
+    assert of(N.repair_action, "HTTP 403", "akamai wall", "Too many requests", "rate of change", "JSON path missing", "boom", None) == ["refingerprint", "escalate_tier", "quarantine", "escalate_owner", "re_receta", "escalate_owner", "escalate_owner"]
+    assert of(lambda c: N.repair_action(c, F.lit(401)), "x") == ["refingerprint"] and of(lambda c: N.repair_action(c, F.lit(429)), "x") == ["quarantine"]
+    assert of(lambda c: c.rlike(CHAIN), "Grupo Gil Motor", "BMW  Premium Madrid", "Mercedes-Benz Sur", "Mobility Centro", "Autohero", "Motor Grupo") == [True, True, True, True, False, False]
+    assert of(payloads.vehicle_path, "https://a.es/coches/seat-leon-12", "https://a.es/coches/", "https://a.es/coches", "https://a.es/es/stock/", "https://a.es/VO/1") == [True, False, False, True, True]
+    assert of(N.place_kind, "junkyard", "car_auction", "car_dealer", "automotive_repair", None) == ["desguace", "subasta", "compraventa", "garaje", "garaje"]
+    assert of(lambda c: N.shown_value(c, N.FUEL_NAMES), " Gasolina ", "ELÉCTRICO", " GNC ", " ", None) == ["Gasolina", "Electrico", "GNC", None, None]
+    got = [(r["family"], r["subfamily"]) for r in of(payloads.family, "<p>Motorflash wp-content", "wix.com joomla", "wp-json wp-cars", '<META name="generator" content="Hugo 1">', "x")]
+    assert got == [("dms", "motorflash"), ("builder", "wix"), ("cms", "wordpress+wp_auto_listing"), ("generic", "hugo"), ("generic", "custom")]
+
+
+def test_adjudication_and_resolution(spark):
+    """A clean phone or host merges inside a province, a crowded one alone does not, a fingerprint does anywhere; the richest seller is canonical."""
+    from stockloom.operators import resolve
+
+    shape = "entity_ulid string, province_code string, phone string, website string, address string, cif string, lat double, municipality_code string, n_vehicles int, created_at date"
+    rows = [
+        ("a", "28", "911223344", None, None, None, None, None, 5, None), ("b", "28", "+34 911 22 33 44", "b.es", "x", None, 1.0, None, 1, None), ("c", "08", "911223344x", None, None, None, None, None, 0, None),
+        ("d", "28", "600000001", "d.es", None, None, None, None, 0, None), ("e", "08", None, "https://www.d.es/", None, None, None, None, 0, None),
+        ("f", "41", "622222222", "f.es", None, None, None, None, 1, None), ("g", "41", "622222222", None, None, None, None, None, 1, None),
+        ("h", "50", None, "h.es", None, None, None, None, 1, None), ("i", "50", None, "h.es/x", None, None, None, None, 9, None),
+    ]
+    sellers = spark.createDataFrame(rows, shape)
+    inventory = spark.createDataFrame([*((s, f"v{i}", 10) for s in "de" for i in range(3)), ("d", "zero", 0), *((s, "crowd", 5) for s in "abcde")], "entity_ulid string, canonical_vehicle_ulid string, km int")
+    edges = resolve.adjudicate(sellers, resolve.fingerprints(inventory))
+    assert {tuple(r) for r in edges.collect()} == {("d", "e", "fingerprint+website", 1.0), ("f", "g", "phone", 1.0), ("h", "i", "website", 1.0)}
+    out = {r["entity_ulid"]: (r["resolved_ulid"], r["cluster_size"], r["signal"], r["probability"]) for r in resolve.resolution_clusters(sellers, edges).collect()}
+    assert out["a"] == ("a", 1, "none", None) and out["d"] == out["e"] == ("d", 2, "fingerprint+website", 1.0) and out["g"] == ("f", 2, "phone", 1.0) and out["h"][0] == "i"
