@@ -2,7 +2,7 @@
 
 A text is made canonical: copyright lines go, letters are lower-cased, equivalent spellings are made one, and every run of other
 characters than letters and digits becomes one space.  The SHA-256 of the whole canonical text is hash-joined to
-the digests of known licences.  The known table is a parameter; its size is that of a licence list (some hundred rows), so
+the digests of known licences.  The known table is a parameter (by default 20 licences and notices: `known_texts`); its size is that of a licence list (some hundred rows), so
 it is broadcast, guarded by `most`.
 
 Cases: a null text has neither digest nor licence; an empty one has the digest of the empty text and no licence; copies get
@@ -11,6 +11,7 @@ equal rows; rows that repeat a doc_id stay rows; an empty table gives no rows; e
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,24 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 
 Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
@@ -73,10 +92,24 @@ Unless required by applicable law or agreed to in writing, software distributed
 }
 
 
+def known_texts() -> dict[str, str]:
+    """Identifier to text: the short texts above and the long ones in the folder beside this file; what has a title line is known
+    without it too, under a key that ends in an asterisk."""
+    texts = KNOWN | {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+    bare = {}
+    for name, text in texts.items():
+        title, _, rest = text.strip().partition("\n\n")
+        if rest and "\n" not in title and len(title.split()) <= 8:
+            bare[f"{name}*"] = rest
+    return texts | bare
+
+
 def canonical(text: Column) -> Column:
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT, "")), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    spelt = reduce(lambda c, s: F.replace(c, F.lit(f" {s[0]} "), F.lit(f" {s[1]} ")), SPELLINGS.items(), plain)
-    return F.trim(spelt)
+    """Every word has a space of its own on either side while spellings are replaced, so that neighbours can both be."""
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT, "")), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
+    wide = lambda s: F.lit(f" {s.replace(' ', '  ')} ")
+    spelt = reduce(lambda c, s: F.replace(c, wide(s[0]), wide(s[1])), SPELLINGS.items(), plain)
+    return F.trim(F.replace(spelt, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -85,7 +118,7 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """digest and license of the known texts; of texts that are canonically equal, the first identifier."""
-    rows = sorted((KNOWN if texts is None else texts).items())
+    rows = [(name.rstrip("*"), text) for name, text in sorted((known_texts() if texts is None else texts).items())]
     return spark.createDataFrame(rows, "license string, known string").select("license", digest(F.col("known")).alias("_digest")).groupBy("_digest").agg(F.min("license").alias("license"))
 
 

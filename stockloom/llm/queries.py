@@ -64,12 +64,12 @@ def _license_sql() -> str:
         return "'" + s.replace("'", "''") + "'"
 
     def canonical(column: str) -> str:
-        c = f"' ' || regexp_replace(lower(regexp_replace({column}, {quote(license_digests.COPYRIGHT)}, '', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+        c = f"' ' || regexp_replace(lower(regexp_replace({column}, {quote(license_digests.COPYRIGHT)}, '', 'g')), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' '"
         for a, b in license_digests.SPELLINGS.items():
-            c = f"replace({c}, ' {a} ', ' {b} ')"
-        return f"sha256(trim({c}, ' '))"
+            c = f"replace({c}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+        return f"sha256(trim(replace({c}, '  ', ' '), ' '))"
 
-    rows = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in license_digests.KNOWN.items())
+    rows = ", ".join(f"({quote(k.rstrip('*'))}, {quote(v)})" for k, v in license_digests.known_texts().items())
     return f"""WITH known AS (SELECT {canonical("t")} AS digest, min(license) AS license FROM (VALUES {rows}) AS v(license, t) GROUP BY 1),
 own AS (SELECT doc_id, {canonical("text")} AS digest FROM documents)
 SELECT doc_id, own.digest, license FROM own LEFT JOIN known USING (digest)"""

@@ -1,6 +1,7 @@
 """The training-data operators on small frames, against plain Python and on the odd cases: nulls, empty and long texts, ties, repeated
 rows, empty tables and extra columns with clashing names."""
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -65,6 +66,20 @@ def test_licenses(docs):
     assert got[15][0] == "MIT-notice" and got[4] == (None, None) and got[1] == got[2] and got[1][0] is None
 
 
+def test_every_known_licence_is_found_in_other_spellings(spark):
+    texts = license_digests.known_texts()
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0", "Unlicense", "Zlib"} <= set(texts)
+    change = lambda t: "Copyright (c) 2021 Some Body\n\n" + re.sub(r"\bLICENSE\b", "LICENCE", t.upper()).replace(", ", " ,\t ")
+    data = [(i, t if k == 0 else change(t)) for i, t in enumerate(texts.values()) for k in (0, 1)]
+    data += [(1000, "licence licence acknowledgement"), (1001, "License license acknowledgment."), (1002, texts["MIT"] + " more")]
+    got = defaultdict(set)
+    for r in license_digests.scan(spark.createDataFrame(data, "doc_id long, text string")).collect():
+        got[r["doc_id"]].add((r["digest"], r["license"]))
+    for i, name in enumerate(texts):
+        assert len(got[i]) == 1 and {x[1] for x in got[i]} == {name.rstrip("*")}, name
+    assert got[1000] == got[1001] and {x[1] for x in got[1002]} == {None}
+
+
 def test_mix(docs):
     out = source_mixing.mix(docs, block=8).collect()
     assert sorted(map(str, out)) == sorted(map(str, source_mixing.mix(docs, block=8).collect()))
