@@ -71,13 +71,29 @@ def same(r: Column) -> Column:
     return r
 
 
+def words_of(c: Column) -> Column:
+    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+
+def after(words: Column, at: Column) -> Column:
+    """The words behind a place, with single spaces."""
+    return F.array_join(F.slice(words, at + 1, F.greatest(F.size(words) - at, F.lit(0))), " ")
+
+
 def store_parts(name: Column) -> Column:
-    """Place and firm of `MG <place> - <firm>`, where a region may come before the place."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(name, r"\s+", " "), r"(?i)^\s*MG\s+", ""))
-    region = fold(plain).rlike(r"^canarias\s*[-–—|]")
-    bare = F.when(region, F.regexp_replace(F.regexp_replace(plain, r"^[^-–—|]+[-–—|]\s*", ""), r"-([^\s-]+)$", " - $1")).otherwise(plain)
-    parts = F.filter(F.split(bare, r"\s*[–—|]\s*|\s+-\s*|\s*-\s+"), lambda p: F.trim(p) != "")
-    return F.struct(F.get(parts, 0).alias("place"), F.nullif(F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), " - "), F.lit("")).alias("firm"))
+    """Place and firm of a store called `[MG] place - firm`.  A long dash or a bar always parts the two, a hyphen only beside a space.  Where the
+    islands' region comes first it is passed over, and the last hyphen parts place and firm even without a space."""
+    words = words_of(name)
+    said = after(words, F.when(F.lower(F.get(words, 0)) == "mg", 1).otherwise(0))
+    region = F.split(said, "[-–—|]", 2)
+    islands = (F.size(region) == 2) & (fold(F.trim(region[0])) == "canarias")
+    rest = F.when(islands, F.trim(F.get(region, 1))).otherwise(said)
+    last = F.substring_index(rest, "-", -1)
+    glued = islands & (last != rest) & (last != "") & ~F.contains(last, F.lit(" "))
+    rest = F.when(glued, F.concat(F.left(rest, F.length(rest) - F.length(last) - 1), F.lit(" - "), last)).otherwise(rest)
+    parts = F.filter(F.transform(F.split(rest, "[–—|]|(?<= )-|-(?= )"), lambda p: F.trim(p)), lambda p: p != "")
+    firm = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), " - ")
+    return F.struct(F.get(parts, 0).alias("place"), F.nullif(firm, F.lit("")).alias("firm"))
 
 
 REGISTRIES: dict[str, Registry] = {
@@ -132,8 +148,10 @@ def seat_directory(pages: DataFrame) -> DataFrame:
     links = pages.withColumn("_m", F.explode(F.regexp_extract_all("payload", F.lit(r'(\.dealer\.[a-z0-9-]+\.html">[^<]+)<'), 1)))
     label = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("_m", r'^[^>]*>', ""), "&amp;", "&"), "&#39;|&apos;", "'"))
     left, right = F.split(label, r"\|", 2)[0], F.nullif(F.trim(F.get(F.split(label, r"\|", 2), 1)), F.lit(""))
-    towns = F.nullif(F.regexp_extract(left, r"(?i)\ben\s+(.*)$", 1), F.lit(""))
-    town = F.nullif(F.trim(F.get(F.split(towns, r"\s+y\s+|,"), 0)), F.lit(""))
+    said = words_of(left)
+    behind = F.array_position(F.transform(said, lambda w: F.lower(w)), "en").cast("int")  # `dealers in <town>[, town] [y town]`
+    towns = F.when(behind > 0, after(said, behind))
+    town = F.nullif(F.trim(F.substring_index(F.substring_index(towns, ",", 1), " y ", 1)), F.lit(""))
     canary = F.coalesce(*(F.when(F.lower(town).rlike(names), code) for code, names in CANARIES.items()))
     code = F.when(F.col("slug") == "islas-canarias", canary).otherwise(F.create_map(*(F.lit(x) for kv in PROVINCE_PAGES.items() for x in kv))[F.col("slug")])
     rows = links.select(F.regexp_extract("_m", r"\.dealer\.([a-z0-9-]+)\.html", 1).alias("dealer"), "slug", town.alias("town"), right.alias("name"), code.alias("province")).where("province is not null")
