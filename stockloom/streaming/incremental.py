@@ -54,14 +54,21 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(g.schema).parquet(f"{at}/out")
 
 
-def stream_reconcile(spark: SparkSession, old: DataFrame, new: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """D1 as a stream: every micro-batch is a snapshot, reconciled with the state by foreachBatch; events are written by batch id, so
-    a repeated batch overwrites its own."""
-    at = _place(spark)
-    new.write.parquet(f"{at}/in")
+def stream_reconcile(spark: SparkSession, old: DataFrame, new: DataFrame, key: Sequence[str], order: str, at: str | None = None) -> DataFrame:
+    """D1 as a stream: every micro-batch is a snapshot, reconciled with the state that the batch before it left.  `new` is appended to the
+    stream's input folder.  A named folder `at` holds input, checkpoint, state and events, so a later call (or a restart) goes on where the last one
+    ended; without a name each call is a stream of its own.  Events and states are written by batch number: a repeated batch reads the
+    same state and overwrites its own."""
+    at, columns = at or _place(spark), old.columns
+    new.write.mode("append").parquet(f"{at}/in")
+
+    def state(number: int) -> DataFrame:
+        return spark.read.schema(old.schema).parquet(f"{at}/state/batch={number}") if number >= 0 else old
 
     def reconcile(batch: DataFrame, number: int) -> None:
-        delta.reconcile(old, batch, key, order).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        before = state(number - 1)
+        delta.reconcile(before, batch, key, order).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        delta.apply_snapshot(before, batch, key, order).select(*columns).write.mode("overwrite").parquet(f"{at}/state/batch={number}")
 
     s = spark.readStream.schema(new.schema).parquet(f"{at}/in")
     s.writeStream.option("checkpointLocation", f"{at}/check").trigger(availableNow=True).foreachBatch(reconcile).start().awaitTermination()
