@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import Tables
+
 
 def pairs(rows: DataFrame, block: Sequence[str], id: str, keep: Sequence[str] = (), residual: str | None = None, most: int | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of rows that share the block key (null keys match nothing); kept columns appear as
@@ -71,8 +73,15 @@ def pair_signals(one: DataFrame, two: DataFrame, first: str, second: str) -> Dat
 
 
 def fill_down(rows: DataFrame, column: str, order: str) -> DataFrame:
-    """The last value above, where a sheet's header rows name their followers.  A sheet has few rows: one partition."""
-    return rows.withColumn(column, F.last(column, ignorenulls=True).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    """The last value above, where a sheet's header rows name their followers.  Rows are range-partitioned by the order and filled inside
+    each range; what a range begins without comes from the ranges before it, one row each."""
+    part = Tables(rows.sparkSession).keep(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    within = F.last(column, ignorenulls=True).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = part.groupBy("_range").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("_end"))
+    above = F.last("_end", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.withColumn("_above", above).select(F.col("_range").alias("_of"), "_above")
+    out = part.withColumn(column, within).join(carried, F.col("_range") == F.col("_of"), "left")
+    return out.withColumn(column, F.coalesce(column, "_above")).select(*rows.columns)
 
 
 def sequential_codes(rows: DataFrame, group: str, name: str, order: str) -> DataFrame:

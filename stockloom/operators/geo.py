@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 
 
-def nearest(points: DataFrame, labelled: DataFrame, id: str, code: str) -> DataFrame:
-    """The code of the nearest labelled point (squared equirectangular distance, cosine of the candidate's latitude).
-    The labelled side is a gazetteer of a fixed size (a country's municipalities), checked before it is broadcast."""
-    if labelled.limit(200_001).count() > 200_000:
-        raise ValueError("the gazetteer is too large to broadcast; use nearest_in_block")
-    c = labelled.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col(code).alias("_code"))
+def nearest(points: DataFrame, labelled: DataFrame, id: str, code: str, cells: tuple[float, ...] = (0.5, 4.0, 360.0)) -> DataFrame:
+    """The code of the nearest labelled point (squared equirectangular distance, cosine of the candidate's latitude; ties to the smaller code).
+    Points meet the labels of their grid cell and its neighbours, which hold every label nearer than one cell's width; a point whose
+    best is not surely nearer than that goes on to wider cells, the last of which hold the whole globe."""
+    c = labelled.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col(code).alias("_code")).dropna(subset=["_lat", "_lon"])
+    left = points.dropna(subset=["lat", "lon"]).select(id, "lat", "lon").crossJoin(F.broadcast(c.agg(F.min(F.cos(F.radians("_lat"))).alias("_cos"))))  # one row
     d2 = F.pow(F.col("lat") - F.col("_lat"), 2) + F.pow((F.col("lon") - F.col("_lon")) * F.cos(F.radians("_lat")), 2)
-    return points.dropna(subset=["lat", "lon"]).crossJoin(F.broadcast(c)).groupBy(id).agg(F.min_by("_code", F.struct(d2, "_code")).alias(code))
+    out = None
+    for size in cells:
+        at = lambda x, size=size: F.floor(F.col(x) / size).cast("int")
+        around = lambda x, at=at: F.explode(F.sequence(at(x) - 1, at(x) + 1))
+        near = c.withColumn("_i", around("_lat")).withColumn("_j", around("_lon"))
+        hit = left.withColumns({"_i": at("lat"), "_j": at("lon")}).join(near, ["_i", "_j"]).groupBy(id).agg(F.min_by("_code", F.struct(d2, "_code")).alias(code), F.min(d2).alias("_d2"), F.min("_cos").alias("_cos"))
+        sure = hit if size == cells[-1] else hit.where(F.col("_d2") < F.pow(size * F.col("_cos"), 2))
+        out = sure.select(id, code) if out is None else out.union(sure.select(id, code))
+        left = left.join(sure.select(id), id, "left_anti")
+    return out
 
 
 def nearest_in_block(points: DataFrame, labelled: DataFrame, block: str, id: str, code: str, most_km: float = 30.0) -> DataFrame:

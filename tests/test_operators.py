@@ -175,3 +175,30 @@ def test_a_stream_of_snapshots_advances_its_state(spark, tmp_path):
     assert {(r["k"], r["event"]) for r in one.collect()} == {("a", "UNCHANGED"), ("b", "GONE"), ("c", "NEW")}
     two = incremental.stream_reconcile(spark, old, snapshot(("a", 12), ("c", 5)), ["k"], "seq", at).where("batch = 1")
     assert {(r["k"], r["event"]) for r in two.collect()} == {("a", "PRICE_CHANGE"), ("c", "UNCHANGED")}
+
+
+def test_nearest_equals_brute_force(spark):
+    """Close and far points, a label at a high latitude, ties to the smaller code."""
+    import math
+    import random
+
+    from stockloom.operators import geo
+
+    rng = random.Random(3)
+    labels = [(f"c{i:03}", rng.uniform(36, 43), rng.uniform(-9, 3)) for i in range(80)] + [("north", 70.0, 20.0), ("b", 40.0, 0.5), ("a", 40.0, 1.5)]
+    spots = [(i, rng.uniform(36, 43), rng.uniform(-9, 3)) for i in range(60)] + [(100, -50.0, 170.0), (101, 69.0, 30.0), (102, 40.0, 1.0), (103, None, 1.0)]
+    got = {r["id"]: r["code"] for r in geo.nearest(spark.createDataFrame(spots, "id int, lat double, lon double"), spark.createDataFrame(labels, "code string, lat double, lon double"), "id", "code").collect()}
+    d2 = lambda p, c: ((p[1] - c[1]) ** 2 + ((p[2] - c[2]) * math.cos(math.radians(c[1]))) ** 2, c[0])
+    assert got == {p[0]: min(labels, key=lambda c: d2(p, c))[0] for p in spots if p[1] is not None}
+
+
+def test_fill_down_over_ranges(spark):
+    from stockloom.operators import blocking
+
+    rows = [(i, f"h{i}" if i in (3, 40, 41) else None) for i in range(200)]
+    got = blocking.fill_down(spark.createDataFrame(rows, "i int, h string").repartition(8), "h", "i").orderBy("i").collect()
+    want, last = [], None
+    for i, h in rows:
+        last = h or last
+        want.append((i, last))
+    assert [tuple(r) for r in got] == want
