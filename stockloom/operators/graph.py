@@ -54,7 +54,8 @@ def spread_join(rows: DataFrame, of: DataFrame, on: Column, spread: Column, how:
     that holds a third of all rows never meets in one task, at the price of `ways` copies of the rows of `of`."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(ways)).cast("int"))
     many = of.withColumn("_ways", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
-    return salted.join(many, on & (F.col("_salt") == F.col("_ways")), how).drop("_salt", "_ways")
+    # merged at every size: the copies of `of` grow with the input, and their size is easily underestimated
+    return salted.join(many.hint("merge"), on & (F.col("_salt") == F.col("_ways")), how).drop("_salt", "_ways")
 
 
 def forests(edges: DataFrame) -> DataFrame:
