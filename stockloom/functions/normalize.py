@@ -198,9 +198,18 @@ def percent(a: Column, b: Column) -> Column:
 
 
 def address_parts(c: Column) -> Column:
-    """street, postcode and municipality of `street, 12345 municipality`."""
-    pattern = r"^(.*?),?\s*(\d{5})\s+(.+)$"
-    return F.struct(*(F.nullif(F.trim(F.regexp_extract(c, pattern, i)), F.lit("")).alias(n) for i, n in enumerate(("street", "postcode", "municipality"), 1)))
+    """postcode, town and province of an address.  With commas the last part is the province and the one before it the town; of
+    two parts, where the first has a wide gap, the town follows the gap.  Without commas the same by dashes.  Postcodes and
+    loose dashes are taken off; an address of one part has neither town nor province."""
+    bare = lambda x, off=" -": F.regexp_replace(F.regexp_replace(x, r"\b\d{5}\b", ""), f"^[{off}]+|[{off}]+$", "")
+    pieces = lambda x, by: F.filter(F.transform(F.split(x, by), lambda p: F.trim(p)), lambda p: p != "")
+    at = lambda x, i: F.try_element_at(x, F.lit(i))
+    commas, dashes = pieces(F.translate(c, "–—", "--"), ","), pieces(c, "-")
+    tail = F.nullif(F.trim(at(F.split(at(commas, 1), r"\s{2,}"), -1)), F.lit(""))
+    gap = (F.size(commas) == 2) & at(commas, 1).rlike(r"\s{2,}")
+    town = F.when(F.size(commas) >= 2, bare(F.when(gap, F.coalesce(tail, at(commas, -2))).otherwise(at(commas, -2)))).when(F.size(dashes) >= 2, bare(at(dashes, -2), " "))
+    province = F.when(F.size(commas) >= 2, at(commas, -1)).when(F.size(dashes) >= 2, at(dashes, -1))
+    return F.struct(F.nullif(F.regexp_extract(c, r"\b(\d{5})\b", 1), F.lit("")).alias("postcode"), town.alias("town"), bare(province, " .-").alias("province"))
 
 
 def origin_key(source: Column, phase: Column, code_: Column) -> Column:

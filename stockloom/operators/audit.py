@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import normalize as N
+
 
 def quorum(paths: DataFrame, key: str, tolerance: float) -> DataFrame:
     """Rows (key, seq, value) -> key, verdict, divergence.  Null values are dropped; the first path is the primary.  Fewer than
@@ -19,14 +21,50 @@ def quorum(paths: DataFrame, key: str, tolerance: float) -> DataFrame:
     return primary.join(stats, key, "left").select(key, verdict.alias("verdict"), divergence.alias("divergence"))
 
 
-def coverage(declared: DataFrame, captured: DataFrame, floor: float = 0.85) -> DataFrame:
-    """Declared (source, declared_total, coverage_floor) and captured (source, captured_db) -> ratio, verdict and alert."""
-    own = declared.join(captured, "source", "left").withColumn("captured_db", F.coalesce("captured_db", F.lit(0)))
-    ratio = F.when(F.col("declared_total") > 0, F.col("captured_db") / F.col("declared_total"))
-    hi, lo = F.greatest("declared_total", "captured_db"), F.least("declared_total", "captured_db")
-    verdict = F.when(ratio.isNull(), "UNVERIFIED").when((hi - lo) / hi <= 0.30, "TRUSTWORTHY").otherwise("REFUTED")
-    alert = F.coalesce((ratio < F.coalesce("coverage_floor", F.lit(floor))) | (ratio > 1.15), F.lit(False))
-    return own.select("source", "declared_total", "captured_db", ratio.alias("coverage"), verdict.alias("verdict"), alert.alias("alert"))
+def coverage(declared: DataFrame, captured: DataFrame, edges: DataFrame, floor: float = 0.85, ceiling: float = 1.15, tolerance: float = 0.30) -> DataFrame:
+    """Declared (source, declared_total, coverage_floor, captured_distinct), captured (source, captured_db) and edges (source, db_edges) ->
+    ratio, verdict and the side of an alert.  The quorum (A14) asks the captured rows, the declared total and, where it is known, the
+    harvest's own count; edges are ours as well and stay a figure beside it.  Nothing declared: no ratio, counts of 0, UNVERIFIED, no alert."""
+    own = declared.join(captured, "source", "left").join(edges, "source", "left").withColumn("_on", F.coalesce(F.col("declared_total") > 0, F.lit(False)))
+    own = own.withColumns({c: F.when(F.col("_on"), F.coalesce(c, F.lit(0))).otherwise(0) for c in ("captured_db", "db_edges")})
+    paths = own.where("_on").select("source", F.posexplode(F.array(*(F.col(c).cast("long") for c in ("captured_db", "declared_total", "captured_distinct")))).alias("seq", "value"))
+    ratio = F.when(F.col("_on"), F.col("captured_db") / F.col("declared_total"))
+    alert = F.when(ratio < F.coalesce("coverage_floor", F.lit(floor)), "under").when(ratio > ceiling, "over")
+    out = own.join(quorum(paths, "source", tolerance).select("source", "verdict"), "source", "left")
+    return out.select("source", "declared_total", "captured_db", "db_edges", ratio.alias("coverage"), F.coalesce("verdict", F.lit("UNVERIFIED")).alias("verdict"), alert.alias("alert"))
+
+
+def count_verdict(counts: DataFrame, key: str, first: str, second: str, tolerance: float = 0.0) -> DataFrame:
+    """Rows of key and two counts -> the same with the quorum's verdict; the first count is the primary."""
+    paths = counts.select(key, F.posexplode(F.array(F.col(first).cast("long"), F.col(second).cast("long"))).alias("seq", "value"))
+    return counts.join(quorum(paths, key, tolerance), key)
+
+
+def segment_coverage(rows: DataFrame, ratio: float, total: int, place: str = "province_code") -> DataFrame:
+    """Rows (place, base, served, leads, people) -> the apportioned denominator round(base x ratio), the share served and the share found
+    (served and leads) of it in percent, 0 without one, the verdict, and the place's part of `total` by people; the last row, ES, is the nation.
+    Rounding is half to even."""
+    even = lambda c: F.bround(c, 0).cast("long")
+    people = rows.agg(F.sum("people").alias("_people"))
+    own = rows.crossJoin(F.broadcast(people)).select(place, "served", "leads", even(F.col("base") * F.lit(ratio)).alias("want"), even(F.lit(total) * F.col("people") / F.col("_people")).alias("part"))  # one row
+    all_ = own.union(own.agg(F.lit("ES"), F.sum("served"), F.sum("leads"), F.sum("want"), F.sum("part")))
+    share = lambda n: F.when(F.col("want") > 0, n / F.col("want") * 100).otherwise(0.0)
+    pct = share(F.col("served"))
+    return all_.select(place, "served", "leads", "want", "part", pct.alias("served_pct"), share(F.col("served") + F.col("leads")).alias("found_pct"), F.when(pct >= 85, "SELLADO").when(pct >= 50, "COB-PARCIAL").otherwise("GAP-CON-CAUSA").alias("verdict"))
+
+
+#: Actions that cost money, and so are only noted; actions whose alert is critical.
+COSTLY = ("refingerprint", "escalate_tier", "re_receta")
+CRITICAL = ("re_receta", "escalate_owner")
+
+
+def repair_log(failures: DataFrame) -> DataFrame:
+    """Failures (source_key, phase, cdp_code, reason, http_status) -> the log of repairs: action (F33), whether it is done, the origin (F32) and
+    severity of its alert, and the outcome."""
+    own = failures.withColumn("action", N.repair_action(F.col("reason"), F.col("http_status")))
+    costly = F.col("action").isin(*COSTLY)
+    severity = F.when(F.col("action").isin(*CRITICAL), "critical").otherwise("warning")
+    return own.withColumns({"succeeded": ~costly, "origin": N.origin_key(F.col("source_key"), F.col("phase"), F.col("cdp_code")), "severity": severity, "outcome": F.when(costly, "pending").otherwise("applied")})
 
 
 def chapman(overlap: DataFrame) -> DataFrame:

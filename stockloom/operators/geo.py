@@ -41,28 +41,117 @@ def cascade(*tiers: tuple[str, Column]) -> tuple[Column, Column]:
     return F.coalesce(*(c for _, c in tiers)), F.coalesce(*(F.when(c.isNotNull(), F.lit(n)) for n, c in tiers))
 
 
-def token_windows(rows: DataFrame, id: str, text: str, most: int = 5) -> DataFrame:
-    """Every window of up to `most` neighbouring words of a folded text: id, w, len (words), longest (longest word)."""
+#: Articles and connectives, which place nothing.
+CONNECTIVES = ("de", "del", "la", "el", "las", "los", "da", "das", "dos", "i", "y", "l", "les", "sa", "es", "son")
+#: Spellings of towns that no folding bridges.
+TOWN_PROVINCES = {"oyarzun": "20", "san ciprian de vinas": "32"}
+#: Names of provinces that no folding bridges.
+PROVINCE_NAMES = {
+    "alava": "01", "araba": "01",
+    "menorca": "07", "mallorca": "07", "ibiza": "07", "eivissa": "07", "formentera": "07", "islas baleares": "07", "illes balears": "07",
+    "a coruna": "15", "la coruna": "15",
+    "guipuzcoa": "20", "gipuzkoa": "20",
+    "las palmas": "35", "gran canaria": "35", "fuerteventura": "35", "lanzarote": "35",
+    "la rioja": "26",
+    "vizcaya": "48", "bizkaia": "48",
+    "gerona": "17", "lerida": "25", "orense": "32",
+    "tenerife": "38", "santa cruz de tenerife": "38",
+    "castellon": "12", "castello": "12",
+}
+
+
+def named(c: Column, values: dict[str, str]) -> Column:
+    return F.coalesce(*(F.when(c == k, v) for k, v in values.items()))
+
+
+def spellings(c: Column) -> Column:
+    """A name, and its parts where it is given in two languages or with a trailing article."""
+    return F.array_union(F.array(c), F.split(c, "[/,]"))
+
+
+def solid(words: Column) -> Column:
+    """Words without articles, connectives and blanks."""
+    return F.filter(words, lambda w: (w != "") & ~w.isin(*CONNECTIVES))
+
+
+def province_names(provinces: DataFrame, name: str = "name", code: str = "code") -> DataFrame:
+    """(w, code): folded names of provinces, their spellings and sorted words, then the fixed further names; a name of two provinces is the
+    smaller code's, and a table's name goes before a fixed one."""
+    own = provinces.select(F.explode(F.array_union(F.transform(spellings(F.col(name)), N.geo_key), F.array(N.sorted_tokens(F.col(name))))).alias("w"), F.col(code).alias("code"), F.lit(0).alias("o"))
+    fixed = provinces.sparkSession.createDataFrame([(w, c, 1) for w, c in PROVINCE_NAMES.items()], "w string, code string, o int")
+    return own.union(fixed).where("w <> ''").groupBy("w").agg(F.min_by("code", F.struct("o", "code")).alias("code"))
+
+
+def token_windows(rows: DataFrame, id: str, text: str, most: int = 8) -> DataFrame:
+    """Every window of up to `most` neighbouring words of a folded text that holds a word of three letters which is no connective:
+    id, w, len (words), at (first word)."""
     words = F.filter(F.split(N.geo_key(F.col(text)), " "), lambda x: x != "")
     own = rows.select(id, words.alias("_w")).where(F.size("_w") > 0)
     at = own.withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("_w")))).withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("_w") - F.col("_i") + 1))))
     part = F.expr("slice(_w, _i, _n)")
-    return at.select(id, F.array_join(part, " ").alias("w"), F.col("_n").alias("len"), F.array_max(F.transform(part, F.length)).alias("longest"))
+    return at.where(F.exists(solid(part), lambda w: F.length(w) >= 3)).select(id, F.array_join(part, " ").alias("w"), F.col("_n").alias("len"), F.col("_i").alias("at"))
 
 
 def window_lookup(rows: DataFrame, id: str, text: str, names: DataFrame, name: str, code: str) -> DataFrame:
-    """The code of the longest window that is a name and holds a word of three letters; ties to the smaller code."""
-    hit = token_windows(rows, id, text).where("longest >= 3").join(names.select(F.col(name).alias("w"), code), "w")
-    return hit.groupBy(id).agg(F.max_by(code, F.struct("len", F.length("w"), F.col("w"))).alias(code))
-
-
-def geo_bucket(province: Column, city: Column, lat: Column, exact: Column) -> Column:
-    """How well a seller can be placed."""
+    """The code of the longest window (in words, then the first) that is a name of at most eight words."""
+    hit = token_windows(rows, id, text).join(names.select(F.col(name).alias("w"), code), "w")
+    return hit.groupBy(id).agg(F.max_by(code, F.struct("len", -F.col("at"))).alias(code))
+
+
+def free_text_province(rows: DataFrame, id: str, town: str, seller: str, provinces: DataFrame, municipalities: DataFrame) -> DataFrame:
+    """(id, province, tier) of rows with a town, by six ordered tiers: a town's fixed spelling; the whole text as a province's name or code; the
+    longest window of words that is one; the first solid word and all others within names of municipalities of one province only; solid words that are each a
+    municipality's whole name, of one province together; a window of the seller's name.  provinces is (w, code), see province_names;
+    municipalities (name, province_code).  Nothing found: nulls."""
+    key = F.trim(F.col(town))
+    q = rows.where(F.length(town) > 0).select(id, town, seller, N.geo_key(F.col(town)).alias("_n"), N.sorted_tokens(F.col(town)).alias("_s"))
+    q = q.withColumn("_k", F.when(key.rlike("^[0-9]+$"), F.when(F.length(key) < 2, F.lpad(key, 2, "0")).otherwise(key)).otherwise(F.col("_n"))).withColumn("_q", solid(F.split("_n", " ")))
+    m = municipalities.select(F.explode(F.transform(spellings(F.col("name")), N.geo_key)).alias("_m"), "province_code").where("_m <> ''").distinct()
+    one = lambda hits, tier: hits.groupBy(id).agg(F.min("province_code").alias(tier), F.count_distinct("province_code").alias("_c")).where("_c = 1").drop("_c")
+    codes = municipalities.select(F.col("province_code").alias("w"), F.col("province_code").alias("code")).distinct()
+    whole = provinces.select("w", "code").union(codes)
+    first, second = (whole.select(F.col("w").alias(k), F.col("code").alias(c)) for k, c in (("_k", "_whole"), ("_s", "_sorted")))
+    part = m.withColumn("_v", solid(F.split("_m", " "))).where(F.size("_v") > 0).withColumn("_h", F.get("_v", F.lit(0)))
+    subset = one(q.where(F.size("_q") > 0).withColumn("_h", F.get("_q", F.lit(0))).join(part, "_h").where(F.size(F.array_except("_q", "_v")) == 0), "_subset")
+    alone = m.groupBy("_m").agg(F.min("province_code").alias("province_code"), F.count("*").alias("_c")).where("_c = 1").drop("_c")
+    token = one(q.select(id, F.explode("_q").alias("_m")).join(alone, "_m"), "_token")
+    scan = lambda text, tier: window_lookup(q, id, text, provinces, "w", "code").withColumnRenamed("code", tier)
+    all_ = q.join(first, "_k", "left").join(second, "_s", "left")
+    for hits in (scan(town, "_window"), subset, token, scan(seller, "_seller")):
+        all_ = all_.join(hits, id, "left")
+    tiers = ("alias", named(F.col("_n"), TOWN_PROVINCES)), ("whole", F.coalesce("_whole", "_sorted")), *((t, F.col(f"_{t}")) for t in ("window", "subset", "token", "seller"))
+    found, tier = cascade(*tiers)
+    return all_.select(id, found.alias("province"), tier.alias("tier"))
+
+
+def backfill(sellers: DataFrame, municipalities: DataFrame, postcodes: DataFrame, id: str) -> DataFrame:
+    """(id, code, source, km) of sellers placed by the nearest municipality of their province within 30 km (reverse_knn), else by a
+    postcode of one municipality only (postcode).  postcodes is (codigo_postal, codes)."""
+    near = nearest_in_block(sellers, municipalities, "province_code", id, "code")
+    only = postcodes.where(F.size("codes") == 1).select(F.col("codigo_postal").alias("postcode"), F.col("codes")[0].alias("_post"))
+    at = sellers.select(id, "postcode").join(near, id, "left").join(only, "postcode", "left")
+    code, source = cascade(("reverse_knn", F.col("code")), ("postcode", F.col("_post")))
+    return at.select(id, code.alias("code"), source.alias("source"), F.when(F.col("code").isNotNull(), F.col("km")).alias("km")).where("code is not null")
+
+
+def place_by_name(places: DataFrame, provinces: DataFrame, municipalities: DataFrame, id: str) -> DataFrame:
+    """(id, province, municipality) of places (locality, lat, lon): the locality as a province's name and as a municipality's in it, then the
+    nearest labelled municipality for each of the two that is still missing (within 30 km for the municipality)."""
+    own = places.select(id, "lat", "lon", N.geo_key(F.col("locality")).alias("w")).join(provinces.select("w", F.col("code").alias("_named")), "w", "left")
+    inside = municipalities.select(F.explode(F.array_distinct(F.transform(spellings(F.col("name")), N.geo_key))).alias("w"), F.col("province_code").alias("_named"), "code").where("length(w) >= 4").groupBy("w", "_named").agg(F.min("code").alias("_inside"))
+    own = own.join(inside, ["w", "_named"], "left").join(nearest(places, municipalities, id, "province_code").withColumnRenamed("province_code", "_near"), id, "left")
+    own = own.withColumn("province_code", F.coalesce("_named", "_near"))
+    near = nearest_in_block(own, municipalities, "province_code", id, "code").select(id, "code")
+    return own.join(near, id, "left").select(id, F.col("province_code").alias("province"), F.coalesce("_inside", "code").alias("municipality"))
+
+
+def geo_bucket(province: Column, city: Column, lat: Column, exact: Column, fuzzy: Column) -> Column:
+    """How well a seller can be placed; fuzzy is a municipality's name that is like the town's."""
     has = lat.isNotNull()
     return (
         F.when(province.isNull(), F.when(has, "LATLON_ONLY").otherwise("NO_GEO"))
         .when(~N.filled(city), F.when(has, "LATLON_ONLY").otherwise("NO_CITY"))
-        .when(exact.isNotNull(), "EXACT").when(has, "LATLON_ONLY").otherwise("NO_GEO")
+        .when(exact.isNotNull(), "EXACT").when(fuzzy.isNotNull(), "FUZZY_RECOVERABLE").when(has, "LATLON_ONLY").otherwise("NO_GEO")
     )
 
 

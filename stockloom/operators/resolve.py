@@ -195,3 +195,43 @@ def excess(rows: DataFrame, key: list[str], platform: str) -> DataFrame:
     """Rows beyond the first of each key that is on two or more platforms."""
     g = rows.dropna(subset=key).groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct(platform).alias("p")).where("p >= 2")
     return g.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("excess"), F.count("*").alias("groups"))
+
+
+def match_tiers(edges: DataFrame) -> DataFrame:
+    """Pairs by signal and tier of their probability; edges as of cross_source_edges."""
+    has = lambda w: F.contains("reasons", F.lit(w))
+    signal = F.when(has("phone") & has("host"), "phone+website").when(has("phone"), "phone").when(has("host"), "website").otherwise("name")
+    tier = F.when(F.col("probability") >= 0.95, "high").when(F.col("probability") >= 0.80, "medium").otherwise("low")
+    return edges.groupBy(signal.alias("signal"), tier.alias("tier")).agg(F.count("*").alias("pairs"))
+
+
+def vehicle_sanity(cars: DataFrame, clustered: DataFrame, sellers: DataFrame, giant: int = 20, id: str = "vehicle_ulid") -> DataFrame:
+    """One row: clusters whose cars' sellers are in more than one province, clusters over `giant`, cars without a cluster, repeated
+    rows, and single cars with a signal."""
+    at = clustered.join(cars.select(id, "entity_ulid"), id).join(sellers.select("entity_ulid", "province_code"), "entity_ulid", "left")
+    per = at.groupBy("canonical_ulid").agg(F.count_distinct("province_code").alias("p"), F.max("cluster_size").alias("size"))
+    one = per.agg(F.count_if(F.col("p") > 1).alias("cross_province"), F.count_if(F.col("size") > giant).alias("giants"))
+    rows = clustered.agg(F.count("*").alias("n"), F.count_distinct(id).alias("d"), F.count_if((F.col("cluster_size") == 1) & (F.col("match_signal") != "none")).alias("singletons_with_signal"))
+    all_ = cars.agg(F.count("*").alias("cars")).crossJoin(rows).crossJoin(one)  # one row each
+    return all_.select("cross_province", "giants", (F.col("cars") - F.col("n")).alias("uncovered"), (F.col("n") - F.col("d")).alias("repeated"), "singletons_with_signal")
+
+
+def dealer_sanity(sellers: DataFrame, clustered: DataFrame, chain: str, id: str = "entity_ulid", source: str = "source_group") -> DataFrame:
+    """One row: groups of equal source, name and municipality and how many are one cluster (recall), clusters over municipalities without any
+    website or phone (precision), the canonicals and municipalities of a chain (names like `chain`), and the largest cluster."""
+    at = sellers.select(id, source, "trade_name", "municipality_code", "kind", "website", "phone").join(clustered.select(id, "canonical_ulid", "cluster_size"), id)
+    firms = at.where("kind <> 'particular'")
+    same = firms.dropna(subset=["municipality_code"]).groupBy(source, "trade_name", "municipality_code").agg(F.count("*").alias("n"), F.count_distinct("canonical_ulid").alias("c")).where("n > 1")
+    same = same.agg(F.count("*").alias("same_name_groups"), F.count_if(F.col("c") == 1).alias("same_name_merged"))
+    filled = lambda c: F.count_distinct(F.nullif(c, F.lit("")))
+    per = at.groupBy("canonical_ulid").agg(F.count_distinct("municipality_code").alias("m"), filled("website").alias("w"), filled("phone").alias("p"), F.max("cluster_size").alias("size"))
+    per = per.agg(F.count_if((F.col("m") > 1) & (F.col("w") == 0) & (F.col("p") == 0) & (F.col("size") > 1)).alias("unsupported"), F.max("size").alias("largest"))
+    chained = firms.where(F.col("trade_name").ilike(chain)).agg(F.count_distinct("canonical_ulid").alias("chain_canonicals"), F.count_distinct("municipality_code").alias("chain_municipalities"))
+    return same.crossJoin(per).crossJoin(chained)  # one row each
+
+
+def cross_source_sanity(rows: DataFrame, edges: DataFrame, id: str = "entity_ulid") -> DataFrame:
+    """One row: the pairs, those whose sides share a source, and those of a chain by name alone."""
+    side = lambda p: rows.select(F.col(id).alias(p), F.col("source_keys").alias(f"{p}_src"), F.coalesce(F.col("trade_name").rlike(CHAIN), F.lit(False)).alias(f"{p}_chain"))
+    at = edges.join(side("a"), "a").join(side("b"), "b")
+    return at.agg(F.count("*").alias("edges"), F.count_if(F.arrays_overlap("a_src", "b_src")).alias("intra_source"), F.count_if((F.col("reasons") == "name") & (F.col("a_chain") | F.col("b_chain"))).alias("chain_name_only"))

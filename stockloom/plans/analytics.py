@@ -189,9 +189,12 @@ def _(x):
     return x.vehicle.groupBy("segment").agg((N.percent(F.count_if(F.col("status") == "gone"), F.count("*")) > 10).alias("over10"))
 
 
-@Q("f31_address", "SELECT entity_ulid, CASE WHEN address IS NOT NULL THEN regexp_extract(address, '^(.*?),', 1) END AS street, CASE WHEN address IS NOT NULL THEN regexp_extract(address, ', (\\d{5}) ', 1) END AS postcode FROM entity")
+_ADDRESS = "CASE n % 5 WHEN 0 THEN address || ', Lugo' WHEN 1 THEN 'CL UNO ' || CAST(n AS STRING) || '  LA LINEA, CADIZ 11300' WHEN 2 THEN 'CL DOS -07' || lpad(CAST(n % 1000 AS STRING), 3, '0') || ' - SOLLER -BALEARES.' WHEN 3 THEN 'CL TRES – 4, 17200 Palafrugell -, Girona.' ELSE address END"
+
+
+@Q("f31_address", f"SELECT entity_ulid, nullif(regexp_extract(a, '\\b(\\d{{5}})\\b', 1), '') AS postcode, CASE n % 5 WHEN 1 THEN 'LA LINEA' WHEN 2 THEN 'SOLLER' WHEN 3 THEN 'Palafrugell' WHEN 0 THEN trim(regexp_extract(a, ', \\d{{5}} (.*), Lugo', 1)) ELSE regexp_extract(a, '^(.*?),', 1) END AS town, CASE n % 5 WHEN 1 THEN 'CADIZ' WHEN 2 THEN 'BALEARES' WHEN 3 THEN 'Girona' WHEN 0 THEN 'Lugo' ELSE regexp_extract(a, ', \\d{{5}} (.*)$', 1) END AS province FROM (SELECT entity_ulid, n, {_ADDRESS} AS a FROM entity) WHERE a IS NOT NULL")
 def _(x):
-    return x.entity.select("entity_ulid", N.address_parts(F.col("address")).alias("p")).select("entity_ulid", "p.street", "p.postcode")
+    return x.entity.withColumn("a", F.expr(_ADDRESS)).dropna(subset=["a"]).select("entity_ulid", N.address_parts(F.col("a")).alias("p")).select("entity_ulid", "p.*")
 
 
 @Q("f32_origin", "SELECT run_id, source_key || ':fetch' || CASE WHEN ok THEN '' ELSE ':500' END AS origin FROM run")
@@ -323,6 +326,13 @@ def _(x):
     return a.join(first, (a["origin"] == first["origin"]) & (a["opened_at"] == first["at"])).select(a["origin"], "first_message", "raised", F.col("resolved_at").isNotNull().alias("resolved"))
 
 
+@Q("d14_repair_log", f"SELECT doc_id, action, action IN ('quarantine', 'escalate_owner') AS succeeded, CASE WHEN action IN ('re_receta', 'escalate_owner') THEN 'critical' ELSE 'warning' END AS severity, CASE WHEN action IN ('quarantine', 'escalate_owner') THEN 'applied' ELSE 'pending' END AS outcome, coalesce(d.source || ':', '') || 'scrape' || CASE WHEN doc_id % 3 = 0 THEN ':CDP-' || doc_id ELSE '' END AS origin FROM ({_F33}) f JOIN (SELECT DISTINCT doc_id, source FROM documents) d USING (doc_id)")
+def _(x):
+    k = F.col("doc_id")
+    failures = x.table("documents").select(k, F.col("source").alias("source_key"), F.lit("scrape").alias("phase"), F.when(k % 3 == 0, F.concat(F.lit("CDP-"), k.cast("string"))).alias("cdp_code"), F.col("text").alias("reason"), F.when(k % 40 == 0, 403).when(k % 40 == 1, 429).when(k % 40 == 2, 500).alias("http_status"))
+    return audit.repair_log(failures).select("doc_id", "action", "succeeded", "severity", "outcome", "origin")
+
+
 @Q("d15_stream_dedup", "SELECT props, count(*) > 0 AS seen FROM events GROUP BY 1")
 def _(x):
     return incremental.stream_first_seen(x.spark, x.sf_dir).select("props").distinct().withColumn("seen", F.lit(True))
@@ -434,6 +444,14 @@ def _(x):
     return resolve.cross_source_edges(_sourced(x), ["geo"], ["web"]).select("a", "b", F.col("probability").cast("double").alias("probability"))
 
 
+_A21 = _CROSS.replace("\nSELECT a, b, CAST(", ",\nce AS (SELECT p, w, CAST(", 1) + ")"
+
+
+@Q("a21_match_tiers", f"WITH {_A21} SELECT CASE WHEN p AND w THEN 'phone+website' WHEN p THEN 'phone' WHEN w THEN 'website' ELSE 'name' END AS signal, CASE WHEN probability >= 0.95 THEN 'high' WHEN probability >= 0.80 THEN 'medium' ELSE 'low' END AS tier, count(*) AS pairs FROM ce GROUP BY 1, 2")
+def _(x):
+    return resolve.match_tiers(resolve.cross_source_edges(_sourced(x), ["geo"], ["web"]))
+
+
 _G11 = f"""WITH {_CROSS.replace("\nSELECT a, b, CAST(", ",\nce AS (SELECT a, b, CAST(", 1)}), sym AS (SELECT a AS s, b AS t FROM ce UNION SELECT b, a FROM ce), {_REACH.format(id='entity_ulid', rel='entity')},
 head AS (SELECT cluster, arg_min(entity_ulid, ({_RANKED}, created_at, coalesce(cdp_code, 'ZZZZ'), entity_ulid)) AS canonical_ulid FROM comp JOIN entity ON entity_ulid = id GROUP BY 1)
 SELECT id AS entity_ulid, canonical_ulid, size AS cluster_size, probability AS match_probability FROM comp JOIN head USING (cluster) LEFT JOIN ce ON (ce.a = id AND ce.b = canonical_ulid) OR (ce.b = id AND ce.a = canonical_ulid)"""
@@ -462,13 +480,13 @@ def _(x):
     return resolve.move_edges(x.edge, _vins(x), "vehicle_ulid", "platform_ulid").select("vehicle_ulid", "platform_ulid")
 
 
-@Q("g13_two_paths", "SELECT true AS agree FROM (SELECT 1)")
+@Q("g13_two_paths", "WITH g AS (SELECT l_partkey, l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) >= 2) SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS by_groups, CAST(coalesce(sum(n), 0) - count(*) AS BIGINT) AS by_pairs FROM g")
 def _(x):
     """The bound by an aggregate, and again from distinct pairs."""
-    one = resolve.excess(x.table("lineitem"), ["l_partkey", "l_quantity"], "l_suppkey")
+    one = resolve.excess(x.table("lineitem"), ["l_partkey", "l_quantity"], "l_suppkey").select(F.col("excess").alias("by_groups"))
     rows = x.table("lineitem").groupBy("l_partkey", "l_quantity", "l_suppkey").agg(F.count("*").alias("c"))
-    two = rows.groupBy("l_partkey", "l_quantity").agg(F.sum("c").alias("n"), F.count("*").alias("p")).where("p >= 2").agg(F.sum(F.col("n") - 1).alias("e"))
-    return one.crossJoin(two).select(F.col("excess").eqNullSafe(F.coalesce("e", F.lit(0))).alias("agree"))  # one row each
+    two = rows.groupBy("l_partkey", "l_quantity").agg(F.sum("c").alias("n"), F.count("*").alias("p")).where("p >= 2").agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("by_pairs"))
+    return one.crossJoin(two)  # one row each
 
 
 @Q("g14_link_merge", "SELECT vehicle_ulid AS folded, survivor FROM (SELECT vehicle_ulid, first_value(vehicle_ulid) OVER (PARTITION BY substr(deep_link, 1, 29) ORDER BY first_seen, vehicle_ulid) AS survivor FROM vehicle) WHERE vehicle_ulid <> survivor")
@@ -481,12 +499,30 @@ def _(x):
     return resolve.superseded(x.vehicle.where("status = 'gone'"), x.vehicle.where("status <> 'gone'"), "vin", "vehicle_ulid")
 
 
-@Q("g16_sanity", "SELECT true AS exact_cover, 0 AS singletons_with_signal")
+_G3_PARTS = f"{_FIRMA}, sym AS (SELECT a AS s, b AS t FROM ed UNION SELECT b, a FROM ed), {_REACH.format(id='vehicle_ulid', rel='car')}"
+
+
+@Q("g16_sanity", f"WITH {_G3_PARTS}, pv AS (SELECT cluster, count(DISTINCT e.province_code) AS n FROM comp JOIN car ON vehicle_ulid = id LEFT JOIN entity e ON e.entity_ulid = car.entity_ulid GROUP BY 1) SELECT (SELECT count(*) FROM pv WHERE n > 1) AS cross_province, (SELECT count(DISTINCT cluster) FROM comp WHERE size > 20) AS giants, (SELECT count(*) FROM car) - (SELECT count(*) FROM comp) AS uncovered, (SELECT count(*) FROM comp) - (SELECT count(DISTINCT id) FROM comp) AS repeated, (SELECT count(*) FROM comp WHERE size = 1 AND id IN (SELECT a FROM ed UNION SELECT b FROM ed)) AS singletons_with_signal")
+def _(x):
+    """Cars: clusters of two provinces, giants, cars covered not once, single cars with a signal."""
+    return resolve.vehicle_sanity(x.car, resolve.vehicle_clusters(x.car, resolve.vehicle_edges(x.car)), x.entity)
+
+
+_G6_PARTS = f"{_DEALER}, {_DEDGE}, sym AS (SELECT a AS s, b AS t FROM de UNION SELECT b, a FROM de), {_REACH.format(id='entity_ulid', rel='entity')}, j AS (SELECT comp.cluster, comp.size, e.* FROM comp JOIN entity e ON e.entity_ulid = comp.id)"
+
+
+@Q("g16_dealer_sanity", f"WITH {_G6_PARTS}, g AS (SELECT count(DISTINCT cluster) AS c FROM j WHERE kind <> 'particular' AND municipality_code IS NOT NULL GROUP BY source_group, trade_name, municipality_code HAVING count(*) > 1), fp AS (SELECT cluster FROM j GROUP BY 1 HAVING count(DISTINCT municipality_code) > 1 AND count(DISTINCT nullif(website, '')) = 0 AND count(DISTINCT nullif(phone, '')) = 0 AND max(size) > 1), ch AS (SELECT count(DISTINCT cluster) AS c, count(DISTINCT municipality_code) AS m FROM j WHERE trade_name ILIKE '%flexicar%' AND kind <> 'particular') SELECT count(*) AS same_name_groups, count(*) FILTER (WHERE c = 1) AS same_name_merged, (SELECT count(*) FROM fp) AS unsupported, (SELECT c FROM ch) AS chain_canonicals, (SELECT m FROM ch) AS chain_municipalities, (SELECT max(size) FROM j) AS largest FROM g")
 def _(x):
-    c = resolve.vehicle_clusters(x.car, resolve.vehicle_edges(x.car))
-    n = x.car.agg(F.count("*").alias("cars"))
-    s = c.agg(F.count("*").alias("rows"), F.count_distinct("vehicle_ulid").alias("ids"), F.count_if((F.col("cluster_size") == 1) != (F.col("match_signal") == "none")).alias("bad"))
-    return s.crossJoin(n).select(((F.col("rows") == F.col("cars")) & (F.col("ids") == F.col("cars"))).alias("exact_cover"), F.col("bad").cast("int").alias("singletons_with_signal"))
+    """Sellers: equal names of a source and municipality that are one cluster, clusters over municipalities without any website or phone, and whether
+    a chain stays apart by municipality."""
+    return resolve.dealer_sanity(x.entity, resolve.dealer_clusters(x.entity, resolve.dealer_links(x.entity)), "%flexicar%")
+
+
+@Q("g16_cross_source_sanity", f"WITH {_A21.replace('ce AS (SELECT p, w,', 'ce AS (SELECT a, b, p, w,')} SELECT count(*) AS edges, count(*) FILTER (WHERE x.g = y.g) AS intra_source, count(*) FILTER (WHERE NOT p AND NOT w AND (x.chain OR y.chain)) AS chain_name_only FROM ce JOIN s x ON x.id = a JOIN s y ON y.id = b")
+def _(x):
+    """Pairs across sources: pairs of one source, and chains linked by their name alone."""
+    rows = _sourced(x)
+    return resolve.cross_source_sanity(rows, resolve.cross_source_edges(rows, ["geo"], ["web"]))
 
 
 # --- serving

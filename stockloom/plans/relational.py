@@ -137,6 +137,18 @@ def _(x):
     return delta.upsert_flagged(x.old_car.select("k", "price"), x.new_car.select("k", "price"), ["k"])
 
 
+@Q("s21_append_events", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _(x):
+    """A log that two appends write: it holds the rows of both."""
+    from ..operators.graph import Tables
+
+    path = f"{Tables(x.spark).at}/log"
+    e = x.table("events").select("event_id", "event_type")
+    delta.append_events(e.where("event_id % 2 = 0"), path)
+    delta.append_events(e.where("event_id % 2 = 1"), path)
+    return x.spark.read.schema(e.schema).parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 @Q("s22_replace_run", "SELECT CAST(k % 3 AS INTEGER) AS run_id, k FROM old_car")
 def _(x):
     """The same run written twice stays one."""
@@ -287,10 +299,22 @@ def _(x):
     return x.web.select("page_id", payloads.probe_label(F.col("url"), F.col("page_id") % 7 != 0, F.col("page_id") % 5, F.col("page_id") % 4).alias("label"))
 
 
-@Q("p18_geo_bucket", "SELECT b, count(*) AS n FROM (SELECT CASE WHEN province_code IS NULL THEN CASE WHEN lat IS NOT NULL THEN 'LATLON_ONLY' ELSE 'NO_GEO' END WHEN address IS NULL THEN CASE WHEN lat IS NOT NULL THEN 'LATLON_ONLY' ELSE 'NO_CITY' END WHEN municipality_code IS NOT NULL THEN 'EXACT' WHEN lat IS NOT NULL THEN 'LATLON_ONLY' ELSE 'NO_GEO' END AS b FROM entity) GROUP BY b")
+_P18_TOWN = "CASE n % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'Villa ' || CAST(n % 8 AS STRING) WHEN 3 THEN 'Vila ' || CAST(n % 8 AS STRING) ELSE 'Quxquz' END"
+
+
+@Q("p18_geo_bucket", f"SELECT b, count(*) AS n FROM (SELECT CASE WHEN province_code IS NULL THEN CASE WHEN lat IS NOT NULL THEN 'LATLON_ONLY' ELSE 'NO_GEO' END WHEN coalesce(trim(t), '') = '' THEN CASE WHEN lat IS NOT NULL THEN 'LATLON_ONLY' ELSE 'NO_CITY' END WHEN starts_with(t, 'Villa') AND EXISTS (SELECT 1 FROM municipality m WHERE m.province_code = e.province_code AND lower(m.name) = lower(t)) THEN 'EXACT' WHEN starts_with(t, 'Vil') AND EXISTS (SELECT 1 FROM municipality m WHERE m.province_code = e.province_code) THEN 'FUZZY_RECOVERABLE' WHEN lat IS NOT NULL THEN 'LATLON_ONLY' ELSE 'NO_GEO' END AS b FROM (SELECT *, {_P18_TOWN} AS t FROM entity) e) GROUP BY b")
 def _(x):
-    b = geo.geo_bucket(F.col("province_code"), F.col("address"), F.col("lat"), F.col("municipality_code"))
-    return x.entity.groupBy(b.alias("b")).agg(F.count("*").alias("n"))
+    """Towns are compared once a province and name; candidates are a province's municipalities of at least half the town's length."""
+    from ..functions.python_udfs import weighted_ratio
+
+    e = x.entity.withColumn("town", F.expr(_P18_TOWN)).withColumn("w", N.geo_key(F.col("town")))
+    m = x.municipality.select("province_code", N.geo_key(F.col("name")).alias("c")).distinct()
+    asked = e.select("province_code", "w").where("w <> ''").distinct()
+    exact = m.select("province_code", F.col("c").alias("w"), F.lit(True).alias("exact"))
+    fits = asked.join(m, "province_code").where("length(c) >= greatest(4, length(w) div 2)").withColumn("score", weighted_ratio("w", "c")).where("score >= 88")
+    like = fits.groupBy("province_code", "w").agg(F.max_by("c", F.struct("score", "c")).alias("like"))
+    at = e.join(exact, ["province_code", "w"], "left").join(like, ["province_code", "w"], "left")
+    return at.groupBy(geo.geo_bucket(F.col("province_code"), F.col("town"), F.col("lat"), F.col("exact"), F.col("like")).alias("b")).agg(F.count("*").alias("n"))
 
 
 @Q("p19_owner_routing", "SELECT owner_kind, count(DISTINCT owner) AS owners, count(*) AS cars FROM (SELECT coalesce(e.entity_ulid, 'PLATFORM') AS owner, CASE WHEN e.entity_ulid IS NULL THEN 'platform' WHEN e.province_code IS NULL THEN 'national' ELSE 'placed' END AS owner_kind FROM vehicle v LEFT JOIN (SELECT * FROM entity WHERE status = 'active') e USING (entity_ulid)) GROUP BY 1")
@@ -466,10 +490,13 @@ def _(x):
     return x.attest.where("source_key = 'error'").join(c, "entity_ulid", "left_semi").select("entity_ulid")
 
 
-@Q("j23_photos_by_id", "SELECT page_id, 'p' || (page_id + 1) AS photo FROM web")
+@Q("j23_photos_by_id", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 > 0 THEN 'p' || max(l_partkey) END AS photo FROM lineitem GROUP BY 1, 2")
 def _(x):
-    photos = F.map_from_entries(F.array(F.struct(F.lit("x"), F.lit("no")), F.struct(F.col("page_id").cast("string"), F.concat(F.lit("p"), (F.col("page_id") + 1).cast("string")))))
-    return x.web.select("page_id", photos[F.col("page_id").cast("string")].alias("photo"))
+    """An order's payload has its ads and, for two in three, photos under the ads' ids."""
+    ads = x.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"))
+    photo = F.when(F.col("l_linenumber") % 3 > 0, F.struct("l_linenumber", F.concat(F.lit("p"), F.col("part").cast("string"))))
+    payload = ads.groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("ads"), F.map_from_entries(F.collect_list(photo)).alias("photos"))
+    return payload.select("l_orderkey", F.explode("ads").alias("l_linenumber"), "photos").select("l_orderkey", "l_linenumber", F.try_element_at("photos", "l_linenumber").alias("photo"))
 
 
 @Q("j24_geo_cascade", "SELECT e.entity_ulid, coalesce(m.province_code, p.code, 'K' || substr(CAST(e.n AS VARCHAR), 1, 1)) AS place, CASE WHEN m.province_code IS NOT NULL THEN 'municipality' WHEN p.code IS NOT NULL THEN 'province' ELSE 'fallback' END AS src FROM entity e LEFT JOIN municipality m ON e.municipality_code = m.code LEFT JOIN province p ON e.province_code = p.code")
@@ -479,6 +506,17 @@ def _(x):
     return x.entity.join(m, "municipality_code", "left").join(p, "province_code", "left").select("entity_ulid", place.alias("place"), src.alias("src"))
 
 
+_POST = "p1 AS (SELECT substr(address, length(address) - 12, 5) AS postcode, min(municipality_code) AS code FROM entity WHERE address IS NOT NULL AND municipality_code IS NOT NULL GROUP BY 1 HAVING count(DISTINCT municipality_code) = 1)"
+_NEAR = f"nr AS (SELECT entity_ulid, CASE WHEN km <= 30 THEN code END AS code, km FROM (SELECT entity_ulid, arg_min(code, (round(d2, 12), code)) AS code, arg_min(km, (round(d2, 12), code)) AS km FROM (SELECT e.entity_ulid, m.code, pow(e.lat - m.lat, 2) + pow((e.lon - m.lon) * cos(radians(e.lat)), 2) AS d2, {_KM} AS km FROM entity e JOIN municipality m USING (province_code) WHERE e.lat IS NOT NULL) GROUP BY 1))"
+
+
+@Q("j24_backfill", f"WITH {_POST}, {_NEAR} SELECT e.entity_ulid, coalesce(nr.code, p1.code) AS code, CASE WHEN nr.code IS NOT NULL THEN 'reverse_knn' ELSE 'postcode' END AS source, CASE WHEN nr.code IS NOT NULL THEN round(nr.km, 6) END AS km FROM entity e LEFT JOIN nr USING (entity_ulid) LEFT JOIN p1 ON p1.postcode = substr(e.address, length(e.address) - 12, 5) WHERE coalesce(nr.code, p1.code) IS NOT NULL")
+def _(x):
+    post = F.expr("substr(address, length(address) - 12, 5)")
+    index = readers.postcode_index(x.entity.dropna(subset=["address", "municipality_code"]).select(post.alias("codigo_postal"), F.col("municipality_code").alias("municipio_id")))
+    return geo.backfill(x.entity.withColumn("postcode", post), x.municipality, index, "entity_ulid").withColumn("km", F.round("km", 6))
+
+
 @Q("j25_attribution")
 def _(x):
     listings = x.entity.where("n % 2 = 0").select("entity_ulid", "phone", F.col("trade_name").alias("seller"))
@@ -495,17 +533,47 @@ def _(x):
     return q.join(pre, "h").groupBy("h").agg(F.max_by("entity_ulid", F.struct("created_at", "entity_ulid")).alias("entity_ulid"))
 
 
-@Q("j27_window_names", "SELECT page_id, code FROM (SELECT page_id, lpad(CAST(page_id % 25 AS VARCHAR), 2, '0') AS code FROM web)")
+@Q("j27_window_names", "SELECT page_id, p.code FROM web JOIN province p ON p.code = lpad(CAST(page_id % 25 AS VARCHAR), 2, '0')")
 def _(x):
     names = x.province.select(N.geo_key(F.col("name")).alias("name"), "code")
     rows = x.web.select("page_id", F.lpad((F.col("page_id") % 25).cast("string"), 2, "0").alias("code")).join(x.province.select("code", "name"), "code")
     return geo.window_lookup(rows.select("page_id", F.concat(F.lit("Coches en "), "name", F.lit(" (ocasión)")).alias("t")), "page_id", "t", names, "name", "code")
 
 
-@Q("j28_payload_lookup", "SELECT page_id, 'b' || (page_id % 3) AS branch FROM web")
+_FOLDED = f"lower(translate(translate({{c}}, '{N.DROPPED}', ''), '{N.ACCENTED}', '{N.PLAIN}'))"
+_TOWN = "CASE n % 9 WHEN 0 THEN 'Oyarzun' WHEN 1 THEN p.name WHEN 2 THEN 'Centro (' || p.name || ') sur' WHEN 3 THEN 'EL PRÁT' || p.code || ' DEL LLOBREGAT' WHEN 4 THEN 'Granda Siero' || p.code WHEN 5 THEN 'nowhere' WHEN 6 THEN 'La Villa' WHEN 7 THEN '' ELSE p.code END"
+_SELLER = "CASE n % 2 WHEN 0 THEN 'Autos ' || p.name || ' S.A.' ELSE 'Autos de La S.A.' END"
+_TOWNS = "SELECT 'Prat' || code || ' de Llobregat, El' AS name, code AS province_code FROM province UNION ALL SELECT 'Siero' || code, code FROM province UNION ALL SELECT 'Villa', code FROM province"
+_J27 = f"""WITH towns AS ({_TOWNS}), nt AS (SELECT DISTINCT trim(regexp_replace({_FOLDED.format(c="v")}, '[^a-z0-9]+', ' ', 'g')) AS w, province_code AS pc FROM (SELECT unnest(list_concat([name], string_split(name, ','))) AS v, province_code FROM towns)),
+q AS (SELECT entity_ulid, trim(regexp_replace({_FOLDED.format(c="t")}, '[^a-z0-9]+', ' ', 'g')) AS n, trim(regexp_replace({_FOLDED.format(c="s")}, '[^a-z0-9]+', ' ', 'g')) AS s FROM (SELECT entity_ulid, {_TOWN} AS t, {_SELLER} AS s FROM entity JOIN province p ON p.code = lpad(CAST(n % 25 AS VARCHAR), 2, '0')) WHERE t <> ''),
+pn AS (SELECT replace(lower(name), '_', ' ') AS w, code FROM province),
+sig AS (SELECT entity_ulid, list_filter(string_split(n, ' '), lambda z: NOT list_contains(['de', 'del', 'la', 'el', 'las', 'los', 'da', 'das', 'dos', 'i', 'y', 'l', 'les', 'sa', 'es', 'son'], z)) AS g FROM q),
+ms AS (SELECT list_filter(string_split(w, ' '), lambda z: NOT list_contains(['de', 'del', 'la', 'el', 'las', 'los', 'da', 'das', 'dos', 'i', 'y', 'l', 'les', 'sa', 'es', 'son'], z)) AS g, pc FROM nt),
+sub AS (SELECT entity_ulid, min(pc) AS pc FROM sig JOIN ms ON len(sig.g) > 0 AND ms.g[1] = sig.g[1] AND list_has_all(ms.g, sig.g) GROUP BY 1 HAVING count(DISTINCT pc) = 1),
+lone AS (SELECT w, min(pc) AS pc FROM nt GROUP BY 1 HAVING count(*) = 1),
+tok AS (SELECT entity_ulid, min(pc) AS pc FROM (SELECT entity_ulid, unnest(g) AS w FROM sig) JOIN lone USING (w) GROUP BY 1 HAVING count(DISTINCT pc) = 1),
+win AS (SELECT entity_ulid, max(code) AS code FROM q JOIN pn ON contains(' ' || n || ' ', ' ' || w || ' ') GROUP BY 1),
+sel AS (SELECT entity_ulid, max(code) AS code FROM q JOIN pn ON contains(' ' || q.s || ' ', ' ' || w || ' ') GROUP BY 1)
+SELECT entity_ulid, CASE WHEN n = 'oyarzun' THEN '20' ELSE coalesce(pn.code, pd.code, win.code, sub.pc, tok.pc, sel.code) END AS province, CASE WHEN n = 'oyarzun' THEN 'alias' WHEN pn.code IS NOT NULL OR pd.code IS NOT NULL THEN 'whole' WHEN win.code IS NOT NULL THEN 'window' WHEN sub.pc IS NOT NULL THEN 'subset' WHEN tok.pc IS NOT NULL THEN 'token' WHEN sel.code IS NOT NULL THEN 'seller' END AS tier
+FROM q LEFT JOIN pn ON pn.w = n LEFT JOIN province pd ON pd.code = n LEFT JOIN win USING (entity_ulid) LEFT JOIN sub USING (entity_ulid) LEFT JOIN tok USING (entity_ulid) LEFT JOIN sel USING (entity_ulid)"""
+
+
+@Q("j27_free_text_province", _J27)
+def _(x):
+    p = x.province.withColumnRenamed("code", "_c")
+    rows = x.entity.join(x.province.alias("p"), F.col("p.code") == F.lpad((F.col("n") % 25).cast("string"), 2, "0")).select("entity_ulid", F.expr(_TOWN).alias("town"), F.expr(_SELLER).alias("seller"))
+    towns = p.select(F.explode(F.array(F.concat(F.lit("Prat"), "_c", F.lit(" de Llobregat, El")), F.concat(F.lit("Siero"), "_c"), F.lit("Villa"))).alias("name"), F.col("_c").alias("province_code"))
+    return geo.free_text_province(rows, "entity_ulid", "town", "seller", geo.province_names(x.province), towns)
+
+
+@Q("j28_payload_lookup", "WITH b AS (SELECT l_orderkey, l_suppkey % 4 AS slug, max(l_partkey) AS branch FROM lineitem GROUP BY 1, 2) SELECT l.l_orderkey, l.l_linenumber, b.branch FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) l LEFT JOIN b ON b.l_orderkey = l.l_orderkey AND b.slug = l.l_linenumber % 4")
 def _(x):
-    branches = x.web.select("page_id", F.explode(F.array(*(F.struct(F.lit(i).alias("slug"), F.lit(f"b{i}").alias("branch")) for i in range(3)))).alias("b")).select("page_id", "b.*")
-    return x.web.select("page_id", (F.col("page_id") % 3).cast("int").alias("slug")).join(branches, ["page_id", "slug"], "left").select("page_id", "branch")
+    """A payload's items name a branch by its slug; the branches are listed in the same payload."""
+    branches = x.table("lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 4).alias("slug")).agg(F.max("l_partkey").alias("branch"))
+    payload = branches.groupBy("l_orderkey").agg(F.collect_list(F.struct("slug", "branch")).alias("branches"))
+    listed = payload.select("l_orderkey", F.explode("branches").alias("b")).select("l_orderkey", "b.*")
+    items = x.table("lineitem").select("l_orderkey", "l_linenumber").distinct().withColumn("slug", (F.col("l_linenumber") % 4).cast(listed.schema["slug"].dataType))
+    return items.join(listed, ["l_orderkey", "slug"], "left").select("l_orderkey", "l_linenumber", "branch")
 
 
 # --- aggregates
@@ -594,11 +662,21 @@ def _(x):
     return audit.quorum(paths, "key", 0.05)
 
 
-@Q("a15_coverage", "WITH d AS (SELECT source_key AS source, CAST(CASE source_key WHEN 'error' THEN 0 ELSE count(*) * 2 END AS BIGINT) AS declared_total FROM attest GROUP BY 1), c AS (SELECT a.source_key AS source, count(*) AS captured_db FROM attest a JOIN vehicle v USING (entity_ulid) WHERE v.status = 'available' GROUP BY 1), j AS (SELECT source, declared_total, coalesce(captured_db, 0) AS captured_db FROM d LEFT JOIN c USING (source)) SELECT source, declared_total, captured_db, CASE WHEN declared_total > 0 THEN captured_db / declared_total END AS coverage, CASE WHEN declared_total <= 0 THEN 'UNVERIFIED' WHEN (greatest(declared_total, captured_db) - least(declared_total, captured_db)) / greatest(declared_total, captured_db) <= 0.30 THEN 'TRUSTWORTHY' ELSE 'REFUTED' END AS verdict, coalesce(CASE WHEN declared_total > 0 THEN captured_db / declared_total END < 0.85 OR CASE WHEN declared_total > 0 THEN captured_db / declared_total END > 1.15, false) AS alert FROM j")
+_A15 = """WITH d AS (SELECT source_key AS source, CAST(CASE source_key WHEN 'error' THEN 0 ELSE count(*) * 2 END AS BIGINT) AS declared_total FROM attest GROUP BY 1),
+c AS (SELECT a.source_key AS source, count(DISTINCT v.vehicle_ulid) AS n FROM attest a JOIN vehicle v USING (entity_ulid) WHERE v.status = 'available' GROUP BY 1),
+g AS (SELECT source, count(*) AS e FROM d JOIN edge ON platform_ulid = 'P' || lpad(CAST(length(source) AS VARCHAR), 9, '0') GROUP BY 1),
+j AS (SELECT source, declared_total, CASE WHEN declared_total > 0 THEN coalesce(n, 0) ELSE 0 END AS captured_db, CASE WHEN declared_total > 0 THEN coalesce(e, 0) ELSE 0 END AS db_edges, CASE WHEN declared_total > 0 THEN coalesce(n, 0) / declared_total END AS coverage FROM d LEFT JOIN c USING (source) LEFT JOIN g USING (source))
+SELECT source, declared_total, captured_db, db_edges, coverage, CASE WHEN coverage IS NULL THEN 'UNVERIFIED' WHEN source = 'purchase' OR (greatest(declared_total, captured_db) - least(declared_total, captured_db)) / greatest(declared_total, captured_db) <= 0.30 THEN 'TRUSTWORTHY' ELSE 'REFUTED' END AS verdict, CASE WHEN coverage < 0.85 THEN 'under' WHEN coverage > 1.15 THEN 'over' END AS alert FROM j"""
+
+
+@Q("a15_coverage", _A15)
 def _(x):
-    d = x.attest.groupBy(F.col("source_key").alias("source")).agg(F.count("*").alias("c")).select("source", F.when(F.col("source") == "error", 0).otherwise(F.col("c") * 2).cast("long").alias("declared_total"), F.lit(None).cast("double").alias("coverage_floor"))
-    c = x.attest.join(x.vehicle.where("status = 'available'"), "entity_ulid").groupBy(F.col("source_key").alias("source")).agg(F.count("*").alias("captured_db"))
-    return audit.coverage(d, c)
+    """One source's harvest has counted its rows as well, so that its quorum has three paths."""
+    c = x.attest.join(x.vehicle.where("status = 'available'").select("entity_ulid", "vehicle_ulid"), "entity_ulid").groupBy(F.col("source_key").alias("source")).agg(F.count_distinct("vehicle_ulid").alias("captured_db"))
+    d = x.attest.groupBy(F.col("source_key").alias("source")).agg((F.count("*") * 2).alias("n")).select("source", F.when(F.col("source") == "error", 0).otherwise(F.col("n")).cast("long").alias("declared_total"), F.lit(None).cast("double").alias("coverage_floor"))
+    d = d.join(c.where("source = 'purchase'").withColumnRenamed("captured_db", "captured_distinct"), "source", "left")
+    e = d.select("source", F.concat(F.lit("P"), F.lpad(F.length("source").cast("string"), 9, "0")).alias("platform_ulid")).join(x.edge, "platform_ulid").groupBy("source").agg(F.count("*").alias("db_edges"))
+    return audit.coverage(d, c, e)
 
 
 @Q("a16_chapman", "WITH t AS (SELECT source_key AS s, count(DISTINCT entity_ulid) AS n FROM attest GROUP BY 1), o AS (SELECT a.source_key AS a, b.source_key AS b, count(*) AS m FROM attest a JOIN attest b USING (entity_ulid) WHERE a.source_key < b.source_key GROUP BY 1, 2), j AS (SELECT a, b, CAST(p.n AS DOUBLE) AS n1, CAST(q.n AS DOUBLE) AS n2, CAST(m AS DOUBLE) AS m FROM o JOIN t p ON p.s = a JOIN t q ON q.s = b), e AS (SELECT *, (n1 + 1) * (n2 + 1) / (m + 1) - 1 AS est, (n1 + 1) * (n2 + 1) * (n1 - m) * (n2 - m) / ((m + 1) * (m + 1) * (m + 2)) AS v FROM j) SELECT a, b, est AS estimate, greatest(est - 1.96 * sqrt(greatest(v, 0.0)), 0.0) AS lo, est + 1.96 * sqrt(greatest(v, 0.0)) AS hi FROM e")
@@ -610,12 +688,16 @@ def _(x):
     return audit.chapman(o).select("a", "b", "estimate", "lo", "hi")
 
 
-@Q("a17_segment_coverage", "WITH t AS (SELECT e.province_code, count(*) AS n, count(*) FILTER (WHERE v.status = 'available') AS got FROM vehicle v JOIN entity e USING (entity_ulid) WHERE e.province_code IS NOT NULL GROUP BY 1) SELECT province_code, CAST(round_even(n * 0.75, 0) AS BIGINT) AS want, got, CASE WHEN 100.0 * got / round_even(n * 0.75, 0) >= 85 THEN 'sealed' WHEN 100.0 * got / round_even(n * 0.75, 0) >= 50 THEN 'partial' ELSE 'open' END AS state FROM t")
+_A17 = """WITH t AS (SELECT province_code, count(*) AS base, count(*) FILTER (WHERE n % 5 < 3) AS served, count(*) FILTER (WHERE n % 5 = 3) AS leads, sum(n) AS people FROM entity WHERE province_code IS NOT NULL GROUP BY 1),
+o AS (SELECT province_code, served, leads, CAST(round_even(base * 0.75, 0) AS BIGINT) AS want, CAST(round_even(5358 * CAST(people AS DOUBLE) / (SELECT sum(people) FROM t), 0) AS BIGINT) AS part FROM t),
+u AS (SELECT * FROM o UNION ALL SELECT 'ES', CAST(sum(served) AS BIGINT), CAST(sum(leads) AS BIGINT), CAST(sum(want) AS BIGINT), CAST(sum(part) AS BIGINT) FROM o)
+SELECT *, CASE WHEN want > 0 THEN served / want * 100 ELSE 0.0 END AS served_pct, CASE WHEN want > 0 THEN (served + leads) / want * 100 ELSE 0.0 END AS found_pct, CASE WHEN want > 0 AND served / want * 100 >= 85 THEN 'SELLADO' WHEN want > 0 AND served / want * 100 >= 50 THEN 'COB-PARCIAL' ELSE 'GAP-CON-CAUSA' END AS verdict FROM u"""
+
+
+@Q("a17_segment_coverage", _A17)
 def _(x):
-    t = x.vehicle.join(x.entity.select("entity_ulid", "province_code").dropna(), "entity_ulid").groupBy("province_code").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "available").alias("got"))
-    want = F.bround(F.col("n").cast("decimal(20,2)") * F.lit("0.75").cast("decimal(4,2)"), 0).cast("long")
-    p = 100.0 * F.col("got") / want
-    return t.select("province_code", want.alias("want"), "got", F.when(p >= 85, "sealed").when(p >= 50, "partial").otherwise("open").alias("state"))
+    t = x.entity.dropna(subset=["province_code"]).groupBy("province_code").agg(F.count("*").alias("base"), F.count_if(F.col("n") % 5 < 3).alias("served"), F.count_if(F.col("n") % 5 == 3).alias("leads"), F.sum("n").alias("people"))
+    return audit.segment_coverage(t, 0.75, 5358)
 
 
 @Q("a18_completeness", "SELECT count(*) AS n, 100.0 * count(province_code) / count(*) AS province_pct, 100.0 * count(municipality_code) / count(*) AS municipality_pct, 100.0 * count(lat) / count(*) AS position_pct FROM entity")
@@ -663,15 +745,26 @@ def _(x):
     return x.province.join(n, "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("branch_count"))
 
 
-@Q("a26_run_scoped_count", "SELECT count(*) FILTER (WHERE deep_link LIKE '%/coches/1%' AND first_seen >= TIMESTAMP '1995-01-01') AS in_run, count(*) FILTER (WHERE deep_link LIKE '%/coches/1%') AS cumulative FROM vehicle")
+_VERDICT = "CASE WHEN db_edges = harvested OR abs(db_edges - harvested) / greatest(db_edges, harvested) <= {t} THEN 'TRUSTWORTHY' ELSE 'REFUTED' END AS verdict"
+_MARKS = "(VALUES ('1', 0), ('2', 1), ('3', 40)) AS s(segment, missed)"
+
+
+@Q("a26_run_scoped_count", f"WITH c AS (SELECT s.segment, count(*) FILTER (WHERE first_seen >= TIMESTAMP '1995-01-01') AS db_edges, count(*) AS cumulative, count(*) FILTER (WHERE first_seen >= TIMESTAMP '1995-01-01') + any_value(missed) AS harvested FROM vehicle JOIN {_MARKS} ON deep_link LIKE '%/coches/' || s.segment || '%' GROUP BY 1) SELECT *, {_VERDICT.format(t=0.005)} FROM c")
 def _(x):
-    mark = F.col("deep_link").like("%/coches/1%")
-    return x.vehicle.agg(F.count_if(mark & (F.col("first_seen") >= F.lit("1995-01-01").cast("timestamp"))).alias("in_run"), F.count_if(mark).alias("cumulative"))
+    """The counts of a run and the cumulative ones by a mark in the link, held against what was harvested."""
+    segment = F.regexp_extract("deep_link", "/coches/([123])", 1)
+    missed = F.when(F.col("segment") == "1", 0).when(F.col("segment") == "2", 1).otherwise(40)
+    in_run = F.count_if(F.col("first_seen") >= F.lit("1995-01-01").cast("timestamp"))
+    c = x.vehicle.withColumn("segment", segment).where("segment <> ''").groupBy("segment").agg(in_run.alias("db_edges"), F.count("*").alias("cumulative")).withColumn("harvested", F.col("db_edges") + missed)
+    return audit.count_verdict(c, "segment", "db_edges", "harvested", 0.005).drop("divergence")
 
 
-@Q("a27_family_slice", "SELECT count(*) AS n FROM vehicle WHERE entity_ulid IN (SELECT entity_ulid FROM attest WHERE source_key = 'view') AND vehicle_ulid IN (SELECT vehicle_ulid FROM edge WHERE price > 20000)")
+@Q("a27_family_slice", f"WITH c AS (SELECT a.source_key AS family, count(DISTINCT v.vehicle_ulid) AS db_edges FROM vehicle v JOIN attest a USING (entity_ulid) WHERE v.vehicle_ulid IN (SELECT vehicle_ulid FROM edge WHERE price > 20000) GROUP BY 1), h AS (SELECT *, db_edges + CASE WHEN family = 'view' THEN 1 ELSE 0 END AS harvested FROM c) SELECT *, {_VERDICT.format(t=0.0)} FROM h")
 def _(x):
-    return x.vehicle.join(x.attest.where("source_key = 'view'"), "entity_ulid", "left_semi").join(x.edge.where("price > 20000"), "vehicle_ulid", "left_semi").agg(F.count("*").alias("n"))
+    """Cars of a family's sellers whose link was harvested, held against what was harvested."""
+    own = x.vehicle.select("entity_ulid", "vehicle_ulid").join(x.edge.where("price > 20000"), "vehicle_ulid", "left_semi").join(x.attest.select("entity_ulid", F.col("source_key").alias("family")), "entity_ulid")
+    c = own.groupBy("family").agg(F.count_distinct("vehicle_ulid").alias("db_edges")).withColumn("harvested", F.col("db_edges") + F.when(F.col("family") == "view", 1).otherwise(0))
+    return audit.count_verdict(c, "family", "db_edges", "harvested").drop("divergence")
 
 
 # --- windows, sorts, set operations

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockloom.functions import normalize as N
-from stockloom.operators import audit, delta, resolve, serving
+from stockloom.operators import audit, delta, geo, resolve, serving
 from stockloom.operators.graph import components
 from stockloom.sources import readers
 
@@ -202,3 +202,55 @@ def test_fill_down_over_ranges(spark):
         last = h or last
         want.append((i, last))
     assert [tuple(r) for r in got] == want
+
+
+def test_free_text_province(spark):
+    provinces = geo.province_names(spark.createDataFrame([("28", "Madrid"), ("08", "Barcelona"), ("15", "Coruña, A"), ("48", "Bizkaia"), ("33", "Asturias"), ("26", "Rioja, La")], "code string, name string"))
+    towns = spark.createDataFrame([("Prat de Llobregat, El", "08"), ("Sant Boi de Llobregat", "08"), ("Siero", "33"), ("San Martín", "33"), ("San Martín", "28"), ("Fuenlabrada", "28")], "name string, province_code string")
+    asked = ["Oyarzun", "BIZKAIA", "A Coruña", "Rioja La", "28", "Fuenlabrada MADRID", "Sant Boi", "EL PRAT DEL LLOBREGAT", "GRANDA SIERO", "San Martín", "zzz", "", None, "PALMA DE MALLORCA", "la"]
+    rows = spark.createDataFrame([(i, t, "Autos Madrid S.A." if t == "zzz" else "A.R. MOTORS LA S.L.") for i, t in enumerate(asked)], "id int, t string, s string")
+    got = {asked[r["id"]]: (r["province"], r["tier"]) for r in geo.free_text_province(rows, "id", "t", "s", provinces, towns).collect()}
+    assert got == {
+        "Oyarzun": ("20", "alias"), "BIZKAIA": ("48", "whole"), "A Coruña": ("15", "whole"), "Rioja La": ("26", "whole"), "28": ("28", "whole"), "Fuenlabrada MADRID": ("28", "window"),
+        "Sant Boi": ("08", "subset"), "EL PRAT DEL LLOBREGAT": ("08", "subset"), "GRANDA SIERO": ("33", "token"), "San Martín": (None, None), "zzz": ("28", "seller"), "PALMA DE MALLORCA": ("07", "window"),
+        "la": ("26", "whole"),
+    }
+
+
+def test_place_by_name(spark):
+    provinces = geo.province_names(spark.createDataFrame([("28", "Madrid"), ("08", "Barcelona")], "code string, name string"))
+    towns = spark.createDataFrame([("28079", "Madrid", "28", 40.4, -3.7), ("28058", "Fuenlabrada", "28", 40.28, -3.79), ("08019", "Barcelona", "08", 41.38, 2.17)], "code string, name string, province_code string, lat double, lon double")
+    places = spark.createDataFrame([(1, "Madrid", 41.38, 2.17), (2, "Nowhere", 40.28, -3.8), (3, None, 41.4, 2.2), (4, "Barcelona", None, None), (5, None, None, None), (6, None, 43.0, -3.7)], "id int, locality string, lat double, lon double")
+    got = {r["id"]: (r["province"], r["municipality"]) for r in geo.place_by_name(places, provinces, towns, "id").collect()}
+    assert got == {1: ("28", "28079"), 2: ("28", "28058"), 3: ("08", "08019"), 4: ("08", "08019"), 5: (None, None), 6: ("28", None)}
+
+
+def test_addresses(spark):
+    cases = {
+        "Av. Mar 4, 17200 Palafrugell, Girona": ("17200", "Palafrugell", "Girona"), "CL UNO  LA LINEA, CADIZ 11300": ("11300", "LA LINEA", "CADIZ"),
+        "CL DOS -07100 - SOLLER -BALEARES": ("07100", "SOLLER", "BALEARES"), "Calle Sola 9": (None, None, None), "": (None, None, None), None: (None, None, None), "a, 28001 Villa 1": ("28001", "a", "Villa 1"),
+    }
+    rows = spark.createDataFrame([(a,) for a in cases], "a string").select("a", N.address_parts(F.col("a")).alias("p")).collect()
+    assert {r["a"]: tuple(r["p"]) for r in rows} == cases
+
+
+def test_coverage_counts_and_segments(spark):
+    d = spark.createDataFrame([("a", 100, None, None), ("b", 100, None, 360), ("c", 0, None, None), ("d", 100, 0.5, None), ("e", 100, None, None)], "source string, declared_total long, coverage_floor double, captured_distinct long")
+    c = spark.createDataFrame([("a", 90), ("b", 360), ("c", 7), ("d", 60)], "source string, captured_db long")
+    got = {r["source"]: (r["captured_db"], r["db_edges"], r["verdict"], r["alert"]) for r in audit.coverage(d, c, spark.createDataFrame([("a", 5)], "source string, db_edges long")).collect()}
+    assert got == {"a": (90, 5, "TRUSTWORTHY", None), "b": (360, 0, "TRUSTWORTHY", "over"), "c": (0, 0, "UNVERIFIED", None), "d": (60, 0, "REFUTED", None), "e": (0, 0, "REFUTED", "under")}
+    v = spark.createDataFrame([("x", 1000, 1004), ("y", 1000, 1040), ("z", 0, 0)], "k string, db long, seen long")
+    assert {r["k"]: r["verdict"] for r in audit.count_verdict(v, "k", "db", "seen", 0.005).collect()} == {"x": "TRUSTWORTHY", "y": "REFUTED", "z": "TRUSTWORTHY"}
+    s = spark.createDataFrame([("01", 10, 9, 0, 30), ("02", 5, 2, 1, 70), ("03", 0, 0, 0, 0)], "province_code string, base long, served long, leads long, people long")
+    got = {r["province_code"]: (r["want"], r["part"], r["verdict"]) for r in audit.segment_coverage(s, 0.5, 10).collect()}
+    assert got == {"01": (5, 3, "SELLADO"), "02": (2, 7, "SELLADO"), "03": (0, 0, "GAP-CON-CAUSA"), "ES": (7, 10, "SELLADO")}
+
+
+def test_sanity_of_clusters(spark):
+    sellers = spark.createDataFrame([("A", "28", "28001", "S", "Flexicar", "firm", None, None), ("B", "08", "08001", "S", "Flexicar", "firm", "", None), ("C", "28", "28001", "S", "Flexicar", "firm", None, None)], "entity_ulid string, province_code string, municipality_code string, source_group string, trade_name string, kind string, website string, phone string")
+    cars = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", "C"), ("4", "C")], "vehicle_ulid string, entity_ulid string")
+    found = spark.createDataFrame([("1", "1", 2, "firma"), ("2", "1", 2, "firma"), ("3", "3", 1, "firma")], "vehicle_ulid string, canonical_ulid string, cluster_size long, match_signal string")
+    assert tuple(resolve.vehicle_sanity(cars, found, sellers, giant=1).first()) == (1, 1, 1, 0, 1)
+    joined = spark.createDataFrame([("A", "A", 2), ("B", "A", 2), ("C", "C", 1)], "entity_ulid string, canonical_ulid string, cluster_size long")
+    r = resolve.dealer_sanity(sellers, joined, "%flexicar%").first().asDict()
+    assert r == {"same_name_groups": 1, "same_name_merged": 0, "unsupported": 1, "largest": 2, "chain_canonicals": 2, "chain_municipalities": 2}
