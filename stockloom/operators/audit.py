@@ -90,8 +90,8 @@ def breaker(runs: DataFrame, source: str = "source_key", at: str = "finished_at"
 
 def breaker_now(state: DataFrame, as_of: Column, source: str = "source_key", at: str = "finished_at", order: str = "run_id") -> DataFrame:
     """Each source's breaker at a moment: closed, open, or half_open once the cooldown is over."""
-    last = state.groupBy(source).agg(F.max_by(F.struct("trips", "cooldown_s", F.col(at).alias("at"), "fails"), F.struct(at, order)).alias("s")).select(source, "s.*")
-    over = F.unix_micros(as_of) >= F.unix_micros("at") + F.col("cooldown_s") * 1_000_000
+    last = state.groupBy(source).agg(F.max_by(F.struct("trips", "cooldown_s", F.col(at).alias("at"), "fails", as_of.alias("now")), F.struct(at, order)).alias("s")).select(source, "s.*")
+    over = F.unix_micros("now") >= F.unix_micros("at") + F.col("cooldown_s") * 1_000_000
     return last.select(source, "fails", F.when(F.col("trips") == 0, "closed").when(over, "half_open").otherwise("open").alias("breaker"))
 
 
@@ -125,20 +125,28 @@ def fold_alerts(raised: DataFrame, resolved: DataFrame) -> DataFrame:
     return g.where("raised > 0").select("origin", "opened_at", "severity", "message", "resolved_at", "raised")
 
 
-def bisect(rows: DataFrame, value: str, most: int, lo: int, hi: int) -> list[tuple[int, int, int]]:
-    """Bands [a, b) of an integer column with at most `most` rows each (or of width one), by halving.  One aggregate job for each level:
-    all bands of a level are counted together; the driver holds the bands alone."""
-    todo, done = [(lo, hi)], []
-    while todo:
-        ends = sorted({x for band in todo for x in band})
-        at = F.coalesce(*(F.when((F.col(value) >= a) & (F.col(value) < b), F.lit(i)) for i, (a, b) in enumerate(todo)))
-        counts = {r["i"]: r["count"] for r in rows.where((F.col(value) >= ends[0]) & (F.col(value) < ends[-1])).groupBy(at.alias("i")).count().collect()}
-        nxt = []
-        for i, (a, b) in enumerate(todo):
-            n, mid = counts.get(i, 0), (a + b) // 2
-            if n <= most or b - a <= 1:
-                done.append((a, b, n))
-            else:
-                nxt += [(a, mid), (mid, b)]
-        todo = nxt
-    return sorted(done)
+def bisect(rows: DataFrame, value: str, most: int, lo: int, hi: int) -> DataFrame:
+    """(lo, hi, n): bands [lo, hi) of an integer column with at most `most` rows each (or of width one), by halving.  Each value is counted
+    once, then added to the bands of every level that hold it; a band is kept if it is small enough and the one it came from was not.  Bands
+    without rows are kept too; nulls and values out of range are in none."""
+    levels = max(hi - lo - 1, 1).bit_length()
+    band = lambda x, y: F.struct(x.cast("long").alias("lo"), y.cast("long").alias("hi"))
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        mid = F.floor((x["lo"] + x["hi"]) / 2).cast("long")
+        return band(x["lo"], mid), band(mid, x["hi"])
+
+    def deeper(path: Column, _: Column) -> Column:
+        last = F.element_at(path, -1)
+        low, high = halves(last)
+        return F.when(last["hi"] - last["lo"] <= 1, path).otherwise(F.concat(path, F.array(F.when(F.col("v") < low["hi"], low).otherwise(high))))
+
+    counts = rows.where(F.col(value).between(lo, hi - 1)).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    whole = band(F.lit(lo), F.lit(hi))
+    path = F.reduce(F.sequence(F.lit(1), F.lit(levels)), F.array(whole), deeper)
+    held = counts.select(F.explode(path).alias("b"), "c").groupBy("b").agg(F.sum("c").alias("n"))
+    large = (F.col("n") > most) & (F.col("b")["hi"] - F.col("b")["lo"] > 1)
+    children = held.where(large).select(F.explode(F.array(*halves(F.col("b")))).alias("b"))
+    root = rows.sparkSession.range(1).select(whole.alias("b"))
+    out = children.union(root).join(held, "b", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(~large)
+    return out.select("b.lo", "b.hi", "n")

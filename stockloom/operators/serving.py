@@ -63,7 +63,7 @@ def platform_inventory(edges: DataFrame, vehicles: DataFrame, entities: DataFram
     return own.join(entities.select("entity_ulid", "cdp_code", "trade_name"), "entity_ulid", "left").select("vehicle_ulid", "price", "status", "cdp_code", "trade_name")
 
 
-def vehicle_platforms(edges: DataFrame, platforms_: DataFrame, vehicles: DataFrame, vehicle: str) -> DataFrame:
-    """Q10: the platforms of one vehicle, with its owner."""
-    own = edges.where(F.col("vehicle_ulid") == vehicle).join(platforms_.select("platform_ulid", "platform"), "platform_ulid")
+def vehicle_platforms(edges: DataFrame, platforms_: DataFrame, vehicles: DataFrame, vehicle: str | None = None) -> DataFrame:
+    """Q10: the platforms of one vehicle (or of the edges' vehicles), with its owner."""
+    own = (edges if vehicle is None else edges.where(F.col("vehicle_ulid") == vehicle)).join(platforms_.select("platform_ulid", "platform"), "platform_ulid")
     return own.join(vehicles.select("vehicle_ulid", F.col("entity_ulid").alias("owner_ulid")), "vehicle_ulid").select("vehicle_ulid", "platform", "price", "owner_ulid")

@@ -293,8 +293,8 @@ def _(x):
 @Q("d9_breaker_now", f"WITH {_RUNS}, l AS (SELECT source_key, arg_max(trips, (finished_at, run_id)) AS trips, arg_max(fails, (finished_at, run_id)) AS fails, arg_max(cooldown_s, (finished_at, run_id)) AS c, max(finished_at) AS fin FROM t GROUP BY 1), m AS (SELECT max(finished_at) AS now FROM run) SELECT source_key, fails, CASE WHEN trips = 0 THEN 'closed' WHEN epoch_us(now) >= epoch_us(fin) + c * 1000000 THEN 'half_open' ELSE 'open' END AS breaker FROM l, m")
 def _(x):
     run = x.run.withColumn("finished_at", F.col("finished_at").cast("timestamp"))
-    now = run.agg(F.max("finished_at")).first()[0]
-    return audit.breaker_now(audit.breaker(run), F.lit(now).cast("timestamp"))
+    now = run.agg(F.max("finished_at").alias("now"))
+    return audit.breaker_now(audit.breaker(run).crossJoin(F.broadcast(now)), F.col("now"))  # one row
 
 
 _HEALTH = "h AS (SELECT source_key, max(finished_at) FILTER (WHERE ok) AS last_ok, CAST(24 + 12 * (length(source_key) % 3) AS INTEGER) AS iv, count(*) FILTER (WHERE NOT ok) % 5 AS fails FROM run GROUP BY 1), m AS (SELECT max(finished_at) AS now FROM run)"
@@ -303,7 +303,8 @@ _HEALTH = "h AS (SELECT source_key, max(finished_at) FILTER (WHERE ok) AS last_o
 def _health(x):
     run = x.run.withColumn("finished_at", F.col("finished_at").cast("timestamp"))
     h = run.groupBy("source_key").agg(F.max(F.when(F.col("ok"), F.col("finished_at"))).alias("last_ok"), (F.count_if(~F.col("ok")) % 5).alias("consecutive_fails"))
-    return h.withColumn("harvest_interval_hours", 24 + 12 * (F.length("source_key") % 3)), F.lit(run.agg(F.max("finished_at")).first()[0]).cast("timestamp")
+    now = run.agg(F.max("finished_at").alias("now"))
+    return h.withColumn("harvest_interval_hours", 24 + 12 * (F.length("source_key") % 3)).crossJoin(F.broadcast(now)), F.col("now")  # one row
 
 
 @Q("d10_due", f"WITH {_HEALTH}, s AS (SELECT source_key, (epoch_us(now) - epoch_us(last_ok)) / 3.6e9 AS hours, iv, fails FROM h, m) SELECT source_key, hours, hours - iv AS overdue FROM s WHERE hours >= iv AND fails < 3")
@@ -602,5 +603,5 @@ def _(x):
 
 @Q("q10_vehicle_platforms", "SELECT g.vehicle_ulid, p.platform, g.price, v.entity_ulid AS owner_ulid FROM edge g JOIN platform p USING (platform_ulid) JOIN vehicle v USING (vehicle_ulid) WHERE g.vehicle_ulid = (SELECT min(vehicle_ulid) FROM vehicle)")
 def _(x):
-    first = x.vehicle.agg(F.min("vehicle_ulid")).first()[0]
-    return serving.vehicle_platforms(x.edge, x.platform, x.vehicle, first)
+    first = x.vehicle.agg(F.min("vehicle_ulid").alias("vehicle_ulid"))
+    return serving.vehicle_platforms(x.edge.join(F.broadcast(first), "vehicle_ulid", "left_semi"), x.platform, x.vehicle)  # one row

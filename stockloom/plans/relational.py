@@ -728,10 +728,14 @@ def _(x):
     return cells.agg(F.sum(F.least("n", F.lit(40))).alias("total"), F.count("*").alias("cells"))
 
 
-@Q("a23_bisection")
+_A23 = """WITH v AS (SELECT CAST(floor(price) AS BIGINT) AS p FROM vehicle), c AS (SELECT d, p >> (20 - d) AS i, count(*) AS n FROM v, (SELECT CAST(unnest(range(0, 21)) AS INTEGER) AS d) WHERE p BETWEEN 0 AND 1048575 GROUP BY 1, 2),
+h AS (SELECT d + 1 AS d, 2 * i + k AS i FROM c, (VALUES (0), (1)) AS s(k) WHERE n > 100 AND d < 20 UNION ALL SELECT 0, 0)
+SELECT i << (20 - d) AS lo, (i + 1) << (20 - d) AS hi, coalesce(n, 0) AS n FROM h LEFT JOIN c USING (d, i) WHERE coalesce(n, 0) <= 100 OR d = 20"""
+
+
+@Q("a23_bisection", _A23)
 def _(x):
-    bands = audit.bisect(x.vehicle.select(F.col("price").cast("long").alias("p")), "p", 100, 0, 1 << 20)
-    return x.spark.createDataFrame(bands, "lo long, hi long, n long")
+    return audit.bisect(x.vehicle.select(F.col("price").cast("long").alias("p")), "p", 100, 0, 1 << 20)
 
 
 @Q("a24_canonical_numerator", f"WITH {_CANON} SELECT e.province_code, e.kind, count(DISTINCT coalesce(c.canonical_ulid, e.entity_ulid)) AS n FROM entity e LEFT JOIN canon c USING (entity_ulid) GROUP BY 1, 2")

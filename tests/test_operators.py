@@ -254,3 +254,10 @@ def test_sanity_of_clusters(spark):
     joined = spark.createDataFrame([("A", "A", 2), ("B", "A", 2), ("C", "C", 1)], "entity_ulid string, canonical_ulid string, cluster_size long")
     r = resolve.dealer_sanity(sellers, joined, "%flexicar%").first().asDict()
     assert r == {"same_name_groups": 1, "same_name_merged": 0, "unsupported": 1, "largest": 2, "chain_canonicals": 2, "chain_municipalities": 2}
+
+
+def test_bisection(spark):
+    rows = spark.createDataFrame([(v,) for v in [0, 0, 0, 1, 5, 5, 9, None, 10, -1]], "v long")
+    bands = lambda most, lo, hi: sorted(map(tuple, audit.bisect(rows, "v", most, lo, hi).collect()))
+    assert bands(2, 0, 10) == [(0, 1, 3), (1, 2, 1), (2, 5, 0), (5, 7, 2), (7, 10, 1)]
+    assert bands(100, 0, 10) == [(0, 10, 7)] and bands(1, 20, 30) == [(20, 30, 0)] and bands(0, 9, 10) == [(9, 10, 1)]
