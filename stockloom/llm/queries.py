@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_topk, hilbert_packing, language_id, license_digests, line_windows, paragraph_minhash, sharding, simhash_bktree, source_mixing
+from . import code_compression, embedding_dedup, exact_topk, hilbert_packing, language_id, license_digests, line_windows, paragraph_minhash, passage_quality, sharding, simhash_bktree, source_divergence, source_mixing
 from .common import read_table
 
 
@@ -56,7 +56,19 @@ def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_balanced_labels, op2_license_digests, op3_sorted_projections, op4_source_mix, op5_paragraph_minhash, op6_line_windows, op7_language_families, op8_simhash_bktree, op9_hilbert_packing, op10_pivot_topk)}
+def op11_passage_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_quality.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_bounded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_balanced_labels, op2_license_digests, op3_sorted_projections, op4_source_mix, op5_paragraph_minhash, op6_line_windows, op7_language_families, op8_simhash_bktree, op9_hilbert_packing, op10_pivot_topk, op11_passage_attention, op12_bounded_lloyd, op13_term_vectors)}
 
 
 def _license_sql() -> str:
@@ -103,4 +115,43 @@ removed AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM g GROUP BY doc_id
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS INTEGER) AS lines, coalesce(r.n, 0) AS removed_lines
 FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)"""
 
-ORACLE_SQL = {"op2_license_digests": _license_sql(), "op3_sorted_projections": _OP3, "op6_line_windows": _OP6, "op10_pivot_topk": _OP10}
+
+def _lloyd_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain Lloyd rounds: every distance of every round, floors by whole-number division."""
+    out = f"""WITH n AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
+WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+p AS MATERIALIZED (SELECT row, part, e[part * (len(e) // {parts}) + 1 : (part + 1) * (len(e) // {parts})] AS x FROM n, range({parts}) AS r(part)),
+b0 AS MATERIALIZED (SELECT part, row - 1 AS entry, x AS c FROM p WHERE row <= {entries})"""
+    near = "SELECT row, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT row, part, x, entry, list_sum([CAST(x[k] - c[k] AS BIGINT) * (x[k] - c[k]) for k in range(1, len(x) + 1)]) AS d FROM p JOIN b{} USING (part)) GROUP BY row, part, x"
+    for r in range(rounds):
+        out += f""",
+a{r} AS MATERIALIZED ({near.format(r)}),
+m{r} AS (SELECT part, entry, k, sum(x[k]) AS s, count(*) AS n FROM a{r}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS k) GROUP BY part, entry, k),
+b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(u.c, b{r}.c) AS c FROM b{r} LEFT JOIN (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS c FROM m{r} GROUP BY part, entry) u USING (part, entry))"""
+    return (
+        out
+        + f""",
+z AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM ({near.format(rounds)}) GROUP BY row),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+g AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM n JOIN z USING (row) GROUP BY label)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM n JOIN z USING (row) JOIN g ON n.label IS NOT DISTINCT FROM g.label, h"""
+    )
+
+
+#: Every kept term with every group, by plain joins.
+_OP13 = """WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS MATERIALIZED (SELECT row, lang, source, unnest(terms) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+w AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, kept.n AS all_n FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY lang, source) AS HUGEINT) AS total, count(*) OVER (PARTITION BY lang, source) AS v, CAST(sum(all_n) OVER (PARTITION BY lang, source) AS HUGEINT) AS lang_total FROM w),
+p AS MATERIALIZED (SELECT lang, source, term, n, 1 + CAST(1000000000 AS HUGEINT) * (n + 5) // (total + 5 * v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (all_n + 5) // (lang_total + 5 * v) AS q FROM s),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS one, y.source AS two, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) z ON z.lang = a.lang AND one = a.source AND two = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+ORACLE_SQL = {"op2_license_digests": _license_sql(), "op3_sorted_projections": _OP3, "op6_line_windows": _OP6, "op10_pivot_topk": _OP10, "op12_bounded_lloyd": _lloyd_sql(), "op13_term_vectors": _OP13}
