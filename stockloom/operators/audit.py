@@ -76,23 +76,27 @@ def chapman(overlap: DataFrame) -> DataFrame:
     return overlap.withColumns({"estimate": est, "variance": var, "lo": F.greatest(est - half, F.lit(0.0)), "hi": est + half})
 
 
-def breaker(runs: DataFrame, source: str = "source_key", at: str = "finished_at", order: str = "run_id", ok: str = "ok", down: int = 3, base: int = 900, most: int = 86400) -> DataFrame:
-    """D8 as a batch: for each run, the failures in a row so far, status, trips of the breaker so far in this bad spell, and the cooldown.
-    A spell is an island of runs without a success; every `down` failures the depth grows by one."""
-    w = Window.partitionBy(source).orderBy(at, order).rowsBetween(Window.unboundedPreceding, 0)
-    island = runs.withColumn("_island", F.sum(F.col(ok).cast("int")).over(w))
+def breaker(runs: DataFrame, source: str = "source_key", at: str = "finished_at", order: str = "run_id", ok: str = "ok", degrade: int = 1, down: int = 3, trip: int = 3, base: int = 900, most: int = 86400) -> DataFrame:
+    """D8 as a batch: for each run the failures in a row so far, the source's status, its breaker, whether this run tripped it, and the cooldown.
+    A spell is an island of runs without a success.  From `trip` failures on the breaker is open for `base` seconds, doubled for each further failure,
+    at most `most`; a failure after the cooldown (half-open by then) trips it anew."""
+    by = Window.partitionBy(source).orderBy(at, order)
+    island = runs.withColumn("_island", F.sum(F.col(ok).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     fails = F.sum((~F.col(ok)).cast("int")).over(Window.partitionBy(source, "_island").orderBy(at, order).rowsBetween(Window.unboundedPreceding, 0))
-    out = island.withColumn("fails", fails).withColumn("trips", F.expr(f"fails div {down}"))
-    status = F.when(F.col("fails") == 0, "ok").when(F.col("fails") < down, "degraded").otherwise("down")
-    cool = F.when(F.col("trips") > 0, F.least(F.lit(base) * F.pow(F.lit(2.0), F.col("trips") - 1), F.lit(float(most))).cast("long")).otherwise(F.lit(0).cast("long"))
-    return out.select(source, order, at, ok, "fails", status.alias("status"), F.col("trips").cast("long").alias("trips"), cool.alias("cooldown_s"))
+    status = F.when(F.col("fails") >= down, "down").when(F.col("fails") >= degrade, "degraded").otherwise("healthy")
+    is_open = F.col("fails") >= trip
+    cool = F.when(is_open, F.least(F.lit(base) * F.pow(F.lit(2.0), F.col("fails") - trip), F.lit(float(most)))).otherwise(0).cast("long")
+    out = island.withColumn("fails", fails).withColumns({"status": status, "breaker": F.when(is_open, "open").otherwise("closed"), "cooldown_s": cool})
+    waited = F.unix_micros(F.col(at).cast("timestamp")) >= F.lag(F.unix_micros(F.col(at).cast("timestamp")) + F.col("cooldown_s") * 1_000_000).over(by)
+    tripped = is_open & ((F.col("fails") == trip) | F.coalesce(waited, F.lit(False)))
+    return out.withColumn("tripped", tripped).select(source, order, at, ok, "fails", "status", "breaker", "tripped", "cooldown_s")
 
 
 def breaker_now(state: DataFrame, as_of: Column, source: str = "source_key", at: str = "finished_at", order: str = "run_id") -> DataFrame:
     """Each source's breaker at a moment: closed, open, or half_open once the cooldown is over."""
-    last = state.groupBy(source).agg(F.max_by(F.struct("trips", "cooldown_s", F.col(at).alias("at"), "fails", as_of.alias("now")), F.struct(at, order)).alias("s")).select(source, "s.*")
+    last = state.groupBy(source).agg(F.max_by(F.struct("breaker", "cooldown_s", F.col(at).alias("at"), "fails", as_of.alias("now")), F.struct(at, order)).alias("s")).select(source, "s.*")
     over = F.unix_micros("now") >= F.unix_micros("at") + F.col("cooldown_s") * 1_000_000
-    return last.select(source, "fails", F.when(F.col("trips") == 0, "closed").when(over, "half_open").otherwise("open").alias("breaker"))
+    return last.select(source, "fails", F.when((F.col("breaker") == "open") & over, "half_open").otherwise(F.col("breaker")).alias("breaker"))
 
 
 def due(health: DataFrame, as_of: Column, fails: int = 3) -> DataFrame:

@@ -282,21 +282,37 @@ def _(x):
     return e.crossJoin(F.broadcast(since)).where("ts >= m - interval 2 days").orderBy(F.desc("ts"), "event_id").limit(100).select("event_id", "user_id", "event_type")
 
 
-_RUNS = "i AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY source_key ORDER BY finished_at, run_id ROWS UNBOUNDED PRECEDING) AS isl FROM run), f AS (SELECT *, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY source_key, isl ORDER BY finished_at, run_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fails FROM i), t AS (SELECT *, fails // 3 AS trips, CASE WHEN fails = 0 THEN 'ok' WHEN fails < 3 THEN 'degraded' ELSE 'down' END AS status, CAST(CASE WHEN fails // 3 > 0 THEN least(900 * pow(2, fails // 3 - 1), 86400) ELSE 0 END AS BIGINT) AS cooldown_s FROM f)"
+_SPELLS = "i AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY source_key ORDER BY finished_at, run_id ROWS UNBOUNDED PRECEDING) AS isl FROM run), f AS (SELECT *, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY source_key, isl ORDER BY finished_at, run_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fails FROM i)"
+_RUNS = f"{_SPELLS}, t AS (SELECT *, CASE WHEN fails = 0 THEN 'healthy' WHEN fails < 3 THEN 'degraded' ELSE 'down' END AS status, CASE WHEN fails < 3 THEN 'closed' ELSE 'open' END AS breaker, CAST(CASE WHEN fails >= 3 THEN least(900 * pow(2, fails - 3), 86400) ELSE 0 END AS BIGINT) AS cooldown_s FROM f), w AS (SELECT *, epoch_us(finished_at) + cooldown_s * 1000000 AS until, lag(epoch_us(finished_at) + cooldown_s * 1000000) OVER s AS was, lead(epoch_us(finished_at)) OVER s AS nxt FROM t WINDOW s AS (PARTITION BY source_key ORDER BY finished_at, run_id)), u AS (SELECT *, fails >= 3 AND (fails = 3 OR coalesce(epoch_us(finished_at) >= was, false)) AS tripped FROM w)"
 
 
-@Q("d8_breaker_state", f"WITH {_RUNS} SELECT source_key, run_id, fails, status, trips, cooldown_s FROM t")
+@Q("d8_breaker_state", f"WITH {_RUNS} SELECT source_key, run_id, fails, status, breaker, tripped, cooldown_s FROM u")
 def _(x):
-    return audit.breaker(x.run).select("source_key", "run_id", "fails", "status", "trips", "cooldown_s")
+    return audit.breaker(x.run).select("source_key", "run_id", "fails", "status", "breaker", "tripped", "cooldown_s")
 
 
-@Q("d9_breaker_now", f"WITH {_RUNS}, l AS (SELECT source_key, arg_max(trips, (finished_at, run_id)) AS trips, arg_max(fails, (finished_at, run_id)) AS fails, arg_max(cooldown_s, (finished_at, run_id)) AS c, max(finished_at) AS fin FROM t GROUP BY 1), m AS (SELECT max(finished_at) AS now FROM run) SELECT source_key, fails, CASE WHEN trips = 0 THEN 'closed' WHEN epoch_us(now) >= epoch_us(fin) + c * 1000000 THEN 'half_open' ELSE 'open' END AS breaker FROM l, m")
+@Q("d9_breaker_now", f"WITH {_RUNS}, l AS (SELECT source_key, arg_max(breaker, (finished_at, run_id)) AS b, arg_max(fails, (finished_at, run_id)) AS fails, arg_max(until, (finished_at, run_id)) AS until FROM u GROUP BY 1), m AS (SELECT max(finished_at) AS now FROM run) SELECT source_key, fails, CASE WHEN b = 'open' AND epoch_us(now) >= until THEN 'half_open' ELSE b END AS breaker FROM l, m")
 def _(x):
     run = x.run.withColumn("finished_at", F.col("finished_at").cast("timestamp"))
     now = run.agg(F.max("finished_at").alias("now"))
     return audit.breaker_now(audit.breaker(run).crossJoin(F.broadcast(now)), F.col("now"))  # one row
 
 
+@Q("d8_stream_breaker", f"WITH {_RUNS}, n AS (SELECT epoch_us(max(finished_at)) AS now FROM run) SELECT source_key, 'run' AS kind, run_id, fails, status, breaker, tripped, cooldown_s, CAST(epoch_us(finished_at) AS BIGINT) AS at_us FROM u UNION ALL SELECT source_key, 'half_open', NULL, fails, status, 'half_open', NULL, NULL, CAST(until AS BIGINT) FROM u, n WHERE breaker = 'open' AND until <= coalesce(nxt, now)")
+def _(x):
+    """D8, D9 as a stream with state and timers: each run, and each breaker whose cooldown ended before the next run or the end of the log."""
+    out = incremental.stream_health(x.spark, x.sf_dir).where("kind in ('run', 'half_open')")
+    return out.select("source_key", "kind", "run_id", "fails", "status", "breaker", "tripped", "cooldown_s", F.unix_micros("at").alias("at_us"))
+
+
+@Q("d12_stream_alerts", "WITH r AS (SELECT *, CASE WHEN run_id % 4 = 0 THEN 'discover' ELSE 'scrape' END AS phase FROM run), s AS (SELECT *, coalesce(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY source_key, phase ORDER BY finished_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sp FROM r) SELECT source_key, phase, CAST(min(epoch_us(finished_at)) FILTER (WHERE NOT ok) AS BIGINT) AS opened_us, 'run ' || arg_max(run_id, (finished_at, run_id)) FILTER (WHERE NOT ok) AS message, count(*) FILTER (WHERE NOT ok) AS raised, CAST(max(epoch_us(finished_at)) FILTER (WHERE ok) AS BIGINT) AS resolved_us FROM s GROUP BY source_key, phase, sp HAVING count(*) FILTER (WHERE NOT ok) > 0")
+def _(x):
+    """D12, D13 as a stream: the last word on each alert of an origin (source and phase)."""
+    rows = incremental.stream_health(x.spark, x.sf_dir).where("kind like 'alert%'")
+    last = rows.groupBy("source_key", "phase", F.unix_micros("opened_at").alias("opened_us")).agg(F.max_by("message", "raised").alias("message"), F.max("raised").alias("raised"), F.max(F.when(F.col("kind") == "alert_resolved", F.unix_micros("at"))).alias("resolved_us"))
+    return last.select("source_key", "phase", "opened_us", "message", "raised", "resolved_us")
+
+
 _HEALTH = "h AS (SELECT source_key, max(finished_at) FILTER (WHERE ok) AS last_ok, CAST(24 + 12 * (length(source_key) % 3) AS INTEGER) AS iv, count(*) FILTER (WHERE NOT ok) % 5 AS fails FROM run GROUP BY 1), m AS (SELECT max(finished_at) AS now FROM run)"
 
 
@@ -334,6 +350,28 @@ def _(x):
     return audit.repair_log(failures).select("doc_id", "action", "succeeded", "severity", "outcome", "origin")
 
 
+def _replay(cap: int, trim: int, touch: bool) -> str:
+    """The window of each type, one event after the other."""
+    end = "list_append([y for y in d if y <> e.id], e.id)" if touch else "CASE WHEN list_contains(d, e.id) THEN d ELSE list_append(d, e.id) END"
+    return f"""WITH RECURSIVE e AS (SELECT event_type AS origin, event_id, props AS id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events),
+w AS (SELECT origin, event_id, id, k, false AS seen, [id] AS d FROM e WHERE k = 1
+UNION ALL SELECT origin, event_id, id, k, seen, CASE WHEN len(z) > {cap} THEN list_slice(z, len(z) - {trim} + 1, len(z)) ELSE z END FROM (
+  SELECT e.origin, e.event_id, e.id, e.k, list_contains(d, e.id) AS seen, {end} AS z FROM w JOIN e ON w.origin = e.origin AND e.k = w.k + 1))
+SELECT origin, event_id, seen, len(d) AS held FROM w"""
+
+
+@Q("d16_bounded_seen", _replay(40, 25, False))
+def _(x):
+    """First in, first out: beyond 40 payloads of a type the oldest go, down to 25."""
+    return incremental.stream_window_of_ids(x.spark, x.sf_dir, 40, 25).select("origin", F.col("order").alias("event_id"), "seen", "held")
+
+
+@Q("d16_lru_cache", _replay(30, 30, True))
+def _(x):
+    """Least recently used: a payload that comes again is young again; beyond 30 the oldest goes."""
+    return incremental.stream_window_of_ids(x.spark, x.sf_dir, 30, touch=True).select("origin", F.col("order").alias("event_id"), "seen", "held")
+
+
 @Q("d15_stream_dedup", "SELECT props, count(*) > 0 AS seen FROM events GROUP BY 1")
 def _(x):
     return incremental.stream_first_seen(x.spark, x.sf_dir).select("props").distinct().withColumn("seen", F.lit(True))

@@ -13,22 +13,30 @@ from pyspark.sql import functions as F
 
 from ..operators import delta
 from ..operators.graph import shared_dir
+from . import stateful
 
 
 def _place(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stockloom-stream-{uuid.uuid4().hex}"
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+def events(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    """The event log as a stream of files: events.parquet is one file, or a folder of part files.  Without `files_per_batch` a micro-batch has
+    all files that are there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    s = spark.readStream.schema(spark.read.parquet(str(path)).schema)
+    s = s.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else s
+    # a file source reads folders: a single file is named by the glob of its folder's files
+    return s.parquet(str(path)) if folder else s.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def drained(stream: DataFrame, spark: SparkSession, **how: str) -> DataFrame:
-    """Runs a stream to its present end into Parquet and reads that."""
-    at = _place(spark)
-    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start(f"{at}/out")
+def drained(stream: DataFrame, spark: SparkSession, at: str | None = None) -> DataFrame:
+    """Runs a stream to its present end into Parquet and reads that.  A named folder `at` holds checkpoint and rows, so a later call goes on
+    where the last one ended."""
+    at = at or _place(spark)
+    with stateful.keyed_state(spark):
+        q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start(f"{at}/out")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -44,14 +52,37 @@ def stream_first_seen(spark: SparkSession, sf_dir: str, within: str = "10 days")
     return drained(s.withWatermark("ts", within).dropDuplicatesWithinWatermark(["props"]), spark)
 
 
-def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extension: daily counts by event time.  The batch's windows are all final, so the table is written at once per batch."""
+def stream_windows(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    """Extension: daily counts by event time.  A micro-batch writes its own partial counts and keeps no state; the counts of a day are the sums of its
+    partial ones, whenever late events come."""
     at = _place(spark)
-    s = events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    g = s.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
-    write = lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out")
-    g.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(g.schema).parquet(f"{at}/out")
+    s = events(spark, sf_dir, files_per_batch).withColumn("day", F.date_trunc("day", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy("day", "event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    s.select("day", "event_type").writeStream.option("checkpointLocation", f"{at}/check").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema("day timestamp_ntz, event_type string, n long").parquet(f"{at}/out").groupBy("day", "event_type").agg(F.sum("n").alias("n"))
+
+
+def stream_health(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None, at: str | None = None) -> DataFrame:
+    """The health, breaker and alert rows of each source (a user's events are its runs; every fourth is of discovery)."""
+    s = events(spark, sf_dir, files_per_batch).select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_key"),
+        F.col("event_id").alias("run_id"),
+        F.col("ts").cast("timestamp").alias("at"),
+        F.when(F.col("event_id") % 4 == 0, "discover").otherwise("scrape").alias("phase"),
+        (F.col("event_type") != "error").alias("ok"),
+        F.lit("warning").alias("severity"),
+        F.concat(F.lit("run "), F.col("event_id").cast("string")).alias("message"),
+    )
+    return drained(stateful.source_health(s), spark, at)
+
+
+def stream_window_of_ids(spark: SparkSession, sf_dir: str, cap: int, trim: int | None = None, touch: bool = False, files_per_batch: int | None = None, at: str | None = None) -> DataFrame:
+    """Whether each event's payload is among the last ones of its type, by a bounded window."""
+    s = events(spark, sf_dir, files_per_batch).select(F.col("event_type").alias("origin"), F.col("event_id").alias("order"), F.col("props").alias("id"))
+    return drained(stateful.bounded_window(s, cap, trim, touch), spark, at)
 
 
 def stream_reconcile(spark: SparkSession, old: DataFrame, new: DataFrame, key: Sequence[str], order: str, at: str | None = None) -> DataFrame:

@@ -73,8 +73,9 @@ def test_quorum(spark):
 
 def test_breaker(spark):
     runs = spark.createDataFrame([("s", i, datetime(2026, 1, 1, i), ok) for i, ok in enumerate([True, False, False, False, False, True, False])], "source_key string, run_id int, finished_at timestamp, ok boolean")
-    got = [(r["fails"], r["status"], r["trips"]) for r in audit.breaker(runs).orderBy("run_id").collect()]
-    assert got == [(0, "ok", 0), (1, "degraded", 0), (2, "degraded", 0), (3, "down", 1), (4, "down", 1), (0, "ok", 0), (1, "degraded", 0)]
+    got = [(r["fails"], r["status"], r["breaker"], r["tripped"], r["cooldown_s"]) for r in audit.breaker(runs).orderBy("run_id").collect()]
+    # an hour passes between runs, so the first cooldown (900 s) is over when the fourth failure trips the breaker again
+    assert got == [(0, "healthy", "closed", False, 0), (1, "degraded", "closed", False, 0), (2, "degraded", "closed", False, 0), (3, "down", "open", True, 900), (4, "down", "open", True, 1800), (0, "healthy", "closed", False, 0), (1, "degraded", "closed", False, 0)]
 
 
 def test_normalisers(spark):
