@@ -87,14 +87,15 @@ own AS (SELECT doc_id, {canonical("text")} AS digest FROM documents)
 SELECT doc_id, own.digest, license FROM own LEFT JOIN known USING (digest)"""
 
 
-#: Equal vectors, pairs by brute force, components by a recursive closure.
-_OP3 = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL),
-links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
-reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
-comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+#: Pairs by brute force, components by a recursive closure.  Rows are told apart by number, so rows that repeat a vec_id link by their own vectors.
+_OP3 = """WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in e if x <> 0]) > 0),
+links AS (SELECT a.row AS a, b.row AS b FROM n a JOIN n b ON a.label = b.label AND a.row <> b.row WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT row AS a, row AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comp AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN v ON v.row = b GROUP BY a),
 deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
-SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
-FROM embeddings JOIN comp ON comp.a = vec_id LEFT JOIN deg ON deg.a = vec_id"""
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN comp ON comp.a = row LEFT JOIN deg ON deg.a = row"""
 
 #: Rows are told apart by number, so rows that repeat a vec_id are candidates of each other.
 _OP10 = """WITH n AS (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings),

@@ -9,7 +9,8 @@ a fixed bound whatever the input, but all trees together grow with it, so they a
 are and not broadcast to every task.  A task emits a spanning forest of the links it finds, never all pairs.
 
 Cases: null, empty and all-space texts have fingerprint zero and link with each other; null doc_ids keep their
-fingerprint, are never a representative, and get the component of their fingerprint; repeated rows stay rows; an empty table gives no rows."""
+fingerprint, are never a representative, and get the component of their fingerprint (null if no row with a doc_id has one within reach of it); repeated
+rows stay rows; rows that share a doc_id but not the text are linked each by its own fingerprint; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, Union, components, groups_of, in_chunks, narrow
-from .paragraph_minhash import similar
+from .paragraph_minhash import signatures, similar
 
 SLICE = 256
 BLOCK = 1 << 15
@@ -180,125 +181,134 @@ def near_duplicates(docs: DataFrame, radius: int = 3, most: int = 1024, width: i
     """doc_id, fp and component_id (the smallest doc_id reachable over links) for every document."""
     tables = Tables(docs.sparkSession)
     prints = tables.keep(fingerprints(docs, width), "prints")
-    classes = tables.keep(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
+    classes = tables.keep(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc")), "classes")
+    # the fingerprint itself names a class: documents that share a doc_id may have several
+    points = classes.select("fp", F.col("fp").alias("id"))
     chosen = masks(blocks_for(classes.count(), radius), radius)
-    shards = classes.withColumn("e", F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(chosen))))).select("e.c", "e.k", "fp", "id")
+    shards = points.withColumn("e", F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(chosen))))).select("e.c", "e.k", "fp", "id")
     sizes = shards.groupBy("c", "k").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
     big = tables.keep(sizes.select(F.col("c").alias("_c"), F.col("k").alias("_k"), F.ceil(F.col("_n") / most).cast("int").alias("_many")), "big")
     shards = shards.join(big, (F.col("c") == F.col("_c")) & (F.col("k") == F.col("_k")), "left").withColumn("many", F.coalesce("_many", F.lit(1)))
     trees = tables.keep(shard_trees(shards.withColumn("i", F.pmod(F.xxhash64("id"), F.col("many")).cast("int")).select("c", "k", "i", "many", "fp", "id")), "trees")
     found = components(tree_links(trees, radius), tables)
-    of = classes.join(found, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
+    of = tables.keep(classes.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), "doc", F.coalesce("component", "fp").alias("component")), "of")
+    least = of.groupBy(F.col("component").alias("_component")).agg(F.min("doc").alias("component_id"))
+    of = of.join(least, F.col("component") == F.col("_component")).select("_fp", "component_id")
     return prints.join(of, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
-def halves(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, row (hash of the text), fp and gp (two independent 64-bit SimHashes over the distinct shingles), h (hash of the shingle set), size (of the set) and
-    shingles (sorted distinct unsigned 32-bit hashes) for every document."""
+def sketches(docs: DataFrame, width: int, bands: int, rows: int, seed: int = 31) -> DataFrame:
+    """doc_id, row (hash of the text), fp (64-bit SimHash over the distinct shingles), h (hash of the shingle set), size (of the set), shingles (sorted distinct
+    unsigned 32-bit hashes) and keys (MinHash bands of the shingle set) for every document."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        digest = xxhash.xxh64_intdigest
+        digest, kind = xxhash.xxh64_intdigest, np.zeros(1, np.uint64)
 
         def one(text):
             words = (text or "").encode("utf-8", "replace").lower().split()
             if not words:
-                return 0, 0, 0, 0, b""
+                return 0, 0, 0, b"", []
             line, n = b" ".join(words), max(1, len(words) - width + 1)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
             begins, stops = [0, *(ends[: n - 1] + 1).tolist()], ends[-n:].tolist()
             h = np.unique(np.fromiter((digest(line[b:e], 42) for b, e in zip(begins, stops, strict=True)), np.uint64, n))
-            g = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-            g ^= g >> np.uint64(32)
-            both = []
-            for x in (h, g):
-                votes = sum(np.unpackbits(x[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(x), BLOCK))
-                both.append(int(np.packbits(2 * votes > len(x), bitorder="little").view(np.int64)[0]))
+            votes = sum(np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(h), BLOCK))
+            fp = int(np.packbits(2 * votes > len(h), bitorder="little").view(np.int64)[0])
             known = digest(h.tobytes(), 3)
-            return *both, known - (1 << 64) if known >> 63 else known, len(h), np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()
+            keys = signatures(h, np.zeros(1, np.int64), kind, bands, rows, seed)[0].view(np.int64)
+            return fp, known - (1 << 64) if known >> 63 else known, len(h), np.unique((h >> np.uint64(32)).astype("<u4")).tobytes(), keys
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 cols = zip(*map(one, part.column(2).to_pylist()), strict=True)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "row", "fp", "gp", "h", "size", "shingles"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "row", "fp", "h", "size", "shingles", "keys"])
 
     own = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("row"), "text")
-    return own.mapInArrow(run, "doc_id long, row long, fp long, gp long, h long, size int, shingles binary")
-
-
-def wide_links(shards: DataFrame, threshold: float, radius: int, total: int) -> DataFrame:
-    """A spanning forest (a, b) over fp of the pairs inside each cell that differ in at most radius bits of the cell's half and total bits of
-    both, and whose set sizes allow the threshold.  At such a radius a BK-tree excludes next to nothing (unrelated
-    fingerprints differ in 32 +- 4 bits), so a cell is searched whole, in the order of the sizes."""
+    return own.mapInArrow(run, "doc_id long, row long, fp long, h long, size int, shingles binary, keys array<long>")
+
+
+def reachable(values: list[int], radius: int) -> list[int]:
+    """For each value the number of the first value that it is linked to, over steps of at most `radius` bits.  A value that was found leaves the
+    search: the tree is built anew whenever half of it has been found, so a dense group costs little more than one search."""
+    root, left = list(range(len(values))), set(range(len(values)))
+    tree, size = None, 0
+    for first in range(len(values)):
+        if first not in left:
+            continue
+        left.discard(first)
+        todo = [first]
+        while todo and left:
+            if tree is None or 2 * len(left) <= size:
+                tree, size = BKTree(), len(left)
+                for at in left:
+                    tree.add(values[at], at)
+            for at in tree.within(values[todo.pop()], radius):
+                if at in left:
+                    left.discard(at)
+                    root[at] = first
+                    todo.append(at)
+    return root
+
+
+def band_links(cells: DataFrame, threshold: float, radius: int) -> DataFrame:
+    """A spanning forest (a, b) over fp of the fingerprints of each cell that differ in at most radius bits, found in the cell's BK-tree."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        for _, cell in groups_of(batches, ["c", "k", "i", "j"]):
+        for _, cell in groups_of(batches, ["key", "i", "j"]):
             if cell.num_rows < 2:
                 continue
-            fp, gp, size, role = (np.asarray(cell[c].combine_chunks()) for c in ("fp", "gp", "size", "role"))
-            order = np.argsort(size, kind="stable")
-            fp, gp, size, role = fp[order].view(np.uint64), gp[order].view(np.uint64), size[order], role[order]
-            half = fp if cell["c"][0].as_py() == 0 else gp
-            low, label, alone = np.searchsorted(size, np.ceil(threshold * size - 1e-9)), np.arange(len(fp)), cell["i"][0] == cell["j"][0]
-            step = max(1, min(256, (1 << 20) // len(fp)))
-            for at in range(0, len(fp), step):
-                lo, hi = int(low[at]), min(at + step, len(fp))
-                x, y = np.nonzero(np.bitwise_count(half[at:hi, None] ^ half[None, lo:hi]) <= radius)
-                x, y = x + at, y + lo
-                ok = (y < x) & (y >= low[x]) & (fp[x] != fp[y])
-                if not alone:
-                    ok &= role[x] != role[y]
-                x, y = x[ok], y[ok]
-                ok = np.bitwise_count(fp[x] ^ fp[y]) + np.bitwise_count(gp[x] ^ gp[y]) <= total
-                x, y = x[ok], y[ok]
-                while len(x := x[new := label[x] != label[y]]):  # hook larger labels to smaller ones until no pair is split
-                    y, up = y[new], np.arange(len(fp))
-                    np.minimum.at(up, np.maximum(label[x], label[y]), np.minimum(label[x], label[y]))
-                    while (up != up[up]).any():
-                        up = up[up]
-                    label = up[label]
-            own = np.flatnonzero(label != np.arange(len(fp)))
-            if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(fp[n].view(np.int64)) for n in (own, label[own])], ["a", "b"])
-
-    keys = ["c", "k", "i", "j"]
-    return shards.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
-
-
-def drop_similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 12, total: int = 30, most: int = 1 << 16) -> DataFrame:
-    """One document of each group linked by Jaccard similarity of `threshold` or more between sets of `width`-word shingles: the
-    one with the smallest doc_id (of rows that repeat it, a hash of the text decides).  Candidates are found exactly within the radius of either of two fingerprints, and
-    every pair inside a candidate component is verified by its shingle sets.  Rows without a doc_id stay; rows
-    that repeat in every column count as one."""
+            values = cell["fp"].to_pylist()
+            root = reachable([v & (1 << 64) - 1 for v in values], radius)
+            if links := [(values[x], values[r]) for x, r in enumerate(root) if r != x]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+    keys = ["key", "i", "j"]
+    return cells.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "a long, b long")
+
+
+def drop_similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 18, bands: int = 8, rows: int = 3, most: int = 1 << 12) -> DataFrame:
+    """One document of each group linked by Jaccard similarity of `threshold` or more between sets of `width`-word shingles: the one with the
+    smallest doc_id (of rows that repeat it, a hash of the text decides).
+
+    The shards are MinHash bands: two sets of similarity 0.8 share one of 8 bands of 3 with probability 1 - (1 - 0.8^3)^8 = 0.997, and
+    unrelated documents share none, so a document joins 8 shards and the shards hold its near copies, whatever the size of the table.  In a shard's
+    BK-tree the fingerprints within `radius` bits are linked (two sets of similarity 0.8 differ in 10 of 64 bits, standard deviation 3), and
+    every pair inside a component of such links is verified by its shingle sets, whose shingles count as 32-bit hashes.
+
+    Cases: rows without a doc_id stay, all of them; rows that repeat both doc_id and text count as one document, of which the row that is first in the order
+    of its other columns stays; texts without a word stay; an empty table gives no rows."""
     tables = Tables(docs.sparkSession)
-    prints = tables.keep(halves(docs, width), "prints")
+    prints = tables.keep(sketches(docs, width, bands, rows), "prints")
     classes = prints.where("doc_id is not null and size > 0")
     # smaller sets (below 4 shingles at 0.8) reach the threshold only when they are equal
-    points = tables.keep(classes.where(F.col("size") >= F.lit(threshold / (1 - threshold) - 1e-9)).select("fp", "gp", "size").distinct(), "points")
-    chosen = masks(radius + 2, radius)
-    at = F.explode(F.array(*(F.struct(F.lit(half).alias("c"), F.lit(m).alias("m"), F.lit(n).alias("n")) for half in (0, 1) for n, m in enumerate(chosen))))
-    shards = points.withColumn("e", at).select(F.col("e.c").alias("c"), F.expr("struct(e.n, case when e.c = 0 then fp else gp end & e.m)").alias("k"), "fp", "gp", "size")
-    # 24 bits of the key are shuffled: keys that meet in one cell cost time only
-    shards = shards.select("c", F.xxhash64("k").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("k"), "fp", "gp", "size")
-    near = components(wide_links(in_chunks(shards, ["c", "k"], "fp", most, tables), threshold, radius, total), tables)
+    points = classes.where(F.col("size") >= F.lit(threshold / (1 - threshold) - 1e-9)).select(F.explode("keys").alias("key"), "fp").distinct()
+    shared = points.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("key").alias("_key"))
+    shards = tables.keep(points.join(shared, F.col("key") == F.col("_key"), "left_semi"), "shards")
+    near = components(band_links(in_chunks(shards, ["key"], "fp", most, tables), threshold, radius), tables)
     # equal fingerprints are candidates too
     of = classes.join(near, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("component"), "h", "shingles")
     sets = of.groupBy("component", "h").agg(F.min("shingles").alias("shingles"))
     several = of.groupBy("component").agg(F.min("h").alias("_x"), F.max("h").alias("_y")).where("_x <> _y").select(F.col("component").alias("_component"))
     sets = tables.keep(sets.join(several, F.col("component") == F.col("_component"), "left_semi"), "sets")
     linked = components(similar(sets, threshold, 1024, tables), tables)
-    found = prints.where("doc_id is not null").select("doc_id", "row", "h").join(linked, F.col("h") == F.col("node"), "left").select("doc_id", "row", F.coalesce("component", "h").alias("g"))
+    found = prints.where("doc_id is not null and size > 0").select("doc_id", "row", "h").join(linked, F.col("h") == F.col("node"), "left").select("doc_id", "row", F.coalesce("component", "h").alias("g"))
     found = tables.keep(found, "found")
     place = F.struct("doc_id", "row")
     least = found.groupBy("g").agg(F.min(place).alias("_least"), F.max(place).alias("_most")).where("_least <> _most").select(F.col("g").alias("_g"), "_least")
     gone = found.join(least, F.col("g") == F.col("_g")).where(place != F.col("_least")).select(F.col("doc_id").alias("_gone"), F.col("row").alias("_row")).distinct()
-    kept = docs.join(gone, (docs["doc_id"] == F.col("_gone")) & (F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col("_row")), "left_anti")
-    return kept if found.groupBy("doc_id", "row").count().where("count > 1").isEmpty() else kept.distinct()
+    own = docs.withColumn("_text", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    kept = own.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_text") == F.col("_row")), "left_anti")
+    repeats = tables.keep(prints.where("doc_id is not null").groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.count("*").alias("_n")).where("_n > 1"), "repeats")
+    if repeats.isEmpty():
+        return kept.select(*docs.columns)
+    same = (F.col("doc_id") == F.col("_doc")) & (F.col("_text") == F.col("_row"))
+    once = kept.join(repeats, same, "left_semi").groupBy("doc_id", "_text").agg(F.min(F.struct(*docs.columns)).alias("first")).select("first.*")
+    return kept.join(repeats, same, "left_anti").select(*docs.columns).union(once)
