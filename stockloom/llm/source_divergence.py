@@ -22,18 +22,22 @@ from pyspark.sql import functions as F
 
 from .common import Tables, narrow, spread_join
 
-#: What parts two terms, and the two cases of the letters that are folded.
+#: What parts two terms, characters besides A-Z that may have a lower case, and the two cases of the letters that are folded.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+OTHER_CAPITALS = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences) and documents (that hold the term)."""
-    terms = F.sort_array(F.filter(F.split(F.translate("text", UPPER, LOWER), BETWEEN), lambda t: t != ""))
-    sorted_terms = docs.select("lang", "source", terms.alias("t"))
-    # in a sorted text the first of equal terms is the one that differs from the term before
-    marked = F.transform("t", lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get("t", i - 1) == t), 0).otherwise(1).alias("first")))
-    rows = sorted_terms.select("lang", "source", F.inline(marked))
+    # translate looks at every character; lower does the same where no other capital (or letter-like sign) can change
+    others = F.coalesce(F.col("text").rlike(OTHER_CAPITALS), F.lit(False))
+    folded = F.when(others, F.translate("text", UPPER, LOWER)).otherwise(F.lower("text"))
+    sorted_terms = docs.select("lang", "source", F.sort_array(F.split(folded, BETWEEN)).alias("t"))
+    # in a sorted text the first of equal terms is the one that differs from the term before; an outer generator spares
+    # a filter on the array's size that would split and sort every text again
+    placed = sorted_terms.select("lang", "source", "t", F.posexplode_outer("t").alias("i", "term")).where("term <> ''")
+    rows = placed.select("lang", "source", "term", F.when((F.col("i") > 0) & (F.get("t", F.col("i") - 1) == F.col("term")), 0).otherwise(1).alias("first"))
     return rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("documents"))
 
 
