@@ -128,9 +128,10 @@ def test_paragraphs_of_short_lines(spark):
 def test_planted_passages_are_found(spark, style):
     rng = np.random.default_rng(8)
     words = lambda n: [f"v{x}" for x in rng.integers(0, 10**7, n)]
-    data, planted = [], set()
+    data, planted, passages = [], set(), []
     for p in range(40):
-        passage = words(int(rng.integers(51, 71)))
+        passage = words(int(rng.integers(51, 121)))
+        passages.append(passage)
         for c in range(2):
             body = [words(int(rng.integers(8, 90))) for _ in range(5)]
             at = int(rng.integers(0, 4))
@@ -144,8 +145,39 @@ def test_planted_passages_are_found(spark, style):
             planted.add(2 * p + c)
             data.append((2 * p + c, "\n".join(map(" ".join, body))))
     data += [(1000 + i, "\n".join(" ".join(words(30)) for _ in range(5)) + "\nThe same short line at the end of all of them.") for i in range(40)]
-    found = {r["doc_id"] for r in paragraph_minhash.repeated_paragraphs(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    out = paragraph_minhash.repeated_paragraphs(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    found = {r["doc_id"] for r in out}
     assert found <= planted and len(found) >= 0.9 * len(planted)
+    # of the second copies the whole passage goes; what goes beside it is a word (a piece of 18 words is similar to one that differs in its last), or
+    # the rest of a run of short lines that is similar as a whole
+    gone = defaultdict(set)
+    for r in out:
+        if r["removed"]:
+            gone[r["doc_id"]] |= set(range(r["first_word"], r["last_word"] + 1))
+    texts = {i: t.split() for i, t in data}
+    shares = []
+    for p, passage in enumerate(passages):
+        i = 2 * p + 1
+        at = next(k for k in range(len(texts[i])) if texts[i][k : k + len(passage)] == passage)
+        own = set(range(at, at + len(passage)))
+        assert gone[i] <= {at - 1, *own, at + len(passage)} or style == "short lines" and len(gone[i] - own) <= 0.25 * len(own) + 1
+        shares.append(len(gone[i] & own) / len(own))
+    assert sum(shares) / len(shares) >= 0.9
+
+
+def test_extensions_take_words_that_are_equal_and_no_more(spark):
+    """A passage of 400 words with one word changed in the middle, a repeat inside one text, and a passage that ends a text."""
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"u{x}" for x in rng.integers(0, 10**7, n)]
+    long, short = words(400), words(70)
+    changed = [*long[:200], "changed", *long[201:]]
+    data = [(1, words(33) + long + words(20)), (2, words(50) + changed + words(9)), (3, words(5) + short + words(11) + short), (4, words(3) + short)]
+    out = paragraph_minhash.repeated_paragraphs(spark.createDataFrame([(i, " ".join(w)) for i, w in data], "doc_id long, text string")).collect()
+    gone = defaultdict(list)
+    for r in sorted(out):
+        if r["removed"]:
+            gone[r["doc_id"]].append((r["first_word"], r["last_word"], r["first_doc_id"]))
+    assert gone == {2: [(50, 249, 1), (251, 449, 1)], 3: [(86, 155, 3)], 4: [(3, 72, 3)]}
 
 
 def test_hot_passage_and_rows_that_share_a_doc_id(spark):
