@@ -30,9 +30,11 @@ class Encoder:
     chunks between spaces are, and the rest goes to the tokenizer."""
 
     def __init__(self, spec: str) -> None:
+        import os
         import re
         import unicodedata
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own would only hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_str(spec), {}
