@@ -1,4 +1,4 @@
-"""The functions that have no built-in form: exact NFKD fold, text repair, weighted ratio and recursive JSON search.
+"""The functions that have no built-in form: exact NFKD fold, text repair and recursive JSON search.
 
 All are Pandas UDFs (Arrow batches).
 """
@@ -33,36 +33,6 @@ def repair_text(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf(T.DoubleType())
-def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """0 to 100, the best of the plain ratio and 0.95 times the ratios of sorted and of shared tokens;
-    where one text is over 1.5 times as long, 0.9 times the best aligned part's ratio also counts."""
-    from difflib import SequenceMatcher
-
-    def ratio(x, y):
-        if not x or not y:
-            return 0.0
-        # longest common subsequence by blocks, as an edit-based ratio
-        return 100.0 * 2 * sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()) / (len(x) + len(y))
-
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        best = ratio(x, y)
-        p, q = sorted(x.split()), sorted(y.split())
-        best = max(best, 0.95 * ratio(" ".join(p), " ".join(q)))
-        both = sorted(set(p) & set(q))
-        if both:
-            s, t = " ".join(both), " ".join(sorted(set(p) ^ set(q)))
-            best = max(best, 0.95 * ratio(s, f"{s} {t}".strip()))
-        if x and y and max(len(x), len(y)) > 1.5 * min(len(x), len(y)):
-            short, long_ = sorted((x, y), key=len)
-            best = max(best, max(0.9 * ratio(short, long_[i : i + len(short)]) for i in range(len(long_) - len(short) + 1)))
-        return best
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def find_key(payloads: pd.Series, keys: pd.Series) -> pd.Series:
     """Every value of a key anywhere in a JSON text, as JSON; empty for a text that isn't JSON."""
@@ -86,22 +56,3 @@ def find_key(payloads: pd.Series, keys: pd.Series) -> pd.Series:
             return []
 
     return pd.Series([one(t, k) for t, k in zip(payloads, keys, strict=True)])
-
-
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def microdata(pages: pd.Series) -> pd.Series:
-    """Itemprop names and values (content, href or src attribute, else the text), the first of a name counts."""
-    import re
-    from html import unescape
-
-    tag = re.compile(r"<(\w+)([^>]*\bitemprop\s*=\s*[\"']([^\"']+)[\"'][^>]*)>([^<]*)", re.I)
-    attribute = re.compile(r"\b(?:content|href|src)\s*=\s*[\"']([^\"']*)[\"']", re.I)
-
-    def one(html):
-        out = {}
-        for _, attributes, name, text in tag.findall(html or ""):
-            value = m[1] if (m := attribute.search(attributes)) else text.strip()
-            out.setdefault(name, unescape(value))
-        return out
-
-    return pages.map(one)

@@ -1,4 +1,4 @@
-"""Blocked pairs, set overlap, first-wins and canonical picks."""
+"""Blocked pairs, set overlap, first-wins and canonical picks."""
 
 from __future__ import annotations
 
@@ -53,14 +53,6 @@ def unambiguous(pairs_: DataFrame, key: str, code: str) -> DataFrame:
     return pairs_.dropna(subset=[key, code]).groupBy(key).agg(F.count_distinct(code).alias("_n"), F.min(code).alias(code)).where("_n = 1").drop("_n")
 
 
-def token_subset(queries: DataFrame, candidates: DataFrame, block: str, id: str, tokens: str, code: str) -> DataFrame:
-    """Queries whose tokens are all among those of exactly one candidate code of the block."""
-    q = queries.where(F.size(tokens) > 0).select(block, id, F.col(tokens).alias("_q"))
-    c = candidates.select(block, F.col(tokens).alias("_c"), code)
-    hit = q.join(c, block).where(F.size(F.array_except("_q", "_c")) == 0)
-    return hit.groupBy(id).agg(F.count_distinct(code).alias("_n"), F.min(code).alias(code)).where("_n = 1").drop("_n")
-
-
 def richness(*columns: str) -> Column:
     """How many of the columns are not empty."""
     return sum((F.when(F.length(F.trim(F.col(c).cast("string"))) > 0, 1).otherwise(0) for c in columns), F.lit(0))

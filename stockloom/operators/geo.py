@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from .similarity import token_matches, weighted_matches
 
 
 def nearest(points: DataFrame, labelled: DataFrame, id: str, code: str, cells: tuple[float, ...] = (0.5, 4.0, 360.0)) -> DataFrame:
@@ -167,3 +168,19 @@ def attribute_sellers(listings: DataFrame, directory: DataFrame, id: str) -> Dat
     tokens = first(shared.where((F.size(F.array_except("_t", "_dt")) == 0) | (F.size(F.array_except("_dt", "_t")) == 0)), "_by_tokens")
     dealer, tier = cascade(("phone", F.col("_by_phone")), ("name", F.col("_by_name")), ("tokens", F.col("_by_tokens")))
     return l.select(id).join(phone, id, "left").join(name, id, "left").join(tokens, id, "left").select(id, dealer.alias("dealer"), tier.alias("tier"))
+
+
+def fuzzy_places(asked: DataFrame, known: DataFrame, least: float = 88.0, name_size: int = 4, place_size: int = 4, share: int = 3) -> DataFrame:
+    """Asked (entity_ulid, province_code, name) and known (province_code, code, c) -> entity_ulid, code, score.  Each distinct name of a province is
+    looked up once.  A name whose tokens are all among those of one code is that code's (score null), of several codes nobody's; of others the
+    code with the best weighted ratio counts, the smaller code of equals."""
+    names = asked.where(F.length("name") >= name_size).select("province_code", "name").distinct()
+    sets = names.select("province_code", "name", F.split("name", " ").alias("t"))
+    places = known.select("province_code", "code", F.split("c", " ").alias("t"))
+    codes = token_matches(sets, places, "province_code", "name", "t", "code")
+    short = codes.where("n = 1").select("province_code", "name", "code", F.lit(None).cast("double").alias("score"))
+    rest = names.join(codes, ["province_code", "name"], "left_anti")
+    fits = weighted_matches(rest, known, ["province_code"], "name", "c", least).where(F.length("b") >= F.greatest(F.lit(place_size), F.floor(F.length("a") / share)))
+    scored = fits.join(known.select("province_code", "code", F.col("c").alias("b")), ["province_code", "b"])
+    best = scored.groupBy("province_code", F.col("a").alias("name")).agg(F.min_by(F.struct("code", "score"), F.struct(-F.col("score"), F.col("code"))).alias("m")).select("province_code", "name", "m.code", "m.score")
+    return asked.join(short.union(best), ["province_code", "name"]).select("entity_ulid", "code", "score")

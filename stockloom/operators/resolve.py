@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from .blocking import canonical_pick, pairs, richness, shared_items, stars
+from .blocking import canonical_pick, pairs, richness, stars
 from .graph import Tables, components
+from .similarity import near_name_pairs, price_bands, similar_sets
 
 SIGNAL_RANK = {"both": 3, "photo_url": 2, "firma": 1, "none": 0}
 #: Strength of a seller source by group; any other source counts 1.
@@ -34,7 +35,10 @@ def vehicle_edges(cars: DataFrame, id: str = "vehicle_ulid") -> DataFrame:
     prices are within 2 % of the lower and the seller or the title key agrees (firma).  Equal photos are linked to
     their smallest id (a star spans the group; the component is the same as with all pairs)."""
     own = cars.withColumns({"_photo": N.photo_key(F.col("photo_url")), "_title": N.alnum_key(F.col("title")), "_make": F.nullif(F.lower(F.trim("make")), F.lit("")), "_model": F.nullif(F.lower(F.trim("model")), F.lit(""))})
-    firma = pairs(own, ["_make", "_model", "year", "km", "province_code"], id, ["price", "entity_ulid", "_title", "_photo"], "a_price > 0 and b_price > 0 and abs(a_price - b_price) <= 0.02 * least(a_price, b_price) and (a_entity_ulid = b_entity_ulid or (a__title = b__title and a__title <> ''))")
+    # a branch for each of the two keys, so no block of one model is compared whole
+    block, priced = ["_make", "_model", "year", "km", "province_code"], own.where("price > 0")
+    titled = priced.where("_title <> ''")
+    firma = price_bands(priced, [*block, "entity_ulid"], id, "price", ["_photo"]).select("a", "b", "a__photo", "b__photo").union(price_bands(titled, [*block, "_title"], id, "price", ["_photo"]).select("a", "b", "a__photo", "b__photo"))
     firma = firma.select("a", "b", F.when(F.col("a__photo") == F.col("b__photo"), "both").otherwise("firma").alias("signal"))
     star = stars(own, ["_photo"], id)
     return firma.unionByName(star.withColumn("signal", F.lit("photo_url"))).groupBy("a", "b").agg(F.min("signal").alias("signal"))
@@ -60,10 +64,6 @@ def keyed_edges(rows: DataFrame, block: list[str], id: str, keys: dict[str, str]
     return out.distinct()
 
 
-#: Two different names within two edits, both of at least eight characters.
-SIMILAR = "a_name_key <> b_name_key and length(a_name_key) >= 8 and length(b_name_key) >= 8 and levenshtein(a_name_key, b_name_key, 2) >= 0"
-
-
 def with_keys(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"name_key": F.nullif(N.name_key(F.col("trade_name")), F.lit("")), "phone_key": N.phone_all(F.col("phone")), "host_key": N.host(F.col("website"))})
 
@@ -73,7 +73,9 @@ def dealer_edges(rows: DataFrame, id: str = "entity_ulid", most: int = 500) -> D
     at most `most` named rows."""
     own = with_keys(rows)
     exact = keyed_edges(own, ["municipality_code"], id, {"name": "name_key", "phone": "phone_key", "website": "host_key"})
-    fuzzy = pairs(own.dropna(subset=["name_key"]), ["municipality_code"], id, ["name_key"], SIMILAR, most)
+    named = own.dropna(subset=["municipality_code", "name_key"])
+    small = named.groupBy("municipality_code").count().where(F.col("count") <= most)
+    fuzzy = near_name_pairs(named.where("length(name_key) >= 8").join(small, "municipality_code", "left_semi"), ["municipality_code"], id, "name_key")
     return exact.unionByName(fuzzy.select("a", "b", F.lit("fuzzy").alias("signal")))
 
 
@@ -83,7 +85,7 @@ def dealer_links(rows: DataFrame, id: str = "entity_ulid", most: int = 500) -> D
     block, own = "municipality_code", with_keys(rows)
     named = own.dropna(subset=[block, "name_key"]).groupBy(block, "name_key").agg(F.min(id).alias(id), F.count("*").alias("rows"))
     small = named.groupBy(block).agg(F.sum("rows").alias("rows")).where(F.col("rows") <= most).select(block)
-    links = pairs(named.join(small, block, "left_semi"), [block], id, ["name_key"], SIMILAR).select("a", "b")
+    links = near_name_pairs(named.where("length(name_key) >= 8").join(small, block, "left_semi"), [block], id, "name_key")
     for k in ("name_key", "phone_key", "host_key"):
         links = links.union(stars(own, [block, k], id))
     return links.distinct()
@@ -116,7 +118,7 @@ def adjudicate(sellers: DataFrame, prints: DataFrame, theta: float = 0.30, crowd
     busy = {k: own.dropna(subset=[k]).groupBy(k).count().where(F.col("count") >= crowd).select(F.col(k).alias(f"_{k}"), F.lit(True).alias(f"{k}_busy")) for k in ("phone_key", "host_key")}
     for k, b in busy.items():
         own = own.join(b, F.col(k) == F.col(f"_{k}"), "left").drop(f"_{k}").withColumn(f"{k}_busy", F.coalesce(f"{k}_busy", F.lit(False)))
-    overlap = shared_items(prints, id, "canonical_vehicle_ulid").where(F.col("jaccard") >= theta).select("a", "b", "jaccard")
+    overlap = similar_sets(prints, id, "canonical_vehicle_ulid", theta).select("a", "b", "jaccard")
     same = pairs(own, ["province_code", "phone_key"], id).select("a", "b").union(pairs(own.where("not host_key_busy"), ["province_code", "host_key"], id).select("a", "b"))
     sides = [own.select(F.col(id).alias(p), *(F.col(c).alias(f"{p}_{c}") for c in own.columns if c != id)) for p in "ab"]
     both = overlap.select("a", "b").union(same).distinct().join(overlap, ["a", "b"], "left").join(sides[0], "a").join(sides[1], "b")

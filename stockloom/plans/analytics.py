@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import python_udfs as P
+from ..functions.similarity import weighted_ratio
 from ..operators import audit, blocking, delta, resolve, serving
 from ..sources import payloads
 from ..streaming import incremental
@@ -131,7 +132,7 @@ def _(x):
 
 @Q("f20_weighted_ratio")
 def _(x):
-    return x.entity.select("entity_ulid", P.weighted_ratio(N.geo_key(F.col("trade_name")), F.lit("talleres garcia 3 s l")).alias("score"))
+    return x.entity.select("entity_ulid", weighted_ratio(N.geo_key(F.col("trade_name")), F.lit("talleres garcia 3 s l")).alias("score"))
 
 
 @Q("f21_price_near", "SELECT o.k, coalesce(o.price > 0 AND n.price > 0 AND abs(o.price - n.price) <= 0.02 * least(o.price, n.price), false) AS near FROM old_car o JOIN new_car n ON o.k = n.k")

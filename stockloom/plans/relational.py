@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..operators import audit, blocking, delta, geo, resolve
-from ..sources import payloads, readers
+from ..operators import audit, blocking, delta, geo, resolve, similarity
+from ..sources import connectors, elements, payloads, places, readers, registries, sinks
 from .registry import query
 
 Q = query
@@ -22,6 +22,21 @@ def _(x):
     return readers.scan_parquet(x.spark, f"{x.sf_dir}/orders.parquet", where, id="o_orderkey", price="o_totalprice").withColumn("price", F.col("price").cast("decimal(12,2)"))
 
 
+@Q("s1_nested_places", "SELECT entity_ulid AS id, trade_name AS name, kind AS category, lat, lon, municipality_code AS locality, phone AS postcode, address, website, CAST(n % 10 AS DOUBLE) / 10 AS confidence FROM entity WHERE lon BETWEEN -8 AND -2 AND lat BETWEEN 37 AND 40 AND province_code IS NOT NULL AND kind IN ('particular', 'automobile', 'machinery') AND trade_name <> ''")
+def _(x):
+    """Sellers as nested places, laid out by position, and scanned by a box."""
+    from ..operators.graph import Tables
+
+    e = x.entity
+    nested = e.select(
+        F.col("entity_ulid").alias("id"), F.struct(F.col("trade_name").alias("primary"), F.lit("x").alias("common")).alias("names"), F.struct(F.col("kind").alias("primary"), F.array(F.lit("other")).alias("alternate")).alias("categories"),
+        F.struct(F.col("lon").alias("xmin"), F.col("lat").alias("ymin")).alias("bbox"), F.array(F.struct(F.col("municipality_code").alias("locality"), F.col("phone").alias("postcode"), F.col("address").alias("freeform"), F.when(F.col("province_code").isNotNull(), "ES").alias("country"))).alias("addresses"),
+        F.array("website").alias("websites"), (F.col("n") % 10 / 10).cast("double").alias("confidence"))
+    path = f"{Tables(x.spark).at}/places"
+    places.write_places(nested, path, 8)
+    return places.scan_places(x.spark, path, (-8.0, 37.0, -2.0, 40.0), "ES", ("particular", "automobile", "machinery"))
+
+
 @Q("s2_scan_with_province", "SELECT v.vehicle_ulid, v.price, e.province_code FROM vehicle v LEFT JOIN entity e USING (entity_ulid) WHERE v.status = 'available'")
 def _(x):
     return x.vehicle.where("status = 'available'").join(x.entity.select("entity_ulid", "province_code"), "entity_ulid", "left").select("vehicle_ulid", "price", "province_code")
@@ -64,13 +79,19 @@ def _(x):
     return out.select("page_id", F.try_variant_get("node", "$['@type']", "string").alias("type"), payloads.first_of(F.col("node"), "$.name", "$.title").alias("name"))
 
 
-@Q("s10_microdata")
-def _(x):
-    from ..functions.python_udfs import microdata
+def _said(pattern: str) -> str:
+    """SQL of a page's text between two tags, its entities decoded and its white space squeezed."""
+    return f"trim(regexp_replace(replace(replace(replace(regexp_extract(html, '{pattern}', 1), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), '\\s+', ' ', 'g'))"
 
-    page = F.concat(F.lit('<div itemprop="name">Car '), F.col("page_id").cast("string"), F.lit('</div><meta itemprop="price" content="9000">'))
-    m = microdata(page)
-    return x.web.select("page_id", m.alias("m")).select("page_id", F.col("m")["name"].alias("name"), F.col("m")["price"].alias("price"))
+
+@Q("s10_microdata", f"SELECT page_id, 1 AS item, NULL AS parent, 'name' AS name, {_said('(?s)<h1>(.*?)</h1>')} AS value FROM web WHERE html LIKE '%<h1>%' UNION ALL SELECT page_id, 1, NULL, 'seller', '#2' FROM web UNION ALL SELECT page_id, 2, 1, 'name', {_said('(?s)<footer>(.*?)</footer>')} FROM web")
+def _(x):
+    """The given pages with microdata put on their elements: the body is a car, its headline the name, its footer the seller, an item of its own."""
+    page = F.col("html")
+    for old, new in (("<body>", '<body itemscope itemtype="https://schema.org/Car">'), ("<h1>", '<h1 class=x itemprop="name">'), ("<footer>", "<footer itemprop='seller' itemscope><span itemprop=name>"), ("</footer>", "</span></footer>")):
+        page = F.replace(page, F.lit(old), F.lit(new))
+    rows = x.web.select("page_id", F.explode(elements.microdata_items(page)).alias("i")).select("page_id", "i.item", "i.parent", F.explode("i.values").alias("v"))
+    return rows.select("page_id", "item", F.when(F.col("parent") > 0, F.col("parent")).alias("parent"), "v.name", "v.value")
 
 
 @Q("s11_title", "SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM web")
@@ -110,6 +131,42 @@ def _(x):
     return out.select("source_key", "listing_ref", "price", "km")
 
 
+def _answers(x, rows, by, page: int, *names: str):
+    """rows as saved answers: the structs `r` of `page` rows each under nested names, a line an answer, written to files and read again."""
+    from ..operators.graph import Tables
+
+    at = f"{Tables(x.spark).at}/answers"
+    body = F.collect_list("r")
+    for n in reversed(names):
+        body = F.struct(body.alias(n))
+    rows.groupBy(F.floor(by / page).alias("p")).agg(F.to_json(body).alias("value")).select("value").write.text(at)
+    return readers.scan_answers(x.spark, at)
+
+
+@Q("s14_answer_files", "SELECT CASE WHEN n % 3 = 0 THEN 'node' ELSE 'way' END || '/' || CAST(n AS VARCHAR) AS source_ref, CASE WHEN n % 4 = 0 THEN 'compraventa' ELSE 'garaje' END AS kind, trade_name, province_code AS province, municipality_code AS municipality, address, lat, lon, (SELECT count(*) FROM entity) AS declared FROM entity WHERE province_code IS NOT NULL")
+def _(x):
+    """Sellers as answers of the open map, through its registry; beside them the count that the source declares."""
+    e = x.entity
+    tags = F.struct(F.when(F.col("n") % 4 == 0, "car").otherwise("car_repair").alias("shop"), F.col("trade_name").alias("name"), F.concat("province_code", F.lit("001")).alias("addr:postcode"), F.col("municipality_code").alias("addr:city"), F.col("address").alias("addr:street"))
+    rows = e.select("n", F.struct(F.when(F.col("n") % 3 == 0, "node").otherwise("way").alias("type"), F.col("n").alias("id"), F.when(F.col("n") % 3 == 0, F.col("lat")).alias("lat"), F.when(F.col("n") % 3 == 0, F.col("lon")).alias("lon"), F.when(F.col("n") % 3 != 0, F.struct("lat", "lon")).alias("center"), tags.alias("tags")).alias("r"))
+    pages = _answers(x, rows, F.col("n"), 50, "elements")
+    out = registries.discovered("osm", pages).where("province is not null")
+    return out.select("source_ref", "kind", "trade_name", "province", "municipality", "address", "lat", "lon").crossJoin(F.broadcast(registries.declared("osm", pages)))  # one row
+
+
+@Q("s15_answer_files", "SELECT CAST(o_orderkey AS VARCHAR) AS listing_ref, CAST(CASE WHEN 1890 + o_orderkey % 300 BETWEEN 1900 AND 2100 THEN 1890 + o_orderkey % 300 END AS INTEGER) AS year, CAST(CASE WHEN (o_orderkey * 977) % 6000000 <= 5000000 THEN (o_orderkey * 977) % 6000000 END AS INTEGER) AS km, CAST(o_totalprice AS DECIMAL(12,2)) AS price, 'https://www.coches.net/car/' || CAST(o_orderkey AS VARCHAR) AS deep_link, 'Make' || CAST(o_orderkey % 7 AS VARCHAR) AS make, CASE WHEN o_orderkey % 5 = 0 THEN 'Make' || CAST(o_orderkey % 7 AS VARCHAR) || ' M' || CAST(o_orderkey % 11 AS VARCHAR) ELSE 'Car ' || CAST(o_orderkey AS VARCHAR) END AS title, CASE o_orderkey % 3 WHEN 1 THEN 'Manual' WHEN 2 THEN 'Automático' END AS transmission, 'photo' || CAST(o_orderkey AS VARCHAR) AS photo_url, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) END AS seller FROM orders")
+def _(x):
+    """Orders as answers of a marketplace, through its connector: ranges, labels, the picture among the resources, professional sellers alone."""
+    k = F.col("o_orderkey")
+    word = lambda w, n: F.concat(F.lit(w), n.cast("string"))
+    car = F.struct(
+        k.alias("id"), (1890 + k % 300).alias("year"), ((k * 977) % 6_000_000).alias("km"), F.struct(F.col("o_totalprice").cast("decimal(12,2)").alias("amount")).alias("price"), word("/car/", k).alias("url"), word("Make", k % 7).alias("make"), word("M", k % 11).alias("model"),
+        F.when(k % 5 != 0, word("Car ", k)).alias("title"), (k % 3).alias("transmissionTypeId"), F.array(F.struct(F.lit("VIDEO").alias("type"), F.lit("v").alias("url")), F.struct(F.lit("IMAGE").alias("type"), word("photo", k).alias("url"))).alias("resources"),
+        F.struct((k % 2 == 0).alias("isProfessional"), F.col("o_custkey").alias("contractId")).alias("seller"))
+    pages = _answers(x, x.table("orders").select("o_orderkey", car.alias("r")), k, 40, "items")
+    return connectors.cars("coches_net_wholesale", pages).select("listing_ref", "year", "km", "price", "deep_link", "make", "title", "transmission", "photo_url", "seller")
+
+
 _OLD = "o AS (SELECT k, price, CAST(k AS BIGINT) AS seen FROM old_car), n AS (SELECT k, price, CAST(k + 1000 AS BIGINT) AS seen FROM new_car)"
 
 
@@ -122,6 +179,36 @@ def _(x):
     return delta.upsert_first_writer(*_old_new(x), ["k"], "seen")
 
 
+def _sink(x, schema: str, merge, *runs):
+    """A bucketed table after its runs, the last one written twice."""
+    from ..operators.graph import Tables
+
+    table = sinks.BucketedTable(x.spark, f"{Tables(x.spark).at}/sink", schema, ["k"], 16)
+    for i, rows in enumerate([*runs, runs[-1]]):
+        table.write(rows, f"run{min(i, len(runs) - 1)}", merge)
+    return table.read()
+
+
+@Q("s16_written_first_writer", f"WITH {_OLD} SELECT o.k, o.price, greatest(o.seen, coalesce(n.seen, o.seen)) AS seen FROM o LEFT JOIN n USING (k) UNION ALL SELECT k, price, seen FROM n ANTI JOIN o USING (k)")
+def _(x):
+    return _sink(x, "k long, price decimal(12,2), seen long", sinks.first_writer(["k"], "seen"), *_old_new(x))
+
+
+@Q("s18_written_fill", "SELECT coalesce(o.k, n.k) AS k, coalesce(o.photo_url, n.photo_url) AS photo_url FROM old_car o FULL JOIN new_car n ON o.k = n.k")
+def _(x):
+    return _sink(x, "k long, photo_url string", sinks.fill_nulls(["k"]), x.old_car, x.new_car)
+
+
+@Q("s19_written_ignore", "SELECT k, price FROM old_car UNION ALL SELECT k, price FROM new_car ANTI JOIN old_car USING (k)")
+def _(x):
+    return _sink(x, "k long, price decimal(12,2)", sinks.ignore(["k"]), x.old_car, x.new_car)
+
+
+@Q("s20_written_newest", "SELECT coalesce(n.k, o.k) AS k, coalesce(n.price, o.price) AS price FROM old_car o FULL JOIN new_car n ON o.k = n.k")
+def _(x):
+    return _sink(x, "k long, price decimal(12,2)", sinks.newest(["k"]), x.old_car, x.new_car)
+
+
 @Q("s18_fill_nulls", "SELECT coalesce(o.k, n.k) AS k, coalesce(o.photo_url, n.photo_url) AS photo_url FROM old_car o FULL JOIN new_car n ON o.k = n.k")
 def _(x):
     return delta.upsert_fill_nulls(x.old_car.select("k", "photo_url"), x.new_car.select("k", "photo_url"), ["k"])
@@ -152,9 +239,9 @@ def _(x):
 @Q("s22_replace_run", "SELECT CAST(k % 3 AS INTEGER) AS run_id, k FROM old_car")
 def _(x):
     """The same run written twice stays one."""
-    from ..operators.graph import shared_dir
+    from ..operators.graph import Tables
 
-    path = f"{shared_dir(x.spark)}/stockloom-replace-{abs(hash(x.sf_dir))}"
+    path = f"{Tables(x.spark).at}/replace"
     rows = x.old_car.select((F.col("k") % 3).cast("int").alias("run_id"), "k")
     delta.replace_run(rows, path)
     delta.replace_run(rows.where("run_id = 1"), path)
@@ -174,6 +261,13 @@ def _(x):
     return out.select("page_id", "card", "theme", payloads.first_link(F.col("fragment")).alias("link"))
 
 
+@Q("s27_page_cards", "WITH l AS (SELECT page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 1) AS hs, regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 2) AS ts FROM web), u AS (SELECT page_id, generate_subscripts(hs, 1) AS i, unnest(hs) AS link, unnest(ts) AS title FROM l), f AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY i) AS nth FROM u) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INTEGER) AS card, link, title FROM f WHERE nth = 1")
+def _(x):
+    """The entries of the given pages' navigation as cards; the first of a link counts."""
+    layout = {"nav": {"mark": "<nav>", "card": "li", "title": ["a"], "price": [], "specs": []}}
+    return elements.page_cards(x.web.select("page_id", "html"), "html", layout).select("page_id", "card", "link", "title")
+
+
 @Q("s28_attribute", "SELECT page_id, 'v' || page_id AS value FROM web")
 def _(x):
     attrs = F.array(F.struct(F.lit("Otro").alias("name"), F.lit("no").alias("value")), F.struct(F.lit("Caja &amp; Cambio").alias("name"), F.concat(F.lit("v"), F.col("page_id").cast("string")).alias("value")))
@@ -305,14 +399,12 @@ _P18_TOWN = "CASE n % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'Villa ' |
 @Q("p18_geo_bucket", f"SELECT b, count(*) AS n FROM (SELECT CASE WHEN province_code IS NULL THEN CASE WHEN lat IS NOT NULL THEN 'LATLON_ONLY' ELSE 'NO_GEO' END WHEN coalesce(trim(t), '') = '' THEN CASE WHEN lat IS NOT NULL THEN 'LATLON_ONLY' ELSE 'NO_CITY' END WHEN starts_with(t, 'Villa') AND EXISTS (SELECT 1 FROM municipality m WHERE m.province_code = e.province_code AND lower(m.name) = lower(t)) THEN 'EXACT' WHEN starts_with(t, 'Vil') AND EXISTS (SELECT 1 FROM municipality m WHERE m.province_code = e.province_code) THEN 'FUZZY_RECOVERABLE' WHEN lat IS NOT NULL THEN 'LATLON_ONLY' ELSE 'NO_GEO' END AS b FROM (SELECT *, {_P18_TOWN} AS t FROM entity) e) GROUP BY b")
 def _(x):
     """Towns are compared once a province and name; candidates are a province's municipalities of at least half the town's length."""
-    from ..functions.python_udfs import weighted_ratio
-
     e = x.entity.withColumn("town", F.expr(_P18_TOWN)).withColumn("w", N.geo_key(F.col("town")))
     m = x.municipality.select("province_code", N.geo_key(F.col("name")).alias("c")).distinct()
     asked = e.select("province_code", "w").where("w <> ''").distinct()
     exact = m.select("province_code", F.col("c").alias("w"), F.lit(True).alias("exact"))
-    fits = asked.join(m, "province_code").where("length(c) >= greatest(4, length(w) div 2)").withColumn("score", weighted_ratio("w", "c")).where("score >= 88")
-    like = fits.groupBy("province_code", "w").agg(F.max_by("c", F.struct("score", "c")).alias("like"))
+    fits = similarity.weighted_matches(asked, m, ["province_code"], "w", "c").where("length(b) >= greatest(4, length(a) div 2)")
+    like = fits.groupBy("province_code", F.col("a").alias("w")).agg(F.max_by("b", F.struct("score", "b")).alias("like"))
     at = e.join(exact, ["province_code", "w"], "left").join(like, ["province_code", "w"], "left")
     return at.groupBy(geo.geo_bucket(F.col("province_code"), F.col("town"), F.col("lat"), F.col("exact"), F.col("like")).alias("b")).agg(F.count("*").alias("n"))
 
@@ -373,7 +465,7 @@ def _(x):
 
 @Q("j5_fuzzy_block", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE a.p_name <> b.p_name AND levenshtein(a.p_name, b.p_name) <= 2")
 def _(x):
-    return blocking.pairs(x.table("part"), ["p_brand", "p_size"], "p_partkey", ["p_name"], "a_p_name <> b_p_name and levenshtein(a_p_name, b_p_name, 2) >= 0").select("a", "b")
+    return similarity.near_name_pairs(x.table("part"), ["p_brand", "p_size"], "p_partkey", "p_name")
 
 
 @Q("j6_bucket_pairs", "SELECT DISTINCT a.entity_ulid AS a, b.entity_ulid AS b FROM entity a JOIN entity b ON a.phone = b.phone AND a.province_code = b.province_code AND a.entity_ulid < b.entity_ulid")
@@ -383,7 +475,7 @@ def _(x):
 
 @Q("j7_price_band", "SELECT a.vehicle_ulid AS a, b.vehicle_ulid AS b FROM car a JOIN car b ON a.make = b.make AND a.model = b.model AND a.vehicle_ulid < b.vehicle_ulid WHERE abs(a.price - b.price) <= 0.02 * least(a.price, b.price)")
 def _(x):
-    return blocking.pairs(x.car, ["make", "model"], "vehicle_ulid", ["price"], "abs(a_price - b_price) <= 0.02 * least(a_price, b_price)").select("a", "b")
+    return similarity.price_bands(x.car, ["make", "model"], "vehicle_ulid", "price").select("a", "b")
 
 
 _SHARED = "c AS (SELECT DISTINCT entity_ulid AS id, canonical_vehicle_ulid AS item FROM inventory WHERE km > 0), i AS (SELECT * FROM c WHERE item NOT IN (SELECT item FROM c GROUP BY 1 HAVING count(*) >= 5)), z AS (SELECT id, count(*) AS n FROM i GROUP BY id), b AS (SELECT x.id AS a, y.id AS b, count(*) AS n_both FROM i x JOIN i y ON x.item = y.item AND x.id < y.id GROUP BY 1, 2)"
@@ -395,6 +487,12 @@ def _(x):
     return blocking.shared_items(resolve.fingerprints(x.inventory), "entity_ulid", "canonical_vehicle_ulid").select("a", "b", "n_both", "jaccard")
 
 
+@Q("j8_similar_sets", "WITH c AS (SELECT DISTINCT entity_ulid AS id, canonical_vehicle_ulid AS item FROM inventory), z AS (SELECT id, count(*) AS n FROM c GROUP BY id), b AS (SELECT x.id AS a, y.id AS b, count(*) AS n_both FROM c x JOIN c y ON x.item = y.item AND x.id < y.id GROUP BY 1, 2) SELECT a, b, n_both, n_both / (p.n + q.n - n_both) AS jaccard FROM b JOIN z p ON p.id = a JOIN z q ON q.id = b WHERE n_both / (p.n + q.n - n_both) >= 0.30")
+def _(x):
+    """All cars count, also those of many sellers; the prefix filter finds the pairs from 0.30 on."""
+    return similarity.similar_sets(x.inventory, "entity_ulid", "canonical_vehicle_ulid", 0.30)
+
+
 @Q("j9_semi", "SELECT entity_ulid FROM entity WHERE entity_ulid IN (SELECT entity_ulid FROM attest WHERE source_key = 'purchase')")
 def _(x):
     return x.entity.join(x.attest.where("source_key = 'purchase'"), "entity_ulid", "left_semi").select("entity_ulid")
@@ -433,19 +531,19 @@ def _(x):
 
 @Q("j15_fuzzy_names")
 def _(x):
-    from ..functions.python_udfs import weighted_ratio
-
-    q = x.entity.select("entity_ulid", "province_code", F.concat(F.lit("vila "), (F.col("n") % 8).cast("string")).alias("q"))
-    c = x.municipality.select("province_code", "code", N.geo_key(F.col("name")).alias("c"))
-    scored = q.join(c, "province_code").withColumn("score", weighted_ratio("q", "c")).where("score >= 88")
-    return scored.groupBy("entity_ulid").agg(F.max_by("code", F.struct("score", "code")).alias("code"), F.max("score").alias("score"))
+    """Names as free text has them, to the municipality of their province: if their tokens are among those of exactly one, that one (J16); if of several, none;
+    else the best weighted ratio from 88 on, among municipalities of four characters and a third of the name's length."""
+    town = "CASE n % 5 WHEN 0 THEN 'Vila ' || CAST(n % 8 AS STRING) WHEN 1 THEN 'Villa' WHEN 2 THEN CAST(n % 8 AS STRING) || ' de Villa' WHEN 3 THEN 'La Villa ' || CAST(n % 8 AS STRING) || ' Norte' ELSE 'Quxquz' END"
+    asked = x.entity.dropna(subset=["province_code"]).select("entity_ulid", "province_code", N.geo_key(F.expr(town)).alias("name"))
+    known = x.municipality.select("province_code", "code", N.geo_key(F.col("name")).alias("c"))
+    return geo.fuzzy_places(asked, known)
 
 
 @Q("j16_token_subset", "WITH q AS (SELECT page_id AS id, lpad(CAST(page_id % 25 AS VARCHAR), 2, '0') AS province_code, CAST(page_id % 11 AS VARCHAR) AS t FROM web), h AS (SELECT id, code FROM q JOIN municipality USING (province_code) WHERE list_contains(string_split(lower(name), ' '), t)) SELECT id, min(code) AS code FROM h GROUP BY id HAVING count(DISTINCT code) = 1")
 def _(x):
     q = x.web.select(F.col("page_id").alias("id"), F.lpad((F.col("page_id") % 25).cast("string"), 2, "0").alias("province_code"), F.array((F.col("page_id") % 11).cast("string")).alias("t"))
     c = x.municipality.select("province_code", "code", F.split(N.geo_key(F.col("name")), " ").alias("t"))
-    return blocking.token_subset(q, c, "province_code", "id", "t", "code")
+    return similarity.token_subset(q, c, "province_code", "id", "t", "code")
 
 
 @Q("j17_unambiguous", "SELECT key, min(entity_ulid) AS entity_ulid FROM (SELECT phone AS key, entity_ulid FROM entity UNION ALL SELECT cif, entity_ulid FROM entity) WHERE key IS NOT NULL GROUP BY key HAVING count(DISTINCT entity_ulid) = 1")

@@ -41,6 +41,11 @@ def scan_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def scan_answers(spark: SparkSession, path: str) -> DataFrame:
+    """Saved answers of a source, one a line, as the column `payload` that connectors and registries read; partitions follow the files."""
+    return spark.read.text(path).withColumnRenamed("value", "payload")
+
+
 def to_common(raw: DataFrame, schema: str, **columns: Column | str) -> DataFrame:
     """A source's own rows as the common schema; what it does not give is null.  A source is a declared
     schema plus this mapping: each adapter is a dictionary, not a class."""
