@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import Tables, components, shared_dir, spread_join
 
-__all__ = ["Tables", "Union", "bounded_batches", "components", "groups_of", "in_chunks", "narrow", "read_table", "running_totals", "shared_dir", "spread_join"]
+__all__ = ["Tables", "Union", "bounded_batches", "components", "groups_of", "hot_join", "in_chunks", "narrow", "read_table", "running_totals", "shared_dir", "spread_join"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,6 +52,27 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], value: Column
     return out.withColumn("start", F.col("_l") + F.coalesce("_c", F.lit(0))).select(*df.columns, "start")
 
 
+def hot_join(rows: DataFrame, of: DataFrame, keys: list[tuple[str, str]], spread: Column, total: int, ways: int = 16) -> DataFrame:
+    """rows joined to `of` (at most one match a row) on pairs of columns, without null keys.  A key with more than a thousandth of the `total` rows
+    is hot; there are at most a thousand such keys, so their list is broadcast.  A hot key's rows are dealt over `ways` tasks by a hash of
+    `spread`, and only its row of `of` is copied as often."""
+    mine, theirs = [k for k, _ in keys], [k for _, k in keys]
+    hot = rows.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(mine))).agg(F.count("*").alias("_n")).where(F.col("_n") > max(total // 1000, 1000)).drop("_n").withColumn("_hot", F.lit(True))
+
+    def marked(df: DataFrame, columns: list[str]) -> DataFrame:
+        on = F.lit(True)
+        for i, c in enumerate(columns):
+            on &= F.col(c) == F.col(f"_k{i}")
+        return df.join(F.broadcast(hot), on, "left").drop(*(f"_k{i}" for i in range(len(keys))))
+
+    dealt = marked(rows, mine).withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(ways))).otherwise(0).cast("int")).drop("_hot")
+    copied = marked(of, theirs).withColumn("_ways", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    on = F.col("_salt") == F.col("_ways")
+    for a, b in keys:
+        on &= F.col(a) == F.col(b)
+    return dealt.join(copied, on).drop("_salt", "_ways")
+
+
 def in_chunks(members: DataFrame, keys: list[str], id: str, most: int, tables: Tables) -> DataFrame:
     """Members of groups, dealt into cells (keys, i, j) of at most about 2 * `most` rows, so that every two members
     of a group meet in some cell: a group of k chunks has a cell for every pair of chunks i <= j.  role 0: chunk i,
