@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import python_udfs as P
 from ..functions.similarity import weighted_ratio
-from ..operators import audit, blocking, delta, resolve, serving
+from ..operators import audit, blocking, delta, geo, resolve, serving
 from ..sources import payloads
 from ..streaming import incremental
 from .registry import query
@@ -110,7 +110,12 @@ def _(x):
     return _canonical(x).select("entity_ulid", N.code(F.col("key"), F.col("province_code")).alias("code"), N.org_code(F.col("key")).alias("org"))
 
 
-@Q("f16_surrogate_ids")
+def _surrogate(key, at):
+    ms = " || ".join(f"substr('{N.BASE32}', CAST((ms >> {5 * i}) & 31 AS INTEGER) + 1, 1)" for i in range(9, -1, -1))
+    return f"(SELECT {ms} FROM (SELECT epoch_ms({at}) AS ms)) || {_code(key)} || {_code(f"{key} || '#'")}"
+
+
+@Q("f16_surrogate_ids", f"SELECT vehicle_ulid, {_surrogate('vehicle_ulid', 'CAST(first_seen AS TIMESTAMP)')} AS ulid FROM vehicle")
 def _(x):
     return x.vehicle.select("vehicle_ulid", N.surrogate_id(F.col("vehicle_ulid"), F.col("first_seen").cast("timestamp")).alias("ulid"))
 
@@ -405,12 +410,15 @@ def _(x):
     return resolve.vehicle_edges(x.car).where("signal <> 'photo_url'")
 
 
-@Q("g3_vehicle_clusters", f"WITH {_FIRMA}, sym AS (SELECT a AS s, b AS t FROM ed UNION SELECT b, a FROM ed), {_REACH.format(id='vehicle_ulid', rel='car')}, best AS (SELECT c.cluster, max(CASE signal WHEN 'both' THEN 3 WHEN 'photo_url' THEN 2 ELSE 1 END) AS r FROM ed JOIN comp c ON c.id = ed.a GROUP BY 1), head AS (SELECT cluster, arg_min(vehicle_ulid, (first_seen, vehicle_ulid)) AS canonical_ulid FROM comp JOIN car ON vehicle_ulid = id GROUP BY 1) SELECT id AS vehicle_ulid, size AS cluster_size, CASE coalesce(r, 0) WHEN 3 THEN 'both' WHEN 2 THEN 'photo_url' WHEN 1 THEN 'firma' ELSE 'none' END AS match_signal, canonical_ulid FROM comp LEFT JOIN best USING (cluster) JOIN head USING (cluster)")
+_G3 = f"{_FIRMA}, sym AS (SELECT a AS s, b AS t FROM ed UNION SELECT b, a FROM ed), {_REACH.format(id='vehicle_ulid', rel='car')}, best AS (SELECT c.cluster, max(CASE signal WHEN 'both' THEN 3 WHEN 'photo_url' THEN 2 ELSE 1 END) AS r FROM ed JOIN comp c ON c.id = ed.a GROUP BY 1), head AS (SELECT cluster, arg_min(vehicle_ulid, (first_seen, vehicle_ulid)) AS canonical_ulid FROM comp JOIN car ON vehicle_ulid = id GROUP BY 1), g AS (SELECT id AS vehicle_ulid, size AS cluster_size, CASE coalesce(r, 0) WHEN 3 THEN 'both' WHEN 2 THEN 'photo_url' WHEN 1 THEN 'firma' ELSE 'none' END AS match_signal, canonical_ulid FROM comp LEFT JOIN best USING (cluster) JOIN head USING (cluster))"
+
+
+@Q("g3_vehicle_clusters", f"WITH {_G3} SELECT vehicle_ulid, cluster_size, match_signal, canonical_ulid FROM g")
 def _(x):
     return resolve.vehicle_clusters(x.car, resolve.vehicle_edges(x.car)).select("vehicle_ulid", "cluster_size", "match_signal", "canonical_ulid")
 
 
-@Q("flagship_clusters_by_province")
+@Q("flagship_clusters_by_province", f"WITH {_G3} SELECT car.province_code, match_signal, count(*) AS listings, count(DISTINCT canonical_ulid) AS vehicles FROM g JOIN car USING (vehicle_ulid) GROUP BY 1, 2")
 def _(x):
     out = resolve.vehicle_clusters(x.car, resolve.vehicle_edges(x.car)).join(x.car.select("vehicle_ulid", "province_code"), "vehicle_ulid")
     return out.groupBy("province_code", "match_signal").agg(F.count("*").alias("listings"), F.count_distinct("canonical_ulid").alias("vehicles"))
@@ -644,3 +652,17 @@ def _(x):
 def _(x):
     first = x.vehicle.agg(F.min("vehicle_ulid").alias("vehicle_ulid"))
     return serving.vehicle_platforms(x.edge.join(F.broadcast(first), "vehicle_ulid", "left_semi"), x.platform, x.vehicle)  # one row
+
+
+# --- attribution
+
+
+_WORDS = f"list_distinct(list_filter(string_split(trim(regexp_replace({_fold('trade_name')}, '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))"
+_SIDES = f"k AS (SELECT entity_ulid, n, cdp_code, CASE WHEN length({_digits('phone')}) >= 7 THEN {_digits('phone')} END AS pk, nullif({_name('trade_name')}, '') AS nk, {_WORDS} AS ws FROM entity), l AS (SELECT * FROM k WHERE n % 2 = 0), dr AS (SELECT * FROM k WHERE n % 2 = 1)"
+
+
+@Q("j25_attribution", f"WITH {_SIDES}, ph AS (SELECT l.entity_ulid AS id, arg_min(dr.cdp_code, dr.n) AS c FROM l JOIN dr ON l.pk = dr.pk GROUP BY 1), na AS (SELECT l.entity_ulid AS id, arg_min(dr.cdp_code, dr.n) AS c FROM l JOIN dr ON l.nk = dr.nk GROUP BY 1), tk AS (SELECT l.entity_ulid AS id, arg_min(dr.cdp_code, dr.n) AS c FROM l JOIN dr ON len(l.ws) > 0 AND len(dr.ws) > 0 AND (list_has_all(dr.ws, l.ws) OR list_has_all(l.ws, dr.ws)) GROUP BY 1) SELECT l.entity_ulid, coalesce(ph.c, na.c, tk.c) AS dealer, CASE WHEN ph.c IS NOT NULL THEN 'phone' WHEN na.c IS NOT NULL THEN 'name' WHEN tk.c IS NOT NULL THEN 'tokens' END AS tier FROM l LEFT JOIN ph ON ph.id = l.entity_ulid LEFT JOIN na ON na.id = l.entity_ulid LEFT JOIN tk ON tk.id = l.entity_ulid")
+def _(x):
+    listings = x.entity.where("n % 2 = 0").select("entity_ulid", "phone", F.col("trade_name").alias("seller"))
+    directory = x.entity.where("n % 2 = 1").select(F.col("n").alias("seq"), F.col("cdp_code").alias("dealer"), "phone", F.col("trade_name").alias("name"))
+    return geo.attribute_sellers(listings, directory, "entity_ulid")

@@ -72,7 +72,7 @@ def _(x):
     return x.web.select("page_id", F.try_variant_get(v, "$.n", "bigint").alias("n"), F.try_variant_get(v, "$.s", "string").alias("scheme"))
 
 
-@Q("s9_json_ld")
+@Q("s9_json_ld", "SELECT page_id, 'Car' AS type, url AS name FROM web UNION ALL SELECT page_id, 'Org', NULL FROM web")
 def _(x):
     ld = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Car", "name": {"@value": "'), "url", F.lit('"}}, {"@type": "Org"}]}</script><script type="application/ld+json">{bad</script>'))
     out = payloads.json_ld(x.web.select("page_id", ld.alias("html")), "html")
@@ -111,7 +111,7 @@ def _(x):
     return x.web.select("page_id", F.explode(payloads.sitemap(xml, "url")).alias("loc"))
 
 
-@Q("s13_find_key")
+@Q("s13_find_key", "SELECT event_id, [CAST(json_extract(props, '$.k') AS VARCHAR)] AS found FROM events")
 def _(x):
     from ..functions.python_udfs import find_key
 
@@ -615,13 +615,6 @@ def _(x):
     return geo.backfill(x.entity.withColumn("postcode", post), x.municipality, index, "entity_ulid").withColumn("km", F.round("km", 6))
 
 
-@Q("j25_attribution")
-def _(x):
-    listings = x.entity.where("n % 2 = 0").select("entity_ulid", "phone", F.col("trade_name").alias("seller"))
-    directory = x.entity.where("n % 2 = 1").select(F.col("n").alias("seq"), F.col("cdp_code").alias("dealer"), "phone", F.col("trade_name").alias("name"))
-    return geo.attribute_sellers(listings, directory, "entity_ulid")
-
-
 @Q("j26_host_prefix", f"WITH q AS (SELECT DISTINCT 'shop' || (n % 30) AS h FROM entity), d AS (SELECT {_HOST.format(c='website')} AS host, entity_ulid, created_at FROM entity) SELECT h, arg_max(entity_ulid, (created_at, entity_ulid)) AS entity_ulid FROM q JOIN d ON starts_with(d.host, q.h) GROUP BY h")
 def _(x):
     q = x.entity.select(F.concat(F.lit("shop"), (F.col("n") % 30).cast("string")).alias("h")).distinct()
