@@ -40,6 +40,15 @@ def count_verdict(counts: DataFrame, key: str, first: str, second: str, toleranc
     return counts.join(quorum(paths, key, tolerance), key)
 
 
+def global_recount(vehicles: DataFrame, edges: DataFrame, tolerance: float = 0.10) -> DataFrame:
+    """One row: the live counts of available vehicles (the primary), of vehicles that an edge reaches and of edges, and the quorum's verdict on them."""
+    one = vehicles.where("status = 'available'").agg(F.count("*").alias("vehicle_total"))
+    two = edges.agg(F.count_distinct("vehicle_ulid").alias("edge_reachable"), F.count("*").alias("edges_total"))
+    counts = one.crossJoin(two).withColumn("subject", F.lit("vehicle_total"))  # one row each
+    paths = counts.select("subject", F.posexplode(F.array("vehicle_total", "edge_reachable", "edges_total")).alias("seq", "value"))
+    return counts.join(quorum(paths, "subject", tolerance), "subject")
+
+
 def segment_coverage(rows: DataFrame, ratio: float, total: int, place: str = "province_code") -> DataFrame:
     """Rows (place, base, served, leads, people) -> the apportioned denominator round(base x ratio), the share served and the share found
     (served and leads) of it in percent, 0 without one, the verdict, and the place's part of `total` by people; the last row, ES, is the nation.

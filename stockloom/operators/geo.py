@@ -9,7 +9,7 @@ from ..functions import normalize as N
 from .similarity import token_matches, weighted_matches
 
 
-def nearest(points: DataFrame, labelled: DataFrame, id: str, code: str, cells: tuple[float, ...] = (0.5, 4.0, 360.0)) -> DataFrame:
+def nearest(points: DataFrame, labelled: DataFrame, id: str, code: str, cells: tuple[float, ...] = (0.5, 4.0, 16.0, 64.0, 360.0)) -> DataFrame:
     """The code of the nearest labelled point (squared equirectangular distance, cosine of the candidate's latitude; ties to the smaller code).
     Points meet the labels of their grid cell and its neighbours, which hold every label nearer than one cell's width; a point whose
     best is not surely nearer than that goes on to wider cells, the last of which hold the whole globe."""
@@ -83,7 +83,7 @@ def province_names(provinces: DataFrame, name: str = "name", code: str = "code")
     return own.union(fixed).where("w <> ''").groupBy("w").agg(F.min_by("code", F.struct("o", "code")).alias("code"))
 
 
-def token_windows(rows: DataFrame, id: str, text: str, most: int = 8) -> DataFrame:
+def token_windows(rows: DataFrame, id: str, text: str, most: int) -> DataFrame:
     """Every window of up to `most` neighbouring words of a folded text that holds a word of three letters which is no connective:
     id, w, len (words), at (first word)."""
     words = F.filter(F.split(N.geo_key(F.col(text)), " "), lambda x: x != "")
@@ -94,8 +94,9 @@ def token_windows(rows: DataFrame, id: str, text: str, most: int = 8) -> DataFra
 
 
 def window_lookup(rows: DataFrame, id: str, text: str, names: DataFrame, name: str, code: str) -> DataFrame:
-    """The code of the longest window (in words, then the first) that is a name of at most eight words."""
-    hit = token_windows(rows, id, text).join(names.select(F.col(name).alias("w"), code), "w")
+    """The code of the longest window (in words, then the first) that is a name; windows are as long as the longest name."""
+    most = names.agg(F.max(F.size(F.split(name, " "))).alias("m")).first()["m"] or 1
+    hit = token_windows(rows, id, text, most).join(names.select(F.col(name).alias("w"), code), "w")
     return hit.groupBy(id).agg(F.max_by(code, F.struct("len", -F.col("at"))).alias(code))
 
 

@@ -237,3 +237,24 @@ def cross_source_sanity(rows: DataFrame, edges: DataFrame, id: str = "entity_uli
     side = lambda p: rows.select(F.col(id).alias(p), F.col("source_keys").alias(f"{p}_src"), F.coalesce(F.col("trade_name").rlike(CHAIN), F.lit(False)).alias(f"{p}_chain"))
     at = edges.join(side("a"), "a").join(side("b"), "b")
     return at.agg(F.count("*").alias("edges"), F.count_if(F.arrays_overlap("a_src", "b_src")).alias("intra_source"), F.count_if((F.col("reasons") == "name") & (F.col("a_chain") | F.col("b_chain"))).alias("chain_name_only"))
+
+
+def source_pairs(rows: DataFrame, edges: DataFrame, hub: str, id: str = "entity_ulid") -> DataFrame:
+    """Of the pairs with `hub` among the sources of either side, how many also have each other source; the row `*` has all of them."""
+    side = lambda p: rows.select(F.col(id).alias(p), F.col("source_keys").alias(f"{p}_src"))
+    both = edges.select("a", "b").join(side("a"), "a").join(side("b"), "b").select(F.array_union("a_src", "b_src").alias("src")).where(F.array_contains("src", hub))
+    return both.select(F.explode(F.concat(F.array(F.lit("*")), F.array_remove("src", hub))).alias("source")).groupBy("source").agg(F.count("*").alias("pairs"))
+
+
+def short_names_apart(sellers: DataFrame, clustered: DataFrame, one: str, two: str, id: str = "entity_ulid") -> DataFrame:
+    """One row: how many rows and clusters two like names (in any case) have, and whether they stay apart: null if one of them is absent."""
+    own = sellers.select(id, F.lower("trade_name").alias("_name")).where(F.col("_name").isin(one.lower(), two.lower())).join(clustered.select(id, "canonical_ulid"), id)
+    n = own.agg(F.count("*").alias("rows"), F.count_distinct("canonical_ulid").alias("canonicals"), F.count_distinct("_name").alias("_names"))
+    shared = own.groupBy("canonical_ulid").agg(F.count_distinct("_name").alias("n")).where("n > 1").agg(F.count("*").alias("_shared"))
+    return n.crossJoin(shared).select("rows", "canonicals", F.when(F.col("_names") == 2, F.col("_shared") == 0).alias("apart"))  # one row each
+
+
+def suffix_variants(sellers: DataFrame, clustered: DataFrame, like: str, id: str = "entity_ulid") -> DataFrame:
+    """For each municipality the rows whose name is like a pattern, their clusters, and whether they are one: variants of a legal suffix should merge."""
+    own = sellers.where(F.col("trade_name").ilike(like) & F.col("municipality_code").isNotNull()).select(id, "municipality_code").join(clustered.select(id, "canonical_ulid"), id)
+    return own.groupBy("municipality_code").agg(F.count("*").alias("rows"), F.count_distinct("canonical_ulid").alias("canonicals")).withColumn("merged", F.col("canonicals") == 1)

@@ -566,6 +566,29 @@ def _(x):
     return resolve.dealer_sanity(x.entity, resolve.dealer_clusters(x.entity, resolve.dealer_links(x.entity)), "%flexicar%")
 
 
+@Q("g16_short_names", f"WITH {_G6_PARTS}, o AS (SELECT lower(trade_name) AS nm, cluster FROM j WHERE lower(trade_name) IN ('flexicar 1', 'flexicar 2')), sh AS (SELECT cluster FROM o GROUP BY 1 HAVING count(DISTINCT nm) > 1) SELECT count(*) AS rows, count(DISTINCT cluster) AS canonicals, CASE WHEN count(DISTINCT nm) = 2 THEN (SELECT count(*) FROM sh) = 0 END AS apart FROM o")
+def _(x):
+    """Two short names that differ by one character stay apart."""
+    return resolve.short_names_apart(x.entity, resolve.dealer_clusters(x.entity, resolve.dealer_links(x.entity)), "Flexicar 1", "FLEXICAR 2")
+
+
+@Q("g16_suffix_variants", f"WITH {_G6_PARTS} SELECT municipality_code, count(*) AS rows, count(DISTINCT cluster) AS canonicals, count(DISTINCT cluster) = 1 AS merged FROM j WHERE trade_name ILIKE 'talleres%garc%a 1%' AND municipality_code IS NOT NULL GROUP BY 1")
+def _(x):
+    """Names like one pattern, by municipality."""
+    return resolve.suffix_variants(x.entity, resolve.dealer_clusters(x.entity, resolve.dealer_links(x.entity)), "talleres%garc%a 1%")
+
+
+@Q("a21_source_pairs", f"WITH {_A21.replace('ce AS (SELECT p, w,', 'ce AS (SELECT a, b, p, w,')}, u AS (SELECT list_distinct(list_concat(CASE x.g WHEN 0 THEN ['geo'] ELSE ['web', 'ads'] END, CASE y.g WHEN 0 THEN ['geo'] ELSE ['web', 'ads'] END)) AS src FROM ce JOIN s x ON x.id = a JOIN s y ON y.id = b), hb AS (SELECT unnest(list_concat(['*'], [z for z in src if z <> 'geo'])) AS source FROM u WHERE list_contains(src, 'geo')) SELECT source, count(*) AS pairs FROM hb GROUP BY 1")
+def _(x):
+    rows = _sourced(x)
+    return resolve.source_pairs(rows, resolve.cross_source_edges(rows, ["geo"], ["web"]), "geo")
+
+
+@Q("a28_global_recount", "WITH c AS (SELECT (SELECT count(*) FROM vehicle WHERE status = 'available') AS v, (SELECT count(DISTINCT vehicle_ulid) FROM edge) AS r, (SELECT count(*) FROM edge) AS t), d AS (SELECT *, CASE WHEN greatest(v, r, t) = 0 THEN 0.0 ELSE (greatest(v, r, t) - least(v, r, t)) / greatest(v, r, t) END AS divergence FROM c) SELECT 'vehicle_total' AS subject, v AS vehicle_total, r AS edge_reachable, t AS edges_total, CASE WHEN v = r OR v = t OR divergence <= 0.10 THEN 'TRUSTWORTHY' ELSE 'REFUTED' END AS verdict, divergence FROM d")
+def _(x):
+    return audit.global_recount(x.vehicle, x.edge)
+
+
 @Q("g16_cross_source_sanity", f"WITH {_A21.replace('ce AS (SELECT p, w,', 'ce AS (SELECT a, b, p, w,')} SELECT count(*) AS edges, count(*) FILTER (WHERE x.g = y.g) AS intra_source, count(*) FILTER (WHERE NOT p AND NOT w AND (x.chain OR y.chain)) AS chain_name_only FROM ce JOIN s x ON x.id = a JOIN s y ON y.id = b")
 def _(x):
     """Pairs across sources: pairs of one source, and chains linked by their name alone."""

@@ -351,12 +351,12 @@ def _(x):
     return x.entity.where(F.col("trade_name").rlike(CHAIN)).select("entity_ulid")
 
 
-@Q("p13_orthogonal", "WITH s AS (SELECT entity_ulid, list(DISTINCT source_key) AS src FROM attest GROUP BY 1) SELECT a.entity_ulid AS a, b.entity_ulid AS b FROM s a JOIN s b ON a.entity_ulid < b.entity_ulid AND substr(a.entity_ulid, 9) = substr(b.entity_ulid, 9) WHERE (list_has_any(a.src, ['error']) AND list_has_any(b.src, ['click'])) OR (list_has_any(a.src, ['click']) AND list_has_any(b.src, ['error']))")
+@Q("p13_orthogonal", "WITH s AS (SELECT entity_ulid, list(DISTINCT source_key) AS src FROM attest GROUP BY 1) SELECT a.entity_ulid AS a, b.entity_ulid AS b FROM s a JOIN entity e ON e.entity_ulid = a.entity_ulid JOIN entity f ON f.municipality_code = e.municipality_code JOIN s b ON b.entity_ulid = f.entity_ulid AND a.entity_ulid < b.entity_ulid WHERE (list_has_any(a.src, ['error']) AND list_has_any(b.src, ['click'])) OR (list_has_any(a.src, ['click']) AND list_has_any(b.src, ['error']))")
 def _(x):
     from ..operators.resolve import orthogonal
 
-    s = x.attest.groupBy("entity_ulid").agg(F.collect_set("source_key").alias("src")).withColumn("tail", F.expr("substr(entity_ulid, 9)"))
-    return blocking.pairs(s, ["tail"], "entity_ulid", ["src"]).where(orthogonal(F.col("a_src"), F.col("b_src"), ["error"], ["click"])).select("a", "b")
+    s = x.attest.groupBy("entity_ulid").agg(F.collect_set("source_key").alias("src")).join(x.entity.select("entity_ulid", "municipality_code"), "entity_ulid")
+    return blocking.pairs(s, ["municipality_code"], "entity_ulid", ["src"]).where(orthogonal(F.col("a_src"), F.col("b_src"), ["error"], ["click"])).select("a", "b")
 
 
 _P14 = """WITH p AS (SELECT page_id, lower(html || CASE page_id % 7 WHEN 0 THEN 'WP-content car-dealer' WHEN 1 THEN 'wix.com shopify' WHEN 2 THEN 'MotorFlash joomla' WHEN 3 THEN 'wp-json' WHEN 4 THEN '<meta name="generator" content="Hugo 0.1">' WHEN 5 THEN 'hexagoncuratedcars infomedia weebly' ELSE '' END) AS h FROM web),
