@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from .graph import Tables
 from .similarity import token_matches, weighted_matches
 
 
@@ -16,15 +17,21 @@ def nearest(points: DataFrame, labelled: DataFrame, id: str, code: str, cells: t
     c = labelled.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col(code).alias("_code")).dropna(subset=["_lat", "_lon"])
     left = points.dropna(subset=["lat", "lon"]).select(id, "lat", "lon").crossJoin(F.broadcast(c.agg(F.min(F.cos(F.radians("_lat"))).alias("_cos"))))  # one row
     d2 = F.pow(F.col("lat") - F.col("_lat"), 2) + F.pow((F.col("lon") - F.col("_lon")) * F.cos(F.radians("_lat")), 2)
-    out = None
+    out, tables = None, Tables(points.sparkSession)
     for size in cells:
         at = lambda x, size=size: F.floor(F.col(x) / size).cast("int")
         around = lambda x, at=at: F.explode(F.sequence(at(x) - 1, at(x) + 1))
         near = c.withColumn("_i", around("_lat")).withColumn("_j", around("_lon"))
         hit = left.withColumns({"_i": at("lat"), "_j": at("lon")}).join(near, ["_i", "_j"]).groupBy(id).agg(F.min_by("_code", F.struct(d2, "_code")).alias(code), F.min(d2).alias("_d2"), F.min("_cos").alias("_cos"))
-        sure = hit if size == cells[-1] else hit.where(F.col("_d2") < F.pow(size * F.col("_cos"), 2))
-        out = sure.select(id, code) if out is None else out.union(sure.select(id, code))
-        left = left.join(sure.select(id), id, "left_anti")
+        hit = hit if size == cells[-1] else hit.where(F.col("_d2") < F.pow(size * F.col("_cos"), 2))
+        # written, so that wider cells do not find the near ones again
+        sure = tables.keep(hit.select(id, code), "sure")
+        out = sure if out is None else out.union(sure)
+        if size == cells[-1]:
+            break
+        left = tables.keep(left.join(sure.select(id), id, "left_anti"), "left")
+        if left.isEmpty():
+            break
     return out
 
 
@@ -185,3 +192,40 @@ def fuzzy_places(asked: DataFrame, known: DataFrame, least: float = 88.0, name_s
     scored = fits.join(known.select("province_code", "code", F.col("c").alias("b")), ["province_code", "b"])
     best = scored.groupBy("province_code", F.col("a").alias("name")).agg(F.min_by(F.struct("code", "score"), F.struct(-F.col("score"), F.col("code"))).alias("m")).select("province_code", "name", "m.code", "m.score")
     return asked.join(short.union(best), ["province_code", "name"]).select("entity_ulid", "code", "score")
+
+
+def town_keys(towns: DataFrame) -> DataFrame:
+    """(province_code, code, key): the names a town is known by: its own, its words sorted, and the parts of a double name that have four characters."""
+    parts = F.filter(F.transform(F.split("name", "[/,]"), N.geo_key), lambda p: F.length(p) >= 4)
+    return towns.select("province_code", "code", F.explode(F.array_distinct(F.concat(F.array(N.geo_key(F.col("name")), N.sorted_tokens(F.col("name"))), parts))).alias("key")).where("key <> ''").distinct()
+
+
+def adapter_places(rows: DataFrame, id: str, provinces: DataFrame, towns: DataFrame) -> DataFrame:
+    """J24 for adapters: rows (id, province_name, town_name, lat, lon), provinces (code, name) and towns (code, name, province_code, lat, lon) -> id, province, town and
+    tier.  The province is named, by its code or its name (`named`), or that of a town whose name only one town of the nation has (`city`), or the nearest
+    town's (`nearest`); rows without any are left out.  A town is looked up in the named province by its exact keys, then by the fuzzy names (J15, J16)."""
+    keys = town_keys(towns)
+    own = rows.select(id, "lat", "lon", F.trim("province_name").alias("_p"), F.nullif(N.geo_key(F.col("town_name")), F.lit("")).alias("_t"), N.sorted_tokens(F.col("town_name")).alias("_ts"))
+    by_code = towns.select(F.col("province_code").alias("_code")).distinct().withColumn("_k", F.col("_code"))
+    by_name = provinces.select(F.col("code").alias("_code"), F.explode(F.array_distinct(F.array(N.geo_key(F.col("name")), N.sorted_tokens(F.col("name"))))).alias("_k")).groupBy("_k").agg(F.min("_code").alias("_code")).select("_code", "_k")
+    number = F.col("_p").rlike("^[0-9]+$")
+    known = by_code.union(by_name)
+    named = own.withColumns({"_k": F.when(number, F.lpad("_p", 2, "0")).otherwise(N.geo_key(F.col("_p"))), "_l": F.when(~number, N.sorted_tokens(F.col("_p")))})
+    named = named.join(known, "_k", "left").join(by_name.select(F.col("_code").alias("_code2"), F.col("_k").alias("_l")), "_l", "left").withColumn("_code", F.coalesce("_code", "_code2")).drop("_k", "_l", "_code2")
+    # towns of a named province
+    exact = keys.groupBy("province_code", "key").agg(F.min("code").alias("_town"))
+    here = lambda c, n: exact.select(F.col("province_code").alias("_code"), F.col("key").alias(c), F.col("_town").alias(n))
+    placed = named.join(here("_t", "_x"), ["_code", "_t"], "left").join(here("_ts", "_y"), ["_code", "_ts"], "left").withColumn("_town", F.coalesce("_x", "_y"))
+    placed = Tables(rows.sparkSession).keep(placed.select(id, "lat", "lon", "_code", "_t", "_ts", "_town"), "placed")
+    rest = placed.where("_code is not null and _town is null and _t is not null").select(F.col(id).alias("entity_ulid"), F.col("_code").alias("province_code"), F.col("_t").alias("name"))
+    fuzzy = fuzzy_places(rest, keys.select("province_code", "code", F.col("key").alias("c"))).select(F.col("entity_ulid").alias(id), F.col("code").alias("_fuzzy"))
+    # towns of the nation
+    lone = keys.groupBy("key").agg(F.count_distinct("code").alias("n"), F.min("code").alias("_c"), F.min("province_code").alias("_cp")).where("n = 1")
+    city = placed.where("_code is null and _t is not null").select(id, F.explode(F.array(F.struct(F.lit(0).alias("o"), F.col("_t").alias("key")), F.struct(F.lit(1).alias("o"), F.col("_ts").alias("key")))).alias("k")).select(id, "k.*").join(lone, "key")
+    city = city.groupBy(id).agg(F.min_by(F.struct("_c", "_cp"), "o").alias("_city"))
+    lost = placed.where("_code is null").join(city, id, "left_anti").select(id, "lat", "lon")
+    near = nearest(lost, towns.select("lat", "lon", "province_code"), id, "province_code").withColumnRenamed("province_code", "_near")
+    all_ = placed.join(fuzzy, id, "left").join(city, id, "left").join(near, id, "left")
+    province, tier = cascade(("named", F.col("_code")), ("city", F.col("_city._cp")), ("nearest", F.col("_near")))
+    out = all_.select(id, province.alias("province"), F.coalesce("_town", "_fuzzy", F.when(F.col("_code").isNull(), F.col("_city._c"))).alias("town"), tier.alias("tier"))
+    return out.where("province is not null")

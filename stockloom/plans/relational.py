@@ -604,6 +604,19 @@ def _(x):
     return x.entity.join(m, "municipality_code", "left").join(p, "province_code", "left").select("entity_ulid", place.alias("place"), src.alias("src"))
 
 
+_ADAPTED = "CASE n % 5 WHEN 0 THEN lower(p.name) WHEN 1 THEN CAST(n % 25 AS STRING) WHEN 2 THEN 'Nowhere' END AS province_name, CASE n % 4 WHEN 0 THEN 'VILLA ' || CAST(n % 8 AS STRING) WHEN 1 THEN lpad(CAST(n % 25 AS STRING), 2, '0') || lpad(CAST(n % 8 AS STRING), 3, '0') || ' Única' WHEN 2 THEN 'Quxquz' END AS town_name"
+_NEAREST_PROVINCE = "SELECT a.entity_ulid, arg_min(m.province_code, (round(pow(a.lat - m.lat, 2) + pow((a.lon - m.lon) * cos(radians(m.lat)), 2), 12), m.province_code)) AS pr FROM a, municipality m WHERE a.lat IS NOT NULL GROUP BY 1"
+
+
+@Q("j24_adapter_cascade", f"WITH q AS (SELECT entity_ulid, n, lat, lon, {_ADAPTED} FROM entity JOIN province p ON p.code = lpad(CAST(n % 25 AS VARCHAR), 2, '0')), pv AS (SELECT q.*, p.code AS pr FROM q LEFT JOIN province p ON p.code = lpad(CASE WHEN regexp_matches(province_name, '^[0-9]+$') THEN province_name END, 2, '0') OR replace(lower(p.name), '_', ' ') = replace(province_name, '_', ' ')), tn AS (SELECT lower(name) AS w, code, province_code FROM municipality UNION SELECT code || ' unica', code, province_code FROM municipality), pl AS (SELECT pv.*, tn.code AS town FROM pv LEFT JOIN tn ON tn.province_code = pv.pr AND tn.w = replace(lower(town_name), 'ú', 'u')), ln AS (SELECT w, min(code) AS c, min(province_code) AS cp FROM tn GROUP BY 1 HAVING count(DISTINCT code) = 1), a AS (SELECT pl.*, ln.c, ln.cp FROM pl LEFT JOIN ln ON pl.pr IS NULL AND ln.w = replace(lower(town_name), 'ú', 'u')), nr AS ({_NEAREST_PROVINCE}) SELECT a.entity_ulid, coalesce(a.pr, a.cp, nr.pr) AS province, coalesce(a.town, a.c) AS town, CASE WHEN a.pr IS NOT NULL THEN 'named' WHEN a.cp IS NOT NULL THEN 'city' ELSE 'nearest' END AS tier FROM a LEFT JOIN nr USING (entity_ulid) WHERE coalesce(a.pr, a.cp, nr.pr) IS NOT NULL")
+def _(x):
+    """Sellers as adapters bring them: provinces by name or code or none, towns that all provinces have, that one has, that none has."""
+    p = x.province.select(F.col("code").alias("_pc"), "name")
+    rows = x.entity.join(p, F.col("_pc") == F.lpad((F.col("n") % 25).cast("string"), 2, "0")).selectExpr("entity_ulid", "lat", "lon", *_ADAPTED.replace("p.name", "name").replace(", CASE n % 4", "\nCASE n % 4").split("\n"))
+    m = x.municipality.select("code", "name", "province_code", "lat", "lon")
+    return geo.adapter_places(rows, "entity_ulid", x.province.select("code", "name"), m.union(m.withColumn("name", F.concat("code", F.lit(" Unica")))))
+
+
 _POST = "p1 AS (SELECT substr(address, length(address) - 12, 5) AS postcode, min(municipality_code) AS code FROM entity WHERE address IS NOT NULL AND municipality_code IS NOT NULL GROUP BY 1 HAVING count(DISTINCT municipality_code) = 1)"
 _NEAR = f"nr AS (SELECT entity_ulid, CASE WHEN km <= 30 THEN code END AS code, km FROM (SELECT entity_ulid, arg_min(code, (round(d2, 12), code)) AS code, arg_min(km, (round(d2, 12), code)) AS km FROM (SELECT e.entity_ulid, m.code, pow(e.lat - m.lat, 2) + pow((e.lon - m.lon) * cos(radians(e.lat)), 2) AS d2, {_KM} AS km FROM entity e JOIN municipality m USING (province_code) WHERE e.lat IS NOT NULL) GROUP BY 1))"
 

@@ -135,3 +135,12 @@ def test_fuzzy_places(spark):
     # a short form of two places is nobody's
     assert got == {"b": "42043", "c": "07040", "d": "32054"}
     assert math.isclose(weighted("palma de mallorca", "palma"), 90.0)
+
+
+def test_places_as_adapters_bring_them(spark):
+    provinces = spark.createDataFrame([("07", "Balears, Illes"), ("28", "Madrid"), ("32", "Ourense")], "code string, name string")
+    towns = spark.createDataFrame([("07040", "Palma", "07", 39.5, 2.6), ("28001", "Acebeda, La", "28", 41.0, -3.6), ("28079", "Madrid", "28", 40.4, -3.7), ("32054", "Ourense", "32", 42.3, -7.8), ("32001", "Vila", "32", 42.1, -7.7), ("28002", "Vila", "28", 40.5, -3.3)], "code string, name string, province_code string, lat double, lon double")
+    rows = [("a", "Illes Balears", "Palma de Mallorca", None, None), ("b", "28", "La Acebeda", None, None), ("c", "nowhere", "Palma", None, None), ("d", None, "Vila", 42.0, -7.0), ("e", None, None, None, None), ("f", "7", "Quxquz", None, None), ("g", "Ourense", "Orense", None, None), ("h", "99", "Vila", None, None)]
+    got = {r["id"]: (r["province"], r["town"], r["tier"]) for r in geo.adapter_places(spark.createDataFrame(rows, "id string, province_name string, town_name string, lat double, lon double"), "id", provinces, towns).collect()}
+    # Vila is in two provinces, so the name alone says nothing
+    assert got == {"a": ("07", "07040", "named"), "b": ("28", "28001", "named"), "c": ("07", "07040", "city"), "d": ("32", None, "nearest"), "f": ("07", None, "named"), "g": ("32", "32054", "named")}
