@@ -29,7 +29,9 @@ SPELLINGS = {
     "per cent": "percent", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling",
     "sub license": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
-COPYRIGHT = r"(?im)^[^a-z0-9\n]*(copyright\s*(\(c\)|©|[0-9]{4})|\(c\)\s|©|all rights reserved)[^\n]*$"
+#: Lines that name a holder: with a sign or a year anywhere after the word, or with the word and a holder's kind at the end; not lines of a wrapped text that
+#: begin with "copyright holders" or "copyright notice".
+COPYRIGHT = r"(?im)^[^a-z0-9\n]*(copyright\s*(\(c\)|©|[0-9]{4})|copyright\s[^\n]*\b(19|20)[0-9]{2}\b|copyright\s[^\n]*\b(authors|developers|foundation|inc|ltd|llc|gmbh|project|team)\b[^a-z0-9\n]*$|\(c\)\s|©|all rights reserved)[^\n]*$"
 
 #: Short public licence texts and notices, by SPDX identifier.
 KNOWN = {

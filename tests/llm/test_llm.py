@@ -80,6 +80,14 @@ def test_every_known_licence_is_found_in_other_spellings(spark):
     assert got[1000] == got[1001] and {x[1] for x in got[1002]} == {None}
 
 
+def test_copyright_lines_without_a_year_do_not_change_the_digest(spark):
+    texts = license_digests.known_texts()
+    heads = ["Copyright The Foo Authors", "Copyright Foo Inc. 2020", "   * Copyright the Bar Project.", "Copyright (c) 1999-2004, Baz", "© Foo", "Copyright 2011 Foo LLC", "All rights reserved."]
+    data = [(i, f"{h}\n\n{texts['MIT']}") for i, h in enumerate(heads)] + [(100, "copyright holders and contributors\n" + texts["MIT"]), (101, "Copyright notice of the Foo\n" + texts["MIT"])]
+    got = {r["doc_id"]: r["license"] for r in license_digests.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(got[i] == "MIT" for i in range(len(heads))) and got[100] is None and got[101] is None
+
+
 def test_mix(docs):
     out = source_mixing.mix(docs, block=8).collect()
     assert sorted(map(str, out)) == sorted(map(str, source_mixing.mix(docs, block=8).collect()))
