@@ -27,7 +27,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: Jaccard similarity of 0.8 or more on 5-word shingles (operator 8).  Rows
-    without a doc_id stay; rows alike in every column count as one."""
+    without a doc_id stay, all of them; rows that repeat both doc_id and text count as one document."""
     return simhash_bktree.drop_similar(narrow(docs, *COLUMNS), width=5)
 
 

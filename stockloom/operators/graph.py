@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -49,6 +50,23 @@ class Tables:
         self.drop(*(t for t, _ in list(self.paths.values())))
 
 
+def clean(spark: SparkSession, hours: float = 24.0, where: str | None = None) -> int:
+    """Removes what finished runs left in the shared folder (or another one): tables and streams' folders that nothing has written to for `hours`.  A query reads its tables
+    when its result is written, so they cannot go sooner by themselves; the count of removed folders."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where or shared_dir(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = time.time() * 1000 - hours * 3_600_000
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("stockloom-")] if fs.exists(path) else []
+
+    def newest(p) -> int:
+        return max([fs.getFileStatus(p).getModificationTime(), *(s.getModificationTime() for s in fs.listStatus(p))])
+
+    old = [p for p in found if newest(p) <= before]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
+
+
 def spread_join(rows: DataFrame, of: DataFrame, on: Column, spread: Column, how: str = "inner", ways: int = 16) -> DataFrame:
     """rows joined to `of` (at most one match a row) with every key of `rows` dealt over `ways` tasks by a hash of `spread`: a key
     that holds a third of all rows never meets in one task, at the price of `ways` copies of the rows of `of`."""

@@ -262,3 +262,16 @@ def test_bisection(spark):
     bands = lambda most, lo, hi: sorted(map(tuple, audit.bisect(rows, "v", most, lo, hi).collect()))
     assert bands(2, 0, 10) == [(0, 1, 3), (1, 2, 1), (2, 5, 0), (5, 7, 2), (7, 10, 1)]
     assert bands(100, 0, 10) == [(0, 10, 7)] and bands(1, 20, 30) == [(20, 30, 0)] and bands(0, 9, 10) == [(9, 10, 1)]
+
+
+def test_old_tables_are_removed_and_young_ones_stay(spark, tmp_path):
+    import os
+
+    from stockloom.operators.graph import clean
+
+    for name, age in (("stockloom-old", 9000), ("stockloom-young", 10), ("other", 9000)):
+        (tmp_path / name / "t").mkdir(parents=True)
+        for p in (tmp_path / name / "t", tmp_path / name):
+            os.utime(p, (os.path.getmtime(p) - age,) * 2)
+    assert clean(spark, 1, str(tmp_path)) == 1 and sorted(os.listdir(tmp_path)) == ["other", "stockloom-young"]
+    assert clean(spark, 1, str(tmp_path / "none")) == 0
