@@ -61,3 +61,22 @@ def test_seller_links_are_dealt_by_their_municipality(spark):
     one = {tuple(r) for r in components(e, few, "m").collect()}
     assert one == {tuple(r) for r in components(e.select("a", "b"), many).collect()}
     assert few.made <= 2
+
+
+def test_keyed_pairs_come_once_without_a_shuffle_of_pairs(spark):
+    """Ids with several rows, shared keys of two kinds; no aggregate stands above the join."""
+    from stockloom.operators.blocking import keyed_pairs
+
+    pick = random.Random(3)
+    rows = [(pick.randrange(25), pick.choice(["x", "y", None]), pick.choice(["1", "2", "3", None]), pick.choice(["u", "v", "w", None])) for _ in range(60)]
+    got = keyed_pairs(spark.createDataFrame(rows, "id int, k string, p string, w string"), ["k"], "id", {"p": "p", "w": "w"})
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[1] and a[1] == b[1]:
+                for n, s in ((2, "p"), (3, "w")):
+                    if a[n] and a[n] == b[n]:
+                        want.setdefault((a[0], b[0]), set()).add(s)
+    assert sorted((r["a"], r["b"], r["p"], r["w"]) for r in got.collect()) == sorted((*k, "p" in v, "w" in v) for k, v in want.items()) and want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")] and "Distinct" not in plan
