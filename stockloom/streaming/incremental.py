@@ -80,9 +80,17 @@ def stream_health(spark: SparkSession, sf_dir: str, files_per_batch: int | None
 
 
 def stream_window_of_ids(spark: SparkSession, sf_dir: str, cap: int, trim: int | None = None, touch: bool = False, files_per_batch: int | None = None, at: str | None = None) -> DataFrame:
-    """Whether each event's payload is among the last ones of its type, by a bounded window."""
+    """Whether each event's payload is among the last ones of its type, by a bounded window.  Rows and windows are written by batch number: a repeated batch
+    reads the same windows and overwrites its own."""
+    at, schema = at or _place(spark), f"{stateful.SEEN}, window array<string>"
     s = events(spark, sf_dir, files_per_batch).select(F.col("event_type").alias("origin"), F.col("event_id").alias("order"), F.col("props").alias("id"))
-    return drained(stateful.bounded_window(s, cap, trim, touch), spark, at)
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = spark.read.schema(schema).parquet(f"{at}/out/batch={number - 1}").where("window is not null") if number else None
+        stateful.bounded_window(batch, held, cap, trim, touch).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    s.writeStream.option("checkpointLocation", f"{at}/check").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{at}/out").where("window is null").select("origin", "order", "id", "seen", "held")
 
 
 def stream_reconcile(spark: SparkSession, old: DataFrame, new: DataFrame, key: Sequence[str], order: str, at: str | None = None) -> DataFrame:

@@ -90,3 +90,17 @@ def test_a_timer_makes_the_breaker_half_open(spark, tmp_path):
         assert ("a", "run", "open", True) in found and (("a", "half_open", "half_open", None) in found) == (i == 1)
     alerts = [(r["kind"], r["raised"], r["message"]) for r in out.where("kind like 'alert%'").orderBy("raised").collect()]
     assert alerts == [("alert_opened", 1, "m0"), ("alert_raised", 2, "m1"), ("alert_raised", 3, "m2")]
+
+
+def test_a_window_is_fed_batch_by_batch(spark):
+    """An origin with many rows reaches its window in Arrow batches, sorted by Spark: no group is handed over whole."""
+    from stockloom.streaming import stateful
+
+    ids = spark.range(30000).select(F.lit("o").alias("origin"), (29999 - F.col("id")).alias("order"), (F.col("id") % 7).cast("string").alias("id"))
+    out = stateful.bounded_window(ids, None, 10, 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "TransformWithState" not in plan and "FlatMapGroups" not in plan
+    assert out.where("window is null").count() == 30000 and out.where("not seen").count() == 7
+    (last,) = out.where("window is not null").collect()
+    again = stateful.bounded_window(ids.limit(1), spark.createDataFrame([("o", last["window"])], "origin string, window array<string>"), 10, 5).where("window is null").collect()
+    assert [r["seen"] for r in again] == [True]
