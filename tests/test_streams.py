@@ -104,3 +104,41 @@ def test_a_window_is_fed_batch_by_batch(spark):
     (last,) = out.where("window is not null").collect()
     again = stateful.bounded_window(ids.limit(1), spark.createDataFrame([("o", last["window"])], "origin string, window array<string>"), 10, 5).where("window is null").collect()
     assert [r["seen"] for r in again] == [True]
+
+
+def test_sources_share_the_state_of_their_bucket(spark, tmp_path):
+    """Sources meet in a few keys of the store, and each still has its own streak, breaker and alerts over three micro-batches (plainly counted here)."""
+    from stockloom.streaming import stateful
+
+    schema = "source_key string, run_id long, at timestamp, phase string, ok boolean, severity string, message string"
+    runs = [(None if i % 41 == 0 else f"s{i % 41}", i, 1_700_000_000 + i // 100 * 400, "ab"[i * i % 7 % 2], (i * 7919) % 11 > 6, ("warning", "critical")[i % 2], f"m{i}") for i in range(3600)]
+    for k in range(3):
+        spark.createDataFrame(runs[k * 1200 : k * 1200 + 1200], schema.replace("at timestamp", "at long")).coalesce(1).withColumn("at", F.timestamp_seconds("at")).write.mode("append").parquet(str(tmp_path / "in"))
+        out = incremental.drained(stateful.source_health(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), buckets=4, base=300), spark, str(tmp_path / "run"))
+    keys = spark.read.format("statestore").option("stateVarName", "health").load(str(tmp_path / "run/check")).select("key").distinct().count()
+    assert 1 < keys <= 4
+    end, want, state, alerts = runs[-1][2], [], {}, {}
+    half = lambda s, x: (s, "half_open", x[1], None, None, x[0], "half_open", None, None, None, None, None, None)
+    for s, i, at, phase, ok, severity, message in runs:
+        fails, until = state.get(s, (0, None))
+        over = until is not None and at >= until
+        want += [half(s, (fails, until))] if over else []
+        alert = lambda kind, a: (s, kind, at, i, phase, None, None, None, None, a[1], a[2], a[0], a[3])  # noqa: B023, E731
+        cooldown, tripped, old = 0, False, alerts.pop((s, phase), None)
+        if ok:
+            want += [alert("alert_resolved", old)] if old else []
+            state[s] = fails, until = 0, None
+        else:
+            fails += 1
+            alerts[s, phase] = now = (old[0], old[1], message, old[3] + 1) if old else (at, severity, message, 1)
+            want.append(alert("alert_raised" if old else "alert_opened", now))
+            if fails >= 3:
+                cooldown, tripped = min(300 * 2 ** (fails - 3), 86400), until is None or over
+                until = at + cooldown
+            state[s] = fails, until
+        want.append((s, "run", at, i, phase, fails, "open" if fails >= 3 else "closed", tripped, cooldown, None, None, None, None))
+    want += [half(s, x) for s, x in state.items() if x[1] is not None and x[1] <= end]
+    seconds = lambda c: (F.unix_micros(c) / 1_000_000).cast("long").alias(c)
+    found = [tuple(r) for r in out.select("source_key", "kind", seconds("at"), "run_id", "phase", "fails", "breaker", "tripped", "cooldown_s", "severity", "message", seconds("opened_at"), "raised").collect()]
+    assert {"half_open", "alert_resolved", "alert_raised"} <= {r[1] for r in want}
+    assert sorted(found, key=str) == sorted(want, key=str)
