@@ -310,3 +310,19 @@ def test_nearest_labels_keep_a_point_one_row(spark):
     assert "min_by" not in inside._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["code"], round(r["km"], 3)) for r in inside.collect()} == {("c05", 0.111)}
     assert [(r["code"], r["count"]) for r in geo.nearest(points, labels, "id", "code").groupBy("code").count().collect()] == [("c05", 2000)]
+
+
+def test_excess_is_dealt_by_the_size_of_the_table(spark, monkeypatch):
+    """A task groups a bounded number of rows, whatever the session's shuffle partitions; a key with most rows is grouped in several tasks first."""
+    from stockloom.operators import blocking, resolve
+
+    monkeypatch.setattr(blocking, "TASK_ROWS", 100)
+    rows = [(1, 1.0, i % 3) for i in range(3000)] + [(i, 2.0, 7) for i in range(1000)] + [(i // 2, 3.0, i % 2) for i in range(1000)] + [(None, 1.0, 1), (None, 1.0, 2), (5000, 0.0, 1), (5000, -0.0, 2), (5001, 1.0, 1), (5001, 1.0, None)]
+    df = spark.createDataFrame(rows, "k long, q double, p long").repartition(8)
+    assert blocking.tasks(df) == -(-len(rows) // 100)
+    out = resolve.excess(df, ["k", "q"], "p")
+    assert (out.first()["excess"], out.first()["groups"]) == (2999 + 500 + 1, 1 + 500 + 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {-(-len(rows) // 100)}), REPARTITION_BY_NUM") >= 2 and "ENSURE_REQUIREMENTS" not in plan.replace("Exchange SinglePartition, ENSURE_REQUIREMENTS", "")
+    first = blocking.spread(df, ["k", "q"], 60).withColumn("t", F.spark_partition_id()).where("k = 1 and q = 1").select("t").distinct().count()
+    assert first > 1
