@@ -326,3 +326,27 @@ def test_excess_is_dealt_by_the_size_of_the_table(spark, monkeypatch):
     assert plan.count(f", {-(-len(rows) // 100)}), REPARTITION_BY_NUM") >= 2 and "ENSURE_REQUIREMENTS" not in plan.replace("Exchange SinglePartition, ENSURE_REQUIREMENTS", "")
     first = blocking.spread(df, ["k", "q"], 60).withColumn("t", F.spark_partition_id()).where("k = 1 and q = 1").select("t").distinct().count()
     assert first > 1
+
+
+def dealt(spark, monkeypatch, name, most):
+    """The rows of a query with tasks of `most` table rows, and whether its table is grouped in tasks of that many only."""
+    import duckdb
+
+    from stockloom.operators import blocking
+    from stockloom.plans import catalog
+
+    from .test_oracles import DATA, plain
+
+    monkeypatch.setattr(blocking, "TASK_ROWS", most)
+    out, con = catalog.QUERIES[name](spark, DATA), duckdb.connect()
+    n = blocking.tasks(spark.read.parquet(f"{DATA}/lineitem.parquet"))
+    for t in ("lineitem", "orders"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    rel = con.execute(catalog.ORACLE_SQL[name])
+    theirs = sorted(tuple(plain(v) for v in r) for r in rel.fetchall())
+    assert sorted(tuple(plain(v) for v in r) for r in out.select(*(d[0] for d in rel.description)).collect()) == theirs
+    return out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count(f", {n}), REPARTITION_BY_NUM")
+
+
+def test_both_paths_are_dealt_by_the_size_of_the_table(spark, monkeypatch):
+    assert dealt(spark, monkeypatch, "g13_two_paths", 1000) == 4
