@@ -350,3 +350,7 @@ def dealt(spark, monkeypatch, name, most):
 
 def test_both_paths_are_dealt_by_the_size_of_the_table(spark, monkeypatch):
     assert dealt(spark, monkeypatch, "g13_two_paths", 1000) == 4
+
+
+def test_moved_edges_are_dealt_by_the_size_of_the_table(spark, monkeypatch):
+    assert dealt(spark, monkeypatch, "g12_moved_edges", 1000) == 4
