@@ -371,3 +371,28 @@ def test_groups_stay_whole_where_there_is_room(spark):
     sizes = Counter(r["shard"] for r in out).values()
     assert len(out) == 2100 and max(sizes) - min(sizes) <= 1
     assert sum(len(v) > 1 for g, v in shards.items() if g is not None) <= 23
+
+
+def test_moves_are_granted_alike_by_histograms_and_in_few_tasks(spark, monkeypatch):
+    """Many shuffle partitions do not make many tasks of a small table, and grants end at the same group whether its gain's rows are looked through or counted by their keys' first bits."""
+    data = [(i, f"text {(i * i + 7 * (i // 9)) % 701}") for i in range(4000)] + [(5000 + i, "one") for i in range(900)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(2)
+    settings = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    sc, found, asked = spark.sparkContext, [], []
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for level in (1 << 16, 0):
+            monkeypatch.setattr(sharding, "LEVEL", level, raising=False)
+            sc.setJobGroup(f"shards-{level}", "")
+            found.append(sorted(tuple(r) for r in sharding.shard(docs).select("doc_id", "shard", "slot").collect()))
+            stages = {s for j in sc.statusTracker().getJobIdsForGroup(f"shards-{level}") for s in sc.statusTracker().getJobInfo(j).stageIds}
+            asked.append(sum(i.numCompletedTasks for s in stages if (i := sc.statusTracker().getStageInfo(s))))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sizes = Counter(s for _, s, _ in found[0])
+    assert found[0] == found[1] and len(found[0]) == 4900 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert asked[0] < 600, asked
