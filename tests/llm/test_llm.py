@@ -396,3 +396,25 @@ def test_moves_are_granted_alike_by_histograms_and_in_few_tasks(spark, monkeypat
     sizes = Counter(s for _, s, _ in found[0])
     assert found[0] == found[1] and len(found[0]) == 4900 and max(sizes.values()) - min(sizes.values()) <= 1
     assert asked[0] < 600, asked
+
+
+def test_bands_are_sorted_by_their_key_alone(spark):
+    """One radix sort; the links are those of sorted classes, also where a band goes on over batches."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k), int(h)) for k, h in zip(rng.integers(-300, 300, 4000), rng.integers(-40, 40, 4000), strict=True)] + [(10**6 + i, i) for i in range(500)]
+    keyed = spark.createDataFrame(rows, "key long, h long")
+    by, want = defaultdict(list), Counter()
+    for k, h in rows:
+        by[k].append(h)
+    for k, hs in by.items():
+        for i, h in enumerate(sorted(hs)):
+            if i and h == sorted(hs)[i - 1]:
+                want.update([(h, h)] if k % 2 else [])
+            elif h != min(hs):
+                want.update([(h, min(hs))])
+    out = paragraph_minhash.stars(keyed)
+    assert Counter(tuple(r) for r in out.collect()) == want
+    sort = next(line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line)
+    assert sort.count(" ASC ") == 1
+    assert Counter(tuple(r) for r in paragraph_minhash.stars(keyed, 50).collect()) == want
+    assert paragraph_minhash.stars(keyed.limit(0)).count() == 0
