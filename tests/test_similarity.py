@@ -159,3 +159,24 @@ def test_price_links_equal_all_pairs(spark):
             up[i] = up[j] = min(up[i], up[j])
     got = similarity.price_links(spark.createDataFrame(own, "id int, k string, p decimal(12,2)"), ["k"], "id", "p").collect()
     assert sorted(map(tuple, got)) == sorted((i, sum(x == i for x, _ in near), up[i]) for i, _, _ in own)
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_near_names_of_crowded_pieces_lose_nothing(spark, most):
+    """Numbered names, which have their beginning in common; their candidates do not grow with the square of the block."""
+    rng = random.Random(9)
+    own = {f"customer{rng.randint(0, 2000):06d}" for _ in range(300)} | {"n\U0001f600z" + "".join(rng.choice("aab") for _ in range(rng.randint(0, 6))) for _ in range(200)} | {"", "c", "cu"}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+        return row[-1]
+
+    want = sorted(("k", a, b) for a in own for b in own if a < b and abs(len(a) - len(b)) <= most and edits(a, b) <= most)
+    names = spark.createDataFrame([("k", s) for s in own], "k string, s string")
+    for crowd in (0, 5, 64):
+        assert sorted(map(tuple, similarity.near_names(names, ["k"], "s", most, crowd).collect())) == want
+    assert len(want) > 300
